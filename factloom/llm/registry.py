@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from factloom.llm import bpe, decontaminate
+from pyspark.sql import functions as F
+
+from factloom.llm import bpe, decontaminate, langid, simhash, substring
 from factloom.llm.common import table
 
 
@@ -14,7 +16,22 @@ def op3_decontaminate(spark, sf_dir):
     return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_decontaminate)}
+def op4_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = langid.held_out()
+    found = langid.predict(docs.select(F.col("doc_id").cast("long"), "text"), langid.learn(docs.where(~held)), ["doc_id"])
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op8_simhash(spark, sf_dir):
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
+def op9_substring(spark, sf_dir):
+    return substring.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_decontaminate, op4_language_id, op8_simhash, op9_substring)}
 
 ORACLE_SQL = {
     "op3_decontaminate": r"""
@@ -29,4 +46,13 @@ words AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op9_substring": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, p, hash(array_to_string(w[p : p + 12], ' ')) AS s, md5(array_to_string(w[p : p + 12], ' ')) AS m
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13)),
+first AS (SELECT s, m, min(doc_id) AS f FROM win GROUP BY s, m),
+gone AS (SELECT DISTINCT doc_id, q FROM (SELECT doc_id, unnest(range(p, p + 13)) AS q FROM win JOIN first USING (s, m) WHERE f < doc_id)),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS q FROM d),
+kept AS (SELECT doc_id, count(gone.q) AS n_removed, string_agg(word, ' ' ORDER BY q) FILTER (WHERE gone.q IS NULL) AS t FROM words LEFT JOIN gone USING (doc_id, q) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
 }
