@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, decontaminate, langid, simhash, substring
+from factloom.llm import bpe, decontaminate, iblt, langid, quality, simhash, substring
 from factloom.llm.common import table
 
 
@@ -31,7 +31,18 @@ def op9_substring(spark, sf_dir):
     return substring.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_decontaminate, op4_language_id, op8_simhash, op9_substring)}
+def op6_fingerprints(spark, sf_dir):
+    return iblt.report(table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
+    held = langid.held_out()
+    found = quality.classify(table(spark, sf_dir, "documents"), labels, ~held)
+    return found.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_decontaminate, op4_language_id, op6_fingerprints, op8_simhash, op9_substring, op10_quality)}
 
 ORACLE_SQL = {
     "op3_decontaminate": r"""
