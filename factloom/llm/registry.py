@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, decontaminate, iblt, langid, quality, simhash, substring
+from factloom.llm import bpe, decontaminate, iblt, langid, ppm, quality, simhash, substring
 from factloom.llm.common import table
 
 
+def op1_ppm(spark, sf_dir):
+    return ppm.report(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.public())
 
@@ -42,7 +46,7 @@ def op10_quality(spark, sf_dir):
     return found.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_decontaminate, op4_language_id, op6_fingerprints, op8_simhash, op9_substring, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_ppm, op2_bpe, op3_decontaminate, op4_language_id, op6_fingerprints, op8_simhash, op9_substring, op10_quality)}
 
 ORACLE_SQL = {
     "op3_decontaminate": r"""
