@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, decontaminate, iblt, langid, ppm, quality, simhash, substring
+from factloom.llm import bpe, chat, decontaminate, iblt, langid, pii, ppm, quality, simhash, substring
 from factloom.llm.common import table
 
 
@@ -35,6 +35,14 @@ def op9_substring(spark, sf_dir):
     return substring.report(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def op7_chat(spark, sf_dir):
+    return chat.report(table(spark, sf_dir, "conversations"))
+
+
 def op6_fingerprints(spark, sf_dir):
     return iblt.report(table(spark, sf_dir, "documents"))
 
@@ -46,7 +54,7 @@ def op10_quality(spark, sf_dir):
     return found.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_ppm, op2_bpe, op3_decontaminate, op4_language_id, op6_fingerprints, op8_simhash, op9_substring, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_ppm, op2_bpe, op3_decontaminate, op4_language_id, op5_pii, op6_fingerprints, op7_chat, op8_simhash, op9_substring, op10_quality)}
 
 ORACLE_SQL = {
     "op3_decontaminate": r"""
@@ -70,4 +78,12 @@ gone AS (SELECT DISTINCT doc_id, q FROM (SELECT doc_id, unnest(range(p, p + 13))
 words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS q FROM d),
 kept AS (SELECT doc_id, count(gone.q) AS n_removed, string_agg(word, ' ' ORDER BY q) FILTER (WHERE gone.q IS NULL) AS t FROM words LEFT JOIN gone USING (doc_id, q) GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op7_chat": r"""
+WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+              UNION ALL SELECT -7, n, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(n, r)),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS t,
+             coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+             sum(length(regexp_replace(role, '[\\#<:]', 'xx', 'g')) + length(regexp_replace(text, '[\\#<]', 'xx', 'g')) + 14) AS n
+      FROM rows GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(t) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(n AS BIGINT) AS formatted_chars FROM g""",
 }
