@@ -100,12 +100,17 @@ def links(fps: DataFrame) -> DataFrame:
     return edges.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
 
 
+def labelled(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """own: doc_id, fp -> the distinct fingerprints with their least doc_id, and the labels of the linked ones."""
+    fps = c.written(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    return fps, components(links(fps.select("fp"))).withColumnRenamed("node", "fp")
+
+
 def linked(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, fp and component_id: the least doc_id that links reach."""
     own = c.written(fingerprinted(docs, size), "fingerprints")
-    fps = c.written(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    found = components(links(fps.select("fp")))
-    named = fps.join(found.withColumnRenamed("node", "fp"), "fp").select("fp", "label", "least")
+    fps, labels = labelled(own)
+    named = fps.join(labels, "fp").select("fp", "label", "least")
     group = named.groupBy("label").agg(F.min("least").alias("component_id"))
     named = named.join(group, "label").select("fp", "component_id")
     by_fp = fps.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
@@ -116,8 +121,22 @@ def report(docs: DataFrame) -> DataFrame:
     return linked(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that name their component, and one row of each doc_id; all columns stay. Rows without doc_id stay."""
-    keep = linked(docs.where("doc_id IS NOT NULL")).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+FP, KEY = "factloom_fp", "factloom_key"
+
+
+def keep_one(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """Of each group of linked documents the row with the least doc_id (nulls last; then the least fingerprint); all columns stay."""
+    fps, labels = labelled(c.written(fingerprinted(docs, size), "fingerprints"))
+    group = F.coalesce("label", "fp")
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("doc_id"), F.col("fp"))).alias("x")
+    keep = fps.join(labels, "fp", "left").groupBy(group.alias("label")).agg(first)
+    keep = keep.select(F.coalesce("x.doc_id", F.lit((1 << 63) - 1)).alias(KEY), F.col("x.fp").alias(FP))
+
+    def run(batches):
+        for piece in c.pieces(batches):
+            fp = fingerprints(piece.column("text").to_pylist(), size)
+            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(fp.view(np.int64))], [*piece.schema.names, FP])
+
+    rows = docs.mapInArrow(run, docs.select("*", F.lit(0).cast("long").alias(FP)).schema)
+    rows = rows.withColumn(KEY, F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))
+    return rows.join(keep, [KEY, FP], "left_semi").dropDuplicates([KEY, FP]).select(docs.columns)
