@@ -72,32 +72,87 @@ def fingerprinted(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
-def _bits(segment: tuple[int, int]) -> list[int]:
-    return [1 << b if b < 63 else -(1 << 63) for b in range(segment[0], sum(segment))]
-
-
-def _entry(start: int, mask: int):
-    return lambda x: F.struct(F.lit(start).alias("start"), F.col("fp").bitwiseXOR(x).bitwiseAND(F.lit(mask).cast("long")).alias("key"), x.alias("flip"))
-
-
-def links(fps: DataFrame) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints fp: same components as all pairs that differ in two bits or fewer."""
-    starts = []
-    for i in range(3):
-        one, two = SEGMENTS[i], SEGMENTS[(i + 1) % 3]
-        mask = sum(_bits(one)) + sum(_bits(two))
-        flips = F.array(*(F.lit(x).cast("long") for x in [0, *_bits(two)]))
-        starts.append(F.transform(flips, _entry(i, mask)))
-    rows = fps.select("fp", F.explode(F.concat(*starts)).alias("x")).select("fp", "x.start", "x.key", "x.flip")
-    met = rows.groupBy("start", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.min(F.col("flip") != 0).alias("none_exact")).where("lo <> hi AND NOT none_exact").select("start", "key")
-    rest = F.lit(None)
+def _changes() -> tuple[np.ndarray, np.ndarray]:
+    """For each entry of the index: the start of its chain, and the bit of the second segment that it changes (0: none)."""
+    start, flip = [], []
+    for i in range(len(SEGMENTS)):
+        first, n = SEGMENTS[(i + 1) % 3]
+        start += [i] * (n + 1)
+        flip += [0, *(1 << b for b in range(first, first + n))]
+    return np.array(start), np.array(flip, np.uint64)
+
+
+START, FLIP = _changes()
+#: The bits of the first two segments of a chain, and of its last one, by its start.
+CHAIN = np.array([sum(1 << b for k in (i, (i + 1) % 3) for b in range(SEGMENTS[k][0], sum(SEGMENTS[k]))) for i in range(3)], np.uint64)
+
+
+def _chain_keys(fp: np.ndarray, entry: np.ndarray) -> np.ndarray:
+    """What two entries of the index have in common if their chains agree."""
+    return c.mixed(((fp ^ FLIP[entry]) & CHAIN[START[entry]]) ^ (START[entry].astype(np.uint64) + c.U64(1)) * c.U64(0x9E3779B97F4A7C15))
+
+
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by key, and where each key begins in it."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    return order, np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+
+
+def chained(fp: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links among entries of the index: prune by the first two segments, go on to the third, check in full."""
+    order, begin = _groups(_chain_keys(fp, entry))
+    fp, entry = fp[order], entry[order]
+    if not len(fp):
+        return fp, fp
+    exact = FLIP[entry] == 0
+    some = (np.minimum.reduceat(fp, begin) != np.maximum.reduceat(fp, begin)) & np.logical_or.reduceat(exact, begin)
+    live = np.repeat(some, np.diff(np.append(begin, len(fp))))
+    fp, entry, exact = fp[live], entry[live], exact[live]
+    mids, owner = [fp ^ FLIP[entry]], [fp]
     for i in range(3):
-        rest = F.when(F.col("start") == i, F.array(*(F.lit(x).cast("long") for x in [0, *_bits(SEGMENTS[(i + 2) % 3])]))).otherwise(rest)
-    last = F.when(F.col("flip") == 0, rest).otherwise(F.array(F.lit(0).cast("long")))
-    whole = rows.join(met, ["start", "key"], "left_semi").select("fp", F.explode(last).alias("x"), "flip").select("fp", F.col("fp").bitwiseXOR(F.col("flip")).bitwiseXOR(F.col("x")).alias("mid"))
-    groups = whole.groupBy("mid").agg(F.collect_set("fp").alias("own")).where(F.size("own") > 1)
-    edges = groups.select(F.array_min("own").alias("a"), F.explode("own").alias("b")).where("a <> b").distinct()
-    return edges.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
+        own = fp[exact & (START[entry] == i)]
+        first, n = SEGMENTS[(i + 2) % 3]
+        for b in range(first, first + n):
+            mids.append(own ^ c.U64(1 << b))
+            owner.append(own)
+    mids, owner = np.concatenate(mids), np.concatenate(owner)
+    order, begin = _groups(mids)
+    if not len(begin):
+        return mids, owner
+    owner = owner[order]
+    hub = np.repeat(np.minimum.reduceat(owner, begin), np.diff(np.append(begin, len(owner))))
+    near = (hub != owner) & (np.bitwise_count(hub ^ owner) <= 2)
+    pairs = np.unique(np.stack([hub[near], owner[near]], axis=1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def links(fps: DataFrame, shard_entries: int = 1_000_000) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints fp: same components as all pairs that differ in two bits or fewer.
+
+    Entries go to shards by their chains' keys, packed: a fingerprint and one byte for the entry.
+    """
+    shards = 1 << max(4, (fps.count() * len(FLIP) // shard_entries).bit_length())
+
+    def send(batches):
+        for batch in batches:
+            own = batch.column("fp").to_numpy().view(np.uint64)
+            fp, entry = np.repeat(own, len(FLIP)), np.tile(np.arange(len(FLIP)), len(own))
+            shard = (_chain_keys(fp, entry) % c.U64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            cut = np.searchsorted(shard[order], np.arange(shards + 1))
+            full = [k for k in range(shards) if cut[k] < cut[k + 1]]
+            fp, entry = fp[order], entry[order].astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([fp[cut[k] : cut[k + 1]].tobytes() for k in full], pa.binary()), pa.array([entry[cut[k] : cut[k + 1]].tobytes() for k in full], pa.binary())], ["shard", "fps", "entries"])
+
+    def join(rows):
+        fp = np.frombuffer(b"".join(rows.column("fps").to_pylist()), np.uint64)
+        entry = np.frombuffer(b"".join(rows.column("entries").to_pylist()), np.uint8)
+        a, b = chained(fp, entry)
+        return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
+
+    sent = fps.select("fp").mapInArrow(send, "shard int, fps binary, entries binary")
+    return sent.groupBy("shard").applyInArrow(join, "a bigint, b bigint").distinct()
 
 
 def labelled(own: DataFrame) -> tuple[DataFrame, DataFrame]:
