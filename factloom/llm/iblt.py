@@ -39,7 +39,9 @@ def digests(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct paragraph digests of each text, and each text's offsets into them."""
     data, offsets = c.flat(pa.array(texts, pa.string()))
     breaks = data == 10
-    breaks[1:] |= (data[1:] == 32) & ENDS[data[:-1]]
+    after = np.append(False, ENDS[data[:-1]]) if len(data) else np.zeros(0, bool)
+    after[offsets[:-1][offsets[:-1] < len(data)]] = False  # a text doesn't see the one before it
+    breaks |= (data == 32) & after
     starts, ends, own = c.runs(~breaks, offsets)
     found = c.span_hashes(data, starts, ends)
     text = np.repeat(np.arange(len(texts)), np.diff(own))
