@@ -5,9 +5,9 @@ sum of the scores on the way, in as many rounds as the logarithm of the depth; t
 sum (ties: the smaller message), and the chosen leaves' paths are enumerated from the same pointers, again in so many
 rounds. Each path becomes one conversation.
 
-A turn is `### role:`, a line break, the text, `</turn>` and a line break; the characters \\ # < (and : in a role) have a
-backslash before them in roles and texts, so neither can contain a control string, and reading back is exact. The loss
-mask lists the spans of assistant texts in the formatted string, in code points.
+A turn is `### role:`, a line break, the text, `</turn>` and a line break. In roles and texts a backslash, # and < (and :
+in a role) are written as a backslash and a letter, so neither can contain a control string, and reading back is exact.
+The loss mask lists the spans of assistant texts in the formatted string, in code points.
 
 A message whose parent isn't there is a root. Messages in a cycle lead to no root and form no path. Null role or text is
 empty. Turns with equal numbers stand by role and text. A null conversation is a conversation of its own.
@@ -51,14 +51,23 @@ def paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     return on
 
 
-def escaped(x, also: str = ""):
-    return F.regexp_replace(F.coalesce(x, F.lit("")), rf"[\\#<{also}]", r"\\$0")
+#: How characters of control strings are written inside roles and texts; the colon in roles only.
+CODES = {"\\": "\\\\", "#": "\\h", "<": "\\l"}
+COLON = {":": "\\c"}
+PLAIN = {code[1]: char for char, code in (CODES | COLON).items()}
+
+
+def escaped(x, codes=CODES):
+    out = F.coalesce(x, F.lit(""))
+    for char, code in codes.items():  # the backslash comes first
+        out = F.replace(out, F.lit(char), F.lit(code))
+    return out
 
 
 def formatted(messages: DataFrame, keep: int = 1) -> DataFrame:
     """messages (tree, node, parent, score, role, text) -> (tree, rank, n_turns, formatted, loss_spans), one row a path."""
     rows = paths(messages, keep).join(messages.select("tree", "node", "role", "text"), ["tree", "node"])
-    head = F.concat(F.lit("### "), escaped(F.col("role"), ":"), F.lit(":\n"))
+    head = F.concat(F.lit("### "), escaped(F.col("role"), CODES | COLON), F.lit(":\n"))
     rows = rows.select("tree", "rank", "place", F.coalesce("role", F.lit("")).alias("role"), head.alias("head"), escaped(F.col("text")).alias("body"))
     ends = F.sum(F.length("head") + F.length("body") + len(TURN)).over(Window.partitionBy("tree", "rank").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("stop", ends - len(TURN)).withColumn("turn", F.concat("head", "body", F.lit(TURN)))
@@ -67,21 +76,14 @@ def formatted(messages: DataFrame, keep: int = 1) -> DataFrame:
     return whole.select("tree", "rank", F.size("turns").cast("long").alias("n_turns"), F.array_join(F.transform("turns", lambda x: x.turn), "").alias("formatted"), "loss_spans")
 
 
-UNESCAPE = re.compile(r"\\(.)", re.S)
+def unescaped(text: str) -> str:
+    return re.sub(r"\\(.)", lambda m: PLAIN[m[1]], text)
 
 
 def read_back(text: str) -> list[tuple[str, str]]:
     """The turns (role, text) of a formatted conversation."""
-    out = []
-    for turn in text.split(TURN)[:-1]:
-        role, _, body = turn[4:].partition(":\n") if "\\:\n" not in turn else _split(turn[4:])
-        out.append((UNESCAPE.sub(r"\1", role), UNESCAPE.sub(r"\1", body)))
-    return out
-
-
-def _split(turn: str) -> tuple[str, str, str]:
-    m = re.match(r"((?:[^\\:]|\\.)*)(:\n)(.*)", turn, re.S)
-    return m[1], m[2], m[3]
+    turns = (turn[len("### ") :].partition(":\n") for turn in text.split(TURN)[:-1])
+    return [(unescaped(role), unescaped(body)) for role, _, body in turns]
 
 
 def from_turns(conversations: DataFrame) -> DataFrame:
@@ -107,7 +109,7 @@ def report(conversations: DataFrame) -> DataFrame:
             out = []
             for tree, text, spans in zip(*(batch.column(x).to_pylist() for x in ("tree", "formatted", "loss_spans"))):
                 turns = read_back(text)
-                loss = "".join(UNESCAPE.sub(r"\1", text[s["start"] : s["stop"]]) for s in spans)
+                loss = "".join(unescaped(text[s["start"] : s["stop"]]) for s in spans)
                 out.append((int(tree) if tree else None, len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
             columns = list(zip(*out)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.string()), pa.array(columns[5], pa.int64())], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
