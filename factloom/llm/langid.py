@@ -147,3 +147,15 @@ def predict(docs: DataFrame, profiles: Profiles, columns: list[str] | None = Non
 
     schema = docs.select(*columns).schema.add("lang_pred", "string").add("score", "double")
     return rows.mapInArrow(run, schema)
+
+
+def keep_told(docs: DataFrame, profiles: Profiles, least: float) -> DataFrame:
+    """The documents whose language is told with a score of `least` or more; all columns stay as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(profiles)
+
+    def run(batches):
+        for batch in batches:
+            got = [shared.value.predict(x) for x in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

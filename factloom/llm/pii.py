@@ -90,8 +90,11 @@ def _placed(hits: Column, gaps: Column, kind: str, strict: bool) -> Column:
     return F.aggregate(both, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc.spans)
 
 
+SPANS = "factloom_spans"
+
+
 def candidates(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The named columns with `spans`: base spans and looser candidates with votes and features, by start and kind."""
+    """The named columns with SPANS: base spans and looser candidates with votes and features, by start and kind."""
     t = "factloom_text"
     rows = docs.select(*columns, F.coalesce(F.col("text").cast("string"), F.lit("")).alias(t))
     plan = [(k, p, True) for k, p in BASE.items()] + [(k, p, False) for k, p in LOOSE.items()]
@@ -102,7 +105,7 @@ def candidates(docs: DataFrame, columns: list[str]) -> DataFrame:
     rows = rows.select(*columns, t, F.concat(*placed[:n]).alias("factloom_base"), F.concat(*placed[n:]).alias("factloom_loose"))
     apart = F.filter("factloom_loose", lambda x: ~F.exists("factloom_base", lambda b: (b.start < x.stop) & (x.start < b.stop)))
     rows = rows.select(*columns, t, F.array_sort(F.concat("factloom_base", apart)).alias("factloom_all"))
-    return rows.select(*columns, F.transform("factloom_all", lambda x: _described(x, F.col(t))).alias("spans"))
+    return rows.select(*columns, F.transform("factloom_all", lambda x: _described(x, F.col(t))).alias(SPANS))
 
 
 def _described(x: Column, text: Column) -> Column:
@@ -158,7 +161,7 @@ def classifier(features: list[list[str]], target: np.ndarray, n: np.ndarray) ->
 
 def train(spans: DataFrame) -> dict[str, float]:
     """spans: rows of candidates' arrays. Only the table of distinct votes and features reaches the driver."""
-    table = spans.select(F.explode("spans").alias("x")).groupBy("x.rank", "x.votes", "x.features").count().collect()
+    table = spans.select(F.explode(SPANS).alias("x")).groupBy("x.rank", "x.votes", "x.features").count().collect()
     if not table:
         return {"": 0.0}
     kinds, n = np.array([r[0] for r in table]), np.array([r["count"] for r in table], float)
@@ -167,18 +170,18 @@ def train(spans: DataFrame) -> dict[str, float]:
 
 
 def decided(rows: DataFrame, weights: dict[str, float], threshold: float = THRESHOLD) -> DataFrame:
-    """`spans` without the looser candidates that the classifier turns down."""
+    """SPANS without the looser candidates that the classifier turns down."""
     table = F.create_map(*(F.lit(x) for k, v in sorted(weights.items()) for x in (k, v)))
     level = float(np.log(threshold / (1 - threshold)))
 
     def keep(x):
         return x.base | (F.aggregate(x.features, F.lit(weights[""]), lambda a, f: a + F.coalesce(F.try_element_at(table, f), F.lit(0.0))) > level)
 
-    return rows.withColumn("spans", F.filter("spans", keep))
+    return rows.withColumn(SPANS, F.filter(SPANS, keep))
 
 
 def find(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The named columns with `spans` (start, rank, kind, stop, base, ...), by start and kind."""
+    """The named columns with SPANS (start, rank, kind, stop, base, ...), by start and kind."""
     rows = c.written(candidates(docs, columns), "spans")
     return decided(rows, train(rows))
 
@@ -189,9 +192,9 @@ def _said(spans: Column) -> Column:
 
 def report(docs: DataFrame) -> DataFrame:
     found = find(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id"])
-    base = F.filter("spans", lambda x: x.base)
-    counts = [F.size(F.filter("spans", _of(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(_said(base), 256).alias("base_sha256"), _said(F.col("spans")).alias("spans"))
+    base = F.filter(SPANS, lambda x: x.base)
+    counts = [F.size(F.filter(SPANS, _of(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(_said(base), 256).alias("base_sha256"), _said(F.col(SPANS)).alias("spans"))
 
 
 def _of(rank: int):
@@ -207,5 +210,5 @@ def redact(docs: DataFrame) -> DataFrame:
         more = F.concat(acc.out, F.substr(F.col("text"), acc.at + 1, x.start - acc.at), F.lit("<"), F.upper(x.kind), F.lit(">"))
         return F.struct(F.greatest(acc.at, x.stop).alias("at"), F.when(fresh, more).otherwise(acc.out).alias("out"))
 
-    text = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc.out, F.substr(F.col("text"), acc.at + 1)))
-    return found.withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text"))).select(docs.columns)
+    text = F.aggregate(SPANS, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc.out, F.substr(F.col("text"), acc.at + 1)))
+    return found.withColumn("text", F.when(F.size(SPANS) > 0, text).otherwise(F.col("text"))).select(docs.columns)
