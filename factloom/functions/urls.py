@@ -5,7 +5,7 @@ from __future__ import annotations
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 # Query keys that only track.
 TRACKING = ["gclid", "fbclid", "yclid", "mc_eid", "_ga", "ref", "ref_"]
@@ -64,7 +64,7 @@ def robots_allowed(pages: DataFrame, robots: DataFrame, agent: str) -> DataFrame
 
     Each worker parses a host's rules once for a run of its rows.
     """
-    schema = pages.select("*", F.lit(True).alias("allowed"), F.lit(0.0).alias("crawl_delay")).schema
+    schema = T.StructType([*pages.schema.fields, T.StructField("allowed", T.BooleanType()), T.StructField("crawl_delay", T.DoubleType())])
     rules = robots.select("host", F.col("body").alias("_body"))
     joined = pages.withColumn("host", host(F.col("url"))).join(rules, "host", "left")
 

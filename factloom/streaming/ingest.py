@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import GroupState
+from pyspark.sql.streaming.state import GroupState
 
 from factloom.operators.facts import FLAGS, OBSERVED, decide, step
 from factloom.schemas import RAW_ARTIFACT
