@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -24,28 +25,30 @@ from pyspark.sql import DataFrame, Window, functions as F
 from factloom.llm import common as c
 
 TURN = "</turn>\n"
-MOST_ROUNDS = 40
 
 
 def paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     """messages (tree, node, parent, score) -> (tree, rank, node, place): the `keep` best root-to-leaf paths of each tree."""
     known = messages.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there")).distinct()
     start = messages.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.col("score").cast("double").alias("total"), F.lit(1).cast("long").alias("hops"))
-    levels = [c.written(start, "replies")]
-    for _ in range(MOST_ROUNDS):
-        now = levels[-1]
-        if not now.where("up IS NOT NULL").limit(1).count():
+    start = c.written(start, "replies")
+    open_, done, levels = start, [], []
+    for _ in range(start.count().bit_length() + 1):  # only messages that haven't reached their root are joined again; those in a cycle never do
+        done.append(open_.where("up IS NULL"))
+        open_ = open_.where("up IS NOT NULL")
+        if not open_.limit(1).count():
             break
-        above = now.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("hops").alias("far"))
-        joined = now.join(above, ["tree", "up"], "left")
-        levels.append(c.written(joined.select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("hops") + F.coalesce("far", F.lit(0))).alias("hops")), "replies"))
-    ends = levels[-1].where("up IS NULL")
-    parents = levels[0].where("up IS NOT NULL").select("tree", F.col("up").alias("node")).distinct()
+        levels.append(open_)
+        every = reduce(DataFrame.unionByName, done, open_)
+        above = every.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("hops").alias("far"))
+        open_ = c.written(open_.join(above, ["tree", "up"]).select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("hops") + F.col("far")).alias("hops")), "replies")
+    ends = reduce(DataFrame.unionByName, done)
+    parents = start.where("up IS NOT NULL").select("tree", F.col("up").alias("node")).distinct()
     best = Window.partitionBy("tree").orderBy(F.desc("total"), "node")
     chosen = ends.join(parents, ["tree", "node"], "left_anti").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= keep)
     on = c.written(chosen.select("tree", "rank", "node", F.col("hops").alias("place")), "paths")
-    for k, level in reversed(list(enumerate(levels[:-1]))):
-        jump = level.where("up IS NOT NULL").select("tree", "node", "up")
+    for k, level in reversed(list(enumerate(levels))):
+        jump = level.select("tree", "node", "up")
         above = on.join(jump, ["tree", "node"]).select("tree", "rank", F.col("up").alias("node"), (F.col("place") - (1 << k)).alias("place"))
         on = c.written(on.unionByName(above), "paths")
     return on
