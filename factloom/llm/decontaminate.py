@@ -4,8 +4,8 @@ Words are maximal runs of ASCII letters (lower-cased), ASCII digits and non-ASCI
 all its windows of `size` words, or itself if it is shorter (an item without words gives none). Window hashes of the
 documents are looked up in the set; each hit is verified word by word before it counts.
 
-The set is broadcast only up to MOST_WINDOWS windows. A larger benchmark is cut by item into parts of at most that
-many; every part scans the documents, and the parts' verified hits are merged by document.
+The set is broadcast only up to about MOST_WINDOWS windows. The windows of a larger benchmark are dealt by hash into
+parts of that size; every part scans the documents, and the parts' verified hits are merged by row before they count or cut.
 
 Null or empty texts have no words and no hits. Repeated rows are scanned each for itself. Equal windows of several
 items count for each item. Extra columns are dropped by `scan` and kept by `remove`.
@@ -15,6 +15,9 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import zlib
+from collections.abc import Iterable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ MOST_WINDOWS = 1_000_000
 class WindowSet:
     """The windows of some items: hashes sorted for lookup, words for verification, items for the report."""
 
-    def __init__(self, items: list[tuple[str, str]], size: int = SIZE):
+    def __init__(self, items: Iterable[tuple[str, str]], size: int = SIZE, part: int = 0, parts: int = 1):
         self.size = size
         found: dict[bytes, set[str]] = {}
         for item, text in items:
@@ -39,7 +42,9 @@ class WindowSet:
             raw = data.tobytes()
             words = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
             for at in range(max(min(len(words), 1), len(words) - size + 1)):
-                found.setdefault(b" ".join(words[at : at + size]), set()).add(item)
+                key = b" ".join(words[at : at + size])
+                if parts == 1 or zlib.crc32(key) % parts == part:
+                    found.setdefault(key, set()).add(item)
         self.parts = {}
         by_length: dict[int, list[bytes]] = {}
         for key in found:
@@ -73,11 +78,11 @@ class WindowSet:
 
 
 def window_sets(benchmark: DataFrame, size: int = SIZE, most: int = MOST_WINDOWS) -> list[WindowSet]:
-    """One set per part of the benchmark. Words are counted on Spark first; rows are fetched part by part."""
+    """One set for each part of the windows. Characters are counted on Spark first; items stream to the driver one by one."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.length("text")).cast("long")).first()[0] or 0  # no more words than characters
-    n = max(1, -(-total // (2 * most)))
-    return [WindowSet([tuple(r) for r in rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).toLocalIterator()], size) for k in range(n)]
+    n = max(1, -(-total // (2 * most)))  # a window begins at a word, which takes two characters with its border
+    return [WindowSet(map(tuple, rows.toLocalIterator()), size, k, n) for k in range(n)]
 
 
 def _words_of(piece, known: WindowSet):
@@ -123,20 +128,23 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, most: int = MO
                 )
 
         return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(report, REPORT)
-    rows = c.written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.expr("uuid()").alias("row")), "decontaminate")
-    hits = [_intervals(rows, spark.sparkContext.broadcast(s)) for s in sets]
-    found = functools_union(hits).groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("w"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    return found.select("doc_id", "n_words", F.size("w").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("w") > 0).alias("contaminated"))
+    rows = c.written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.expr("uuid()").alias(ROW)), "decontaminate")
+    found = _merged(rows, sets)
+    n_hit, n_items = F.size("words").cast("long"), F.size("items").cast("long")
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), n_items.alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-def functools_union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+ROW, HIT = "factloom_row", "factloom_hit"
+
+
+def _merged(rows: DataFrame, sets: list[WindowSet]) -> DataFrame:
+    """(ROW, doc_id, n_words, words, items): each row's hit words and items, over all parts of the windows."""
+    spark = rows.sparkSession
+    parts = reduce(DataFrame.unionByName, [_intervals(rows, spark.sparkContext.broadcast(s)) for s in sets])
+    return parts.groupBy(ROW).agg(
+        F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
 
 
 def _intervals(rows: DataFrame, shared) -> DataFrame:
@@ -145,11 +153,32 @@ def _intervals(rows: DataFrame, shared) -> DataFrame:
             _, _, word_offsets, hit, items = _words_of(piece, shared.value)
             words = [np.flatnonzero(hit[a:b]) for a, b in zip(word_offsets[:-1], word_offsets[1:])]
             yield pa.RecordBatch.from_arrays(
-                [piece.column("row"), piece.column("doc_id"), pa.array(np.diff(word_offsets)), pa.array(words, pa.list_(pa.int64())), pa.array([sorted(items.get(i, ())) for i in range(piece.num_rows)], pa.list_(pa.string()))],
-                ["row", "doc_id", "n_words", "words", "items"],
+                [piece.column(ROW), piece.column("doc_id"), pa.array(np.diff(word_offsets)), pa.array(words, pa.list_(pa.int64())), pa.array([sorted(items.get(i, ())) for i in range(piece.num_rows)], pa.list_(pa.string()))],
+                [ROW, "doc_id", "n_words", "words", "items"],
             )
 
-    return rows.mapInArrow(find, "row string, doc_id bigint, n_words bigint, words array<bigint>, items array<string>")
+    return rows.select("doc_id", "text", ROW).mapInArrow(find, f"{ROW} string, doc_id bigint, n_words bigint, words array<bigint>, items array<string>")
+
+
+def _cut(piece, starts, ends, word_offsets, hit: np.ndarray, drop_share: float):
+    """The piece without its hit spans, and without the documents that are mostly hit."""
+    texts = piece.column("text").to_pylist()
+    _, offsets = c.flat(piece.column("text"))
+    keep = np.ones(piece.num_rows, bool)
+    for i in np.flatnonzero(_per_doc(hit, word_offsets)).tolist():
+        a, b = int(word_offsets[i]), int(word_offsets[i + 1])
+        own = hit[a:b]
+        if own.sum() > drop_share * (b - a):
+            keep[i] = False
+            continue
+        raw, out, at = texts[i].encode(), [], 0
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], own.astype(np.int8), [0]))))
+        for x, y in zip(edge[::2], edge[1::2]):
+            out.append(raw[at : int(starts[a + x] - offsets[i])])
+            at = int(ends[a + y - 1] - offsets[i])
+        texts[i] = b"".join([*out, raw[at:]]).decode()
+    k = piece.schema.get_field_index("text")
+    return piece.set_column(k, piece.schema.field(k), pa.array(texts, piece.schema.field(k).type)).filter(pa.array(keep))
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, drop_share: float = 0.5, most: int = MOST_WINDOWS) -> DataFrame:
@@ -157,35 +186,27 @@ def remove(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, drop_share:
 
     A span runs from its first hit word to its last, with the characters between them. All columns stay.
     """
-    kept = docs
-    columns = docs.columns
-    for known in window_sets(benchmark, size, most):
-        shared = docs.sparkSession.sparkContext.broadcast(known)
+    sets = window_sets(benchmark, size, most)
+    if len(sets) == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(sets[0])
 
-        def cut(batches, shared=shared):
+        def cut(batches):
             for piece in c.pieces(batches):
-                starts, ends, word_offsets, hit, items = _words_of(piece, shared.value)
-                if not items:
-                    yield piece
-                    continue
-                texts = piece.column("text").to_pylist()
-                _, offsets = c.flat(piece.column("text"))
-                keep = np.ones(piece.num_rows, bool)
-                for i in items:
-                    a, b = int(word_offsets[i]), int(word_offsets[i + 1])
-                    own = hit[a:b]
-                    if own.sum() > drop_share * (b - a):
-                        keep[i] = False
-                        continue
-                    raw, out, at = texts[i].encode(), [], 0
-                    edge = np.flatnonzero(np.diff(np.concatenate(([0], own.astype(np.int8), [0]))))
-                    for x, y in zip(edge[::2], edge[1::2]):
-                        out.append(raw[at : int(starts[a + x] - offsets[i])])
-                        at = int(ends[a + y - 1] - offsets[i])
-                    texts[i] = b"".join([*out, raw[at:]]).decode()
-                k = piece.schema.get_field_index("text")
-                piece = piece.set_column(k, piece.schema.field(k), pa.array(texts, piece.schema.field(k).type))
-                yield piece.filter(pa.array(keep))
-
-        kept = kept.select(*columns).mapInArrow(cut, docs.schema)
-    return kept
+                starts, ends, word_offsets, hit, _ = _words_of(piece, shared.value)
+                yield _cut(piece, starts, ends, word_offsets, hit, drop_share)
+
+        return docs.mapInArrow(cut, docs.schema)
+    rows = c.written(docs.withColumn(ROW, F.expr("uuid()")), "decontaminate")
+    columns = docs.columns
+    found = _merged(rows.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), ROW), sets).select(ROW, F.col("words").alias(HIT))
+
+    def cut_known(batches):
+        for piece in c.pieces(batches):
+            data, offsets = c.flat(piece.column("text"))
+            starts, ends, word_offsets = c.runs(c.ALNUM[c.LOWER[data]], offsets)
+            hit = np.zeros(len(starts), bool)
+            for i, own in enumerate(piece.column(HIT).to_pylist()):
+                hit[word_offsets[i] + np.array(own or [], np.int64)] = True
+            yield _cut(piece.select(columns), starts, ends, word_offsets, hit, drop_share)
+
+    return rows.join(found, ROW).select(*columns, HIT).mapInArrow(cut_known, docs.schema)

@@ -170,7 +170,8 @@ def test_decontamination(spark, docs, texts, empty, most):
     assert {i: tuple(r)[1:] for i, r in got.items()} == want
     assert decontaminate.scan(empty, benchmark, most=most).count() == 0
     assert {r.n_hit for r in decontaminate.scan(docs, spark.createDataFrame([], "item_id string, text string"), most=most).collect()} == {0}
-    kept = rows_of(decontaminate.remove(docs, benchmark))
+    kept = rows_of(decontaminate.remove(docs, benchmark, most=most))
+    assert kept == rows_of(decontaminate.remove(docs, benchmark))
     assert 69 not in kept and 5 not in kept and kept[1].text == texts[1] and kept[60].text is None and kept[1].block == "b"
     assert kept[68 if 68 in kept else 1].text is not None
 
