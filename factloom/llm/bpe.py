@@ -68,6 +68,7 @@ class PerfectHash:
 class Tokenizer:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.entries = sorted(ranks)
+        self.ids = [ranks[k] for k in self.entries]
         self.ranks = ranks
         self.hash = PerfectHash(self.entries)
         self.pattern = pattern
@@ -90,7 +91,7 @@ class Tokenizer:
     def whole(self, token: bytes) -> int:
         """The id of a pre-token that is in the vocabulary, or -1."""
         at = self.hash.slot(token)
-        return self.ranks[token] if self.entries[at] == token else -1
+        return self.ids[at] if self.entries[at] == token else -1
 
     def merged(self, token: bytes) -> list[int]:
         """Ids of a pre-token by merges of linked bytes, the lowest rank first."""
