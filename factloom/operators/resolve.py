@@ -94,3 +94,16 @@ def products_of(resolved: DataFrame) -> DataFrame:
     head = F.min_by(F.struct("gtin", "mpn", "brand", "model"), "seq").alias("p")
     urls = F.array_compact(F.sort_array(F.collect_set("source_url"))).alias("source_urls")
     return resolved.groupBy(F.col("resolved").alias("product_id")).agg(head, urls).select("product_id", "p.*", "source_urls")
+
+
+def product(products: DataFrame, product_id: str) -> DataFrame:
+    """The product, or no row if it is unknown."""
+    return products.where(F.col("product_id") == product_id)
+
+
+def with_sources(products: DataFrame, resolved: DataFrame) -> DataFrame:
+    """products with the source URLs of resolved references added to `source_urls`; nothing else is filled in."""
+    found = resolved.where("source_url <> ''").groupBy(F.col("resolved").alias("product_id")).agg(F.collect_set("source_url").alias("_new"))
+    none = F.array().cast("array<string>")
+    both = F.array_union(F.coalesce("source_urls", none), F.coalesce("_new", none))
+    return products.join(found, "product_id", "left").withColumn("source_urls", F.sort_array(both)).drop("_new")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window, functions as F
 
 from factloom.functions.text import entity_id
 from factloom.functions.vectors import cosine_distance, embedded, tokens
@@ -51,14 +53,18 @@ def nearest(rows: DataFrame, query: list[float], key: str = "chunk_id", vector:
     return rows.withColumn("distance", cosine_distance(F.col(vector), asked)).orderBy(F.asc_nulls_last("distance"), key).limit(limit)
 
 
-def search(chunk_rows: DataFrame, questions: DataFrame, limit: int = 5) -> DataFrame:
+#: (rows, key column, text column) -> (key, bucket, weight), of unit norm.
+Embedder = Callable[[DataFrame, str, str], DataFrame]
+
+
+def search(chunk_rows: DataFrame, questions: DataFrame, limit: int = 5, embed: Embedder = embedded) -> DataFrame:
     """The `limit` nearest chunks of each question (question_id, text, brand or null): (question_id, chunk_id, distance, rank).
 
     Vectors stay sparse: shared buckets are joined and their products summed. Eligible chunks that share no bucket with
     a question have distance 1, so they only fill up places, by chunk_id; a bucket is read by the questions that have it.
     """
-    q = embedded(questions, "question_id", "text").select("question_id", "bucket", F.col("weight").alias("w"))
-    c = embedded(chunk_rows.where(~F.coalesce("stale", F.lit(False))), "chunk_id", "body")
+    q = embed(questions, "question_id", "text").select("question_id", "bucket", F.col("weight").alias("w"))
+    c = embed(chunk_rows.where(~F.coalesce("stale", F.lit(False))), "chunk_id", "body")
     dots = q.join(c, "bucket").groupBy("question_id", "chunk_id").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     meta = chunk_rows.select("chunk_id", F.col("brand").alias("_brand"))
     rows = dots.join(meta, "chunk_id").join(questions.select("question_id", "brand"), "question_id").where(F.col("brand").isNull() | (F.col("brand") == F.col("_brand")))

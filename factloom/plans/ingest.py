@@ -44,4 +44,6 @@ def ingest(artifacts: DataFrame, refs: DataFrame, valid_from: Column, learned: D
     rows = rows.join(named.select("raw_artifact_id", F.col("resolved").alias("product_id")), "raw_artifact_id").join(artifacts.select("raw_artifact_id", "page_seq"), "raw_artifact_id")
     obs = observed(rows, valid_from)
     items = review.enqueue(None, normalize.review_items(rows, valid_from), ["raw_artifact_id", "tier_pos", "place"])
-    return Ingested(obs, facts.versions(obs), resolve.products_of(named), items, quality.ingest_counts(rows))
+    queued = items.groupBy("raw_artifact_id").agg(F.count("*").alias("hitl_enqueued"))
+    counts = quality.ingest_counts(rows).join(queued, "raw_artifact_id", "left").na.fill(0, ["hitl_enqueued"])
+    return Ingested(obs, facts.versions(obs), resolve.products_of(named), items, counts)

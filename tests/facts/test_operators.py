@@ -262,6 +262,13 @@ def test_resolve_or_create(spark):
     assert again == got
 
 
+def test_sources_accumulate(spark):
+    products = spark.createDataFrame([("p", ["b"]), ("q", None)], "product_id string, source_urls array<string>")
+    seen = spark.createDataFrame([("p", "a"), ("p", "b"), ("p", None), ("q", "")], "resolved string, source_url string")
+    got = {r.product_id: r.source_urls for r in resolve.with_sources(products, seen).collect()}
+    assert got == {"p": ["a", "b"], "q": []} and resolve.product(products, "p").count() == 1
+
+
 def test_ladder(spark):
     products = spark.createDataFrame([("p1", "g1", "m1", "B", "One"), ("p2", None, "m1", "B", "two"), ("p0", "g9", None, "b", "one"), ("p3", "", "", "B", "two")], "product_id string, gtin string, mpn string, brand string, model string")
     refs = spark.createDataFrame([(1, "g9", "m1", "B", "One"), (2, None, "m1", "B", None), (3, "", "", "B", "TWO"), (4, None, None, "b", "two"), (5, None, None, None, None)], "n int, gtin string, mpn string, brand string, model string")
@@ -388,5 +395,5 @@ def test_ingest(spark):
     log = {(r.attribute_key, r.source_type, r.source_url[-1]): (r.effective, r.superseded_by is not None) for r in out.versions.collect()}
     assert log[("net_weight", "dom", "0")] == (True, False) and log[("net_weight", "json_ld", "0")] == (False, True) and log[("color", "json_ld", "0")] == (True, False)
     assert {(r.queue, r.dedup) for r in out.review_items.collect()} == {("attribute_mapping", "price"), ("value_anomaly", "Weight:900")}
-    counts = {r.raw_artifact_id: (r.candidates, r.facts_written, r.facts_unmapped) for r in out.counts.collect()}
-    assert counts == {"p0": (4, 3, 1), "p1": (2, 1, 0)}
+    counts = {r.raw_artifact_id: (r.candidates, r.facts_written, r.facts_unmapped, r.hitl_enqueued) for r in out.counts.collect()}
+    assert counts == {"p0": (4, 3, 1, 1), "p1": (2, 1, 0, 1)}
