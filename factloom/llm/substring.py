@@ -6,8 +6,9 @@ over it also starts in a document with a smaller doc_id.
 1. Documents are dealt into blocks, which are ranges of doc_id. A block sends the 64-bit hashes of its distinct windows,
    sorted and delta-coded, to the shards of the hash space.
 2. A shard confirms the windows that recur in a smaller block, and answers each block with one bit a window.
-3. A block compiles the confirmed passages, and those that recur inside it, into automata of at most PATTERNS windows
-   over its word numbers, and streams its documents through them; each occurrence found marks its words.
+3. Consecutive windows that recur, in a smaller block or inside this one, are a passage. A block compiles its passages
+   into automata over word numbers, of about PATTERNS windows each, and streams its documents through them; each
+   occurrence found marks its words.
 
 A window counts once a block, so a passage that all documents share costs one hash for each block. Blocks and shards
 grow in number with the text, not in size. A block is as large as its documents need at least.
@@ -103,16 +104,20 @@ def _mark(words: np.ndarray, word_offsets: np.ndarray, ranks: np.ndarray, at: np
         place = np.minimum(np.searchsorted(known, words[a:b]), len(known) - 1)
         letter = np.where(known[place] == words[a:b], place + 2, 1)
         line = (letter + 0x800 * (letter >= 0xD800)).astype("<u4").tobytes().decode("utf-32-le")  # passes over surrogates
-        machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for x, limit in zip((at[k:to] - a).tolist(), limits[k:to].tolist()):
-            machine.add_word(line[x : x + size], limit + 1)
+        # consecutive windows are one passage; it counts above the limit of each of its windows
+        first = np.flatnonzero(np.append(True, (np.diff(at[k:to]) != 1) | (np.diff(doc_of[k:to]) != 0)))
+        last = np.append(first[1:], to - k) - 1
+        begins, sizes = at[k:to][first] - a, last - first + size
+        machine = ahocorasick.Automaton()
+        for x, n, limit in zip(begins.tolist(), sizes.tolist(), np.maximum.reduceat(limits[k:to], first).tolist()):
+            machine.add_word(line[x : x + n], (limit, n))
         machine.make_automaton()
         found = np.zeros(b - a + 1, np.int32)
         for d in range(int(doc_of[k]), int(doc_of[to - 1]) + 1):
             x, y, own = int(word_offsets[d]) - a, int(word_offsets[d + 1]) - a, int(ranks[d])
-            last = np.array([e for e, limit in machine.iter(line[x:y]) if limit <= own], np.int64) + x
-            np.add.at(found, last - size + 1, 1)
-            np.add.at(found, last + 1, -1)
+            hits = np.array([(e + 1 - n, e + 1) for e, (limit, n) in machine.iter(line[x:y]) if limit < own], np.int64).reshape(-1, 2) + x
+            np.add.at(found, hits[:, 0], 1)
+            np.add.at(found, hits[:, 1], -1)
         gone[a:b] |= np.cumsum(found[:-1]) > 0
         k = to
     return gone
