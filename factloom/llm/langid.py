@@ -29,6 +29,11 @@ SALTS = 16
 MOST_LANGS = 1000
 BORDER = 0x5F
 HOLD = 1_000_000
+#: Limits of the score: lengths in characters, the quantile of training scores, the share of it that is asked for, and from how many texts.
+CUTS = (8, 16, 32, 64, 128, 256, 512, 1024)
+LOWEST = 0.01
+SHARE = 0.75
+ENOUGH = 100
 
 
 @functools.lru_cache(maxsize=1)
@@ -77,16 +82,20 @@ class Profiles:
             self.rank[np.searchsorted(self.codes, ranks[k]), j] = np.arange(len(ranks[k]))
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        return self.measured(text)[:2]
+
+    def measured(self, text: str | None) -> tuple[str, float, int]:
+        """The language, the score, and the number of the document's n-grams that it comes from."""
         codes = ngrams(text) if text else ()
         if not len(codes) or not self.names:
-            return "und", 0.0
+            return "und", 0.0, 0
         own = ranked(codes, self.size)
         at = np.minimum(np.searchsorted(self.codes, own), len(self.codes) - 1)
         at[self.codes[at] != own] = len(self.codes)
         rank = self.rank[at]
         far = np.where(rank < 0, self.size, np.abs(rank - np.arange(len(own))[:, None])).sum(axis=0)
         best = int(far.argmin())
-        return self.names[best], 1.0 - float(far[best]) / (len(own) * self.size)
+        return self.names[best], 1.0 - float(far[best]) / (len(own) * self.size), len(own)
 
 
 def learn(docs: DataFrame, size: int = PROFILE) -> Profiles:
@@ -149,13 +158,61 @@ def predict(docs: DataFrame, profiles: Profiles, columns: list[str] | None = Non
     return rows.mapInArrow(run, schema)
 
 
-def keep_told(docs: DataFrame, profiles: Profiles, least: float) -> DataFrame:
-    """The documents whose language is told with a score of `least` or more; all columns stay as they are."""
+class Limits:
+    """The least score by language and length, that of the next shorter length where one has too few texts; by length alone
+    where the language has too few texts up to this length; `least` where all have."""
+
+    def __init__(self, least: float, by_lang: dict[tuple[str, int], float], by_length: dict[int, float]):
+        self.least, self.by_lang, self.by_length = least, by_lang, by_length
+
+    def at(self, lang: str, n: int) -> float:
+        for k in range(_length(n), 0, -1):
+            if (lang, k) in self.by_lang:
+                return max(self.least, self.by_lang[lang, k])
+        return max(self.least, next((self.by_length[k] for k in range(_length(n), 0, -1) if k in self.by_length), 0.0))
+
+
+def _length(n: int) -> int:
+    """Half powers of two of the number of n-grams."""
+    return (n * n).bit_length()
+
+
+def limits(docs: DataFrame, profiles: Profiles, least: float) -> Limits:
+    """SHARE of the score that the LOWEST of the training texts get, by language told and length.
+
+    docs are the training documents: each is scored whole and by its first CUTS characters, so that short texts are known too.
+    Only the quantiles reach the driver.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
+    def score(batches):
+        n: dict[tuple[str, int, int], int] = {}
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                for x in (text, *(text[:k] for k in CUTS if k < len(text))):
+                    lang, value, size = shared.value.measured(x)
+                    if size:
+                        key = lang, _length(size), int(value * 1000)
+                        n[key] = n.get(key, 0) + 1
+        lang, length, value = zip(*n) if n else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(length, pa.int32()), pa.array(value, pa.int32()), pa.array(n.values(), pa.int64())], ["lang", "length", "value", "n"])
+
+    scored = docs.where("text IS NOT NULL").select(F.col("text").cast("string")).mapInArrow(score, "lang string, length int, value int, n bigint")
+    scored = c.written(scored.groupBy("lang", "length", "value").agg(F.sum("n").alias("n")), "scores")
+    low = F.percentile("value", F.lit(LOWEST), F.col("n")).alias("low")
+    by_lang, by_length = ({tuple(r)[:-1]: SHARE * r.low / 1000 for r in scored.groupBy(*k).agg(low, F.sum("n").alias("n")).where(F.col("n") >= ENOUGH).drop("n").collect()} for k in (("lang", "length"), ("length",)))
+    return Limits(least, by_lang, {k: v for (k,), v in by_length.items()})
+
+
+def keep_told(docs: DataFrame, profiles: Profiles, least: Limits | float) -> DataFrame:
+    """The documents whose language is told with the score that `least` asks for, or more; all columns stay as they are."""
+    least = least if isinstance(least, Limits) else Limits(least, {}, {})
+    shared = docs.sparkSession.sparkContext.broadcast((profiles, least))
+
     def run(batches):
+        profiles, least = shared.value
         for batch in batches:
-            got = [shared.value.predict(x) for x in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in got], pa.bool_()))
+            got = [profiles.measured(x) for x in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array([lang != "und" and score >= least.at(lang, n) for lang, score, n in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
