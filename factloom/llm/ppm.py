@@ -6,9 +6,10 @@ escape), where the bytes already ruled out are excluded; the last resort is equa
 the score is the log10 probability of the text under a model that sums to one over all texts. Like the base model, it
 takes a text as its tokens: lower-cased words, spelled with one space between, then the end.
 
-Counts of all byte n-grams are summed on Spark over all training texts. The trie keeps the n-grams whose count reaches
-the least threshold that leaves NODES of them or fewer; what that cuts counts for its context's escape. So the trie is
-of bounded size, and only it is broadcast.
+All n-grams of all training texts count, whatever the size of the corpus. Blocks of documents send their distinct codes
+(a byte and the ORDER bytes before), with counts, to shards by the LOW bytes before the last: so a shard has all longer
+contexts of its codes, adds up the counts, builds the trie of its part and answers each block with a score a code. Only
+the n-grams of LOW bytes or fewer are broadcast: 2 ** 24 at most, in whatever corpus. `learn` makes one trie of the whole.
 
 A unigram word model is the base of comparison. Its counts are exact over all training tokens: blocks of documents send
 their distinct tokens (64-bit hashes, with counts) to shards of the hash space, which add them up and answer each block.
@@ -30,12 +31,13 @@ from factloom.llm.langid import held_out
 from factloom.llm.substring import BLOCK, _packed, _shards, _unpacked, blocks
 
 ORDER = 6
-NODES = 1_000_000
+LOW = 3
 DISCOUNT = 0.5
 HOLD = 2_000_000
 END = 0xFF  # in no UTF-8 text
 END_TOKEN = c.U64(0xE4D0E4D0E4D0E4D1)
 SHARD_CHARS = 24_000_000
+CODE_CHARS = 8_000_000
 U8 = c.U64(8)
 
 
@@ -192,7 +194,8 @@ class Trie:
         return out
 
 
-def learn(docs: DataFrame, nodes: int = NODES) -> Trie:
+def learn(docs: DataFrame, nodes: int = 1 << 62) -> Trie:
+    """The trie of all n-grams, or of those above the least threshold that leaves `nodes` or fewer, on the driver."""
     grams = c.written(ngrams(docs), "ngrams")
     bins = grams.groupBy(F.floor(F.log2("n") * 8).alias("bin")).count().collect()
     total, least = 0, 1
@@ -208,6 +211,53 @@ def learn(docs: DataFrame, nodes: int = NODES) -> Trie:
     return Trie(tuple(x.to_numpy() for x in a.columns), tuple(x.to_numpy() for x in b.columns))
 
 
+def low_codes(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of LOW bytes and their counts."""
+
+    def count(batches):
+        codes, n = np.zeros(0, c.U64), np.zeros(0, np.int64)
+        for piece in c.pieces(batches):
+            own, m = np.unique(coded(*spelled(*c.flat(piece.column("text"))))[0] & c.U64((1 << 8 * LOW) - 1), return_counts=True)
+            codes, n = _summed(np.append(codes, own), np.append(n, m))
+        yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.array(n)], ["code", "n"])
+
+    found = docs.select(F.col("text").cast("string")).mapInArrow(count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    return found.column("code").to_numpy().astype(c.U64), found.column("n").to_numpy()
+
+
+def _summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys, back = np.unique(codes, return_inverse=True)
+    return keys, np.bincount(back, n, len(keys)).astype(np.int64)
+
+
+def part(codes: np.ndarray, n: np.ndarray, low: tuple[np.ndarray, np.ndarray]) -> Trie:
+    """The trie of a shard's codes, and of all n-grams of LOW bytes or fewer."""
+    grams, contexts = [], []
+    for size in range(1, ORDER + 2):
+        of, m = low if size <= LOW else (codes, n)
+        code, m = _summed(of & c.U64((1 << 8 * size) - 1), m)
+        grams.append((np.full(len(code), size), code, m))
+        own, total = _summed(code >> U8, m)
+        contexts.append((np.full(len(own), size - 1), own, total, _summed(code >> U8, np.ones(len(code), np.int64))[1]))
+    return Trie(tuple(map(np.concatenate, zip(*grams))), tuple(map(np.concatenate, zip(*contexts))))
+
+
+def _dealt(codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of sorted codes by shard, and where the shards begin in it."""
+    shard = c.mixed(codes >> U8 & c.U64((1 << 8 * LOW) - 1)) >> c.U64(64 - bits)
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange((1 << bits) + 1, dtype=c.U64))
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Eight-byte values, all first bytes first: the equal ones compress."""
+    return values.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unplaned(payload: bytes, kind) -> np.ndarray:
+    return np.frombuffer(payload, np.uint8).reshape(8, -1).T.copy().view(kind)[:, 0]
+
+
 def _tokens(data: np.ndarray, offsets: np.ndarray):
     low = c.LOWER[data]
     starts, ends, own = c.runs(c.NOT_SPACE[low], offsets)
@@ -230,14 +280,32 @@ def _distinct(hashes, own, held):
 SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def report(docs: DataFrame, nodes: int = NODES) -> DataFrame:
+def report(docs: DataFrame) -> DataFrame:
     """Each document's score under the trie, and its base score, as SCHEMA."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     spark = docs.sparkSession
-    trie = spark.sparkContext.broadcast(learn(docs.where(~held_out(of=5, at=1)), nodes))
+    low = spark.sparkContext.broadcast(low_codes(docs.where(~held_out(of=5, at=1))))
     dealt, total = blocks(docs)
     dealt = dealt.repartition(c.spread(spark), BLOCK)
     bits = max(4, (total // SHARD_CHARS).bit_length())
+    code_bits = max(4, (total // CODE_CHARS).bit_length())
+
+    def send_codes(key, rows):
+        codes, at = coded(*spelled(*c.flat(rows.column("text"))))
+        keys, counts = _summed(codes, np.repeat(~_held(rows.column("doc_id").to_pylist()), np.diff(at)))
+        order, cut = _dealt(keys, code_bits)
+        keys, counts = keys[order], counts[order]
+        full = [k for k in range(1 << code_bits) if cut[k] < cut[k + 1]]
+        steps = [np.diff(keys[cut[k] : cut[k + 1]], prepend=c.U64(0)) for k in full]
+        return pa.table({"shard": pa.array(full, pa.int32()), "block": pa.array([key[0].as_py()] * len(full), pa.int32()), "payload": pa.array([_planes(x) for x in steps], pa.binary()), "counts": pa.array([_planes(counts[cut[k] : cut[k + 1]]) for k in full], pa.binary())})
+
+    def rate(rows):
+        sent = [np.cumsum(_unplaned(x, c.U64), dtype=c.U64) for x in rows.column("payload").to_pylist()]
+        keys, back = np.unique(np.concatenate(sent), return_inverse=True)
+        n = np.bincount(back, np.concatenate([_unplaned(x, np.int64) for x in rows.column("counts").to_pylist()]), len(keys)).astype(np.int64)
+        value = part(keys[n > 0], n[n > 0], low.value).scores(keys)
+        own = np.split(value[back], np.cumsum([len(x) for x in sent])[:-1])
+        return pa.table({"block": rows.column("block"), "coded": pa.array([True] * len(sent)), "shard": rows.column("shard"), "counts": pa.array([_planes(x) for x in own], pa.binary())})
 
     def send(key, rows):
         held = _held(rows.column("doc_id").to_pylist())
@@ -279,8 +347,15 @@ def report(docs: DataFrame, nodes: int = NODES) -> DataFrame:
         keys, _, back, end = _distinct(hashes, own, held)
         known = np.zeros(len(keys), np.int64)
         cut = _shards(keys, bits)
-        for shard, counts in zip(answers.column("shard").to_pylist(), answers.column("counts").to_pylist()):
-            known[cut[shard] : cut[shard + 1]] = np.frombuffer(counts, "<i8")
+        codes, at = coded(*spelled(data, offsets))
+        codes, code_back = np.unique(codes, return_inverse=True)
+        order, code_cut = _dealt(codes, code_bits)
+        rated = np.zeros(len(codes))
+        for of_codes, shard, counts in zip(*(answers.column(x).to_pylist() for x in ("coded", "shard", "counts"))):
+            if of_codes:
+                rated[order[code_cut[shard] : code_cut[shard + 1]]] = _unplaned(counts, np.float64)
+            else:
+                known[cut[shard] : cut[shard + 1]] = np.frombuffer(counts, "<i8")
         n_tokens = np.diff(own) + 1
         value = np.log10(known + 0.5)
 
@@ -289,11 +364,7 @@ def report(docs: DataFrame, nodes: int = NODES) -> DataFrame:
             np.cumsum(values, out=sums[1:])
             return sums[own[1:]] - sums[own[:-1]]
 
-        total = np.zeros(len(ids))
-        for a in range(0, len(ids), 200):
-            b = min(len(ids), a + 200)
-            codes, at = coded(*spelled(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
-            total[a:b] = np.add.reduceat(trie.value.scores(codes), at[:-1])
+        total = np.add.reduceat(rated[code_back], at[:-1])
         return pa.table(
             {
                 "doc_id": rows.column("doc_id"), "held_out": pa.array(held), "n_tokens": pa.array(n_tokens), "n_known": pa.array(per_doc((known[back] > 0).astype(np.int64)) + int(known[end] > 0)),
@@ -301,4 +372,6 @@ def report(docs: DataFrame, nodes: int = NODES) -> DataFrame:
             }
         )
 
-    return dealt.groupBy(BLOCK).cogroup(answers.select("block", "shard", "counts").groupBy("block")).applyInArrow(score, SCHEMA)
+    rated = dealt.groupBy(BLOCK).applyInArrow(send_codes, "shard int, block int, payload binary, counts binary").groupBy("shard").applyInArrow(rate, "block int, coded boolean, shard int, counts binary")
+    answers = rated.union(answers.select("block", F.lit(False).alias("coded"), "shard", "counts"))
+    return dealt.groupBy(BLOCK).cogroup(answers.groupBy("block")).applyInArrow(score, SCHEMA)
