@@ -74,7 +74,7 @@ def pieces(batches, column: str = "text", most: int = PIECE_BYTES):
 
 def flat(array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts, one after another (null: none), and the offsets of the texts in them."""
-    array = pc.fill_null(array, "")
+    array = pc.fill_null(array, b"" if pa.types.is_binary(array.type) else "")
     if isinstance(array, pa.ChunkedArray):
         array = array.combine_chunks()
     wide = pa.types.is_large_string(array.type)

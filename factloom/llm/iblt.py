@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from factloom.llm import common as c
-from factloom.llm.substring import BLOCK, LAST, blocks
+from factloom.llm.blocks import BLOCK, LAST, blocks
 
 CELLS = 24
 GROW = 4

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from factloom.llm import common as c
 from factloom.llm.langid import held_out
-from factloom.llm.substring import BLOCK, _packed, _shards, _unpacked, blocks
+from factloom.llm.blocks import BLOCK, blocks, packed as _packed, shards as _shards, unpacked as _unpacked
 
 ORDER = 6
 LOW = 3

@@ -3,18 +3,26 @@
 A window is SIZE consecutive words (split at ASCII white space, unchanged) of one document. A word goes if some window
 over it also starts in a document with a smaller doc_id.
 
-1. Documents are dealt into blocks, which are ranges of doc_id. A block sends the 64-bit hashes of its distinct windows,
-   sorted and delta-coded, to the shards of the hash space.
-2. A shard confirms the windows that recur in a smaller block, and answers each block with one bit a window.
-3. Consecutive windows that recur, in a smaller block or inside this one, are a passage. A block compiles its passages
-   into automata over word numbers, of about PATTERNS windows each, and streams its documents through them; each
-   occurrence found marks its words.
-
-A window counts once a block, so a passage that all documents share costs one hash for each block. Blocks and shards
-grow in number with the text, not in size. A block is as large as its documents need at least.
+1. Documents are dealt into blocks, which are ranges of doc_id. A block sends the hashes of its distinct windows, sorted
+   and delta-coded, to the shards of the hash space.
+2. A shard confirms the windows that several blocks have, and asks the least of these blocks for the passages: which
+   windows, and for whom.
+3. The asked block writes these passages, runs of consecutive windows, as words, from its document with the least doc_id.
+4. A block compiles automata from the passages it is sent, and from the least document of those that recur inside it, of
+   PATTERNS windows each, dealt by their hashes, and streams all its documents through all of them. What an automaton
+   reports decides: letters of the automata are words that were compared byte by byte, so only equal words count.
+
+Hashes only say where to look. A window whose hash recurs but that no automaton reports has a hash in common with other
+words (as many as the width of hashes allows for: it grows with the text); such windows are grouped by their words
+and judged by themselves. So no collision removes or keeps a word that it shouldn't.
+
+A window counts once a block, so a passage that all documents share costs one hash and one copy for each block. Blocks
+and shards grow in number with the text, not in size; a block has a row for a shard only where it has a window for it.
 
 Null or empty texts have no words. A null doc_id is larger than any other. Rows with one doc_id are one document to the
-rule (neither is smaller), each judged and returned by itself. Windows are judged on the input alone.
+rule (neither is smaller), each judged and returned by itself. Windows are judged on the input alone. A very long text
+is a block of its own. An empty table gives no rows. `report` takes doc_id and text alone; `remove` keeps all columns,
+whatever their names, but for BLOCK, which is reserved.
 """
 
 from __future__ import annotations
@@ -24,103 +32,95 @@ import hashlib
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from factloom.llm import common as c
+from factloom.llm.blocks import BLOCK, CHARS, LAST, blocks, dealt, packed, shards, unpacked
 
 SIZE = 13
-BLOCK_CHARS = 3_000_000
 SHARD_CHARS = 12_000_000
-PATTERNS = 20_000
-LAST = (1 << 63) - 1
-BLOCK = "factloom_block"
-
-
-def blocks(docs: DataFrame, chars: int = BLOCK_CHARS, most: int = 100_000) -> tuple[DataFrame, int]:
-    """docs with a column BLOCK, by ranges of doc_id of about `chars` characters each, and the number of characters."""
-    n, total = docs.agg(F.count("*"), F.sum(F.length("text"))).first()
-    total = total or 0
-    parts = min(most, max(1, n), -(-total // chars) or 1)
-    cuts = docs.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 and n else []
-    if not cuts:
-        return docs.withColumn(BLOCK, F.lit(0)), total
-    splits = [-float("inf"), *sorted({*cuts}), float("inf")]
-    keyed = docs.withColumn(BLOCK + "_at", F.coalesce(F.col("doc_id").cast("double"), F.lit(9e18)))
-    out = Bucketizer(splits=splits, inputCol=BLOCK + "_at", outputCol=BLOCK, handleInvalid="keep").transform(keyed)
-    return out.withColumn(BLOCK, F.col(BLOCK).cast("int")).drop(BLOCK + "_at"), total
-
-
-def _packed(sorted_hashes: np.ndarray) -> bytes:
-    steps = np.diff(sorted_hashes, prepend=c.U64(0))
-    if len(steps) > 1 and steps[1:].max() < 1 << 48:
-        return b"\6" + steps[:1].tobytes() + steps[1:].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-    return b"\10" + steps.tobytes()
-
-
-def _unpacked(payload: bytes) -> np.ndarray:
-    if payload[0] == 8:
-        return np.cumsum(np.frombuffer(payload, "<u8", offset=1), dtype=c.U64)
-    steps = np.zeros(((len(payload) - 9) // 6 + 1, 8), np.uint8)
-    steps[0] = np.frombuffer(payload, np.uint8, 8, 1)
-    steps[1:, :6] = np.frombuffer(payload, np.uint8, offset=9).reshape(-1, 6)
-    return np.cumsum(steps.view("<u8")[:, 0], dtype=c.U64)
-
-
-def _block(rows: pa.Table, size: int):
-    """A block's texts with words, and the windows in them."""
-    data, offsets = c.flat(rows.column("text"))
-    starts, ends, word_offsets = c.runs(c.NOT_SPACE[data], offsets)
-    words = c.span_hashes(data, starts, ends)
-    at, hashes = c.windows(words, word_offsets, size)
-    return data, starts, ends, word_offsets, words, at, hashes
-
-
-def _shards(hashes: np.ndarray, bits: int) -> np.ndarray:
-    edges = (np.arange(1 << bits, dtype=c.U64) << c.U64(64 - bits)) if bits else np.zeros(1, c.U64)
-    return np.append(np.searchsorted(hashes, edges), len(hashes))
-
-
-def _mark(words: np.ndarray, word_offsets: np.ndarray, ranks: np.ndarray, at: np.ndarray, limits: np.ndarray, size: int, most: int = PATTERNS) -> np.ndarray:
-    """Which words are covered by an occurrence of a passage in a document that ranks above the passage's limit.
-
-    words: hashes; at: first words of the windows to compile, sorted; limits: for each, the rank of its first document
-    (-1: it stands in a smaller block). Each automaton holds the passages of some successive documents, and these
-    documents are streamed through it.
+PATTERNS = 50_000
+SPARE_BITS = 16
+
+
+class Words:
+    """The words of some texts: bytes, borders, each text's offsets into them, and their hashes."""
+
+    def __init__(self, texts):
+        self.data, self.offsets = c.flat(texts)
+        self.starts, self.ends, self.own = c.runs(c.NOT_SPACE[self.data], self.offsets)
+        self.hashes = c.span_hashes(self.data, self.starts, self.ends)
+
+    def windows(self, size: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """First words of all windows, and the upper `width` bits of their hashes."""
+        at, hashes = c.windows(self.hashes, self.own, size)
+        return at, hashes >> c.U64(64 - width)
+
+    def text_of(self, at: np.ndarray) -> np.ndarray:
+        """The text that each of the words stands in."""
+        return np.searchsorted(self.own, at, "right") - 1
+
+
+def word_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A number for each word: equal for equal bytes, different for different bytes, also where hashes collide."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    distinct, first, ids = np.unique(hashes, return_index=True, return_inverse=True)
+    model, long = first[ids], ends - starts
+    other = long != long[model]
+    check = np.flatnonzero(~other & (model != np.arange(len(ids))))
+    sizes = long[check]
+    stops = np.cumsum(sizes)
+    step = np.arange(int(stops[-1]) if len(stops) else 0)
+    shift = stops - sizes
+    differ = data[step + np.repeat(starts[check] - shift, sizes)] != data[step + np.repeat(starts[model[check]] - shift, sizes)]
+    if differ.any():
+        other[check[np.unique(np.searchsorted(stops, np.flatnonzero(differ), "right"))]] = True
+    named: dict[bytes, int] = {}
+    for k in np.flatnonzero(other).tolist():
+        ids[k] = named.setdefault(data[starts[k] : ends[k]].tobytes(), len(distinct) + len(named))
+    return ids
+
+
+def reported(ids: np.ndarray, own: np.ndarray, ranks: np.ndarray, patterns: np.ndarray, limits: np.ndarray, size: int, most: int = PATTERNS) -> np.ndarray:
+    """First words of the windows that some automaton reports in a text that ranks above the pattern's limit.
+
+    ids: words of all texts; own: texts' offsets into them; patterns: a row of `size` words for each window.
     """
-    gone = np.zeros(len(words), bool)
-    doc_of = np.searchsorted(word_offsets, at, "right") - 1
-    k = 0
-    while k < len(at):
-        to = min(len(at), k + most)
-        if to < len(at):  # up to the end of a document
-            to = int(np.searchsorted(doc_of, doc_of[to]))
-            to = to if to > k else int(np.searchsorted(doc_of, doc_of[k], "right"))
-        a, b = int(word_offsets[doc_of[k]]), int(word_offsets[doc_of[to - 1] + 1])
-        edge = np.zeros(b - a + 1, np.int32)
-        np.add.at(edge, at[k:to] - a, 1)
-        np.add.at(edge, at[k:to] - a + size, -1)
-        known = np.unique(words[a:b][np.cumsum(edge[:-1]) > 0])
-        place = np.minimum(np.searchsorted(known, words[a:b]), len(known) - 1)
-        letter = np.where(known[place] == words[a:b], place + 2, 1)
-        line = (letter + 0x800 * (letter >= 0xD800)).astype("<u4").tobytes().decode("utf-32-le")  # passes over surrogates
-        # consecutive windows are one passage; it counts above the limit of each of its windows
-        first = np.flatnonzero(np.append(True, (np.diff(at[k:to]) != 1) | (np.diff(doc_of[k:to]) != 0)))
-        last = np.append(first[1:], to - k) - 1
-        begins, sizes = at[k:to][first] - a, last - first + size
-        machine = ahocorasick.Automaton()
-        for x, n, limit in zip(begins.tolist(), sizes.tolist(), np.maximum.reduceat(limits[k:to], first).tolist()):
-            machine.add_word(line[x : x + n], (limit, n))
+    out = np.zeros(len(ids), bool)
+    rank_of = np.repeat(ranks, np.diff(own))
+    line_at = np.arange(len(ids)) + np.repeat(np.arange(len(own) - 1), np.diff(own))  # a border after each text
+    word_at = np.full(len(ids) + len(own) - 1, -1, np.int64)
+    word_at[line_at] = np.arange(len(ids))
+    for k in range(0, len(patterns), most):
+        own_patterns = patterns[k : k + most]
+        letters = np.unique(own_patterns)
+
+        def spelled(x):
+            place = np.minimum(np.searchsorted(letters, x), len(letters) - 1)
+            letter = np.where(letters[place] == x, place + 2, 1)
+            return (letter + 0x800 * (letter >= 0xD800)).astype("<u4")  # passes over surrogates
+
+        machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        every = spelled(own_patterns).tobytes().decode("utf-32-le")
+        for i, limit in enumerate((limits[k : k + most] + 1).tolist()):
+            machine.add_word(every[i * size : (i + 1) * size], limit)
         machine.make_automaton()
-        found = np.zeros(b - a + 1, np.int32)
-        for d in range(int(doc_of[k]), int(doc_of[to - 1]) + 1):
-            x, y, own = int(word_offsets[d]) - a, int(word_offsets[d + 1]) - a, int(ranks[d])
-            hits = np.array([(e + 1 - n, e + 1) for e, (limit, n) in machine.iter(line[x:y]) if limit < own], np.int64).reshape(-1, 2) + x
-            np.add.at(found, hits[:, 0], 1)
-            np.add.at(found, hits[:, 1], -1)
-        gone[a:b] |= np.cumsum(found[:-1]) > 0
-        k = to
-    return gone
+        line = np.zeros(len(word_at), "<u4")
+        line[line_at] = spelled(ids)
+        found = np.array(list(machine.iter(line.tobytes().decode("utf-32-le"))), np.int64).reshape(-1, 2)
+        last = word_at[found[:, 0]]
+        out[last[found[:, 1] - 1 < rank_of[last]] - (size - 1)] = True
+    return np.flatnonzero(out)
+
+
+def covered(at: np.ndarray, n: int, size: int) -> np.ndarray:
+    """Which of n words the windows that begin at `at` cover."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + size, -1)
+    return np.cumsum(edge[:-1]) > 0
 
 
 def _ordered(rows: pa.Table) -> tuple[pa.Table, np.ndarray]:
@@ -130,98 +130,212 @@ def _ordered(rows: pa.Table) -> tuple[pa.Table, np.ndarray]:
     return rows.take(pa.array(order)), np.unique(ids, return_inverse=True)[1][order]
 
 
-def _removed(docs: DataFrame, emit, schema: str, size: int) -> DataFrame:
-    """emit(rows, data, starts, ends, word_offsets, gone) -> table of `schema`, for each block of documents."""
-    dealt, total = blocks(docs)
-    dealt = dealt.repartition(c.spread(docs.sparkSession), BLOCK)
-    bits = max(4, (total // SHARD_CHARS).bit_length())
-
-    def send(key, rows):
-        hashes = np.unique(_block(rows, size)[-1])
-        cut = _shards(hashes, bits)
-        full = [k for k in range(1 << bits) if cut[k] < cut[k + 1]]
-        return pa.table({"shard": pa.array(full, pa.int32()), "block": pa.array([key[0].as_py()] * len(full), pa.int32()), "payload": pa.array([_packed(hashes[cut[k] : cut[k + 1]]) for k in full], pa.binary())})
-
-    def confirm(rows):
-        names = rows.column("block").to_numpy()
-        order = np.argsort(names)
-        sent = [_unpacked(x.as_py()) for x in rows.column("payload").take(pa.array(order))]
-        every = np.concatenate(sent)
-        by = np.argsort(every, kind="stable")
-        late = np.zeros(len(every), bool)
-        late[by[1:]] = every[by[1:]] == every[by[:-1]]
-        ends = np.cumsum([len(x) for x in sent])
-        own = np.split(late, ends[:-1])
-        some = [k for k, x in enumerate(own) if x.any()]
-        return pa.table({"block": pa.array(names[order][some], pa.int32()), "shard": pa.array([rows.column("shard")[0].as_py()] * len(some), pa.int32()), "late": pa.array([np.packbits(own[k]).tobytes() for k in some], pa.binary())})
-
-    def locate(rows: pa.Table, answers: pa.Table) -> pa.Table:
+def _least(hashes: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes, the place of each window's hash in them, and the least and greatest rank of each."""
+    distinct, back = np.unique(hashes, return_inverse=True)
+    low, high = np.full(len(distinct), LAST), np.full(len(distinct), -1)
+    np.minimum.at(low, back, ranks)
+    np.maximum.at(high, back, ranks)
+    return distinct, back, low, high
+
+
+def _confirm(rows: pa.Table) -> pa.Table:
+    """What a shard asks of blocks: for each, pairs of a place in the list it has sent and the block that needs it."""
+    rows = rows.sort_by("block")
+    names = rows.column("block").to_numpy()
+    sent = [unpacked(x) for x in rows.column("payload").to_pylist()]
+    every = np.concatenate(sent)
+    starts = np.append(0, np.cumsum([len(x) for x in sent]))
+    by = np.argsort(every, kind="stable")
+    new = np.append(True, every[by[1:]] != every[by[:-1]])
+    source = by[np.flatnonzero(new)][np.cumsum(new) - 1]  # the least block's entry of the same hash
+    source, target = source[~new], by[~new]
+    order = np.argsort(source, kind="stable")
+    source, target = source[order], names[np.searchsorted(starts, target[order], "right") - 1].astype("<i4")
+    cut = np.searchsorted(source, starts)
+    some = [k for k in range(len(names)) if cut[k] < cut[k + 1]]
+    return pa.table(
+        {
+            "block": pa.array(names[some], pa.int32()), "shard": pa.array([rows.column("shard")[0].as_py()] * len(some), pa.int32()),
+            "at": pa.array([(source[cut[k] : cut[k + 1]] - starts[k]).astype("<u4").tobytes() for k in some], pa.binary()),
+            "targets": pa.array([target[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary()),
+        }
+    )
+
+
+PASSAGES = "block int, passages array<binary>"
+
+
+def _passages(rows: pa.Table, asked: pa.Table, size: int, bits: int, width: int) -> pa.Table:
+    """The asked windows of a block, as runs of words, for each block that needs some."""
+    names, lists = [], []
+    if asked.num_rows and rows.num_rows:
         rows, ranks = _ordered(rows)
-        data, starts, ends, word_offsets, words, at, hashes = _block(rows, size)
-        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        doc_of = np.searchsorted(word_offsets, at, "right") - 1
-        limit = ranks[doc_of[first]] if len(at) else np.zeros(0, np.int64)
-        cut = _shards(distinct, bits)
-        for shard, late in zip(answers.column("shard").to_pylist(), answers.column("late").to_pylist()):
-            a, b = cut[shard], cut[shard + 1]
-            limit[a:b][np.unpackbits(np.frombuffer(late, np.uint8), count=b - a).astype(bool)] = -1
-        late = np.flatnonzero(limit[back] < ranks[doc_of]) if len(at) else np.zeros(0, np.int64)
-        gone = _mark(words, word_offsets, ranks, at[late], limit[back][late], size)
-        return emit(rows, data, starts, ends, word_offsets, gone)
-
-    dealt_text = dealt.select(BLOCK, *docs.columns)
-    sent = dealt_text.groupBy(BLOCK).applyInArrow(send, "shard int, block int, payload binary")
-    answers = sent.groupBy("shard").applyInArrow(confirm, "block int, shard int, late binary")
+        words = Words(rows.column("text"))
+        at, hashes = words.windows(size, width)
+        own_ranks = ranks[words.text_of(at)]
+        distinct, back, low, _ = _least(hashes, own_ranks)
+        cut = shards(distinct, bits, width)
+        place = np.concatenate([cut[s] + np.frombuffer(x, "<u4") for s, x in zip(asked.column("shard").to_pylist(), asked.column("at").to_pylist())])
+        target = np.concatenate([np.frombuffer(x, "<i4") for x in asked.column("targets").to_pylist()])
+        first = np.flatnonzero(own_ranks == low[back])  # windows in the least document that has them
+        first = first[np.argsort(back[first], kind="stable")]
+        begins = np.searchsorted(back[first], np.arange(len(distinct) + 1))
+        order = np.argsort(target, kind="stable")
+        target, place = target[order], place[order]
+        text_of = words.text_of(at)
+        raw = words.data.tobytes()
+        edges = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(target)]):
+            sizes = begins[place[a:b] + 1] - begins[place[a:b]]
+            stops = np.cumsum(sizes)
+            need = np.sort(first[np.repeat(begins[place[a:b]] - (stops - sizes), sizes) + np.arange(int(stops[-1]))])
+            new = np.flatnonzero(np.append(True, (np.diff(at[need]) != 1) | (np.diff(text_of[need]) != 0)))
+            last = np.append(new[1:], len(need)) - 1
+            names.append(int(target[a]))
+            lists.append([raw[x:y] for x, y in zip(words.starts[at[need[new]]].tolist(), words.ends[at[need[last]] + size - 1].tolist())])
+    return pa.table({"block": pa.array(names, pa.int32()), "passages": pa.array(lists, pa.list_(pa.binary()))})
+
+
+def _located(rows: pa.Table, ranks: np.ndarray, passages: list, size: int, width: int, patterns: int) -> tuple[Words, np.ndarray, np.ndarray]:
+    """The block's words, the first words of windows that automata report, and of those that only their hashes speak of."""
+    words = Words(rows.column("text"))
+    at, hashes = words.windows(size, width)
+    own_ranks = ranks[words.text_of(at)]
+    distinct, back, low, high = _least(hashes, own_ranks)
+    foreign = Words(pa.array(passages, pa.binary()))
+    f_at, f_hashes = foreign.windows(size, width)
+    elsewhere = np.zeros(len(distinct), bool)
+    if len(f_hashes) and len(distinct):
+        place = np.minimum(np.searchsorted(distinct, f_hashes), len(distinct) - 1)
+        elsewhere[place[distinct[place] == f_hashes]] = True
+    expected = elsewhere[back] | (own_ranks > low[back])
+    own_at = np.flatnonzero((own_ranks == low[back]) & (high > low)[back] & ~elsewhere[back])
+    shift = len(words.data)
+    ids = word_ids(
+        np.concatenate([words.data, foreign.data]), np.concatenate([words.starts, foreign.starts + shift]), np.concatenate([words.ends, foreign.ends + shift]),
+        np.concatenate([words.hashes, foreign.hashes]),
+    )
+    step = np.arange(size)
+    begins = np.concatenate([f_at + len(words.starts), at[own_at]])
+    of = np.concatenate([f_hashes, hashes[own_at]])
+    limits = np.concatenate([np.full(len(f_at), -1), own_ranks[own_at]])
+    order = np.argsort(of, kind="stable")  # automata are dealt by hash
+    hits = reported(ids[: len(words.starts)], words.own, ranks, ids[begins[order][:, None] + step], limits[order], size, patterns)
+    return words, hits, np.setdiff1d(at[expected], hits, assume_unique=True)
+
+
+def _removed(docs: DataFrame, emit, schema: str | T.StructType, size: int, width: int | None, chars: int, patterns: int) -> DataFrame:
+    """emit(rows, words, gone) -> table of `schema`, for some documents at once: `gone` says which words go."""
+    every, total = blocks(docs, chars)
+    every = every.select(BLOCK, *docs.columns).repartition(c.spread(docs.sparkSession), BLOCK)
+    bits = max(4, (total // SHARD_CHARS).bit_length())
+    width = width or min(64, max(bits + 16, int(total).bit_length() + SPARE_BITS))
+    bits = min(bits, width)
     rest = docs.columns
 
-    def last(rows, answers):
-        if not rows.num_rows:
-            return pa.table({f.name: pa.array([], f.type) for f in empty})
-        return locate(rows.select(rest), answers)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+    def send(key, rows):
+        hashes = np.unique(Words(rows.column("text")).windows(size, width)[1])
+        return dealt(key[0].as_py(), lambda a, b: packed(hashes[a:b]), shards(hashes, bits, width), bits)
 
-    empty = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
-    return dealt_text.groupBy(BLOCK).cogroup(answers.groupBy("block")).applyInArrow(last, schema)
+    def write(rows, asked):
+        return _passages(rows, asked, size, bits, width)
 
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    found = T.StructType([T.StructField("done", schema), T.StructField("rest", docs.schema), T.StructField("row", T.LongType()), T.StructField("hits", T.ArrayType(T.IntegerType()))])
+    found = found.add("open", T.ArrayType(T.StructType.fromDDL("at int, words binary")))
+    arrow = to_arrow_schema(found)
 
-def report(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    def locate(rows, sent):
+        if not rows.num_rows:
+            return arrow.empty_table()
+        name = rows.column(BLOCK)[0].as_py()
+        rows, ranks = _ordered(rows.select(rest))
+        words, hits, more = _located(rows, ranks, [x for list_ in sent.column("passages").to_pylist() for x in list_], size, width, patterns)
+        done = emit(rows, words, covered(hits, len(words.starts), size)).cast(to_arrow_schema(schema))
+        later = np.zeros(rows.num_rows, bool)
+        later[words.text_of(more)] = True
+        hit_of, open_of = ([x[a:b] for a, b in zip(np.searchsorted(x, words.own), np.searchsorted(x, words.own[1:]))] if later.any() else [] for x in (hits, more))
+        raw, first = words.data.tobytes(), words.own.tolist()
+
+        def spelled(at, i):
+            words_ = [raw[a:b] for a, b in zip(words.starts[at : at + size].tolist(), words.ends[at : at + size].tolist())]
+            return {"at": at - first[i], "words": b" ".join(words_)}
+
+        columns = {
+            "done": pa.StructArray.from_arrays([x.combine_chunks() for x in done.columns], fields=list(done.schema), mask=pa.array(later)),
+            "rest": pa.StructArray.from_arrays([x.combine_chunks() for x in rows.columns], fields=list(rows.schema), mask=pa.array(~later)),
+            "row": pa.array([name << 32 | i for i in range(rows.num_rows)], pa.int64()),
+            "hits": pa.array([(hit_of[i] - first[i]).tolist() if x else None for i, x in enumerate(later)], pa.list_(pa.int32())),
+            "open": pa.array([[spelled(at, i) for at in open_of[i].tolist()] if x else None for i, x in enumerate(later)], arrow.field("open").type),
+        }
+        return pa.table(columns).cast(arrow)
+
+    asked = every.groupBy(BLOCK).applyInArrow(send, "shard int, block int, payload binary").groupBy("shard").applyInArrow(_confirm, "block int, shard int, at binary, targets binary")
+    sent = every.groupBy(BLOCK).cogroup(asked.groupBy("block")).applyInArrow(write, PASSAGES)
+    located = c.written(every.groupBy(BLOCK).cogroup(sent.groupBy("block")).applyInArrow(locate, found), "located")
+    done = located.where("rest IS NULL").select("done.*")
+    if not located.where("rest IS NOT NULL").limit(1).count():
+        return done
+    return done.union(_compared(located.where("rest IS NOT NULL"), emit, schema, rest, size))
+
+
+def _compared(waiting: DataFrame, emit, schema: T.StructType, columns: list[str], size: int) -> DataFrame:
+    """Documents with windows whose hashes collide: these windows are grouped by their words."""
+    doc_id = F.coalesce(F.col("rest.doc_id").cast("long"), F.lit(LAST))
+    opened = waiting.select("row", doc_id.alias("doc_id"), F.explode("open").alias("x")).select("row", "doc_id", "x.at", "x.words")
+    first = opened.groupBy("words").agg(F.min("doc_id").alias("first"))
+    late = opened.join(first, "words").where("first < doc_id").groupBy("row").agg(F.collect_list("at").alias("late"))
+
+    def finish(batches):
+        for batch in batches:
+            if batch.num_rows:
+                fields = batch.column("rest").flatten()
+                rows = pa.table(fields, columns)
+                words = Words(rows.column("text"))
+                at = [words.own[i] + np.array([*(x or []), *(y or [])], np.int64) for i, (x, y) in enumerate(zip(batch.column("hits").to_pylist(), batch.column("late").to_pylist()))]
+                yield from emit(rows, words, covered(np.concatenate(at), len(words.starts), size)).cast(to_arrow_schema(schema)).to_batches()
+
+    return waiting.join(late, "row", "left").select("rest", "hits", "late").mapInArrow(finish, schema)
+
+
+def report(docs: DataFrame, size: int = SIZE, width: int | None = None, chars: int = CHARS, patterns: int = PATTERNS) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, and kept_sha256 of the words kept, joined by single spaces."""
 
-    def emit(rows, data, starts, ends, word_offsets, gone):
+    def emit(rows, words, gone):
         kept = ~gone
-        long = (ends - starts + 1)[kept]  # with a space behind
+        long = (words.ends - words.starts + 1)[kept]  # with a space behind
         stops = np.cumsum(long)
-        line = np.append(data, np.uint8(32))[np.repeat(starts[kept] - (stops - long), long) + np.arange(int(stops[-1]) if len(stops) else 0)]
+        line = np.append(words.data, np.uint8(32))[np.repeat(words.starts[kept] - (stops - long), long) + np.arange(int(stops[-1]) if len(stops) else 0)]
         line[stops - 1] = 32
         line = line.tobytes()
-        sizes = np.zeros(len(starts) + 1, np.int64)
-        np.cumsum(np.where(kept, ends - starts + 1, 0), out=sizes[1:])
-        cut = sizes[word_offsets].tolist()
-        n = np.zeros(len(starts) + 1, np.int64)
+        sizes = np.zeros(len(words.starts) + 1, np.int64)
+        np.cumsum(np.where(kept, words.ends - words.starts + 1, 0), out=sizes[1:])
+        cut = sizes[words.own].tolist()
+        n = np.zeros(len(words.starts) + 1, np.int64)
         np.cumsum(gone, out=n[1:])
         return pa.table(
             {
-                "doc_id": rows.column("doc_id"), "n_words": pa.array(np.diff(word_offsets)), "n_removed": pa.array(n[word_offsets[1:]] - n[word_offsets[:-1]]),
+                "doc_id": rows.column("doc_id"), "n_words": pa.array(np.diff(words.own)), "n_removed": pa.array(n[words.own[1:]] - n[words.own[:-1]]),
                 "kept_sha256": pa.array([hashlib.sha256(line[a : max(a, b - 1)]).hexdigest() for a, b in zip(cut, cut[1:])], pa.string()),
             }
         )
 
-    return _removed(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), emit, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string", size)
+    return _removed(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), emit, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string", size, width, chars, patterns)
 
 
-def remove(docs: DataFrame, size: int = SIZE) -> DataFrame:
+def remove(docs: DataFrame, size: int = SIZE, width: int | None = None, chars: int = CHARS, patterns: int = PATTERNS) -> DataFrame:
     """The documents without their recurring passages: each run of words goes, with the white space after it. All columns stay."""
 
-    def emit(rows, data, starts, ends, word_offsets, gone):
-        _, offsets = c.flat(rows.column("text"))
+    def emit(rows, words, gone):
+        data, offsets, own = words.data, words.offsets, words.own
         step = np.zeros(len(data) + 1, np.int8)
-        step[starts[gone]] += 1
+        step[words.starts[gone]] += 1
         # up to the next word of the document, or its end
-        after = np.append(starts[1:], len(data))
-        after[word_offsets[1:][word_offsets[1:] > word_offsets[:-1]] - 1] = offsets[1:][word_offsets[1:] > word_offsets[:-1]]
-        np.add.at(step, after[gone], -1)
+        after = np.append(words.starts[1:], len(data))
+        full = own[1:] > own[:-1]
+        after[own[1:][full] - 1] = offsets[1:][full]
+        np.add.at(step, after[: len(gone)][gone], -1)
         keep = np.cumsum(step[:-1], dtype=np.int64) <= 0
         n = np.append(0, np.cumsum(keep))[offsets].tolist()
         line = data[keep].tobytes()
@@ -230,4 +344,4 @@ def remove(docs: DataFrame, size: int = SIZE) -> DataFrame:
         k = rows.schema.get_field_index("text")
         return rows.set_column(k, rows.schema.field(k), pa.array(texts, rows.schema.field(k).type))
 
-    return _removed(docs, emit, docs.schema, size)
+    return _removed(docs, emit, docs.schema, size, width, chars, patterns)

@@ -386,17 +386,15 @@ def brute_removed(rows, size):
     return sorted(out)
 
 
-@pytest.mark.parametrize("chars, patterns, size", [(3_000_000, 20_000, 13), (9000, 40, 13), (9000, 20_000, 4)])
-def test_substring(spark, docs, texts, empty, monkeypatch, chars, patterns, size):
-    real = substring.blocks
-    monkeypatch.setattr(substring, "blocks", lambda d: real(d, chars=chars))
-    monkeypatch.setattr(substring._mark, "__defaults__", (patterns,))
+@pytest.mark.parametrize("chars, patterns, size, width", [(3_000_000, 20_000, 13, None), (9000, 40, 13, None), (9000, 20_000, 4, None), (9000, 20_000, 4, 9)])
+def test_substring(spark, docs, texts, empty, chars, patterns, size, width):
+    """A width of 9 bits makes nearly all windows collide."""
     rows = [*texts.items(), (None, texts[69]), (69, texts[69])]
     table = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.n_removed, r.kept_sha256) for r in substring.report(table, size).collect())
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.n_removed, r.kept_sha256) for r in substring.report(table, size, width, chars, patterns).collect())
     assert got == brute_removed(rows, size)
-    assert substring.report(empty, size).count() == 0
-    cut = rows_of(substring.remove(docs, size))
+    assert substring.report(empty, size, width, chars, patterns).count() == 0
+    cut = rows_of(substring.remove(docs, size, width, chars, patterns))
     assert cut[60].text is None and cut[1].text == texts[1] and cut[1].fp == "fp"
     want = {i: n - g for i, n, g, _ in brute_removed(list(texts.items()), size)}
     assert {i: len(words(r.text)) for i, r in cut.items()} == want
