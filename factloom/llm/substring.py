@@ -40,7 +40,7 @@ from factloom.llm.blocks import BLOCK, CHARS, LAST, blocks, dealt, packed, shard
 
 SIZE = 13
 SHARD_CHARS = 12_000_000
-PATTERNS = 50_000
+PATTERNS = 25_000
 SPARE_BITS = 16
 
 
@@ -90,31 +90,41 @@ def reported(ids: np.ndarray, own: np.ndarray, ranks: np.ndarray, patterns: np.n
     """
     out = np.zeros(len(ids), bool)
     rank_of = np.repeat(ranks, np.diff(own))
-    line_at = np.arange(len(ids)) + np.repeat(np.arange(len(own) - 1), np.diff(own))  # a border after each text
-    word_at = np.full(len(ids) + len(own) - 1, -1, np.int64)
-    word_at[line_at] = np.arange(len(ids))
+    every = np.full(len(ids) + len(own) - 1, -1, np.int64)  # words, and a border after each text
+    every[np.arange(len(ids)) + np.repeat(np.arange(len(own) - 1), np.diff(own))] = np.arange(len(ids))
     for k in range(0, len(patterns), most):
         own_patterns = patterns[k : k + most]
         letters = np.unique(own_patterns)
-
-        def spelled(x):
-            place = np.minimum(np.searchsorted(letters, x), len(letters) - 1)
-            letter = np.where(letters[place] == x, place + 2, 1)
-            return (letter + 0x800 * (letter >= 0xD800)).astype("<u4")  # passes over surrogates
-
+        place = np.minimum(np.searchsorted(letters, ids), len(letters) - 1)
+        place = np.append(np.where(letters[place] == ids, place, -1), -1)[every]
+        keep = place >= 0
+        keep[1:] |= keep[:-1]  # of words that no pattern has one stays, as a border
+        line = _spelled(place[keep], len(letters))
         machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        every = spelled(own_patterns).tobytes().decode("utf-32-le")
+        keys, long = _spelled(np.searchsorted(letters, own_patterns.ravel()), len(letters)), size * SYMBOLS
         for i, limit in enumerate((limits[k : k + most] + 1).tolist()):
-            machine.add_word(every[i * size : (i + 1) * size], limit)
+            machine.add_word(keys[i * long : (i + 1) * long], limit)
         machine.make_automaton()
-        line = np.zeros(len(word_at), "<u4")
-        line[line_at] = spelled(ids)
-        found = np.array(list(machine.iter(line.tobytes().decode("utf-32-le"))), np.int64).reshape(-1, 2)
-        last = word_at[found[:, 0]]
+        found = np.array(list(machine.iter(line)), np.int64).reshape(-1, 2)
+        last = every[keep][found[:, 0] // SYMBOLS]
         out[last[found[:, 1] - 1 < rank_of[last]] - (size - 1)] = True
     return np.flatnonzero(out)
 
 
+SYMBOLS = 2
+
+
+def _spelled(letters: np.ndarray, n: int) -> str:
+    """Letters of an alphabet of n as SYMBOLS symbols each, so that no state has many ways on; -1 is a border.
+
+    Each place has symbols of its own, so a word is found only where one begins.
+    """
+    side = int(np.ceil(n ** (1 / SYMBOLS))) + 1
+    symbols = np.stack([letters // side ** (SYMBOLS - 1 - j) % side + j * side + 1 for j in range(SYMBOLS)], axis=1)
+    symbols[letters < 0] = 0
+    return symbols.astype("<u4").tobytes().decode("utf-32-le")
+
+
 def covered(at: np.ndarray, n: int, size: int) -> np.ndarray:
     """Which of n words the windows that begin at `at` cover."""
     edge = np.zeros(n + 1, np.int64)
