@@ -4,18 +4,21 @@ A trie of byte contexts up to ORDER bytes predicts each byte and the end of the
 escapes to the context one byte shorter (method D: each distinct byte after the context gives half a count to the
 escape), where the bytes already ruled out are excluded; the last resort is equal shares of the bytes never seen. So
 the score is the log10 probability of the text under a model that sums to one over all texts. Like the base model, it
-takes a text as its tokens: lower-cased words, spelled with one space between, then the end.
+takes a text as its tokens: lower-cased words, spelled with one space between, then the end. Texts that differ only in
+the case of A-Z or in white space therefore score alike.
 
-All n-grams of all training texts count, whatever the size of the corpus. Blocks of documents send their distinct codes
-(a byte and the ORDER bytes before), with counts, to shards by the LOW bytes before the last: so a shard has all longer
-contexts of its codes, adds up the counts, builds the trie of its part and answers each block with a score a code. Only
-the n-grams of LOW bytes or fewer are broadcast: 2 ** 24 at most, in whatever corpus. `learn` makes one trie of the whole.
+All n-grams of all training texts count, whatever the size of the corpus. Texts are packed into blocks of about
+PACK_CHARS characters, compressed and written once. Blocks send their distinct codes (a byte and the ORDER bytes before),
+with counts, to shards by the LOW bytes before the last: so a shard has all longer contexts of its codes, adds up the
+counts, builds the trie of its part and answers each block with a score a code. Only the n-grams of LOW bytes or fewer
+are broadcast: 2 ** 24 at most, in whatever corpus. `learn` makes one trie of the whole, on the driver, for small corpora.
 
 A unigram word model is the base of comparison. Its counts are exact over all training tokens: blocks of documents send
 their distinct tokens (64-bit hashes, with counts) to shards of the hash space, which add them up and answer each block.
 
 Null text is empty text: the end alone. A null doc_id counts as empty text in the split. Repeated rows count and are
-scored each for itself. An empty training set gives equal shares to all bytes.
+scored each for itself. A very long text is a block of its own, read in pieces. An empty training set gives equal shares
+to all bytes; an empty table gives no rows. Only doc_id and text are read, so other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -24,11 +27,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from factloom.llm import common as c
-from factloom.llm.langid import held_out
-from factloom.llm.blocks import BLOCK, blocks, packed as _packed, shards as _shards, unpacked as _unpacked
+from factloom.llm.blocks import packed, shards, unpacked
 
 ORDER = 6
 LOW = 3
@@ -36,8 +40,10 @@ DISCOUNT = 0.5
 HOLD = 2_000_000
 END = 0xFF  # in no UTF-8 text
 END_TOKEN = c.U64(0xE4D0E4D0E4D0E4D1)
+PACK_CHARS = 8_000_000
 SHARD_CHARS = 24_000_000
 CODE_CHARS = 8_000_000
+LOW_MASK = c.U64((1 << 8 * LOW) - 1)
 U8 = c.U64(8)
 
 
@@ -202,7 +208,7 @@ def learn(docs: DataFrame, nodes: int = 1 << 62) -> Trie:
     for b, n in sorted(map(tuple, bins), reverse=True):
         total += n
         if total > nodes:
-            least = int(np.floor(2 ** ((b + 1) / 8)))
+            least = int(np.ceil(2 ** ((b + 1) / 8)))
             break
     kept = grams.where(F.col("n") >= max(1, least))
     own = F.shiftright("code", 8)
@@ -211,20 +217,6 @@ def learn(docs: DataFrame, nodes: int = 1 << 62) -> Trie:
     return Trie(tuple(x.to_numpy() for x in a.columns), tuple(x.to_numpy() for x in b.columns))
 
 
-def low_codes(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of LOW bytes and their counts."""
-
-    def count(batches):
-        codes, n = np.zeros(0, c.U64), np.zeros(0, np.int64)
-        for piece in c.pieces(batches):
-            own, m = np.unique(coded(*spelled(*c.flat(piece.column("text"))))[0] & c.U64((1 << 8 * LOW) - 1), return_counts=True)
-            codes, n = _summed(np.append(codes, own), np.append(n, m))
-        yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.array(n)], ["code", "n"])
-
-    found = docs.select(F.col("text").cast("string")).mapInArrow(count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    return found.column("code").to_numpy().astype(c.U64), found.column("n").to_numpy()
-
-
 def _summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys, back = np.unique(codes, return_inverse=True)
     return keys, np.bincount(back, n, len(keys)).astype(np.int64)
@@ -244,18 +236,29 @@ def part(codes: np.ndarray, n: np.ndarray, low: tuple[np.ndarray, np.ndarray]) -
 
 def _dealt(codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of sorted codes by shard, and where the shards begin in it."""
-    shard = c.mixed(codes >> U8 & c.U64((1 << 8 * LOW) - 1)) >> c.U64(64 - bits)
+    shard = c.mixed(codes >> U8 & LOW_MASK) >> c.U64(64 - bits)
     order = np.argsort(shard, kind="stable")
     return order, np.searchsorted(shard[order], np.arange((1 << bits) + 1, dtype=c.U64))
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Eight-byte values, all first bytes first: the equal ones compress."""
-    return values.view(np.uint8).reshape(-1, 8).T.tobytes()
+def _small(values: np.ndarray) -> bytes:
+    """Eight-byte values, all first bytes first, compressed."""
+    return zstandard.compress(values.view(np.uint8).reshape(-1, 8).T.tobytes(), 3)
+
+
+def _whole(payload: bytes, kind=c.U64) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(payload), np.uint8).reshape(8, -1).T.copy().view(kind)[:, 0]
 
 
-def _unplaned(payload: bytes, kind) -> np.ndarray:
-    return np.frombuffer(payload, np.uint8).reshape(8, -1).T.copy().view(kind)[:, 0]
+def _listed(values: np.ndarray) -> bytes:
+    """Floats as the distinct ones and their places: scores are those of few counts."""
+    distinct, back = np.unique(values, return_inverse=True)
+    return _small(np.concatenate([np.array([len(distinct)], np.int64), distinct.view(np.int64), back.astype(np.int64)]))
+
+
+def _unlisted(payload: bytes) -> np.ndarray:
+    values = _whole(payload, np.int64)
+    return values[1 : values[0] + 1].view(np.float64)[values[values[0] + 1 :]]
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray):
@@ -277,101 +280,178 @@ def _distinct(hashes, own, held):
     return np.insert(keys, at, END_TOKEN), np.insert(counts, at, int((~held).sum())), back + (back >= at), at
 
 
+PACKS = "block bigint, chars bigint, doc_ids array<bigint>, sizes binary, text binary, low binary, counts binary"
+
+
+def packs(docs: DataFrame, chars: int = PACK_CHARS) -> DataFrame:
+    """Blocks of documents: ids, sizes and compressed text, and the n-grams of LOW bytes in their training texts."""
+
+    def packed_up(batches):
+        task, n, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def block():
+            texts, lows = [], []
+            for piece in held:
+                data, offsets = c.flat(piece.column("text"))
+                texts.append((data, np.diff(offsets)))
+                codes, at = coded(*spelled(data, offsets))
+                codes = codes[np.repeat(~_held(piece.column("doc_id").to_pylist()), np.diff(at))]
+                lows.append(np.unique((codes & LOW_MASK).astype(np.uint32), return_counts=True))
+            low, counts = _summed(np.concatenate([x for x, _ in lows]).astype(c.U64), np.concatenate([x for _, x in lows]))
+            data = np.concatenate([x for x, _ in texts])
+            row = {"block": task << 32 | n, "chars": len(data), "doc_ids": [x for piece in held for x in piece.column("doc_id").to_pylist()]}
+            row |= {"sizes": np.concatenate([x for _, x in texts]).tobytes(), "text": zstandard.compress(data.tobytes(), 1), "low": _small(low), "counts": _small(counts)}
+            return pa.RecordBatch.from_pylist([row], pa.schema({"block": pa.int64(), "chars": pa.int64(), "doc_ids": pa.list_(pa.int64()), "sizes": pa.binary(), "text": pa.binary(), "low": pa.binary(), "counts": pa.binary()}))
+
+        for piece in c.pieces(batches):
+            held.append(piece)
+            size += piece.column("text").nbytes + 8 * piece.num_rows
+            if size >= chars:
+                yield block()
+                n, held, size = n + 1, [], 0
+        if held:
+            yield block()
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(packed_up, PACKS)
+
+
+class Pack:
+    """A block's documents, in pieces of bytes and offsets."""
+
+    def __init__(self, rows: pa.Table):
+        self.name = rows.column("block")[0].as_py()
+        self.ids = rows.column("doc_ids")[0].as_py()
+        self.held = _held(self.ids)
+        self.sizes = np.frombuffer(rows.column("sizes")[0].as_py(), np.int64)
+        self.data = np.frombuffer(zstandard.decompress(rows.column("text")[0].as_py()), np.uint8)
+
+    def pieces(self):
+        """(first document, one after the last, bytes, offsets)"""
+        ends = np.cumsum(self.sizes)
+        at = 0
+        while at < len(ends):
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + c.PIECE_BYTES, "right")))
+            yield at, to, self.data[before : int(ends[to - 1])], np.append(0, ends[at:to] - before)
+            at = to
+
+
+def _low(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of LOW bytes of all blocks, and their counts."""
+
+    def add_up(batches):
+        codes, n = np.zeros(0, c.U64), np.zeros(0, np.int64)
+        for batch in batches:
+            for own, m in zip(batch.column("low").to_pylist(), batch.column("counts").to_pylist()):
+                codes, n = _summed(np.append(codes, _whole(own)), np.append(n, _whole(m, np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.array(n)], ["code", "n"])
+
+    found = table.select("low", "counts").mapInArrow(add_up, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    return found.column("code").to_numpy().astype(c.U64), found.column("n").to_numpy()
+
+
+SENT = "of_codes boolean, shard int, block bigint, payload binary, counts binary"
+ANSWERS = "block bigint, of_codes boolean, shard int, answer binary, n bigint, v bigint"
+
+
+def _sent(of_codes: bool, name: int, cut: np.ndarray, columns) -> pa.Table:
+    full = [k for k in range(len(cut) - 1) if cut[k] < cut[k + 1]]
+    payload, counts = zip(*(columns(cut[k], cut[k + 1]) for k in full)) if full else ((), ())
+    n = len(full)
+    return pa.table({"of_codes": pa.array([of_codes] * n, pa.bool_()), "shard": pa.array(full, pa.int32()), "block": pa.array([name] * n, pa.int64()), "payload": pa.array(payload, pa.binary()), "counts": pa.array(counts, pa.binary())})
+
+
+def _send(rows: pa.Table, bits: int, code_bits: int) -> pa.Table:
+    """A block's distinct codes and tokens, with their counts in training texts, for the shards."""
+    pack, found, hashes, owns = Pack(rows), [], [], [np.zeros(1, np.int64)]
+    for a, b, data, offsets in pack.pieces():
+        codes, at = coded(*spelled(data, offsets))
+        learned = np.repeat(~pack.held[a:b], np.diff(at))
+        keys, n = np.unique(codes[learned], return_counts=True)
+        more = np.setdiff1d(codes[~learned], keys)
+        found.append((np.append(keys, more), np.append(n, np.zeros(len(more), np.int64))))
+        words, own = _tokens(data, offsets)
+        hashes.append(words)
+        owns.append(own[1:] + owns[-1][-1])
+    keys, counts = _summed(np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]))
+    order, cut = _dealt(keys, code_bits)
+    keys, counts = keys[order], counts[order]
+    codes = _sent(True, pack.name, cut, lambda x, y: (_small(np.diff(keys[x:y], prepend=c.U64(0))), _small(counts[x:y])))
+    words, n, _, _ = _distinct(np.concatenate(hashes), np.concatenate(owns), pack.held)
+    return pa.concat_tables([codes, _sent(False, pack.name, shards(words, bits), lambda x, y: (packed(words[x:y]), _small(n[x:y])))])
+
+
+def _answer(rows: pa.Table, low: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+    """A shard's answers to each block: scores of its codes, or counts of its tokens; and the shard's sums of tokens, once."""
+    of_codes = rows.column("of_codes")[0].as_py()
+    sent = [np.cumsum(_whole(x), dtype=c.U64) if of_codes else unpacked(x) for x in rows.column("payload").to_pylist()]
+    keys, back = np.unique(np.concatenate(sent), return_inverse=True)
+    n = np.bincount(back, np.concatenate([_whole(x, np.int64) for x in rows.column("counts").to_pylist()]), len(keys)).astype(np.int64)
+    value = part(keys[n > 0], n[n > 0], low).scores(keys) if of_codes else n
+    ends = np.cumsum([len(x) for x in sent])
+    answers = [_listed(value[x]) if of_codes else _small(value[x]) for x in np.split(back, ends[:-1])]
+    sums = (0, 0) if of_codes else (int(n.sum()), int((n > 0).sum()))
+    return pa.table(
+        {
+            "block": rows.column("block"), "of_codes": rows.column("of_codes"), "shard": rows.column("shard"), "answer": pa.array(answers, pa.binary()),
+            "n": pa.array([sums[0]] + [0] * (len(sent) - 1), pa.int64()), "v": pa.array([sums[1]] + [0] * (len(sent) - 1), pa.int64()),
+        }
+    )
+
+
 SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def report(docs: DataFrame) -> DataFrame:
+def _score(rows: pa.Table, answers: pa.Table, bits: int, code_bits: int, n_all: int, base: float) -> pa.Table:
+    if not rows.num_rows:
+        return pa.schema({"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}).empty_table()
+    pack = Pack(rows)
+    by_shard = {(x, y): z for x, y, z in zip(*(answers.column(k).to_pylist() for k in ("of_codes", "shard", "answer")))}
+    codes, hashes, owns, whole = [], [], [np.zeros(1, np.int64)], []
+    for _, _, data, offsets in pack.pieces():
+        own_codes, at = coded(*spelled(data, offsets))
+        own_codes, back = np.unique(own_codes, return_inverse=True)
+        codes.append(own_codes)
+        whole.append((back.astype(np.int32), at))
+        words, own = _tokens(data, offsets)
+        hashes.append(words)
+        owns.append(own[1:] + owns[-1][-1])
+    keys = np.unique(np.concatenate(codes))
+    order, cut = _dealt(keys, code_bits)
+    rated = np.zeros(len(keys))
+    for k in range(1 << code_bits):
+        if cut[k] < cut[k + 1]:
+            rated[order[cut[k] : cut[k + 1]]] = _unlisted(by_shard[True, k])
+    score = np.concatenate([np.add.reduceat(rated[np.searchsorted(keys, own)][back], at[:-1]) for own, (back, at) in zip(codes, whole)])
+    own = np.concatenate(owns)
+    words, _, back, end = _distinct(np.concatenate(hashes), own, pack.held)
+    cut = shards(words, bits)
+    known = np.concatenate([_whole(by_shard[False, k], np.int64) for k in range(1 << bits) if cut[k] < cut[k + 1]])
+    n_tokens, value = np.diff(own) + 1, np.log10(known + 0.5)
+
+    def per_doc(values):
+        sums = np.zeros(len(values) + 1, values.dtype)
+        np.cumsum(values, out=sums[1:])
+        return sums[own[1:]] - sums[own[:-1]]
+
+    return pa.table(
+        {
+            "doc_id": pa.array(pack.ids, pa.int64()), "held_out": pa.array(pack.held), "n_tokens": pa.array(n_tokens), "n_known": pa.array(per_doc((known[back] > 0).astype(np.int64)) + int(known[end] > 0)),
+            "train_tokens": pa.array([n_all] * len(pack.ids), pa.int64()), "base_score": pa.array(per_doc(value[back]) + value[end] - n_tokens * base), "score": pa.array(score),
+        }
+    )
+
+
+def report(docs: DataFrame, chars: int = PACK_CHARS) -> DataFrame:
     """Each document's score under the trie, and its base score, as SCHEMA."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     spark = docs.sparkSession
-    low = spark.sparkContext.broadcast(low_codes(docs.where(~held_out(of=5, at=1))))
-    dealt, total = blocks(docs)
-    dealt = dealt.repartition(c.spread(spark), BLOCK)
-    bits = max(4, (total // SHARD_CHARS).bit_length())
-    code_bits = max(4, (total // CODE_CHARS).bit_length())
-
-    def send_codes(key, rows):
-        codes, at = coded(*spelled(*c.flat(rows.column("text"))))
-        keys, counts = _summed(codes, np.repeat(~_held(rows.column("doc_id").to_pylist()), np.diff(at)))
-        order, cut = _dealt(keys, code_bits)
-        keys, counts = keys[order], counts[order]
-        full = [k for k in range(1 << code_bits) if cut[k] < cut[k + 1]]
-        steps = [np.diff(keys[cut[k] : cut[k + 1]], prepend=c.U64(0)) for k in full]
-        return pa.table({"shard": pa.array(full, pa.int32()), "block": pa.array([key[0].as_py()] * len(full), pa.int32()), "payload": pa.array([_planes(x) for x in steps], pa.binary()), "counts": pa.array([_planes(counts[cut[k] : cut[k + 1]]) for k in full], pa.binary())})
-
-    def rate(rows):
-        sent = [np.cumsum(_unplaned(x, c.U64), dtype=c.U64) for x in rows.column("payload").to_pylist()]
-        keys, back = np.unique(np.concatenate(sent), return_inverse=True)
-        n = np.bincount(back, np.concatenate([_unplaned(x, np.int64) for x in rows.column("counts").to_pylist()]), len(keys)).astype(np.int64)
-        value = part(keys[n > 0], n[n > 0], low.value).scores(keys)
-        own = np.split(value[back], np.cumsum([len(x) for x in sent])[:-1])
-        return pa.table({"block": rows.column("block"), "coded": pa.array([True] * len(sent)), "shard": rows.column("shard"), "counts": pa.array([_planes(x) for x in own], pa.binary())})
-
-    def send(key, rows):
-        held = _held(rows.column("doc_id").to_pylist())
-        keys, counts, _, _ = _distinct(*_tokens(*c.flat(rows.column("text"))), held)
-        cut = _shards(keys, bits)
-        full = [k for k in range(1 << bits) if cut[k] < cut[k + 1]]
-        return pa.table(
-            {
-                "shard": pa.array(full, pa.int32()), "block": pa.array([key[0].as_py()] * len(full), pa.int32()), "payload": pa.array([_packed(keys[cut[k] : cut[k + 1]]) for k in full], pa.binary()),
-                "counts": pa.array([counts[cut[k] : cut[k + 1]].astype("<u4").tobytes() for k in full], pa.binary()),
-            }
-        )
-
-    def add_up(rows):
-        sent = [_unpacked(x) for x in rows.column("payload").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, "<u4") for x in rows.column("counts").to_pylist()])
-        _, back = np.unique(np.concatenate(sent), return_inverse=True)
-        sums = np.bincount(back, counts).astype(np.int64)
-        own = np.split(sums[back], np.cumsum([len(x) for x in sent])[:-1])
-        n = rows.num_rows
-        first = [True] + [False] * (n - 1)  # the shard's sums, once
-        return pa.table(
-            {
-                "block": rows.column("block"), "shard": rows.column("shard"), "counts": pa.array([x.astype("<i8").tobytes() for x in own], pa.binary()),
-                "n": pa.array([int(sums.sum()) if x else 0 for x in first], pa.int64()), "v": pa.array([int((sums > 0).sum()) if x else 0 for x in first], pa.int64()),
-            }
-        )
-
-    sent = dealt.groupBy(BLOCK).applyInArrow(send, "shard int, block int, payload binary, counts binary")
-    answers = c.written(sent.groupBy("shard").applyInArrow(add_up, "block int, shard int, counts binary, n bigint, v bigint"), "tokens")
+    table = c.written(packs(docs, chars), "packs")
+    total = table.agg(F.sum("chars")).first()[0] or 0
+    low = spark.sparkContext.broadcast(_low(table))
+    bits, code_bits = max(4, (total // SHARD_CHARS).bit_length()), max(4, (total // CODE_CHARS).bit_length())
+    every = table.select("block", "doc_ids", "sizes", "text").repartition(c.spread(spark), "block")
+    sent = every.groupBy("block").applyInArrow(lambda rows: _send(rows, bits, code_bits), SENT)
+    answers = c.written(sent.groupBy("of_codes", "shard").applyInArrow(lambda rows: _answer(rows, low.value), ANSWERS), "answers")
     n_all, v_all = (x or 0 for x in answers.agg(F.sum("n"), F.sum("v")).first())
-    base = np.log10(n_all + 0.5 * (v_all + 1))
-
-    def score(rows, answers):
-        ids = rows.column("doc_id").to_pylist()
-        held = _held(ids)
-        data, offsets = c.flat(rows.column("text"))
-        hashes, own = _tokens(data, offsets)
-        keys, _, back, end = _distinct(hashes, own, held)
-        known = np.zeros(len(keys), np.int64)
-        cut = _shards(keys, bits)
-        codes, at = coded(*spelled(data, offsets))
-        codes, code_back = np.unique(codes, return_inverse=True)
-        order, code_cut = _dealt(codes, code_bits)
-        rated = np.zeros(len(codes))
-        for of_codes, shard, counts in zip(*(answers.column(x).to_pylist() for x in ("coded", "shard", "counts"))):
-            if of_codes:
-                rated[order[code_cut[shard] : code_cut[shard + 1]]] = _unplaned(counts, np.float64)
-            else:
-                known[cut[shard] : cut[shard + 1]] = np.frombuffer(counts, "<i8")
-        n_tokens = np.diff(own) + 1
-        value = np.log10(known + 0.5)
-
-        def per_doc(values):
-            sums = np.zeros(len(values) + 1, values.dtype)
-            np.cumsum(values, out=sums[1:])
-            return sums[own[1:]] - sums[own[:-1]]
-
-        total = np.add.reduceat(rated[code_back], at[:-1])
-        return pa.table(
-            {
-                "doc_id": rows.column("doc_id"), "held_out": pa.array(held), "n_tokens": pa.array(n_tokens), "n_known": pa.array(per_doc((known[back] > 0).astype(np.int64)) + int(known[end] > 0)),
-                "train_tokens": pa.array([n_all] * len(ids), pa.int64()), "base_score": pa.array(per_doc(value[back]) + value[end] - n_tokens * base), "score": pa.array(total),
-            }
-        )
-
-    rated = dealt.groupBy(BLOCK).applyInArrow(send_codes, "shard int, block int, payload binary, counts binary").groupBy("shard").applyInArrow(rate, "block int, coded boolean, shard int, counts binary")
-    answers = rated.union(answers.select("block", F.lit(False).alias("coded"), "shard", "counts"))
-    return dealt.groupBy(BLOCK).cogroup(answers.groupBy("block")).applyInArrow(score, SCHEMA)
+    base = float(np.log10(n_all + 0.5 * (v_all + 1)))
+    return every.groupBy("block").cogroup(answers.select("block", "of_codes", "shard", "answer").groupBy("block")).applyInArrow(lambda rows, own: _score(rows, own, bits, code_bits, n_all, base), SCHEMA)

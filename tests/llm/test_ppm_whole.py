@@ -21,3 +21,16 @@ def test_all_ngrams_count(spark):
         data = np.frombuffer((text or "").encode(), np.uint8)
         codes, _ = ppm.coded(*ppm.spelled(data, np.array([0, len(data)])))
         assert got[i] == pytest.approx(trie.scores(codes).sum(), rel=1e-9)
+
+
+def test_blocks_of_one_text_and_threshold(spark):
+    """Scores don't depend on how texts are packed; a trie of few n-grams keeps no more than asked."""
+    random.seed(9)
+    rows = [(i, " ".join(random.choices(["ab", "Bc", "é", "zz\tq", "w" * 30], k=40))) for i in range(40)] + [(None, "ab"), (3, None), (41, ""), (42, "ab " * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    key = lambda r: (r.doc_id or -1, r.n_tokens)
+    a, b = (sorted(ppm.report(docs, chars).collect(), key=key) for chars in (100, 8_000_000))
+    assert [tuple(r)[:-2] for r in a] == [tuple(r)[:-2] for r in b]
+    assert [r.score for r in a] == pytest.approx([r.score for r in b]) and [r.base_score for r in a] == pytest.approx([r.base_score for r in b])
+    for nodes in (20, 100, 300):
+        assert len(ppm.learn(docs, nodes).count) <= nodes

@@ -94,9 +94,10 @@ def test_ppm_against_plain_definition(docs):
     for b in sorted(bins, reverse=True):
         total += bins[b]
         if total > 500:
-            least = max(1, int(np.floor(2 ** ((b + 1) / 8))))
+            least = max(1, int(np.ceil(2 ** ((b + 1) / 8))))
             break
     kept = {g: n for g, n in full.items() if n >= least}
+    assert 0 < len(kept) == len(trie.count) <= 500
 
     def score(context, byte):
         out, ruled = 0.0, set()
