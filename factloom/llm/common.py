@@ -115,6 +115,12 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(base, 1 << max(16, int(n).bit_length()))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct values, ascending, by sorting."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> U64(30))
     h = h * U64(0xBF58476D1CE4E5B9)

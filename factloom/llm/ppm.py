@@ -40,44 +40,47 @@ DISCOUNT = 0.5
 HOLD = 2_000_000
 END = 0xFF  # in no UTF-8 text
 END_TOKEN = c.U64(0xE4D0E4D0E4D0E4D1)
-PACK_CHARS = 8_000_000
+PACK_CHARS = 20_000_000
 SHARD_CHARS = 24_000_000
 CODE_CHARS = 8_000_000
 LOW_MASK = c.U64((1 << 8 * LOW) - 1)
 U8 = c.U64(8)
 
 
-def coded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte and each text's end: the code of it and the ORDER bytes before; and each text's offsets into them."""
+def coded(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte and each text's end: the code of it and the `order` bytes before; and each text's offsets into them."""
     n = len(offsets) - 1
-    owner = np.repeat(np.arange(n), np.diff(offsets))
-    seq = np.full(len(data) + ORDER * (n + 1), END, np.uint8)
-    place = np.arange(len(data)) + ORDER * (owner + 1)
-    seq[place] = data
-    told = np.zeros(len(seq), bool)
-    told[place] = True
-    told[offsets[1:] + ORDER * np.arange(1, n + 1)] = True
-    wide = seq.astype(c.U64)
-    code = wide[:-ORDER]
-    for k in range(1, ORDER + 1):
-        code = code << U8 | wide[k : len(wide) - ORDER + k]
-    return code[told[ORDER:]], offsets + np.arange(n + 1)
+    at = offsets + np.arange(n + 1)
+    own = np.ones(len(data) + n, bool)
+    own[at[1:] - 1] = False
+    line = np.full(order + len(own), END, np.uint8)
+    line[order:][own] = data
+    wide = line.astype(c.U64)
+    code = wide[: len(own)].copy()
+    for k in range(1, order + 1):
+        code <<= U8
+        code |= wide[k : len(own) + k]
+    sizes = np.diff(at)
+    for k in range(order):  # before a text there are only ends
+        first = at[:-1][sizes > k] + k
+        code[first] |= c.U64(((1 << 8 * (order - k)) - 1) << 8 * (k + 1))
+    return code, at
 
 
 def spelled(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts as their tokens are spelled: lower-cased words, one space after each."""
-    low = c.LOWER[data]
-    starts, ends, own = c.runs(c.NOT_SPACE[low], offsets)
-    step = np.zeros(len(low) + 1, np.int8)
-    step[starts] += 1
-    step[ends] -= 1
-    keep = np.cumsum(step[:-1], dtype=np.int8).astype(bool)
-    # words of one text are apart by a byte at least; the last word of a text is followed by the end
-    after = ends[:-1][np.diff(np.repeat(np.arange(len(own) - 1), np.diff(own))) == 0] if len(ends) else ends
-    keep[after] = True
-    low[after] = 32
-    sums = np.append(0, np.cumsum(keep))
-    return low[keep], sums[offsets]
+    """Texts as their tokens are spelled: lower-cased words, one space between."""
+    word = c.NOT_SPACE[data]
+    gap = np.zeros(len(word), bool)
+    gap[1:] = word[:-1] & ~word[1:]
+    gap[offsets[:-1][offsets[:-1] < len(word)]] = False
+    places = np.flatnonzero(word)
+    ends = np.searchsorted(places, offsets)
+    behind = places[ends[1:][ends[1:] > ends[:-1]] - 1] + 1  # nothing follows the last word
+    gap[behind[behind < len(gap)]] = False
+    out = c.LOWER[data]
+    out[gap] = 32
+    keep = word | gap
+    return out[keep], np.append(0, np.cumsum(keep))[offsets]
 
 
 def ngrams(docs: DataFrame) -> DataFrame:
@@ -116,14 +119,13 @@ class Table:
         self.bits = max(4, int(2 * len(keys) + 1).bit_length())
         self.key = np.full(1 << self.bits, ~c.U64(0), c.U64)
         self.at = np.full(1 << self.bits, -1, np.int32)
-        slot, left = self._slot(keys), np.arange(len(keys))
+        slot, left = self._slot(keys), np.arange(len(keys), dtype=np.int32)
         while len(left):
-            _, first = np.unique(slot, return_index=True)
-            first = first[self.at[slot[first]] < 0]
-            self.key[slot[first]], self.at[slot[first]] = keys[left[first]], left[first]
-            keep = np.ones(len(left), bool)
-            keep[first] = False
-            slot, left = (slot[keep] + 1) & ((1 << self.bits) - 1), left[keep]
+            free = self.at[slot] < 0
+            self.at[slot[free]] = left[free]  # of several the last one stays
+            there = self.at[slot] == left
+            self.key[slot[there]] = keys[left[there]]
+            slot, left = (slot[~there] + 1) & ((1 << self.bits) - 1), left[~there]
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return (keys * c.U64(0x9E3779B97F4A7C15) >> c.U64(64 - self.bits)).astype(np.int64)
@@ -218,32 +220,44 @@ def learn(docs: DataFrame, nodes: int = 1 << 62) -> Trie:
 
 
 def _summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, back = np.unique(codes, return_inverse=True)
-    return keys, np.bincount(back, n, len(keys)).astype(np.int64)
+    keys = c.distinct(codes)
+    return keys, np.bincount(Table(keys).find(codes), n, len(keys)).astype(np.int64)
+
+
+def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted lists of distinct codes with counts, as one."""
+    keys = c.distinct(np.concatenate([x for x, _ in found])) if found else np.zeros(0, c.U64)
+    n = np.zeros(len(keys), np.int64)
+    for own, m in found:
+        n[np.searchsorted(keys, own)] += m
+    return keys, n
 
 
 def part(codes: np.ndarray, n: np.ndarray, low: tuple[np.ndarray, np.ndarray]) -> Trie:
     """The trie of a shard's codes, and of all n-grams of LOW bytes or fewer."""
     grams, contexts = [], []
-    for size in range(1, ORDER + 2):
-        of, m = low if size <= LOW else (codes, n)
-        code, m = _summed(of & c.U64((1 << 8 * size) - 1), m)
-        grams.append((np.full(len(code), size), code, m))
-        own, total = _summed(code >> U8, m)
-        contexts.append((np.full(len(own), size - 1), own, total, _summed(code >> U8, np.ones(len(code), np.int64))[1]))
+    of, m = codes, n
+    for size in range(ORDER + 1, 0, -1):
+        if size == LOW:
+            of, m = low
+        of, m = _summed(of & c.U64((1 << 8 * size) - 1), m)
+        grams.append((np.full(len(of), size), of, m))
+        first = np.flatnonzero(np.append(True, np.diff(of >> U8) != 0)) if len(of) else np.zeros(0, np.int64)
+        total = np.add.reduceat(m, first) if len(of) else m
+        contexts.append((np.full(len(first), size - 1), of[first] >> U8, total, np.diff(np.append(first, len(of)))))
     return Trie(tuple(map(np.concatenate, zip(*grams))), tuple(map(np.concatenate, zip(*contexts))))
 
 
 def _dealt(codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of sorted codes by shard, and where the shards begin in it."""
     shard = c.mixed(codes >> U8 & LOW_MASK) >> c.U64(64 - bits)
-    order = np.argsort(shard, kind="stable")
+    order = np.argsort(shard.astype(np.uint16), kind="stable") if bits <= 16 else np.argsort(shard, kind="stable")
     return order, np.searchsorted(shard[order], np.arange((1 << bits) + 1, dtype=c.U64))
 
 
 def _small(values: np.ndarray) -> bytes:
     """Eight-byte values, all first bytes first, compressed."""
-    return zstandard.compress(values.view(np.uint8).reshape(-1, 8).T.tobytes(), 3)
+    return zstandard.compress(values.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
 
 def _whole(payload: bytes, kind=c.U64) -> np.ndarray:
@@ -271,37 +285,34 @@ def _held(ids) -> np.ndarray:
     return np.array([zlib.crc32(b"" if x is None else str(x).encode()) % 5 == 1 for x in ids], bool)
 
 
-def _distinct(hashes, own, held):
-    """Distinct tokens of the texts, ends included, with their counts in texts that aren't held out."""
-    learned = np.repeat(~held, np.diff(own))
-    keys, back = np.unique(hashes, return_inverse=True)
-    counts = np.bincount(back, learned, len(keys)).astype(np.int64)
-    at = int(np.searchsorted(keys, END_TOKEN))
-    return np.insert(keys, at, END_TOKEN), np.insert(counts, at, int((~held).sum())), back + (back >= at), at
-
-
-PACKS = "block bigint, chars bigint, doc_ids array<bigint>, sizes binary, text binary, low binary, counts binary"
+PACKS = "block bigint, chars bigint, doc_ids array<bigint>, sizes binary, text binary, low binary, low_counts binary, tokens binary, token_counts binary"
+PACKED = pa.schema([("block", pa.int64()), ("chars", pa.int64()), ("doc_ids", pa.list_(pa.int64())), *((x, pa.binary()) for x in ("sizes", "text", "low", "low_counts", "tokens", "token_counts"))])
 
 
 def packs(docs: DataFrame, chars: int = PACK_CHARS) -> DataFrame:
-    """Blocks of documents: ids, sizes and compressed text, and the n-grams of LOW bytes in their training texts."""
+    """Blocks of documents: ids, sizes and compressed text; what their training texts have of n-grams of LOW bytes, and their tokens."""
 
     def packed_up(batches):
         task, n, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def block():
-            texts, lows = [], []
+            texts, lows, tokens = [], [], []
             for piece in held:
                 data, offsets = c.flat(piece.column("text"))
+                out = _held(piece.column("doc_id").to_pylist())
                 texts.append((data, np.diff(offsets)))
-                codes, at = coded(*spelled(data, offsets))
-                codes = codes[np.repeat(~_held(piece.column("doc_id").to_pylist()), np.diff(at))]
-                lows.append(np.unique((codes & LOW_MASK).astype(np.uint32), return_counts=True))
-            low, counts = _summed(np.concatenate([x for x, _ in lows]).astype(c.U64), np.concatenate([x for _, x in lows]))
+                codes, at = coded(*spelled(data, offsets), LOW - 1)
+                lows.append(np.unique(codes[np.repeat(~out, np.diff(at))], return_counts=True))
+                words, own = _tokens(data, offsets)
+                learned = np.repeat(~out, np.diff(own))
+                tokens += [np.unique(words[learned], return_counts=True), (c.distinct(words[~learned]), 0), (np.array([END_TOKEN]), int((~out).sum()))]
             data = np.concatenate([x for x, _ in texts])
+            low, low_counts = _merged(lows)
+            words, counts = _merged(tokens)
             row = {"block": task << 32 | n, "chars": len(data), "doc_ids": [x for piece in held for x in piece.column("doc_id").to_pylist()]}
-            row |= {"sizes": np.concatenate([x for _, x in texts]).tobytes(), "text": zstandard.compress(data.tobytes(), 1), "low": _small(low), "counts": _small(counts)}
-            return pa.RecordBatch.from_pylist([row], pa.schema({"block": pa.int64(), "chars": pa.int64(), "doc_ids": pa.list_(pa.int64()), "sizes": pa.binary(), "text": pa.binary(), "low": pa.binary(), "counts": pa.binary()}))
+            row |= {"sizes": np.concatenate([x for _, x in texts]).tobytes(), "text": zstandard.compress(data.tobytes(), 3)}
+            row |= {"low": _small(low), "low_counts": _small(low_counts), "tokens": packed(words), "token_counts": _small(counts)}
+            return pa.RecordBatch.from_pylist([row], PACKED)
 
         for piece in c.pieces(batches):
             held.append(piece)
@@ -340,106 +351,118 @@ def _low(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of LOW bytes of all blocks, and their counts."""
 
     def add_up(batches):
-        codes, n = np.zeros(0, c.U64), np.zeros(0, np.int64)
+        found = [(np.zeros(0, c.U64), np.zeros(0, np.int64))]
         for batch in batches:
-            for own, m in zip(batch.column("low").to_pylist(), batch.column("counts").to_pylist()):
-                codes, n = _summed(np.append(codes, _whole(own)), np.append(n, _whole(m, np.int64)))
-        yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.array(n)], ["code", "n"])
+            for own, m in zip(batch.column("low").to_pylist(), batch.column("low_counts").to_pylist()):
+                found = [_merged([*found, (_whole(own), _whole(m, np.int64))])]
+        yield pa.RecordBatch.from_arrays([pa.array(found[0][0].astype(np.int64)), pa.array(found[0][1])], ["code", "n"])
 
-    found = table.select("low", "counts").mapInArrow(add_up, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    found = table.select("low", "low_counts").mapInArrow(add_up, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     return found.column("code").to_numpy().astype(c.U64), found.column("n").to_numpy()
 
 
-SENT = "of_codes boolean, shard int, block bigint, payload binary, counts binary"
-ANSWERS = "block bigint, of_codes boolean, shard int, answer binary, n bigint, v bigint"
+SENT = "shard int, block bigint, payload binary, counts binary"
+ANSWERS = "block bigint, of_codes boolean, shard int, answer binary"
 
 
-def _sent(of_codes: bool, name: int, cut: np.ndarray, columns) -> pa.Table:
+def _split(name: int, cut: np.ndarray, columns) -> pa.Table:
     full = [k for k in range(len(cut) - 1) if cut[k] < cut[k + 1]]
     payload, counts = zip(*(columns(cut[k], cut[k + 1]) for k in full)) if full else ((), ())
-    n = len(full)
-    return pa.table({"of_codes": pa.array([of_codes] * n, pa.bool_()), "shard": pa.array(full, pa.int32()), "block": pa.array([name] * n, pa.int64()), "payload": pa.array(payload, pa.binary()), "counts": pa.array(counts, pa.binary())})
+    return pa.table({"shard": pa.array(full, pa.int32()), "block": pa.array([name] * len(full), pa.int64()), "payload": pa.array(payload, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
 
-def _send(rows: pa.Table, bits: int, code_bits: int) -> pa.Table:
-    """A block's distinct codes and tokens, with their counts in training texts, for the shards."""
-    pack, found, hashes, owns = Pack(rows), [], [], [np.zeros(1, np.int64)]
+def _send_codes(rows: pa.Table, bits: int) -> pa.Table:
+    """A block's distinct codes, with their counts in training texts, for the shards."""
+    pack, found = Pack(rows), []
     for a, b, data, offsets in pack.pieces():
         codes, at = coded(*spelled(data, offsets))
         learned = np.repeat(~pack.held[a:b], np.diff(at))
-        keys, n = np.unique(codes[learned], return_counts=True)
-        more = np.setdiff1d(codes[~learned], keys)
-        found.append((np.append(keys, more), np.append(n, np.zeros(len(more), np.int64))))
-        words, own = _tokens(data, offsets)
-        hashes.append(words)
-        owns.append(own[1:] + owns[-1][-1])
-    keys, counts = _summed(np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]))
-    order, cut = _dealt(keys, code_bits)
+        found += [np.unique(codes[learned], return_counts=True), (c.distinct(codes[~learned]), 0)]
+        if len(found) > 16:
+            found = [_merged(found)]
+    keys, counts = _merged(found)
+    order, cut = _dealt(keys, bits)
     keys, counts = keys[order], counts[order]
-    codes = _sent(True, pack.name, cut, lambda x, y: (_small(np.diff(keys[x:y], prepend=c.U64(0))), _small(counts[x:y])))
-    words, n, _, _ = _distinct(np.concatenate(hashes), np.concatenate(owns), pack.held)
-    return pa.concat_tables([codes, _sent(False, pack.name, shards(words, bits), lambda x, y: (packed(words[x:y]), _small(n[x:y])))])
-
-
-def _answer(rows: pa.Table, low: tuple[np.ndarray, np.ndarray]) -> pa.Table:
-    """A shard's answers to each block: scores of its codes, or counts of its tokens; and the shard's sums of tokens, once."""
-    of_codes = rows.column("of_codes")[0].as_py()
-    sent = [np.cumsum(_whole(x), dtype=c.U64) if of_codes else unpacked(x) for x in rows.column("payload").to_pylist()]
-    keys, back = np.unique(np.concatenate(sent), return_inverse=True)
-    n = np.bincount(back, np.concatenate([_whole(x, np.int64) for x in rows.column("counts").to_pylist()]), len(keys)).astype(np.int64)
-    value = part(keys[n > 0], n[n > 0], low).scores(keys) if of_codes else n
-    ends = np.cumsum([len(x) for x in sent])
-    answers = [_listed(value[x]) if of_codes else _small(value[x]) for x in np.split(back, ends[:-1])]
-    sums = (0, 0) if of_codes else (int(n.sum()), int((n > 0).sum()))
-    return pa.table(
-        {
-            "block": rows.column("block"), "of_codes": rows.column("of_codes"), "shard": rows.column("shard"), "answer": pa.array(answers, pa.binary()),
-            "n": pa.array([sums[0]] + [0] * (len(sent) - 1), pa.int64()), "v": pa.array([sums[1]] + [0] * (len(sent) - 1), pa.int64()),
-        }
-    )
+    return _split(pack.name, cut, lambda x, y: (_small(np.diff(keys[x:y], prepend=c.U64(0))), _small(counts[x:y])))
+
+
+def _send_tokens(batches, bits: int):
+    for batch in batches:
+        for name, tokens, counts in zip(*(batch.column(x).to_pylist() for x in ("block", "tokens", "token_counts"))):
+            words, n = unpacked(tokens), _whole(counts, np.int64)
+            yield from _split(name, shards(words, bits), lambda x, y: (packed(words[x:y]), _small(n[x:y]))).to_batches()
+
+
+def _together(rows: pa.Table, lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """All keys that blocks have sent, the sums of their counts, and each block's places in them."""
+    keys = c.distinct(np.concatenate(lists))
+    n, places = np.zeros(len(keys), np.int64), []
+    for own, counts in zip(lists, rows.column("counts").to_pylist()):
+        places.append(np.searchsorted(keys, own))
+        n[places[-1]] += _whole(counts, np.int64)
+    return keys, n, places
+
+
+def _answered(rows: pa.Table, of_codes: bool, answers: list[bytes], **more) -> pa.Table:
+    return pa.table({"block": rows.column("block"), "of_codes": pa.array([of_codes] * len(answers)), "shard": rows.column("shard"), "answer": pa.array(answers, pa.binary()), **more})
+
+
+def _rate(rows: pa.Table, low: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+    """A shard's scores of each block's codes."""
+    keys, n, places = _together(rows, [np.cumsum(_whole(x), dtype=c.U64) for x in rows.column("payload").to_pylist()])
+    value = part(keys[n > 0], n[n > 0], low).scores(keys)
+    return _answered(rows, True, [_listed(value[x]) for x in places])
+
+
+def _count(rows: pa.Table) -> pa.Table:
+    """A shard's counts of each block's tokens; and the shard's sums, once."""
+    _, n, places = _together(rows, [unpacked(x) for x in rows.column("payload").to_pylist()])
+    rest = [0] * (len(places) - 1)
+    return _answered(rows, False, [_small(n[x]) for x in places], n=pa.array([int(n.sum()), *rest], pa.int64()), v=pa.array([int((n > 0).sum()), *rest], pa.int64()))
 
 
 SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
 def _score(rows: pa.Table, answers: pa.Table, bits: int, code_bits: int, n_all: int, base: float) -> pa.Table:
     if not rows.num_rows:
-        return pa.schema({"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}).empty_table()
+        return SCORED.empty_table()
     pack = Pack(rows)
     by_shard = {(x, y): z for x, y, z in zip(*(answers.column(k).to_pylist() for k in ("of_codes", "shard", "answer")))}
-    codes, hashes, owns, whole = [], [], [np.zeros(1, np.int64)], []
+    found, tokens = [], [np.array([END_TOKEN])]
     for _, _, data, offsets in pack.pieces():
-        own_codes, at = coded(*spelled(data, offsets))
-        own_codes, back = np.unique(own_codes, return_inverse=True)
-        codes.append(own_codes)
-        whole.append((back.astype(np.int32), at))
-        words, own = _tokens(data, offsets)
-        hashes.append(words)
-        owns.append(own[1:] + owns[-1][-1])
-    keys = np.unique(np.concatenate(codes))
+        found.append(c.distinct(coded(*spelled(data, offsets))[0]))
+        tokens.append(c.distinct(_tokens(data, offsets)[0]))
+        if len(found) > 8:
+            found = [c.distinct(np.concatenate(found))]
+    keys, words = c.distinct(np.concatenate(found)), c.distinct(np.concatenate(tokens))
     order, cut = _dealt(keys, code_bits)
     rated = np.zeros(len(keys))
     for k in range(1 << code_bits):
         if cut[k] < cut[k + 1]:
             rated[order[cut[k] : cut[k + 1]]] = _unlisted(by_shard[True, k])
-    score = np.concatenate([np.add.reduceat(rated[np.searchsorted(keys, own)][back], at[:-1]) for own, (back, at) in zip(codes, whole)])
-    own = np.concatenate(owns)
-    words, _, back, end = _distinct(np.concatenate(hashes), own, pack.held)
     cut = shards(words, bits)
     known = np.concatenate([_whole(by_shard[False, k], np.int64) for k in range(1 << bits) if cut[k] < cut[k + 1]])
-    n_tokens, value = np.diff(own) + 1, np.log10(known + 0.5)
+    value, end = np.log10(known + 0.5), int(np.searchsorted(words, END_TOKEN))
+    of_code, of_word = Table(keys), Table(words)
+    out = []
+    for a, b, data, offsets in pack.pieces():
+        codes, at = coded(*spelled(data, offsets))
+        own_words, own = _tokens(data, offsets)
+        place, n_tokens = of_word.find(own_words), np.diff(own) + 1
 
-    def per_doc(values):
-        sums = np.zeros(len(values) + 1, values.dtype)
-        np.cumsum(values, out=sums[1:])
-        return sums[own[1:]] - sums[own[:-1]]
+        def per_doc(values):
+            sums = np.zeros(len(values) + 1, values.dtype)
+            np.cumsum(values, out=sums[1:])
+            return sums[own[1:]] - sums[own[:-1]]
 
-    return pa.table(
-        {
-            "doc_id": pa.array(pack.ids, pa.int64()), "held_out": pa.array(pack.held), "n_tokens": pa.array(n_tokens), "n_known": pa.array(per_doc((known[back] > 0).astype(np.int64)) + int(known[end] > 0)),
-            "train_tokens": pa.array([n_all] * len(pack.ids), pa.int64()), "base_score": pa.array(per_doc(value[back]) + value[end] - n_tokens * base), "score": pa.array(score),
-        }
-    )
+        columns = [
+            pa.array(pack.ids[a:b], pa.int64()), pa.array(pack.held[a:b]), pa.array(n_tokens), pa.array(per_doc((known[place] > 0).astype(np.int64)) + int(known[end] > 0)),
+            pa.array([n_all] * (b - a), pa.int64()), pa.array(per_doc(value[place]) + value[end] - n_tokens * base), pa.array(np.add.reduceat(rated[of_code.find(codes)], at[:-1])),
+        ]
+        out.append(pa.table(columns, SCORED))
+    return pa.concat_tables(out)
 
 
 def report(docs: DataFrame, chars: int = PACK_CHARS) -> DataFrame:
@@ -449,9 +472,11 @@ def report(docs: DataFrame, chars: int = PACK_CHARS) -> DataFrame:
     total = table.agg(F.sum("chars")).first()[0] or 0
     low = spark.sparkContext.broadcast(_low(table))
     bits, code_bits = max(4, (total // SHARD_CHARS).bit_length()), max(4, (total // CODE_CHARS).bit_length())
-    every = table.select("block", "doc_ids", "sizes", "text").repartition(c.spread(spark), "block")
-    sent = every.groupBy("block").applyInArrow(lambda rows: _send(rows, bits, code_bits), SENT)
-    answers = c.written(sent.groupBy("of_codes", "shard").applyInArrow(lambda rows: _answer(rows, low.value), ANSWERS), "answers")
-    n_all, v_all = (x or 0 for x in answers.agg(F.sum("n"), F.sum("v")).first())
+    tokens = table.select("block", "tokens", "token_counts").mapInArrow(lambda batches: _send_tokens(batches, bits), SENT)
+    counts = c.written(tokens.groupBy("shard").applyInArrow(lambda rows: _count(rows), ANSWERS + ", n bigint, v bigint"), "tokens")
+    n_all, v_all = (x or 0 for x in counts.agg(F.sum("n"), F.sum("v")).first())
     base = float(np.log10(n_all + 0.5 * (v_all + 1)))
-    return every.groupBy("block").cogroup(answers.select("block", "of_codes", "shard", "answer").groupBy("block")).applyInArrow(lambda rows, own: _score(rows, own, bits, code_bits, n_all, base), SCHEMA)
+    every = table.select("block", "doc_ids", "sizes", "text").repartition(c.spread(spark), "block")
+    codes = every.groupBy("block").applyInArrow(lambda rows: _send_codes(rows, code_bits), SENT)
+    answers = codes.groupBy("shard").applyInArrow(lambda rows: _rate(rows, low.value), ANSWERS).union(counts.drop("n", "v"))
+    return every.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda rows, own: _score(rows, own, bits, code_bits, n_all, base), SCHEMA)
