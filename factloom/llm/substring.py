@@ -8,11 +8,12 @@ over it also starts in a document with a smaller doc_id.
 2. A shard confirms the windows that several blocks have, and asks the least of these blocks for the passages: which
    windows, and for whom.
 3. The asked block writes these passages, runs of consecutive windows, as words, from its document with the least doc_id.
-4. A block compiles automata from the passages it is sent, and from the least document of those that recur inside it, of
-   PATTERNS windows each, dealt by their hashes, and streams all its documents through all of them. What an automaton
-   reports decides: letters of the automata are words that were compared byte by byte, so only equal words count.
+4. A block compiles automata from the passages it is sent, and from those that recur inside it: anchors of half a window,
+   such that each window holds one, dealt by their hashes, PATTERNS to an automaton. It streams all its documents through
+   all of them. Where an automaton finds an anchor, the text is compared with the passage, and windows in which all words
+   agree are reported; nothing else goes. Letters of the automata are words that were compared byte by byte.
 
-Hashes only say where to look. A window whose hash recurs but that no automaton reports has a hash in common with other
+Hashes only say where to look. A window whose hash recurs but that isn't reported has a hash in common with other
 words (as many as the width of hashes allows for: it grows with the text); such windows are grouped by their words
 and judged by themselves. So no collision removes or keeps a word that it shouldn't.
 
@@ -40,7 +41,7 @@ from factloom.llm.blocks import BLOCK, CHARS, LAST, blocks, dealt, packed, shard
 
 SIZE = 13
 SHARD_CHARS = 12_000_000
-PATTERNS = 25_000
+PATTERNS = 50_000
 SPARE_BITS = 16
 
 
@@ -83,34 +84,94 @@ def word_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.
     return ids
 
 
-def reported(ids: np.ndarray, own: np.ndarray, ranks: np.ndarray, patterns: np.ndarray, limits: np.ndarray, size: int, most: int = PATTERNS) -> np.ndarray:
-    """First words of the windows that some automaton reports in a text that ranks above the pattern's limit.
-
-    ids: words of all texts; own: texts' offsets into them; patterns: a row of `size` words for each window.
+def _bordered(ids: np.ndarray, own: np.ndarray, border: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words with borders between texts and at both ends, and where each word stands there."""
+    place = np.arange(len(ids)) + np.repeat(np.arange(len(own) - 1), np.diff(own)) + size
+    line = np.full(len(ids) + len(own) + 2 * size, border, np.int64)
+    line[place] = ids
+    return line, place
+
+
+def _anchors(line: np.ndarray, own: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the anchors of all distinct windows of the passages, their groups by words, and the windows of crowded ones."""
+    long, step = (size + 1) // 2, size - (size + 1) // 2 + 1
+    at, hashes = c.windows(c.mixed(line.astype(c.U64)), own, size)
+    _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+    model, spread = at[first][back], np.arange(size)
+    again = (model != at) & (line[at[:, None] + spread] == line[model[:, None] + spread]).all(axis=1)
+    at = at[~again]
+    begin = own[np.searchsorted(own, at, "right") - 1]
+    place = begin - (begin - at) // step * step
+    places, back = np.unique(place, return_inverse=True)
+    _, group = np.unique(line[places[:, None] + np.arange(long)], axis=0, return_inverse=True)
+    group = group.ravel()
+    crowded = np.bincount(group, minlength=1)[group] > CROWD
+    return places[~crowded], group[~crowded], at[crowded[back]]
+
+
+def reported(ids: np.ndarray, own: np.ndarray, ranks: np.ndarray, line: np.ndarray, cuts: np.ndarray, limits: np.ndarray, size: int, most: int = PATTERNS) -> np.ndarray:
+    """First words of the windows, in texts that rank above a passage's limit, that stand in the passage too.
+
+    ids: words of all texts; own: texts' offsets into them; line: words of all passages; cuts: passages' offsets into them.
+    Each window of a passage holds one of its anchors, which are runs of about half as many words, one every other half.
+    Automata find the anchors; from there texts and passages are compared word by word. The windows of anchors that more
+    than CROWD places have are patterns themselves.
     """
-    out = np.zeros(len(ids), bool)
+    out = np.zeros(len(ids) + 1, bool)
+    places, group, whole = _anchors(line, cuts, size) if len(line) >= size else (np.zeros(0, np.int64),) * 3
+    long, step = (size + 1) // 2, size - (size + 1) // 2 + 1
+    order = np.argsort(group, kind="stable")
+    places, group = places[order], group[order]
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
+    begins = np.append(first, len(group))
+    # patterns, dealt to automata by their hashes: anchors by the number of their group, then windows
+    at, n = np.concatenate([places[first], whole]), np.append(np.full(len(first), long), np.full(len(whole), size))
+    deal = np.argsort(c.mixed(c.span_hashes(line, at, at + n)), kind="stable")
+    texts, text_at = _bordered(ids, own, -1, size)
+    passages, passage_at = _bordered(line, cuts, -2, size)
     rank_of = np.repeat(ranks, np.diff(own))
-    every = np.full(len(ids) + len(own) - 1, -1, np.int64)  # words, and a border after each text
-    every[np.arange(len(ids)) + np.repeat(np.arange(len(own) - 1), np.diff(own))] = np.arange(len(ids))
-    for k in range(0, len(patterns), most):
-        own_patterns = patterns[k : k + most]
-        letters = np.unique(own_patterns)
-        place = np.minimum(np.searchsorted(letters, ids), len(letters) - 1)
-        place = np.append(np.where(letters[place] == ids, place, -1), -1)[every]
+    limit_of = np.repeat(limits, np.diff(cuts))
+    word_of = np.full(len(texts), -1, np.int64)
+    word_of[text_at] = np.arange(len(ids))
+    around = np.arange(1 - step, size)
+    for k in range(0, len(deal), most):
+        now = deal[k : k + most]
+        stops = np.cumsum(n[now])
+        own_words = line[np.arange(int(stops[-1])) + np.repeat(at[now] - (stops - n[now]), n[now])]
+        letters = c.distinct(own_words)
+        place = np.minimum(np.searchsorted(letters, texts), len(letters) - 1)
+        place[letters[place] != texts] = -1
         keep = place >= 0
         keep[1:] |= keep[:-1]  # of words that no pattern has one stays, as a border
-        line = _spelled(place[keep], len(letters))
+        keys = _spelled(np.searchsorted(letters, own_words), len(letters))
         machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        keys, long = _spelled(np.searchsorted(letters, own_patterns.ravel()), len(letters)), size * SYMBOLS
-        for i, limit in enumerate((limits[k : k + most] + 1).tolist()):
-            machine.add_word(keys[i * long : (i + 1) * long], limit)
+        for i, a, b in zip(now.tolist(), ((stops - n[now]) * SYMBOLS).tolist(), (stops * SYMBOLS).tolist()):
+            machine.add_word(keys[a:b], i)
         machine.make_automaton()
-        found = np.array(list(machine.iter(line)), np.int64).reshape(-1, 2)
-        last = every[keep][found[:, 0] // SYMBOLS]
-        out[last[found[:, 1] - 1 < rank_of[last]] - (size - 1)] = True
+        found = np.array(list(machine.iter(_spelled(place[keep], len(letters)))), np.int64).reshape(-1, 2)
+        start = word_of[np.flatnonzero(keep)[found[:, 0] // SYMBOLS]] - n[found[:, 1]] + 1
+        is_whole = found[:, 1] >= len(first)
+        good, of = start[is_whole], at[found[is_whole, 1]]
+        out[good[limit_of[of] < rank_of[good]]] = True
+        start, of = start[~is_whole], found[~is_whole, 1]
+        many = begins[of + 1] - begins[of]
+        ends = np.cumsum(many)
+        there = places[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begins[of] - (ends - many), many)]
+        start = np.repeat(start, many)
+        above = limit_of[there] < rank_of[start]
+        start, there = start[above], there[above]
+        for x in range(0, len(start), COMPARED):
+            t, p = start[x : x + COMPARED], there[x : x + COMPARED]
+            same = texts[text_at[t][:, None] + around] == passages[passage_at[p][:, None] + around]
+            sums = np.cumsum(same, axis=1, dtype=np.int16)
+            sums[:, size:] -= sums[:, :-size].copy()
+            row, shift = np.nonzero(sums[:, size - 1 :] == size)
+            out[t[row] + 1 - step + shift] = True
     return np.flatnonzero(out)
 
 
+CROWD = 8
+COMPARED = 100_000
 SYMBOLS = 2
 
 
@@ -226,12 +287,16 @@ def _located(rows: pa.Table, ranks: np.ndarray, passages: list, size: int, width
         np.concatenate([words.data, foreign.data]), np.concatenate([words.starts, foreign.starts + shift]), np.concatenate([words.ends, foreign.ends + shift]),
         np.concatenate([words.hashes, foreign.hashes]),
     )
-    step = np.arange(size)
-    begins = np.concatenate([f_at + len(words.starts), at[own_at]])
-    of = np.concatenate([f_hashes, hashes[own_at]])
-    limits = np.concatenate([np.full(len(f_at), -1), own_ranks[own_at]])
-    order = np.argsort(of, kind="stable")  # automata are dealt by hash
-    hits = reported(ids[: len(words.starts)], words.own, ranks, ids[begins[order][:, None] + step], limits[order], size, patterns)
+    # passages inside the block: runs of windows in the least document that has them
+    begin = at[own_at[np.append(True, (np.diff(at[own_at]) != 1) | (np.diff(words.text_of(at[own_at])) != 0))]] if len(own_at) else at[:0]
+    stop = at[own_at[np.append((np.diff(at[own_at]) != 1) | (np.diff(words.text_of(at[own_at])) != 0), True)]] + size if len(own_at) else at[:0]
+    long = stop - begin
+    ends = np.cumsum(long)
+    mine = ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - long), long)]
+    line = np.concatenate([ids[len(words.starts) :], mine])
+    cuts = np.concatenate([foreign.own, len(foreign.starts) + ends])
+    limits = np.concatenate([np.full(len(foreign.own) - 1, -1), ranks[words.text_of(begin)]])
+    hits = reported(ids[: len(words.starts)], words.own, ranks, line, cuts, limits, size, patterns)
     return words, hits, np.setdiff1d(at[expected], hits, assume_unique=True)
 
 
@@ -245,7 +310,7 @@ def _removed(docs: DataFrame, emit, schema: str | T.StructType, size: int, width
     rest = docs.columns
 
     def send(key, rows):
-        hashes = np.unique(Words(rows.column("text")).windows(size, width)[1])
+        hashes = c.distinct(Words(rows.column("text")).windows(size, width)[1])
         return dealt(key[0].as_py(), lambda a, b: packed(hashes[a:b]), shards(hashes, bits, width), bits)
 
     def write(rows, asked):

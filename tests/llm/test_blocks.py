@@ -51,8 +51,28 @@ def test_words_are_numbered_by_their_bytes():
 def test_only_what_an_automaton_reports_goes():
     ids, own = np.array([1, 2, 3, 1, 2, 3, 4, 2, 3, 4]), np.array([0, 3, 7, 10])
     ranks = np.array([0, 1, 2])
-    assert reported(ids, own, ranks, np.zeros((0, 3), int), np.zeros(0, int), 3).tolist() == []
-    assert reported(ids, own, ranks, np.array([[1, 2, 3], [2, 3, 4]]), np.array([0, 1]), 3, most=1).tolist() == [3, 7]
-    assert reported(ids, own, ranks, np.array([[3, 1, 2]]), np.array([-1]), 3).tolist() == []  # not over the border of texts
+    def found(*passages, limits=None, most=9):
+        cuts = np.cumsum([0, *map(len, passages)])
+        return reported(ids, own, ranks, np.array([x for p in passages for x in p], int), cuts, np.array(limits or [-1] * len(passages)), 3, most).tolist()
+
+    assert found() == [] and found([1, 2]) == []
+    assert found([1, 2, 3], [2, 3, 4], limits=[0, 1], most=1) == [3, 7]
+    assert found([3, 1, 2]) == []  # not over the border of texts
+    assert found([1, 2, 3, 4]) == [0, 3, 4, 7]
     assert covered(np.array([0, 1, 6]), 10, 3).tolist() == [True] * 4 + [False] * 2 + [True] * 3 + [False]
     assert c.U64(1)
+
+
+def test_crowded_anchors():
+    """An anchor that many passages share, against plain search."""
+    random = np.random.default_rng(5)
+    for size in (3, 4, 5, 13):
+        texts = [random.integers(0, 2, int(n)) for n in random.integers(0, 120, 30)]
+        passages = [random.integers(0, 2, int(n)) for n in random.integers(0, 40, 25)] + [texts[3][:30], texts[3][:30]]
+        limits = np.full(len(passages), 4)  # equal windows have one limit, as in a block
+        known = {tuple(p[k : k + size].tolist()) for p in passages for k in range(len(p) - size + 1)}
+        own = np.cumsum([0, *map(len, texts)])
+        want = [int(own[d]) + k for d, t in enumerate(texts) for k in range(len(t) - size + 1) if d > 4 and tuple(t[k : k + size].tolist()) in known]
+        for most in (3, 1000):
+            got = reported(np.concatenate(texts), own, np.arange(30), np.concatenate(passages), np.cumsum([0, *map(len, passages)]), limits, size, most)
+            assert got.tolist() == want
