@@ -273,6 +273,11 @@ def test_fingerprints(docs, texts, empty, spark):
         for near, other in ((got[i].near_edited, sets[1]), (got[i].near_next, sets[2])):
             assert near == pytest.approx(len(sets[0] & other) / len(sets[0] | other) if sets[0] | other else 1.0)
         assert (got[i].fingerprint == got[i].edited_fingerprint) == (sets[0] == sets[1])
+        # what is returned is enough to tell how alike two texts are, and what they consist of
+        assert got[i].near_edited == iblt.likeness_of(got[i].fingerprint, got[i].edited_fingerprint)
+        assert got[i].near_next == iblt.likeness_of(got[i].fingerprint, got[j].fingerprint)
+        table = iblt.opened(got[i].fingerprint)
+        assert set(iblt.peeled(*table, 1, len(table[0]))[0].tolist()) == sets[0]
     assert got[65].fingerprint == got[7].fingerprint and got[60].fingerprint == got[61].fingerprint
     assert iblt.report(empty).count() == 0
     lone = iblt.report(spark.createDataFrame([(1, "a b c. d")], "doc_id bigint, text string")).first()
@@ -283,9 +288,10 @@ def test_fingerprints(docs, texts, empty, spark):
 
 def test_fingerprints_over_blocks(docs, monkeypatch):
     want = rows_of(iblt.report(docs))
-    from factloom.llm import substring as s
+    from factloom.llm import blocks as s
 
     monkeypatch.setattr(iblt, "blocks", lambda d: s.blocks(d, chars=9000))
+    monkeypatch.setattr(iblt, "ORDERED", 2)
     assert s.blocks(docs, chars=9000)[0].select(s.BLOCK).distinct().count() > 3
     assert rows_of(iblt.report(docs)) == want
 
@@ -427,3 +433,18 @@ def test_isotonic():
 
     x, y = quality.isotonic(np.arange(5.0), np.array([0.1, 0.5, 0.3, 0.3, 0.9]), np.ones(5))
     assert (np.diff(y) > 0).all() and y == pytest.approx([0.1, 1.1 / 3, 0.9]) and x == pytest.approx([0, 2, 4])
+
+
+def test_fingerprints_of_any_size():
+    """Fingerprints of long texts recover any difference, also where the other text is short, and no script is left uncut."""
+    random.seed(6)
+    texts = ["".join(random.choices(alphabet, k=n)) for alphabet in ("abcdefgh ij", "\u0430\u0431\u0432\u0433", "\u4e00\u4e01\u4e02\u4e03") for n in (0, 5, 300, 3000, 40_000)]
+    texts += [texts[4][:20_000] + texts[9][:9000] + texts[4][20_000:], texts[4][100:]]
+    found = iblt.digests(texts)
+    cells, prints = iblt.sizes_and_prints(*found)
+    sets = [set(found[0][a:b].tolist()) for a, b in zip(found[1], found[1][1:])]
+    assert all(len(sets[k]) > 100 for k in (4, 9, 14)) and (cells[[4, 9, 14]] > 100).all() and cells[0] == iblt.CELLS
+    for i in range(len(texts)):
+        for j in range(0, len(texts), 3):
+            assert iblt.likeness_of(prints[i], prints[j]) == (len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] | sets[j] else 1.0)
+    assert iblt.likeness_of(prints[4], prints[15]) > 0.7 and iblt.likeness_of(prints[4], prints[16]) > 0.9
