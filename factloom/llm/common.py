@@ -13,7 +13,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 PIECE_BYTES = 1 << 20
 U64 = np.uint64
@@ -53,6 +53,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+HOT = 1000
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """The keys that more than one in HOT rows have: HOT at most, in whatever table."""
+    total = rows.count()
+    return written(rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") * HOT > total).select(key), "hot")
+
+
+def looked_up(rows: DataFrame, names: DataFrame, key: str, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """rows.join(names, key, how) for names that have a key once, also where one key has a third of the rows.
+
+    What names has for the hot keys is broadcast, HOT rows at most; the rest is joined by shuffle. rows is read several
+    times, so it should be a written table.
+    """
+    hot = F.broadcast(hot_keys(rows, key) if hot is None else hot)
+    few = rows.join(hot, key, "left_anti").join(names, key, how)
+    return few.unionByName(rows.join(hot, key, "left_semi").join(F.broadcast(names.join(hot, key, "left_semi")), key, how))
+
+
 def spread(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

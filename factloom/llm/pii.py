@@ -29,7 +29,7 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 LOOSE = {
-    "email": rf"(?<!{LOCAL}){LOCAL}{{1,64}}+\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]{{1,63}}+(?:\x20?(?:\(dot\)|\[dot\]|\.)\x20?[A-Za-z0-9-]{{1,63}}+){{1,5}}+",
+    "email": rf"(?<!{LOCAL}){LOCAL}{{1,64}}+\x20?(?:\((?i:at)\)|\[(?i:at)\])\x20?[A-Za-z0-9-]{{1,63}}+(?:\x20?(?:\((?i:dot)\)|\[(?i:dot)\]|\.)\x20?[A-Za-z0-9-]{{1,63}}+){{1,5}}+",
     "card": r"(?<![0-9A-Za-z])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])",
 }

@@ -13,7 +13,11 @@ The rest go on to the third segment in the same way, until whole keys meet. A wh
 meet at it, which are 65 at most, so each key links its members to the least of them; those links pass the full Hamming
 check. No pairs of a group are made: work is linear in the number of distinct fingerprints, and exact copies are one.
 
-Repeated rows and doc_ids are members like any others; a null doc_id doesn't name a component.
+Copies of one text are looked up by broadcast where they are more than one in a thousand rows, so no task holds them all.
+
+Repeated rows and doc_ids are members like any others; a null doc_id doesn't name a component unless no other is there.
+A very long text is shingled in one piece, like any other. An empty table gives no rows. `report` takes doc_id and text
+alone; `keep_one` keeps all columns, whatever their names, but for factloom_fp and factloom_key, which are reserved.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from factloom.llm import common as c
 from factloom.llm.graph import components
@@ -165,11 +169,11 @@ def linked(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, fp and component_id: the least doc_id that links reach."""
     own = c.written(fingerprinted(docs, size), "fingerprints")
     fps, labels = labelled(own)
-    named = fps.join(labels, "fp").select("fp", "label", "least")
+    named = c.written(fps.join(labels, "fp").select("fp", "label", "least"), "named")
     group = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = named.join(group, "label").select("fp", "component_id")
+    named = c.looked_up(named, group, "label").select("fp", "component_id")
     by_fp = fps.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return own.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return c.looked_up(own, by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -180,7 +184,7 @@ FP, KEY = "factloom_fp", "factloom_key"
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """Of each group of linked documents the row with the least doc_id (nulls last; then the least fingerprint); all columns stay."""
+    """Of each group of linked documents the row with the least doc_id (nulls last; then the least fingerprint, then text); all columns stay."""
     fps, labels = labelled(c.written(fingerprinted(docs, size), "fingerprints"))
     group = F.coalesce("label", "fp")
     first = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("doc_id"), F.col("fp"))).alias("x")
@@ -194,4 +198,5 @@ def keep_one(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
     rows = docs.mapInArrow(run, docs.select("*", F.lit(0).cast("long").alias(FP)).schema)
     rows = rows.withColumn(KEY, F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))
-    return rows.join(keep, [KEY, FP], "left_semi").dropDuplicates([KEY, FP]).select(docs.columns)
+    first = F.row_number().over(Window.partitionBy(KEY, FP).orderBy("text"))
+    return rows.join(keep, [KEY, FP], "left_semi").withColumn(FP + "_n", first).where(F.col(FP + "_n") == 1).select(docs.columns)
