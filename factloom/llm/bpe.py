@@ -163,8 +163,8 @@ def _here(shared, key) -> Tokenizer:
     return _held[key]
 
 
-def digests(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
-    """Per row: doc_id, n_tokens, ids_sha256 and decoded_sha256 of what the ids decode to."""
+def digests(docs: DataFrame, tokenizer: Tokenizer, with_ids: bool = False) -> DataFrame:
+    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256 of what the ids decode to; with_ids: and the ids, little-endian unsigned 32-bit."""
     shared, key = docs.sparkSession.sparkContext.broadcast(tokenizer), hashlib.sha256(b"".join(tokenizer.entries) + tokenizer.pattern.encode()).hexdigest()
 
     def run(batches):
@@ -172,11 +172,11 @@ def digests(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
         for piece in c.pieces(batches, most=PIECE):
             ids = [t.encode_bytes(x or "") for x in piece.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(t.decode(x)).hexdigest() for x in ids], pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                [piece.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(t.decode(x)).hexdigest() for x in ids], pa.string()), *([pa.array(ids, pa.binary())] if with_ids else [])],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids binary" if with_ids else ""))
 
 
 def encode(docs: DataFrame, tokenizer: Tokenizer, column: str = "ids") -> DataFrame:

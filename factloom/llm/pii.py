@@ -10,7 +10,9 @@ span features is trained on those, and decides on the looser candidates.
 Positions are code points, ends exclusive. Null text is empty text: no spans. Repeated rows are judged each for itself.
 A run of any length is matched in linear time: quantifiers are possessive wherever the pattern can't need to step back,
 and e-mails start only where a run of their characters starts or the last match ended. Without candidates nothing is
-trained and only base spans, of which there are none either, would be returned.
+trained and only base spans, of which there are none either, would be returned; an empty table gives no rows. The spans of
+one text are built up in an array, so a text of very many spans takes time that grows faster than their number. All
+columns stay in `redact`, whatever their names, but for those that begin with factloom_, which are reserved.
 """
 
 from __future__ import annotations
@@ -76,17 +78,20 @@ def _found(text: str, kind: str, pattern: str, strict: bool) -> tuple[Column, Co
 def _placed(hits: Column, gaps: Column, kind: str, strict: bool) -> Column:
     """Spans with their positions and the text before, those that fail the kind's check left out."""
     rank = KINDS.index(kind)
-    both = F.filter(F.zip_with(hits, gaps, lambda hit, gap: F.struct(gap.alias("gap"), hit.alias("hit"))), lambda x: x.hit.isNotNull())
+    behind = F.zip_with(F.slice(gaps, 2, F.size(gaps)), F.slice(hits, 2, F.size(gaps)), lambda gap, hit: F.substring(F.concat(F.substring(gap, 1, 1), F.coalesce(F.substring(hit, 1, 1), F.lit(""))), 1, 1))
+    pairs = F.zip_with(hits, gaps, lambda hit, gap: F.struct(gap.alias("gap"), hit.alias("hit")))
+    both = F.filter(F.zip_with(pairs, behind, lambda x, after: F.struct(x.gap.alias("gap"), x.hit.alias("hit"), after.alias("after"))), lambda x: x.hit.isNotNull())
 
     def step(acc, x):
         start = acc.at + F.length(x.gap)
         span = F.struct(
             start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(x.hit)).alias("stop"), x.hit.alias("hit"), F.substring(x.gap, -CONTEXT, CONTEXT).alias("before"), F.lit(strict).alias("base"),
+            x.after.alias("after"),
         )
         good = F.coalesce(_valid(kind, x.hit), F.lit(False))
         return F.struct((start + F.length(x.hit)).alias("at"), F.when(good, F.concat(acc.spans, F.array(span))).otherwise(acc.spans).alias("spans"))
 
-    empty = F.array().cast("array<struct<start:int,rank:int,stop:int,hit:string,before:string,base:boolean>>")
+    empty = F.array().cast("array<struct<start:int,rank:int,stop:int,hit:string,before:string,base:boolean,after:string>>")
     return F.aggregate(both, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc.spans)
 
 
@@ -105,13 +110,13 @@ def candidates(docs: DataFrame, columns: list[str]) -> DataFrame:
     rows = rows.select(*columns, t, F.concat(*placed[:n]).alias("factloom_base"), F.concat(*placed[n:]).alias("factloom_loose"))
     apart = F.filter("factloom_loose", lambda x: ~F.exists("factloom_base", lambda b: (b.start < x.stop) & (x.start < b.stop)))
     rows = rows.select(*columns, t, F.array_sort(F.concat("factloom_base", apart)).alias("factloom_all"))
-    return rows.select(*columns, F.transform("factloom_all", lambda x: _described(x, F.col(t))).alias(SPANS))
+    return rows.select(*columns, F.transform("factloom_all", _described).alias(SPANS))
 
 
-def _described(x: Column, text: Column) -> Column:
+def _described(x: Column) -> Column:
     kind = F.element_at(F.array(*map(F.lit, KINDS)), x["rank"] + 1)
     before, last = F.lower(x["before"]), F.substring(x["before"], -1, 1)
-    after = F.substring(text, x["stop"] + 1, 1)
+    after = x["after"]
     digits = _digits(x["hit"])
     listed = (
         F.when(x["rank"] == 0, x["hit"].rlike(rf"(?i)[.)\] ](?:{DOMAINS})$"))
@@ -207,8 +212,9 @@ def redact(docs: DataFrame) -> DataFrame:
 
     def step(acc, x):
         fresh = x.start >= acc.at
-        more = F.concat(acc.out, F.substr(F.col("text"), acc.at + 1, x.start - acc.at), F.lit("<"), F.upper(x.kind), F.lit(">"))
+        more = F.concat(acc.out, F.array(F.concat(F.substr(F.col("text"), acc.at + 1, x.start - acc.at), F.lit("<"), F.upper(x.kind), F.lit(">"))))
         return F.struct(F.greatest(acc.at, x.stop).alias("at"), F.when(fresh, more).otherwise(acc.out).alias("out"))
 
-    text = F.aggregate(SPANS, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc.out, F.substr(F.col("text"), acc.at + 1)))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    text = F.aggregate(SPANS, none, step, lambda acc: F.concat(F.array_join(acc.out, ""), F.substr(F.col("text"), acc.at + 1)))
     return found.withColumn("text", F.when(F.size(SPANS) > 0, text).otherwise(F.col("text"))).select(docs.columns)
