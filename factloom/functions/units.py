@@ -19,11 +19,31 @@ UNITS = {
 
 # Units as pages spell them.
 SPELLINGS = {
-    "g": "gram grams gramme grammes", "kg": "kilogram kilograms kilogramme kilogrammes", "mg": "milligram milligrams", "oz": "ounce ounces", "lb": "pound pounds",
-    "mm": "millimeter millimeters millimetre millimetres", "cm": "centimeter centimeters centimetre centimetres", "m": "meter meters metre metres", "in": 'inch inches " ″',
-    "h": "hour hours hrs", "min": "minute minutes mins", "s": "second seconds secs sec", "ms": "millisecond milliseconds msec",
-    "hz": "hertz", "khz": "kilohertz", "mhz": "megahertz", "ghz": "gigahertz", "w": "watt watts", "kw": "kilowatt kilowatts",
-    "mb": "megabyte megabytes", "gb": "gigabyte gigabytes", "tb": "terabyte terabytes", "cores": "core", "threads": "thread", "slots": "slot",
+    "gram": "g", "grams": "g", "gramme": "g", "grammes": "g",
+    "kilogram": "kg", "kilograms": "kg", "kilogramme": "kg", "kilogrammes": "kg",
+    "milligram": "mg", "milligrams": "mg",
+    "ounce": "oz", "ounces": "oz",
+    "pound": "lb", "pounds": "lb",
+    "millimeter": "mm", "millimeters": "mm", "millimetre": "mm", "millimetres": "mm",
+    "centimeter": "cm", "centimeters": "cm", "centimetre": "cm", "centimetres": "cm",
+    "meter": "m", "meters": "m", "metre": "m", "metres": "m",
+    "inch": "in", "inches": "in", '"': "in", "″": "in",
+    "hour": "h", "hours": "h", "hrs": "h",
+    "minute": "min", "minutes": "min", "mins": "min",
+    "second": "s", "seconds": "s", "secs": "s", "sec": "s",
+    "millisecond": "ms", "milliseconds": "ms", "msec": "ms",
+    "hertz": "hz",
+    "kilohertz": "khz",
+    "megahertz": "mhz",
+    "gigahertz": "ghz",
+    "watt": "w", "watts": "w",
+    "kilowatt": "kw", "kilowatts": "kw",
+    "megabyte": "mb", "megabytes": "mb",
+    "gigabyte": "gb", "gigabytes": "gb",
+    "terabyte": "tb", "terabytes": "tb",
+    "core": "cores",
+    "thread": "threads",
+    "slot": "slots",
 }
 
 #: Units that a value and its unit are split at: all but the counts.
@@ -37,8 +57,7 @@ def _lookup(table: dict, x: Column) -> Column:
 def normalized_unit(x: Column) -> Column:
     """Lower case, without trailing points, spelled-out forms shortened; null if empty."""
     low = F.regexp_replace(F.lower(strip(x)), "[.]+$", "")
-    short = {s: u for u, spelled in SPELLINGS.items() for s in spelled.split()}
-    return F.when(low != "", F.coalesce(_lookup(short, low), low))
+    return F.when(low != "", F.coalesce(_lookup(SPELLINGS, low), low))
 
 
 def converted(value: Column, unit: Column, canonical: Column) -> Column:

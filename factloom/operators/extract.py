@@ -1,15 +1,20 @@
 """Extraction of candidate facts from pages: JSON-LD, shop product JSON, specification tables, and a model's output.
 
-JSON is read with native functions. A page's raw numbers keep their spelling, since they are taken as text.
+JSON is read with native functions, each object parsed once; only the opening of nested lists in JSON-LD is Python.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
-from html.parser import HTMLParser
+import json
+import re
+from bisect import bisect
+from collections.abc import Callable, Iterable, Iterator
+from html import unescape
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from factloom.functions.text import grounded, json_pair, split_quantity, strip
 from factloom.functions.units import MEASURED
@@ -36,49 +41,63 @@ def _kind(node: Column) -> Column:
     return F.when(first == "{", "object").when(first == "[", "array").when(first == '"', "string").when(first.rlike("[-0-9]"), "number").when(first.rlike("[tf]"), "boolean")
 
 
-def _raw(node: Column, key: str) -> Column:
-    """The JSON text of a member: strings keep their quotes."""
-    return F.try_element_at(F.from_json(node, "map<string,string>", {"mode": "PERMISSIVE"}), F.lit(key))
+class Node(NamedTuple):
+    """A JSON value as text, and parsed: kinds are read from VARIANT, where strings, numbers and booleans differ."""
 
+    text: Column
+    parsed: Column
 
-def _typed(node: Column, key: str) -> Column:
-    """The kind of a member, read from VARIANT, where strings, numbers and booleans differ."""
-    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(node), f"$['{key}']", "variant"))
+    def member(self, key: str) -> Node:
+        return Node(_get(self.text, f"$['{key}']"), F.try_variant_get(self.parsed, f"$['{key}']", "variant"))
 
+    def kind(self) -> Column:
+        return F.schema_of_variant(self.parsed)
 
-def _is_text(kind: Column) -> Column:
-    return kind == "STRING"
+    def string(self) -> Column:
+        return F.when(self.kind() == "STRING", self.text)
 
+    def scalar(self) -> Column:
+        """A string or number as text; booleans and others null."""
+        return F.when((self.kind() == "STRING") | _is_number(self.kind()), self.text)
 
-def _is_number(kind: Column) -> Column:
-    return kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)")
+    def is_object(self) -> Column:
+        return self.kind().startswith("OBJECT")
 
 
-def _scalar(node: Column, key: str) -> Column:
-    """A string or number member as text; booleans and others null."""
-    kind = _typed(node, key)
-    return F.when(_is_text(kind) | _is_number(kind), _get(node, f"$['{key}']"))
+def _with_parsed(values: Column) -> Column:
+    """Texts as structs of text and parsed, so that lambdas parse each only once."""
+    return F.transform(values, lambda x: F.struct(x.alias("text"), F.try_parse_json(x).alias("parsed")))
 
 
-def _string(node: Column, key: str) -> Column:
-    return F.when(_is_text(_typed(node, key)), _get(node, f"$['{key}']"))
+def _is_number(kind: Column) -> Column:
+    return kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)")
 
 
 def _list(node: Column) -> Column:
     return F.coalesce(F.when(_kind(node) == "array", F.from_json(node, STRINGS)), F.array().cast(STRINGS))
 
 
-def _expanded(nodes: Column, depth: int) -> Column:
-    """Lists opened from their end, and each object followed by its @graph, likewise from its end."""
-    if not depth:
-        return nodes
+def _objects(block: str | None) -> list[str]:
+    """The objects of a JSON text: lists are opened from their end, and an object is followed by its @graph, likewise; to any depth."""
+    try:
+        open_ = [json.loads(block or "")]
+    except ValueError:
+        return []
+    found = []
+    while open_:
+        x = open_.pop()
+        if isinstance(x, dict):
+            found.append(json.dumps(x, ensure_ascii=False))
+            x = x.get("@graph")
+        if isinstance(x, list):
+            open_ += x
+    return found
 
-    def opened(x):
-        inner = F.reverse(_list(F.when(_kind(x) == "array", x).otherwise(_get(x, "$['@graph']"))))
-        head = F.when(_kind(x) == "array", F.array().cast(STRINGS)).otherwise(F.array(x))
-        return F.concat(head, _expanded(inner, depth - 1))
 
-    return F.flatten(F.transform(F.filter(nodes, lambda x: x.isNotNull()), opened))
+@F.pandas_udf(ArrayType(StringType()))
+def _opened(blocks: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for series in blocks:
+        yield series.map(_objects)
 
 
 def _provenance(tier: int, kind: str, method: str, span: Column) -> Column:
@@ -113,38 +132,45 @@ def _candidates(rows: DataFrame, tier: int, tier_pos: int, kind: str, method: st
     )
 
 
-def _measure(node: Column, key: str) -> tuple[Column, Column]:
+def _filled(x: Column) -> Column:
+    return F.when(strip(x) != "", x)
+
+
+def _unit_of(node: Node) -> Column:
+    text = node.member("unitText").string()
+    return F.coalesce(F.when(text != "", text), node.member("unitCode").string())
+
+
+def _measure(node: Node) -> tuple[Column, Column]:
     """A quantity: a scalar, or an object with value and unit."""
-    inner = _get(node, f"$['{key}']")
-    is_object = _typed(node, key).startswith("OBJECT")
-    unit = F.coalesce(F.when(_string(inner, "unitText") != "", _string(inner, "unitText")), _string(inner, "unitCode"))
-    plain = strip(_scalar(node, key))
-    return F.when(is_object, _scalar(inner, "value")).otherwise(F.when(plain != "", plain)), F.when(is_object, unit)
+    value = F.when(node.is_object(), node.member("value").scalar()).otherwise(_filled(strip(node.scalar())))
+    return value, F.when(node.is_object(), _unit_of(node))
 
 
 def jsonld(artifacts: DataFrame, tier_pos: int = 0) -> DataFrame:
-    """Facts of schema.org products in JSON-LD blocks. Malformed blocks give none. Lists nested up to four deep are opened."""
+    """Facts of schema.org products in JSON-LD blocks. Malformed blocks give none; lists and @graph are opened to any depth."""
     blocks = _pages(artifacts).select("*", F.posexplode(F.regexp_extract_all("content", F.lit(BLOCK), F.lit(1))).alias("block_at", "block")).drop("content")
-    nodes = blocks.select("*", F.posexplode(_expanded(F.array(F.when(F.try_parse_json("block").isNotNull(), F.col("block"))), 4)).alias("node_at", "node")).drop("block")
-    n = F.col("node")
-    kind = _get(n, "$['@type']")
-    is_product = F.when(_typed(n, "@type").startswith("ARRAY"), F.array_contains(_list(kind), "Product")).otherwise(kind == "Product")
-    products = nodes.where((_kind(n) == "object") & is_product)
-    gtin = F.coalesce(*(_scalar(n, k) for k in GTINS))
-    brand = F.coalesce(F.when(_typed(n, "brand").startswith("OBJECT"), _string(_get(n, "$.brand"), "name")), _string(n, "brand"))
-    ids = F.map_filter(F.create_map(F.lit("sku"), _scalar(n, "sku"), F.lit("mpn"), _scalar(n, "mpn"), F.lit("gtin"), gtin, F.lit("brand"), brand), lambda k, v: v.isNotNull())
-    facts = [_fact(F.lit(k), F.when(strip(_string(n, k)) != "", _string(n, k)), F.lit(None), F.lit(f"$.{k}")) for k in SCALARS]
-    facts += [_fact(F.lit(k), *_measure(n, k), F.lit(f"$.{k}")) for k in QUANTITIES]
-    offers = _get(n, "$.offers")
-    offer = F.when(_kind(offers) == "array", F.get(_list(offers), 0)).otherwise(offers)
-    facts.append(_fact(F.lit("price"), _scalar(offer, "price"), _string(offer, "priceCurrency"), F.lit("$.offers.price")))
+    nodes = blocks.select("*", F.posexplode(_opened("block")).alias("node_at", "node")).drop("block").withColumn("parsed", F.try_parse_json("node"))
+    n = Node(F.col("node"), F.col("parsed"))
+    kind = n.member("@type")
+    is_product = F.when(kind.kind().startswith("ARRAY"), F.array_contains(_list(kind.text), "Product")).otherwise(kind.text == "Product")
+    products = nodes.where(is_product)
+    gtin = F.coalesce(*(n.member(k).scalar() for k in GTINS))
+    brand = F.coalesce(F.when(n.member("brand").is_object(), n.member("brand").member("name").string()), n.member("brand").string())
+    ids = F.map_filter(F.create_map(F.lit("sku"), n.member("sku").scalar(), F.lit("mpn"), n.member("mpn").scalar(), F.lit("gtin"), gtin, F.lit("brand"), brand), lambda k, v: v.isNotNull())
+    facts = [_fact(F.lit(k), _filled(n.member(k).string()), F.lit(None), F.lit(f"$.{k}")) for k in SCALARS]
+    facts += [_fact(F.lit(k), *_measure(n.member(k)), F.lit(f"$.{k}")) for k in QUANTITIES]
+    offers = n.member("offers")
+    first = Node(F.get(_list(offers.text), 0), F.try_variant_get(offers.parsed, "$[0]", "variant"))
+    listed = _kind(offers.text) == "array"
+    offer = Node(F.when(listed, first.text).otherwise(offers.text), F.when(listed, first.parsed).otherwise(offers.parsed))
+    facts.append(_fact(F.lit("price"), offer.member("price").scalar(), offer.member("priceCurrency").string(), F.lit("$.offers.price")))
 
     def extra(x, i):
-        unit = F.coalesce(F.when(_string(x, "unitText") != "", _string(x, "unitText")), _string(x, "unitCode"))
-        name = F.when(strip(_string(x, "name")) != "", _string(x, "name"))
-        return _fact(name, _scalar(x, "value"), unit, F.concat(F.lit("$.additionalProperty["), i.cast("string"), F.lit("]")))
+        x = Node(x["text"], x["parsed"])
+        return _fact(_filled(x.member("name").string()), x.member("value").scalar(), _unit_of(x), F.concat(F.lit("$.additionalProperty["), i.cast("string"), F.lit("]")))
 
-    every = F.concat(F.array(*facts), F.transform(_list(_get(n, "$.additionalProperty")), extra))
+    every = F.concat(F.array(*facts), F.transform(_with_parsed(_list(n.member("additionalProperty").text)), extra))
     rows = products.select("*", ids.alias("ids"), F.posexplode(F.filter(every, lambda x: x["name"].isNotNull() & x["value"].isNotNull())).alias("fact_at", "fact"))
     place = (F.col("block_at") * 1_000_000 + F.col("node_at")).cast("long") * 1_000_000 + F.col("fact_at")
     return _candidates(rows.withColumn("place", place), 1, tier_pos, "json_ld", "jsonld_v1")
@@ -152,75 +178,56 @@ def jsonld(artifacts: DataFrame, tier_pos: int = 0) -> DataFrame:
 
 def shop_json(artifacts: DataFrame, tier_pos: int = 1) -> DataFrame:
     """Facts of a shop's product JSON: the first variant's weight and price, and the options that have one value."""
-    pages = _pages(artifacts).where(F.try_parse_json("content").isNotNull() & (_kind(F.col("content")) == "object"))
-    inner = _get(F.col("content"), "$.product")
-    has_variants = F.col("content").contains('"variants"') & F.try_variant_get(F.try_parse_json("content"), "$.variants", "variant").isNotNull()
-    product = F.when(_typed(F.col("content"), "product").startswith("OBJECT"), inner).when(has_variants, F.col("content"))
-    rows = pages.withColumn("node", product).where("node IS NOT NULL")
+    pages = _pages(artifacts).withColumn("page_json", F.try_parse_json("content")).where(F.col("page_json").isNotNull() & (_kind(F.col("content")) == "object"))
+    page = Node(F.col("content"), F.col("page_json"))
+    has_variants = F.col("content").contains('"variants"') & page.member("variants").parsed.isNotNull()
+    product = F.when(page.member("product").is_object(), page.member("product").text).when(has_variants, F.col("content"))
+    rows = pages.withColumn("node", product).where("node IS NOT NULL").withColumn("parsed", F.try_parse_json("node"))
     variant = F.get(_list(_get(F.col("node"), "$.variants")), 0)
-    rows = rows.withColumn("variant", F.when(_kind(variant) == "object", variant).otherwise("{}"))
-    n, v = F.col("node"), F.col("variant")
-
-    def filled(x):
-        return F.when(strip(x) != "", x)
-
-    ids = F.map_filter(F.create_map(F.lit("brand"), filled(_string(n, "vendor")), F.lit("sku"), filled(_scalar(v, "sku")), F.lit("gtin"), filled(_scalar(v, "barcode"))), lambda k, x: x.isNotNull())
-    grams = F.when(_is_number(_typed(v, "grams")) & (_get(v, "$.grams").try_cast("double") > 0), _get(v, "$.grams"))
-    other = F.when(_is_number(_typed(v, "weight")) & _string(v, "weight_unit").isNotNull(), _get(v, "$.weight"))
-    weight = _fact(F.lit("weight"), F.coalesce(grams, other), F.when(grams.isNotNull(), "g").otherwise(_string(v, "weight_unit")), F.lit("$.product.variants[0].grams"))
-    price = _fact(F.lit("price"), _scalar(v, "price"), F.lit(None), F.lit("$.product.variants[0].price"))
+    rows = rows.withColumn("variant", F.when(_kind(variant) == "object", variant).otherwise("{}")).withColumn("variant_json", F.try_parse_json("variant"))
+    n, v = Node(F.col("node"), F.col("parsed")), Node(F.col("variant"), F.col("variant_json"))
+    ids = F.create_map(F.lit("brand"), _filled(n.member("vendor").string()), F.lit("sku"), _filled(v.member("sku").scalar()), F.lit("gtin"), _filled(v.member("barcode").scalar()))
+    ids = F.map_filter(ids, lambda k, x: x.isNotNull())
+    grams = F.when(_is_number(v.member("grams").kind()) & (v.member("grams").text.try_cast("double") > 0), v.member("grams").text)
+    unit = v.member("weight_unit").string()
+    other = F.when(_is_number(v.member("weight").kind()) & unit.isNotNull(), v.member("weight").text)
+    weight = _fact(F.lit("weight"), F.coalesce(grams, other), F.when(grams.isNotNull(), "g").otherwise(unit), F.lit("$.product.variants[0].grams"))
+    price = _fact(F.lit("price"), v.member("price").scalar(), F.lit(None), F.lit("$.product.variants[0].price"))
 
     def option(x, i):
-        values = _list(_get(x, "$.values"))
-        one = F.when((F.size(values) == 1) & _is_text(F.schema_of_variant(F.try_variant_get(F.try_parse_json(x), "$.values[0]", "variant"))), F.get(values, 0))
-        return _fact(_string(x, "name"), filled(one), F.lit(None), F.concat(F.lit("$.product.options["), i.cast("string"), F.lit("]")))
+        x = Node(x["text"], x["parsed"])
+        values = _list(x.member("values").text)
+        is_text = F.schema_of_variant(F.try_variant_get(x.parsed, "$.values[0]", "variant")) == "STRING"
+        one = F.when((F.size(values) == 1) & is_text, F.get(values, 0))
+        return _fact(x.member("name").string(), _filled(one), F.lit(None), F.concat(F.lit("$.product.options["), i.cast("string"), F.lit("]")))
 
-    every = F.concat(F.array(weight, price), F.transform(_list(_get(n, "$.options")), option))
+    every = F.concat(F.array(weight, price), F.transform(_with_parsed(_list(n.member("options").text)), option))
     rows = rows.select("*", ids.alias("ids"), F.posexplode(F.filter(every, lambda x: x["name"].isNotNull() & x["value"].isNotNull())).alias("fact_at", "fact"))
     return _candidates(rows.withColumn("place", F.col("fact_at").cast("long")), 2, tier_pos, "cms_adapter", "shop_json_v1")
 
 
-class _Cells(HTMLParser):
-    """Turns markup into label/value pairs: table rows of two filled cells, and terms with their first definition."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.found: list[tuple[str, str]] = []
-        self.row: list[str] = []
-        self.inside, self.text, self.term = "", [], ""
-
-    def handle_starttag(self, tag, attrs):
-        if tag in ("td", "th", "dt", "dd"):
-            self.inside, self.text = ("cell" if tag[0] == "t" else tag), []
-        elif tag == "tr":
-            self.row = []
-
-    def handle_data(self, data):
-        if self.inside:
-            self.text.append(data)
-
-    def handle_endtag(self, tag):
-        kind = {"td": "cell", "th": "cell"}.get(tag, tag)
-        if tag == "tr":
-            if len(self.row) == 2 and all(self.row):
-                self.found.append(tuple(self.row))
-            self.row = []
-        elif kind == self.inside != "":
-            value, self.inside = " ".join("".join(self.text).split()), ""
-            if kind == "cell":
-                self.row.append(value)
-            elif kind == "dt":
-                self.term = value
-            else:
-                if self.term and value:
-                    self.found.append((self.term, value))
-                self.term = ""
+BODY = r"((?:(?!<(?:t[dh]|d[td])\b).)*?)"
+CELLS = re.compile(rf"(?is)<(?:t[dh]\b[^>]*>{BODY}</t[dh]|dt\b[^>]*>{BODY}</dt|dd\b[^>]*>{BODY}</dd)\s*>")
+BORDERS = re.compile(r"(?i)<(/?)tr\b[^>]*>")
+UNSEEN = re.compile(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>")
 
 
 def _cells(html: str | None) -> list[tuple[str, str]]:
-    parser = _Cells()
-    parser.feed(html or "")
-    return parser.found
+    """Label/value pairs: table rows of two cells with text, and terms with the first definition after them.
+
+    Cells between the same two row borders are a row, if the second border is a row's end.
+    """
+    page = UNSEEN.sub("", html or "")
+    borders = [(m.start(), m[1] == "/") for m in BORDERS.finditer(page)]
+    cells = [(m.end(), m.lastindex, " ".join(unescape(re.sub("<[^>]*>", "", m[m.lastindex])).split())) for m in CELLS.finditer(page)]
+    rows: dict[int, list[str]] = {}
+    for at, kind, text in cells:
+        if kind == 1:
+            rows.setdefault(bisect(borders, (at,)), []).append(text)
+    found = [(borders[k][0], *row) for k, row in rows.items() if k < len(borders) and borders[k][1] and len(row) == 2 and all(row)]
+    listed = [(at, kind, text) for at, kind, text in cells if kind > 1]
+    found += [(at, term, text) for (_, before, term), (at, kind, text) in zip(listed, listed[1:]) if before == 2 and kind == 3 and term and text]
+    return [(label, value) for _, label, value in sorted(found)]
 
 
 def spec_pairs(artifacts: DataFrame) -> DataFrame:
