@@ -222,7 +222,8 @@ def report(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     after = spark.createDataFrame([(some, firsts[(k + 1) % len(firsts)][1]) for k, (some, _) in enumerate(firsts)], "some bigint, next int")
     above = F.coalesce(F.lead(BLOCK).over(Window.partitionBy("some").orderBy(BLOCK)), "next")
-    ups = tops.join(after, "some").select(BLOCK, "top", above.alias("above"))  # Spark broadcasts it while it is small
+    # a written table has a known size: Spark broadcasts it while it is small, and shuffles the texts once more beyond
+    ups = c.written(tops.join(after, "some").select(BLOCK, "top", above.alias("above")), "ups")
     here = F.struct(F.col(BLOCK).alias("b"), F.lit(False).alias("tail"))
     there = F.struct(F.col("above").alias("b"), F.lit(True).alias("tail"))
     both = dealt.join(ups, BLOCK).select("doc_id", "text", F.explode(F.when(key == F.col("top"), F.array(here, there)).otherwise(F.array(here))).alias("x"))
