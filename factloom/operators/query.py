@@ -37,8 +37,8 @@ def holds(c: Constraint) -> Column:
     return own & (same if c.op == "eq" else ~same)
 
 
-def filter_products(facts: DataFrame, constraints: list[Constraint], limit: int = LIMIT) -> DataFrame:
-    """Ids of the products that meet every constraint, the first `limit` by id. No constraints, no products.
+def filter_products(facts: DataFrame, constraints: list[Constraint], limit: int | None = LIMIT) -> DataFrame:
+    """Ids of the products that meet every constraint, the first `limit` by id, or all without one. No constraints, no products.
 
     One pass: only facts of the attributes named are read, and each product's are reduced to one flag a constraint
     before the shuffle. A product without the attribute doesn't meet `ne` either.
@@ -49,7 +49,8 @@ def filter_products(facts: DataFrame, constraints: list[Constraint], limit: int
     flags = named.groupBy("product_id").agg(*(F.bool_or(holds(c)).alias(f"c{i}") for i, c in enumerate(constraints)))
     for i in range(len(constraints)):
         flags = flags.where(f"c{i}")
-    return flags.select("product_id").orderBy("product_id").limit(limit)
+    found = flags.select("product_id")
+    return found if limit is None else found.orderBy("product_id").limit(limit)
 
 
 def compare(facts: DataFrame, product_ids: list[str], attribute_keys: list[str]) -> DataFrame:

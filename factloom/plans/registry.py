@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from factloom.functions import text, units, urls, vectors
 from factloom.operators import answer, extract, facts, normalize, ontology, quality, query, resolve, retrieval, review
-from factloom.plans.samples import event_observations, jsonld_pages, part_facts, part_products, shop_pages, spec_pages, table
+from factloom.plans.samples import event_observations, graph_pages, jsonld_pages, part_facts, part_products, shop_pages, spec_pages, table
 from factloom.sources import store
 
 QUERIES: dict = {}
@@ -50,6 +50,15 @@ def jsonld_extract(spark, sf_dir):
     return rows.select(F.col("raw_artifact_id").alias("page"), F.col("raw_attribute").alias("name"), F.col("raw_value").alias("value"), F.col("raw_unit").alias("unit"), F.col("evidence.json_path").alias("path"), F.col("detected_ids")["mpn"].alias("mpn"), F.col("detected_ids")["brand"].alias("brand"), F.col("provenance.source_span").alias("span"))
 
 
+@registered("""
+SELECT CAST(p_partkey AS VARCHAR) AS page, 'color' AS name, p_brand AS value, 'M' || p_partkey AS mpn FROM part
+UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'material', p_type, 'N' || p_partkey FROM part""")
+def jsonld_graph(spark, sf_dir):
+    """Products in nested lists and graphs, six deep; other nodes and malformed blocks give nothing."""
+    rows = extract.jsonld(graph_pages(table(spark, sf_dir, "part")))
+    return rows.select(F.col("raw_artifact_id").alias("page"), F.col("raw_attribute").alias("name"), F.col("raw_value").alias("value"), F.col("detected_ids")["mpn"].alias("mpn"))
+
+
 @registered("""
 WITH p AS (SELECT *, CAST(p_partkey AS VARCHAR) AS page FROM part)
 SELECT page, 'weight' AS name, CAST(p_size * 100 AS VARCHAR) AS value, 'g' AS unit, page AS gtin, 'S' || page AS sku FROM p
@@ -200,10 +209,10 @@ def filter_products(spark, sf_dir):
     return query.filter_products(_facts(spark, sf_dir), [query.Constraint("material", "eq", kind), query.Constraint("net_weight", "lt", 2500)])
 
 
-@registered(f"SELECT {PID} AS product_id FROM part WHERE p_type <> (SELECT min(p_type) FROM part) AND p_partkey % 7 <> 0 AND p_size * 100 >= 700 AND p_size * 100 <> 900 ORDER BY 1 LIMIT 1000")
+@registered(f"SELECT {PID} AS product_id FROM part WHERE p_type <> (SELECT min(p_type) FROM part) AND p_partkey % 7 <> 0 AND p_size * 100 >= 700 AND p_size * 100 <> 900")
 def filter_negated(spark, sf_dir):
     kind = table(spark, sf_dir, "part").agg(F.min("p_type")).first()[0]
-    return query.filter_products(_facts(spark, sf_dir), [query.Constraint("material", "ne", kind), query.Constraint("net_weight", "gte", 700), query.Constraint("net_weight", "ne", "900.0")], 1000)
+    return query.filter_products(_facts(spark, sf_dir), [query.Constraint("material", "ne", kind), query.Constraint("net_weight", "gte", 700), query.Constraint("net_weight", "ne", "900.0")], None)
 
 
 @registered("SELECT '' AS product_id WHERE FALSE")
@@ -247,8 +256,10 @@ def entity_create(spark, sf_dir):
 @registered(r"""
 SELECT h AS host, string_agg(u, ' ' ORDER BY u) AS source_urls, count(*) AS n FROM (SELECT DISTINCT lower(regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1)) AS h, url AS u FROM pages) GROUP BY h""")
 def source_urls(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select(urls.host(F.col("url")).alias("host"), "url").groupBy("host").agg(F.sort_array(F.collect_set("url")).alias("u"))
-    return rows.select("host", F.array_join("u", " ").alias("source_urls"), F.size("u").cast("long").alias("n"))
+    pages = table(spark, sf_dir, "pages").select(urls.host(F.col("url")).alias("resolved"), F.col("url").alias("source_url"))
+    products = pages.select(F.col("resolved").alias("product_id")).distinct().withColumn("source_urls", F.array().cast("array<string>"))
+    rows = resolve.with_sources(products, pages)
+    return rows.select(F.col("product_id").alias("host"), F.array_join("source_urls", " ").alias("source_urls"), F.size("source_urls").cast("long").alias("n"))
 
 
 CANONICAL = r"""
@@ -280,6 +291,16 @@ def raw_dedupe(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
 
 
+@registered("""
+WITH d AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE text IS NOT NULL)
+SELECT h AS content_hash, min(doc_id) AS doc_id FROM d WHERE h NOT IN (SELECT h FROM d WHERE doc_id % 3 = 0) GROUP BY h""")
+def raw_new(spark, sf_dir):
+    """New artifacts of a batch that repeats some of itself and of what is stored."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    batch = docs.select(F.sha2("text", 256).alias("raw_artifact_id"), F.timestamp_seconds("doc_id").alias("fetched_at"), F.lit("").alias("url"), "doc_id")
+    return store.new_artifacts(batch, batch.where("doc_id % 3 = 0")).select(F.col("raw_artifact_id").alias("content_hash"), "doc_id")
+
+
 @registered(CANONICAL + "SELECT canonical_url, page_id FROM (SELECT canonical_url, page_id, row_number() OVER (PARTITION BY canonical_url ORDER BY page_id % 7 DESC, lpad(CAST(page_id AS VARCHAR), 12, '0') DESC) AS n FROM u) WHERE n = 1")
 def latest_artifact(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("canonical_url"), F.timestamp_seconds(F.col("page_id") % 7).alias("fetched_at"), F.lpad(F.col("page_id").cast("string"), 12, "0").alias("raw_artifact_id"))

@@ -36,6 +36,15 @@ def jsonld_pages(part: DataFrame) -> DataFrame:
     return _page(part, F.concat(F.lit('<html><script type="application/ld+json">'), body, F.lit("</script></html>")), "text/html")
 
 
+def graph_pages(part: DataFrame) -> DataFrame:
+    key = F.col("p_partkey").cast("string")
+    first = F.concat(F.lit('{"@type":"Product","mpn":"M'), key, F.lit('","color":'), json_text(F.col("p_brand")), F.lit("}"))
+    second = F.concat(F.lit('{"@type":"Product","mpn":"N'), key, F.lit('","material":'), json_text(F.col("p_type")), F.lit("}"))
+    body = F.concat(F.lit('[[[[[[{"@graph":[{"@type":"Thing"},'), first, F.lit(',{"@graph":[['), second, F.lit("]]}]}]]]]]]"))
+    block = F.concat(F.lit('<script type="application/ld+json">'), body, F.lit('</script><script type="application/ld+json">{"@type":</script>'))
+    return _page(part, block, "text/html")
+
+
 def shop_pages(part: DataFrame) -> DataFrame:
     body = F.concat(
         F.lit('{"product":{"vendor":'), json_text(F.col("p_brand")), F.lit(',"variants":[{"sku":"S'), F.col("p_partkey").cast("string"), F.lit('","barcode":"'), F.col("p_partkey").cast("string"),
