@@ -10,7 +10,9 @@ in a role) are written as a backslash and a letter, so neither can contain a con
 The loss mask lists the spans of assistant texts in the formatted string, in code points.
 
 A message whose parent isn't there is a root. Messages in a cycle lead to no root and form no path. Null role or text is
-empty. Turns with equal numbers stand by role and text. A null conversation is a conversation of its own.
+empty. Turns with equal numbers stand by role and text. A null conversation is a conversation of its own. A very long
+text is one turn like any other, and one conversation is one string. An empty table gives no rows. Only the columns named
+are read, so others, whatever their names, don't matter.
 """
 
 from __future__ import annotations

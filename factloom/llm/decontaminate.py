@@ -8,7 +8,9 @@ The set is broadcast only up to about MOST_WINDOWS windows. The windows of a lar
 parts of that size; every part scans the documents, and the parts' verified hits are merged by row before they count or cut.
 
 Null or empty texts have no words and no hits. Repeated rows are scanned each for itself. Equal windows of several
-items count for each item. Extra columns are dropped by `scan` and kept by `remove`.
+items count for each item. Extra columns are dropped by `scan` and kept by `remove`, whatever their names, but for
+factloom_row and factloom_hit, which are reserved. A very long text is scanned whole, by itself. An empty table of
+documents gives no rows; an empty benchmark hits nothing.
 """
 
 from __future__ import annotations

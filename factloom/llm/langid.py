@@ -9,7 +9,9 @@ greatest possible distance.
 
 Null text, text without letters, or an empty training set: `und` with score 0. Rows with null lang teach nothing.
 A null doc_id counts as empty text in the training split. Repeated rows count each. Counts cover all training rows;
-only PROFILE entries a language reach the driver, from SALTS groups each, for at most MOST_LANGS languages.
+only PROFILE entries a language reach the driver, from SALTS groups each, for at most MOST_LANGS languages. A very long
+text is counted whole. An empty table gives no rows. `predict` replaces columns named lang_pred and score, other columns
+stay as they are; `keep_told` keeps all.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ by isotonic regression over BINS equal steps of the raw score, with straight lin
 
 Texts: null is empty, and is scored like any other. Labels: several labels of a doc_id are averaged; a null label, or a
 label without document, teaches nothing. All labelled rows of the training split are used. Without any, or if all agree,
-the score is the mean label (0.5 without labels). Repeated rows are scored each for itself.
+the score is the mean label (0.5 without labels). Repeated rows are scored each for itself. A very long text is measured
+whole. An empty table gives no rows. Only doc_id and text are read, so other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
