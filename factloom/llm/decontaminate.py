@@ -4,8 +4,9 @@ Words are maximal runs of ASCII letters (lower-cased), ASCII digits and non-ASCI
 all its windows of `size` words, or itself if it is shorter (an item without words gives none). Window hashes of the
 documents are looked up in the set; each hit is verified word by word before it counts.
 
-The set is broadcast only up to about MOST_WINDOWS windows. The windows of a larger benchmark are dealt by hash into
-parts of that size; every part scans the documents, and the parts' verified hits are merged by row before they count or cut.
+The set is broadcast only up to about MOST_WINDOWS windows. The windows of a larger benchmark stay a table. What is
+broadcast of it is a filter of 2^FILTER_BITS bits; windows of the documents that pass are joined with the table by their
+words, so the driver holds no more than the filter. Both ways give the same rows.
 
 Null or empty texts have no words and no hits. Repeated rows are scanned each for itself. Equal windows of several
 items count for each item. Extra columns are dropped by `scan` and kept by `remove`, whatever their names, but for
@@ -17,9 +18,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
-import zlib
 from collections.abc import Iterable
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +28,14 @@ from factloom.llm import common as c
 
 SIZE = 10
 MOST_WINDOWS = 1_000_000
+FILTER_BITS = 27
+BATCH_ROWS = 50_000
 
 
 class WindowSet:
     """The windows of some items: hashes sorted for lookup, words for verification, items for the report."""
 
-    def __init__(self, items: Iterable[tuple[str, str]], size: int = SIZE, part: int = 0, parts: int = 1):
+    def __init__(self, items: Iterable[tuple[str, str]], size: int = SIZE):
         self.size = size
         found: dict[bytes, set[str]] = {}
         for item, text in items:
@@ -44,9 +45,7 @@ class WindowSet:
             raw = data.tobytes()
             words = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
             for at in range(max(min(len(words), 1), len(words) - size + 1)):
-                key = b" ".join(words[at : at + size])
-                if parts == 1 or zlib.crc32(key) % parts == part:
-                    found.setdefault(key, set()).add(item)
+                found.setdefault(b" ".join(words[at : at + size]), set()).add(item)
         self.parts = {}
         by_length: dict[int, list[bytes]] = {}
         for key in found:
@@ -79,12 +78,18 @@ class WindowSet:
                     p += 1
 
 
-def window_sets(benchmark: DataFrame, size: int = SIZE, most: int = MOST_WINDOWS) -> list[WindowSet]:
-    """One set for each part of the windows. Characters are counted on Spark first; items stream to the driver one by one."""
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
-    total = rows.agg(F.sum(F.length("text")).cast("long")).first()[0] or 0  # no more words than characters
-    n = max(1, -(-total // (2 * most)))  # a window begins at a word, which takes two characters with its border
-    return [WindowSet(map(tuple, rows.toLocalIterator()), size, k, n) for k in range(n)]
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string")).where("text <> ''")
+
+
+def window_set(benchmark: DataFrame, size: int = SIZE, most: int = MOST_WINDOWS) -> WindowSet | None:
+    """The windows of the benchmark, or None if they may be more than `most`.
+
+    Characters are counted on Spark first: a window begins at a word, which takes two characters with its border.
+    """
+    rows = _items(benchmark)
+    total = rows.agg(F.sum(F.length("text")).cast("long")).first()[0] or 0
+    return WindowSet(map(tuple, rows.toLocalIterator()), size) if total <= 2 * most else None
 
 
 def _words_of(piece, known: WindowSet):
@@ -111,10 +116,9 @@ REPORT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha
 
 def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, most: int = MOST_WINDOWS) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    sets = window_sets(benchmark, size, most)
-    spark = docs.sparkSession
-    if len(sets) == 1:
-        shared = spark.sparkContext.broadcast(sets[0])
+    known = window_set(benchmark, size, most)
+    if known is not None:
+        shared = docs.sparkSession.sparkContext.broadcast(known)
 
         def report(batches):
             for piece in c.pieces(batches):
@@ -131,35 +135,107 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, most: int = MO
 
         return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(report, REPORT)
     rows = c.written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.expr("uuid()").alias(ROW)), "decontaminate")
-    found = _merged(rows, sets)
-    n_hit, n_items = F.size("words").cast("long"), F.size("items").cast("long")
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), n_items.alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    windows = window_table(benchmark, size)
+    found = candidates(rows, windows)
+    every = found.where("words IS NULL").select(ROW, "doc_id", "n_words").join(hit_words(found, windows), ROW, "left").join(hit_items(found, windows), ROW, "left")
+    n_hit, n_items = (F.coalesce(F.size(x), F.lit(0)).cast("long") for x in (HIT, "items"))
+    listed = F.coalesce(F.array_join("items", ","), F.lit(""))
+    return every.select("doc_id", "n_words", n_hit.alias("n_hit"), n_items.alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 ROW, HIT = "factloom_row", "factloom_hit"
 
 
-def _merged(rows: DataFrame, sets: list[WindowSet]) -> DataFrame:
-    """(ROW, doc_id, n_words, words, items): each row's hit words and items, over all parts of the windows."""
-    spark = rows.sparkSession
-    parts = reduce(DataFrame.unionByName, [_intervals(rows, spark.sparkContext.broadcast(s)) for s in sets])
-    return parts.groupBy(ROW).agg(
-        F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
+def _spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, length: int) -> pa.Array:
+    """The words of windows, joined by a space."""
+    first, last = starts.tolist(), ends.tolist()
+    return pa.array([b" ".join([data[first[w] : last[w]].tobytes() for w in range(k, k + length)]).decode() for k in at.tolist()], pa.string())
 
 
-def _intervals(rows: DataFrame, shared) -> DataFrame:
+def window_table(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
+    """(item, length, hash, words) of every window of the benchmark, once for each item; a written table."""
+
     def find(batches):
         for piece in c.pieces(batches):
-            _, _, word_offsets, hit, items = _words_of(piece, shared.value)
-            words = [np.flatnonzero(hit[a:b]) for a, b in zip(word_offsets[:-1], word_offsets[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [piece.column(ROW), piece.column("doc_id"), pa.array(np.diff(word_offsets)), pa.array(words, pa.list_(pa.int64())), pa.array([sorted(items.get(i, ())) for i in range(piece.num_rows)], pa.list_(pa.string()))],
-                [ROW, "doc_id", "n_words", "words", "items"],
-            )
+            data, offsets = c.flat(piece.column("text"))
+            data = c.LOWER[data]
+            starts, ends, word_offsets = c.runs(c.ALNUM[data], offsets)
+            hashes = c.span_hashes(data, starts, ends)
+            for length in range(1, size + 1):
+                at, found = c.windows(hashes, word_offsets, length)
+                own = np.searchsorted(word_offsets, at, "right") - 1
+                if length < size:
+                    whole = np.diff(word_offsets)[own] == length
+                    at, found, own = at[whole], found[whole], own[whole]
+                for k in range(0, len(at), BATCH_ROWS):
+                    part = slice(k, k + BATCH_ROWS)
+                    words = _spelled(data, starts, ends, at[part], length)
+                    yield pa.RecordBatch.from_arrays(
+                        [piece.column("item").take(pa.array(own[part])), pa.array(np.full(len(words), length, np.int32)), pa.array(found[part].view(np.int64)), words], ["item", "length", "hash", "words"]
+                    )
+
+    return c.written(_items(benchmark).mapInArrow(find, "item string, length int, hash bigint, words string").distinct(), "windows")
+
+
+def _filter(windows: DataFrame) -> np.ndarray:
+    """A bit for each value of the first FILTER_BITS bits of a hash: set if a window has it. Bitmaps of 4096 bytes, built on Spark."""
+    bit = F.shiftrightunsigned("hash", 64 - FILTER_BITS) + 1
+    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for number, bits in windows.groupBy(F.bitmap_bucket_number(bit).alias("number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit))).toLocalIterator():
+        out[(number - 1) * len(bits) : number * len(bits)] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def candidates(rows: DataFrame, windows: DataFrame) -> DataFrame:
+    """(ROW, doc_id, n_words, at, length, words) of the documents' windows that pass the filter, and one row without words for each document."""
+    lengths = sorted(r[0] for r in windows.select("length").distinct().collect())  # `size` at most
+    shared = rows.sparkSession.sparkContext.broadcast(_filter(windows))
+    names = [ROW, "doc_id", "n_words", "at", "length", "words"]
 
-    return rows.select("doc_id", "text", ROW).mapInArrow(find, f"{ROW} string, doc_id bigint, n_words bigint, words array<bigint>, items array<string>")
+    def find(batches):
+        bits = shared.value
+        for piece in c.pieces(batches):
+            data, offsets = c.flat(piece.column("text"))
+            data = c.LOWER[data]
+            starts, ends, word_offsets = c.runs(c.ALNUM[data], offsets)
+            hashes = c.span_hashes(data, starts, ends)
+            none = [pa.nulls(piece.num_rows, t) for t in (pa.int64(), pa.int32(), pa.string())]
+            yield pa.RecordBatch.from_arrays([piece.column(ROW), piece.column("doc_id"), pa.array(np.diff(word_offsets)), *none], names)
+            for length in lengths:
+                at, found = c.windows(hashes, word_offsets, length)
+                bit = (found >> c.U64(64 - FILTER_BITS)).astype(np.int64)
+                at = at[(bits[bit >> 3] >> (bit & 7)) & 1 == 1]
+                for k in range(0, len(at), BATCH_ROWS):
+                    part = at[k : k + BATCH_ROWS]
+                    own = np.searchsorted(word_offsets, part, "right") - 1
+                    n = len(part)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            piece.column(ROW).take(pa.array(own)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(part - word_offsets[own]), pa.array(np.full(n, length, np.int32)),
+                            _spelled(data, starts, ends, part, length),
+                        ],
+                        names,
+                    )
+
+    return c.written(rows.select("doc_id", "text", ROW).mapInArrow(find, f"{ROW} string, doc_id bigint, n_words bigint, at bigint, length int, words string"), "candidates")
+
+
+def hit_words(found: DataFrame, windows: DataFrame) -> DataFrame:
+    """(ROW, HIT): the places of the words that are hit, for each document with any."""
+    places = c.looked_up(found.where("words IS NOT NULL"), windows.select("words").distinct(), "words")
+    inside = F.flatten(F.collect_list(F.sequence("at", F.col("at") + F.col("length") - 1)))
+    return places.groupBy(ROW).agg(F.array_distinct(inside).alias(HIT))
+
+
+def hit_items(found: DataFrame, windows: DataFrame) -> DataFrame:
+    """(ROW, items): the items with windows in each document that has any. Windows of many documents are salted by document."""
+    asked = c.written(found.where("words IS NOT NULL").select(ROW, "words").distinct(), "asked")
+    hot = F.broadcast(c.hot_keys(asked, "words"))
+    few = asked.join(hot, "words", "left_anti").join(windows, "words").select(ROW, "item")
+    n = c.spread(found.sparkSession)
+    salted = windows.join(hot, "words", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    many = asked.join(hot, "words", "left_semi").withColumn("salt", F.pmod(F.hash(ROW), F.lit(n))).join(salted, ["words", "salt"]).select(ROW, "item")
+    return few.unionByName(many).distinct().groupBy(ROW).agg(F.array_sort(F.collect_list("item")).alias("items"))
 
 
 def _cut(piece, starts, ends, word_offsets, hit: np.ndarray, drop_share: float):
@@ -188,9 +264,9 @@ def remove(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, drop_share:
 
     A span runs from its first hit word to its last, with the characters between them. All columns stay.
     """
-    sets = window_sets(benchmark, size, most)
-    if len(sets) == 1:
-        shared = docs.sparkSession.sparkContext.broadcast(sets[0])
+    known = window_set(benchmark, size, most)
+    if known is not None:
+        shared = docs.sparkSession.sparkContext.broadcast(known)
 
         def cut(batches):
             for piece in c.pieces(batches):
@@ -200,7 +276,8 @@ def remove(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, drop_share:
         return docs.mapInArrow(cut, docs.schema)
     rows = c.written(docs.withColumn(ROW, F.expr("uuid()")), "decontaminate")
     columns = docs.columns
-    found = _merged(rows.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), ROW), sets).select(ROW, F.col("words").alias(HIT))
+    windows = window_table(benchmark, size)
+    found = hit_words(candidates(rows.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), ROW), windows), windows)
 
     def cut_known(batches):
         for piece in c.pieces(batches):
@@ -211,4 +288,4 @@ def remove(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, drop_share:
                 hit[word_offsets[i] + np.array(own or [], np.int64)] = True
             yield _cut(piece.select(columns), starts, ends, word_offsets, hit, drop_share)
 
-    return rows.join(found, ROW).select(*columns, HIT).mapInArrow(cut_known, docs.schema)
+    return rows.join(found, ROW, "left").select(*columns, HIT).mapInArrow(cut_known, docs.schema)
