@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
 from factloom.operators.facts import FLAGS, OBSERVED, decide, step
@@ -55,6 +56,24 @@ def versions(observations: DataFrame, decide_=decide) -> DataFrame:
     return observations.select(*names).groupBy("product_id", "attribute_key").applyInPandasWithState(replay, schema, STATE, "append", "NoTimeout")
 
 
+def upsert(changes: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Write a stream of changes to a fact log at `path`; `fact_log` reads it. Trigger options as for `writeStream.trigger`.
+
+    Each micro-batch overwrites a folder of its own, so one that runs again after a failure leaves the same rows. No
+    batch reads or rewrites what the others wrote.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+
+    return changes.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def fact_log(spark: SparkSession, path: str) -> DataFrame:
+    """The fact log that `upsert` wrote: each fact_id in its last state."""
+    return last_changes(spark.read.parquet(path).drop("batch"))
+
+
 def last_changes(changes: DataFrame) -> DataFrame:
     """The fact log from its changes."""
     from pyspark.sql import functions as F
