@@ -83,7 +83,10 @@ def search(chunk_rows: DataFrame, questions: DataFrame, limit: int = 5, embed: E
 
 
 def bm25(chunk_rows: DataFrame, questions: DataFrame, k1: float = 1.2, b: float = 0.75, limit: int = 5) -> DataFrame:
-    """Keyword search by BM25: (question_id, chunk_id, score, rank). An extension."""
+    """Keyword search by BM25: (question_id, chunk_id, score, rank). An extension.
+
+    Scores are rounded to nine places before they rank, so that equal ones tie in whatever order their parts were summed.
+    """
     words = chunk_rows.select("chunk_id", F.explode(tokens(F.col("body"))).alias("term"))
     tf = words.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
     sizes = words.groupBy("chunk_id").agg(F.count("*").alias("size"))
@@ -92,6 +95,6 @@ def bm25(chunk_rows: DataFrame, questions: DataFrame, k1: float = 1.2, b: float
     asked = questions.select("question_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / mean))
-    scores = asked.join(df, "term").join(tf, "term").join(sizes, "chunk_id").groupBy("question_id", "chunk_id").agg(F.sum(part).alias("score"))
+    scores = asked.join(df, "term").join(tf, "term").join(sizes, "chunk_id").groupBy("question_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"))
     best = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
     return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)

@@ -399,7 +399,21 @@ def answer_hybrid(spark, sf_dir):
     return answer.answer(asked, _labels(spark), _facts(spark, sf_dir), _chunks(spark, sf_dir)).select("question_id", "found", "route", "answer")
 
 
-@registered()
+@registered(
+    CHUNK
+    + """,
+w AS (SELECT 'chk_' || substr(sha256(product_id || chr(1) || 'fact'), 1, 26) AS chunk_id, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS term FROM c),
+tf AS (SELECT chunk_id, term, count(*) AS tf FROM w GROUP BY ALL),
+sizes AS (SELECT chunk_id, count(*) AS size FROM w GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
+n AS (SELECT count(*) AS n, avg(size) AS mean FROM sizes),
+q AS (SELECT p_type, unnest(list_distinct(regexp_extract_all(lower(p_type), '[a-z0-9]+'))) AS term FROM (SELECT DISTINCT p_type FROM part)),
+s AS (SELECT p_type AS question_id, chunk_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean))), 9) AS score
+  FROM q JOIN df USING (term) JOIN tf USING (term) JOIN sizes USING (chunk_id), n GROUP BY ALL)
+SELECT question_id, chunk_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM s
+QUALIFY rank <= 5
+"""
+)
 def keyword_search(spark, sf_dir):
     asked = table(spark, sf_dir, "part").select("p_type").distinct().select(F.col("p_type").alias("question_id"), F.col("p_type").alias("text"))
     return retrieval.bm25(_chunks(spark, sf_dir), asked).select("question_id", "chunk_id", F.round("score", 6).alias("score"), "rank")

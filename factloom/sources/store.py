@@ -47,7 +47,7 @@ def fetched(urls: DataFrame, fetch: Callable[[str], tuple[str, str]], at) -> Dat
             for url in frame["url"]:
                 try:
                     rows.append((url, *fetch(url)))
-                except OSError:
+                except Exception:
                     continue
             yield pd.DataFrame(rows, columns=["url", "content", "content_type"])
 
@@ -86,10 +86,11 @@ def cases(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     rows = files.select(F.element_at(parts, -4).alias("vendor"), F.element_at(parts, -3).alias("category"), F.element_at(parts, -2).alias("slug"), F.element_at(parts, -1).alias("file"), F.col("content").cast("string").alias("content"))
     rows = rows.withColumn("case_id", F.concat_ws("/", "vendor", "category", "slug"))
     expected = rows.where("file = 'expected.json'")
-    values = F.from_json(F.get_json_object("content", "$.expected"), "map<string,string>")
-    want = expected.select("case_id", "vendor", "category", F.explode(values).alias("attribute_key", "value"), "content")
-    is_number = F.schema_of_variant(F.try_variant_get(F.try_parse_json(F.get_json_object("content", "$.expected")), "$", "variant")).isNotNull() & F.col("value").try_cast("double").isNotNull()
-    want = want.select("case_id", "vendor", "category", "attribute_key", F.when(is_number, F.col("value").try_cast("double")).alias("want_num"), F.when(~is_number, F.col("value")).alias("want_text"))
+    values = F.from_json(F.get_json_object("content", "$.expected"), "map<string,variant>")
+    want = expected.select("case_id", "vendor", "category", F.explode(values).alias("attribute_key", "value"))
+    is_number = F.schema_of_variant("value").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")  # by its JSON type: the text "5.3" stays text
+    num, text = F.try_variant_get("value", "$", "double"), F.try_variant_get("value", "$", "string")
+    want = want.select("case_id", "vendor", "category", "attribute_key", F.when(is_number, num).alias("want_num"), F.when(~is_number, text).alias("want_text"))
     sources = rows.where("file IN ('source.html', 'source.json')").groupBy("case_id").agg(F.min_by(F.struct("file", "content"), "file").alias("s"))
     meta = expected.select("case_id", F.get_json_object("content", "$.content_type").alias("told"), F.get_json_object("content", "$.product.source_url").alias("url"))
     kind = F.coalesce("told", F.when(F.col("s.file") == "source.json", "application/json").otherwise("text/html"))

@@ -350,6 +350,15 @@ def test_review(spark):
     assert review.resolve(done, decisions.withColumn("resolved_by", F.lit("eve"))).where("resolved_by = 'eve'").count() == 0
 
 
+def test_expected_values_keep_their_json_type(spark, tmp_path):
+    at = tmp_path / "acme" / "things" / "one"
+    at.mkdir(parents=True)
+    (at / "source.html").write_text("")
+    (at / "expected.json").write_text(json.dumps({"expected": {"a": "5.3", "b": 5.3, "c": 7, "d": "x"}}))
+    _, want = store.cases(spark, str(tmp_path))
+    assert {r.attribute_key: (r.want_num, r.want_text) for r in want.collect()} == {"a": (None, "5.3"), "b": (5.3, None), "c": (7.0, None), "d": (None, "x")}
+
+
 def test_quality(spark, tmp_path):
     root = tmp_path / "cases"
     for slug, html, want in [("one", "<table><tr><td>Weight</td><td>1.5 kg</td></tr><tr><td>Color</td><td>Red</td></tr></table>", {"net_weight": 1500, "color": "Red"}), ("two", jsonld({"@type": "Product", "weight": {"value": 2, "unitText": "kg"}, "color": "Blue"}), {"net_weight": 1999, "color": "Blue", "ram": 8})]:
