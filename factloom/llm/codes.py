@@ -6,7 +6,7 @@ A codebook starts as the parts of the ENTRIES smallest vec_ids; each round assig
 
 Nearest entries are found by segment means. The means of a part's blocks and the norm of what is left of it bound the
 distance from below: |x - e|^2 >= sum over blocks of n (mean(x) - mean(e))^2 + (|rest(x)| - |rest(e)|)^2. One block comes
-first, then two, four and so on; entries whose bound is above the exact distance of the most promising one are dropped.
+first, then two, four and so on; after each, entries whose bound is above the exact distance of the most promising one go.
 The bounds are lowered by more than rounding can add, so no nearest entry goes; what survives gets its exact distance.
 
 Every round is one pass over the table: tasks add up their parts, a group-by adds up tasks, and only codebooks (parts x
@@ -75,7 +75,7 @@ class Book:
         self.starts = _blocks(entries.shape[1])
         self.levels = [_segments(entries.astype(np.float64), s) for s in self.starts]
         self.norms = (entries.astype(np.float64) ** 2).sum(axis=1)
-        #: Exact distances computed, and distances there were.
+        #: Exact distances computed, and all there are.
         self.exact = self.all = 0
 
     def nearest(self, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,18 +94,26 @@ class Book:
             likely = bound.argmin(axis=1)
             least = ((parts - self.entries[likely]) ** 2).sum(axis=1)
             row, entry = np.nonzero(bound <= least[:, None])
+            self.exact += n
             for starts, level in zip(self.starts[1:], self.levels[1:]):
                 own = _segments(wide, starts)
                 finer = ((own[row] - level[entry]) ** 2).sum(axis=1) - slack[row, entry]
+                likely = entry[_leasts(row, finer)]
+                least = np.minimum(least, ((parts - self.entries[likely]) ** 2).sum(axis=1))
+                self.exact += n
                 keep = finer <= least[row]
                 row, entry = row[keep], entry[keep]
         self.exact += len(row)
         distance = ((parts[row] - self.entries[entry]) ** 2).sum(axis=1)
-        begins = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-        best = np.minimum.reduceat(distance, begins)
-        found = np.flatnonzero(distance == best[row])
-        first = found[np.append(True, row[found][1:] != row[found][:-1])]  # entries ascend within a row
-        return entry[first], best
+        first = _leasts(row, distance)  # entries ascend within a row
+        return entry[first], distance[first]
+
+
+def _leasts(row: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Where the first least value of each row is; row ascends from 0 without gaps."""
+    least = np.minimum.reduceat(values, np.flatnonzero(np.append(True, row[1:] != row[:-1])))
+    found = np.flatnonzero(values == least[row])
+    return found[np.append(True, row[found][1:] != row[found][:-1])]
 
 
 def _whole_parts(batches: Iterator[pa.RecordBatch], size: int, parts: int):
