@@ -1,11 +1,11 @@
-"""URLs as columns: canonical form, source URL, host; robots rules; and a rate limiter in closed form."""
+"""URLs as columns: canonical form, source URL, host; and robots rules."""
 
 from __future__ import annotations
 
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Query keys that only track.
 TRACKING = ["gclid", "fbclid", "yclid", "mc_eid", "_ga", "ref", "ref_"]
@@ -46,19 +46,6 @@ def source_url(canonical: Column, url: Column) -> Column:
     return F.coalesce(F.when(canonical != "", canonical), url)
 
 
-def rate_limited(requests: DataFrame, domain: str, at: str, order: str, interval: float) -> DataFrame:
-    """When each request may go: not before `interval` seconds after the one before it in its domain.
-
-    t(i) = max(now(i), t(i-1) + d) has the closed form max over j <= i of (now(j) - j d) + i d, a running maximum.
-    """
-    each = Window.partitionBy(domain).orderBy(at, order)
-    now = F.unix_micros(F.col(at).cast("timestamp"))
-    step = F.lit(round(interval * 1e6)).cast("long")
-    out = requests.withColumn("_n", F.row_number().over(each).cast("long"))
-    lead = F.max(now - F.col("_n") * step).over(each.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return out.withColumn("granted_at", F.timestamp_micros(lead + F.col("_n") * step)).drop("_n")
-
-
 def robots_allowed(pages: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
     """pages (url, ...) with `allowed` and `crawl_delay` by robots (host, body); a host without rules allows all.
 

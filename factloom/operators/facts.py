@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from factloom.operators.scan import last_known
+
 # Authority of sources, 0 the highest; any other kind ranks 5.
 AUTHORITY = {"feed": 0, "api": 0, "json_ld": 1, "cms_adapter": 2, "dom": 3, "llm_text": 4, "llm_vision": 4}
 LOWEST = 5
@@ -98,6 +100,26 @@ def as_of(all_versions: DataFrame, at: Column) -> DataFrame:
     return spans.where((F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at)))
 
 
+def as_of_join(questions: DataFrame, all_versions: DataFrame, keys: list[str], at: str = "at", since: str = "valid_from", order: str = "seq", until: str | None = None) -> DataFrame:
+    """questions with `version`: the last of all_versions that had begun at each question's own time, as a struct.
+
+    Of versions that begin at once the last by `order` counts. Null if none had begun, or if that one had ended (`until`)
+    by then. Questions and versions are sorted together by (keys, time), and the last version is carried forward
+    (`operators.scan`), so a key with a long history, or with most of the questions, is many tasks.
+    """
+    own = [F.col(k) for k in keys]
+    version = F.struct(*all_versions.columns)
+    asked = F.struct(*questions.columns)
+    rows = all_versions.select(*own, F.col(since).cast("timestamp").alias("_at"), F.lit(0).alias("_kind"), F.col(order).alias("_order"), version.alias("_version"))
+    rows = rows.unionByName(questions.select(*own, F.col(at).cast("timestamp").alias("_at"), F.lit(1).alias("_kind"), asked.alias("_asked")), allowMissingColumns=True)
+    rows = rows.where(F.col("_at").isNotNull() | F.col("_asked").isNotNull())
+    found = last_known(rows, keys, ["_at", "_kind", "_order"], "_version", "version").where(F.col("_asked").isNotNull())
+    valid = F.col("_at").isNotNull()
+    if until is not None:
+        valid &= F.col(f"version.{until}").isNull() | (F.col(f"version.{until}") > F.col("_at"))
+    return found.select("_asked.*", F.when(valid, F.col("version")).alias("version"))
+
+
 def product_facts(facts: DataFrame, product_id: str) -> DataFrame:
     return facts.where(F.col("product_id") == product_id).orderBy("attribute_key")
 

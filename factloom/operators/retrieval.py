@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from factloom.functions.text import entity_id
 from factloom.functions.vectors import cosine_distance, embedded, tokens
 from factloom.operators.query import value_text
+from factloom.sources.store import written
 
 
 def chunks(products: DataFrame, facts: DataFrame) -> DataFrame:
@@ -53,6 +58,107 @@ def nearest(rows: DataFrame, query: list[float], key: str = "chunk_id", vector:
     return rows.withColumn("distance", cosine_distance(F.col(vector), asked)).orderBy(F.asc_nulls_last("distance"), key).limit(limit)
 
 
+#: Bytes of question vectors that are broadcast at once, and of products that a task holds.
+ASKED_BYTES, PRODUCT_BYTES = 32 << 20, 16 << 20
+
+
+def _vectors(column: pa.Array, size: int) -> np.ndarray:
+    """Unit vectors of a list column as rows; NaN where there is no direction (null, zero, another length, a part that isn't a finite number)."""
+    out = np.full((len(column), size), np.nan)
+    lengths = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(lengths == size)
+    if size and len(at):
+        out[at] = pc.list_flatten(column.take(pa.array(at))).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), size)
+    with np.errstate(all="ignore"):
+        out /= np.abs(out).max(axis=1, keepdims=True)
+        out /= np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.where(np.isfinite(out).all(axis=1, keepdims=True), out, np.nan)
+
+
+class _Best:
+    """The `limit` nearest keys of each question so far; equal distances by key. No distance is farther than any."""
+
+    def __init__(self, asked: np.ndarray, limit: int):
+        self.asked, self.limit = asked, limit
+        self.question, self.key, self.distance = np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)
+        self.worst = np.full(len(asked), np.inf)
+
+    def add(self, keys: np.ndarray, own: np.ndarray) -> None:
+        distance = np.round(1 - own @ self.asked.T, 12)
+        distance[np.isnan(distance)] = np.inf
+        worst = self.worst
+        if len(keys) > self.limit:  # of these rows alone no more than their nearest, ties included
+            worst = np.minimum(worst, np.partition(distance, self.limit - 1, axis=0)[self.limit - 1])
+        some, question = np.nonzero((distance <= worst) & np.isfinite(distance))
+        # without a distance, only the first keys can count, and only where places are left
+        first, open_ = np.argsort(keys, kind="stable")[: self.limit], np.flatnonzero(np.isinf(self.worst))
+        far, asker = np.nonzero(np.isinf(distance[np.ix_(first, open_)]))
+        some, question = np.append(some, first[far]), np.append(question, open_[asker])
+        if not len(some):
+            return
+        key = np.concatenate([self.key, keys[some]])
+        distance = np.concatenate([self.distance, distance[some, question]])
+        question = np.concatenate([self.question, question])
+        order = np.lexsort((np.unique(key, return_inverse=True)[1], distance, question))
+        question = question[order]
+        rank = np.arange(len(question)) - np.searchsorted(question, question)
+        kept = order[rank < self.limit]
+        self.question, self.key, self.distance = question[rank < self.limit], key[kept], distance[kept]
+        last = rank == self.limit - 1
+        self.worst[question[last]] = distance[order[last]]
+
+
+def nearest_join(rows: DataFrame, questions: DataFrame, key: str = "chunk_id", question: str = "question_id", vector: str = "embedding", limit: int = 5) -> DataFrame:
+    """(question, key, distance, rank): the `limit` nearest rows of each question by cosine distance, exact.
+
+    Questions are taken in blocks of ASKED_BYTES, each broadcast and multiplied with the rows batch by batch; a task keeps
+    its `limit` nearest of each question, and the tasks' lists are merged by question. So what is shuffled is lists of
+    `limit`, never pairs, and however many questions there are, a task holds one block. Distances are rounded to twelve
+    places before they rank. Rows and questions without a direction (null, zero, a part that isn't a finite number,
+    another length than the longest question) have no distance and come last, by key. Rows without a key are left out.
+    """
+    spark = rows.sparkSession
+    asked = questions.select(F.col(question).alias("question"), F.col(vector).alias("embedding"))
+    n, size = asked.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    size = max(0, size or 0)
+    blocks = -(-n * 8 * max(1, size) // ASKED_BYTES)
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("question", "embedding"), F.lit(max(1, blocks))))
+    if blocks > 1:
+        asked = written(asked, "asked")
+    own = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("embedding"))
+    fields = [T.StructField("question", questions.schema[question].dataType), T.StructField("asked", T.StringType()), T.StructField("key", rows.schema[key].dataType), T.StructField("distance", T.DoubleType())]
+    schema = T.StructType(fields)
+
+    def searched(block: int) -> DataFrame:
+        some = asked.where(F.col("block") == block).toArrow()  # ASKED_BYTES, give or take
+        shared = spark.sparkContext.broadcast((some.column("question").to_pylist(), _vectors(some.column("embedding").combine_chunks(), size)))
+
+        def run(batches):
+            names, vectors = shared.value
+            best = [_Best(vectors[at : at + 1024], limit) for at in range(0, len(vectors), 1024)]
+            step = max(1, PRODUCT_BYTES // (8 * 1024))
+            kind = None
+            for batch in batches:
+                kind = batch.schema.field("key").type
+                for at in range(0, batch.num_rows, step):
+                    piece = batch.slice(at, step)
+                    keys, found = np.array(piece.column("key").to_pylist(), object), _vectors(piece.column("embedding"), size)
+                    for x in best:
+                        x.add(keys, found)
+            for i, x in enumerate(best):
+                at = x.question + i * 1024
+                told = pa.array(np.where(np.isinf(x.distance), np.nan, x.distance), from_pandas=True)
+                yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in at], asked_type), pa.array([f"{block} {k}" for k in at], pa.string()), pa.array(x.key.tolist(), kind), told], ["question", "asked", "key", "distance"])
+
+        asked_type = some.schema.field("question").type
+        return own.mapInArrow(run, schema)
+
+    found = reduce(DataFrame.union, map(searched, range(blocks)), spark.createDataFrame([], schema))
+    order = Window.partitionBy("asked").orderBy(F.asc_nulls_last("distance"), "key")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return ranked.select(F.col("question").alias(question), F.col("key").alias(key), "distance", "rank")
+
+
 #: (rows, key column, text column) -> (key, bucket, weight), of unit norm.
 Embedder = Callable[[DataFrame, str, str], DataFrame]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from factloom.functions import text, units, urls, vectors
-from factloom.operators import answer, extract, facts, normalize, ontology, quality, query, resolve, retrieval, review
+from factloom.operators import answer, crawl, extract, facts, normalize, ontology, quality, query, resolve, retrieval, review
 from factloom.plans.samples import event_observations, graph_pages, jsonld_pages, part_facts, part_products, shop_pages, spec_pages, table
 from factloom.sources import store
 
@@ -283,7 +283,7 @@ def url_dedupe(spark, sf_dir):
 WITH n AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)
 SELECT event_id, max(t - i * 7200000000) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) + i * 7200000000 AS granted_us FROM n""")
 def rate_limit(spark, sf_dir):
-    return urls.rate_limited(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 7200).select("event_id", F.unix_micros("granted_at").alias("granted_us"))
+    return crawl.rate_limited(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 7200).select("event_id", F.unix_micros("granted_at").alias("granted_us"))
 
 
 @registered("SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1")
@@ -355,6 +355,17 @@ def dense_topk_filtered(spark, sf_dir):
     return retrieval.nearest(table(spark, sf_dir, "embeddings").where("label = 3"), QUERY_VECTOR, "vec_id", limit=10).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
+@registered("""
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+SELECT q.vec_id AS question_id, r.vec_id, round(abs(list_cosine_distance(q.e, r.e)), 6) AS distance, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_distance(q.e, r.e), 12), r.vec_id) AS INT) AS rank
+FROM v q, v r WHERE q.vec_id % 50 = 0 QUALIFY rank <= 10""")
+def dense_topk_join(spark, sf_dir):
+    """The ten nearest of all vectors for each vector whose id is divisible by 50."""
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("question_id"), "embedding")
+    return retrieval.nearest_join(rows, asked, "vec_id", limit=10).select("question_id", "vec_id", F.round(F.abs("distance"), 6).alias("distance"), "rank")
+
+
 def _questions(spark, sf_dir):
     n = F.col("p_partkey")
     asked = F.element_at(F.array(*(F.lit(x) for x in ("What is the net weight of it?", "Which MATERIAL, please", "battery life?", "is it good"))), (n % 4 + 1).cast("int"))
@@ -461,13 +472,40 @@ def coverage_drop(spark, sf_dir):
     return days.withColumn("before", before).where("n < 0.95 * before").select("domain", F.col("day").cast("string").alias("day"), "n")
 
 
-@registered()
+@registered(r"""
+SELECT page_id, url, NOT starts_with(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/private') AS allowed, CAST(2 AS DOUBLE) AS crawl_delay FROM pages""")
 def robots_allowed(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     hosts = pages.select(urls.host(F.col("url")).alias("host")).distinct().withColumn("body", F.lit("User-agent: *\nDisallow: /private\nCrawl-delay: 2\n"))
     return urls.robots_allowed(pages, hosts, "factloom")
 
 
+@registered(r"""
+WITH p AS (SELECT page_id, lower(regexp_extract(url, '://([^/:?#]*)', 1)) AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path, page_id % 5 * 1000000 AS t FROM pages),
+n AS (SELECT page_id, host, t, (1 + length(host) % 3) * 1000000 AS step, row_number() OVER (PARTITION BY host ORDER BY t, page_id) AS i FROM p
+      WHERE NOT starts_with(path, '/' || ['fr', 'en', 'es', 'de'][length(host) % 4 + 1]))
+SELECT page_id, host, max(t - i * step) OVER (PARTITION BY host ORDER BY i ROWS UNBOUNDED PRECEDING) + i * step AS granted_us FROM n""")
+def crawl_schedule(spark, sf_dir):
+    """Pages that their host's rules allow, by the host's own delay: each host forbids one language."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.timestamp_seconds(F.col("page_id") % 5).alias("at"))
+    size = F.length("host")
+    barred = F.element_at(F.array(*map(F.lit, ("fr", "en", "es", "de"))), (size % 4 + 1).cast("int"))
+    hosts = pages.select(urls.host(F.col("url")).alias("host")).distinct()
+    robots = hosts.withColumn("body", F.format_string("User-agent: *\nDisallow: /%s\nCrawl-delay: %d\n", barred, 1 + size % 3))
+    return crawl.schedule(pages, robots, "factloom", order="page_id").select("page_id", "host", F.unix_micros("granted_at").alias("granted_us"))
+
+
+@registered("""
+WITH q AS (SELECT event_id AS question_id, user_id, event_type, ts + to_days(CAST(event_id % 7 - 3 AS INTEGER)) AS at FROM events)
+SELECT question_id, arg_max(e.event_id, (e.ts, e.event_id)) AS event_id FROM q LEFT JOIN events e ON e.user_id = q.user_id AND e.event_type = q.event_type AND e.ts <= q.at GROUP BY question_id""")
+def facts_as_of_join(spark, sf_dir):
+    """For each event, which of its user and type was the last some days earlier or later."""
+    events = table(spark, sf_dir, "events")
+    asked = events.select(F.col("event_id").alias("question_id"), "user_id", "event_type", (F.col("ts") + F.make_dt_interval((F.col("event_id") % 7 - 3).cast("int"))).alias("at"))
+    found = facts.as_of_join(asked, events.select("event_id", "user_id", "event_type", "ts"), ["user_id", "event_type"], since="ts", order="event_id")
+    return found.select("question_id", "version.event_id")
+
+
 @registered("SELECT CAST(p_partkey AS VARCHAR) AS page, 5 AS candidates, 4 AS facts_written, 1 AS facts_unmapped, 1 AS failed FROM part")
 def ingest_counts(spark, sf_dir):
     rows = quality.ingest_counts(_normal(spark, extract.extract(spec_pages(table(spark, sf_dir, "part")))))

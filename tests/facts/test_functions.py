@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import text, units, urls, vectors
+from factloom.operators import crawl
 
 
 def values(spark, rows, column, schema="x string"):
@@ -67,7 +68,7 @@ def test_rate_limit(spark):
     random.seed(2)
     start = dt.datetime(2024, 1, 1)
     rows = [(i, random.choice("ab"), start + dt.timedelta(seconds=random.randint(0, 60))) for i in range(60)]
-    got = {r.n: r.granted_at for r in urls.rate_limited(spark.createDataFrame(rows, "n int, d string, at timestamp"), "d", "at", "n", 2.5).collect()}
+    got = {r.n: r.granted_at for r in crawl.rate_limited(spark.createDataFrame(rows, "n int, d string, at timestamp"), "d", "at", "n", 2.5).collect()}
     last = {}
     for i, d, at in sorted(rows, key=lambda r: (r[2], r[0])):
         last[d] = max(at, last[d] + dt.timedelta(seconds=2.5)) if d in last else at
