@@ -5,11 +5,7 @@ JSON is read with native functions, each object parsed once; only the opening of
 
 from __future__ import annotations
 
-import json
-import re
-from bisect import bisect
 from collections.abc import Callable, Iterable, Iterator
-from html import unescape
 from typing import NamedTuple
 
 import pandas as pd
@@ -19,6 +15,7 @@ from pyspark.sql.types import ArrayType, StringType
 from factloom.functions.text import grounded, json_pair, split_quantity, strip
 from factloom.functions.units import MEASURED
 from factloom.functions.urls import source_url
+from factloom.operators import markup
 
 # Confidence by tier, the longest value of a table, and the properties that are attributes.
 CONFIDENCE = {"json_ld": 0.95, "cms_adapter": 0.9, "dom": 0.6, "llm_text": 0.85}
@@ -27,7 +24,8 @@ SCALARS = ["color", "material", "size", "pattern"]
 QUANTITIES = ["weight", "height", "width", "depth"]
 GTINS = ["gtin13", "gtin8", "gtin12", "gtin14", "gtin"]
 
-BLOCK = r"""(?is)<script\b[^>]*?\btype\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script"""
+BLOCK = r"""(?is)<script\b[^<>]*?\btype\s*=\s*["']application/ld\+json["'][^<>]*>(.*?)</script"""
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STRINGS = "array<string>"
 
 
@@ -77,27 +75,10 @@ def _list(node: Column) -> Column:
     return F.coalesce(F.when(_kind(node) == "array", F.from_json(node, STRINGS)), F.array().cast(STRINGS))
 
 
-def _objects(block: str | None) -> list[str]:
-    """The objects of a JSON text: lists are opened from their end, and an object is followed by its @graph, likewise; to any depth."""
-    try:
-        open_ = [json.loads(block or "")]
-    except ValueError:
-        return []
-    found = []
-    while open_:
-        x = open_.pop()
-        if isinstance(x, dict):
-            found.append(json.dumps(x, ensure_ascii=False))
-            x = x.get("@graph")
-        if isinstance(x, list):
-            open_ += x
-    return found
-
-
 @F.pandas_udf(ArrayType(StringType()))
 def _opened(blocks: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for series in blocks:
-        yield series.map(_objects)
+        yield series.map(markup.objects)
 
 
 def _provenance(tier: int, kind: str, method: str, span: Column) -> Column:
@@ -147,9 +128,22 @@ def _measure(node: Node) -> tuple[Column, Column]:
     return value, F.when(node.is_object(), _unit_of(node))
 
 
+def jsonld_blocks(artifacts: DataFrame) -> DataFrame:
+    """The JSON-LD blocks of pages: page columns, block_at, block. What follows the last end of a script holds none, so each search finds its end."""
+    last = F.substring_index(F.translate("content", UPPER, LOWER), "</script", -1)
+    closed = F.substr("content", F.lit(1), F.length("content") - F.length(last))
+    return _pages(artifacts).select("*", F.posexplode(F.regexp_extract_all(closed, F.lit(BLOCK), F.lit(1))).alias("block_at", "block")).drop("content")
+
+
+def jsonld_failures(artifacts: DataFrame) -> DataFrame:
+    """(raw_artifact_id, blocks, failed): how many JSON-LD blocks a page has, and how many of them can't be read."""
+    rows = jsonld_blocks(artifacts).select("raw_artifact_id", _opened("block").isNull().alias("failed"))
+    return rows.groupBy("raw_artifact_id").agg(F.count("*").alias("blocks"), F.count_if("failed").alias("failed"))
+
+
 def jsonld(artifacts: DataFrame, tier_pos: int = 0) -> DataFrame:
-    """Facts of schema.org products in JSON-LD blocks. Malformed blocks give none; lists and @graph are opened to any depth."""
-    blocks = _pages(artifacts).select("*", F.posexplode(F.regexp_extract_all("content", F.lit(BLOCK), F.lit(1))).alias("block_at", "block")).drop("content")
+    """Facts of schema.org products in JSON-LD blocks. Blocks that can't be read give none; lists and @graph are opened as deep as JSON can be read."""
+    blocks = jsonld_blocks(artifacts)
     nodes = blocks.select("*", F.posexplode(_opened("block")).alias("node_at", "node")).drop("block").withColumn("parsed", F.try_parse_json("node"))
     n = Node(F.col("node"), F.col("parsed"))
     kind = n.member("@type")
@@ -206,41 +200,14 @@ def shop_json(artifacts: DataFrame, tier_pos: int = 1) -> DataFrame:
     return _candidates(rows.withColumn("place", F.col("fact_at").cast("long")), 2, tier_pos, "cms_adapter", "shop_json_v1")
 
 
-BODY = r"((?:(?!<(?:t[dh]|d[td])\b).)*?)"
-CELLS = re.compile(rf"(?is)<(?:t[dh]\b[^>]*>{BODY}</t[dh]|dt\b[^>]*>{BODY}</dt|dd\b[^>]*>{BODY}</dd)\s*>")
-BORDERS = re.compile(r"(?i)<(/?)tr\b[^>]*>")
-UNSEEN = re.compile(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>")
-
-
-def _cells(html: str | None) -> list[tuple[str, str]]:
-    """Label/value pairs: table rows of two cells with text, and terms with the first definition after them.
-
-    Cells between the same two row borders are a row, if the second border is a row's end.
-    """
-    page = UNSEEN.sub("", html or "")
-    borders = [(m.start(), m[1] == "/") for m in BORDERS.finditer(page)]
-    cells = [(m.end(), m.lastindex, " ".join(unescape(re.sub("<[^>]*>", "", m[m.lastindex])).split())) for m in CELLS.finditer(page)]
-    rows: dict[int, list[str]] = {}
-    for at, kind, text in cells:
-        if kind == 1:
-            rows.setdefault(bisect(borders, (at,)), []).append(text)
-    found = [(borders[k][0], *row) for k, row in rows.items() if k < len(borders) and borders[k][1] and len(row) == 2 and all(row)]
-    listed = [(at, kind, text) for at, kind, text in cells if kind > 1]
-    found += [(at, term, text) for (_, before, term), (at, kind, text) in zip(listed, listed[1:]) if before == 2 and kind == 3 and term and text]
-    return [(label, value) for _, label, value in sorted(found)]
+def spec_read(artifacts: DataFrame) -> DataFrame:
+    """(raw_artifact_id, source_url, fetched_at, place, label, value, error) of specification tables and lists, through the contract of readers."""
+    may = F.lower("content").rlike("<(?:tr|dt|td|th|dd)\\b")
+    return markup.read(_pages(artifacts).where(may), markup.cells, "factloom_spec_cells")
 
 
 def spec_pairs(artifacts: DataFrame) -> DataFrame:
-    """(raw_artifact_id, source_url, fetched_at, place, label, value) of specification tables and lists. Only markup is parsed in Python."""
-
-    def run(frames):
-        for frame in frames:
-            frame["pairs"] = [[{"label": a, "value": b} for a, b in _cells(x)] for x in frame["content"]]
-            yield frame.drop(columns=["content"])
-
-    may = F.lower("content").rlike("<(?:tr|dt|td|th|dd)\\b")
-    pairs = _pages(artifacts).where(may).mapInPandas(run, "raw_artifact_id string, source_url string, fetched_at timestamp, pairs array<struct<label: string, value: string>>")
-    return pairs.select("raw_artifact_id", "source_url", "fetched_at", F.posexplode("pairs").alias("place", "x")).select("raw_artifact_id", "source_url", "fetched_at", F.col("place").cast("long"), "x.label", "x.value")
+    return markup.pairs_of(spec_read(artifacts))
 
 
 def spec_tables(artifacts: DataFrame, tier_pos: int = 2) -> DataFrame:

@@ -1,0 +1,157 @@
+"""Readers of pages: specification cells of markup in one pass, objects of JSON-LD, and the contract by which SQL calls readers.
+
+A reader is a function from a page's text to (label, value) pairs. `reader` makes it a table function that a lateral join
+calls for each page. A page that a reader can't read gives no pairs but one row with the error's name, so it ends no task.
+"""
+
+from __future__ import annotations
+
+import json
+import re
+from collections.abc import Callable, Iterable
+from html import unescape
+
+from pyspark.sql import DataFrame, functions as F
+
+#: A page's text -> pairs of label and value.
+Reader = Callable[[str], Iterable[tuple[str, str]]]
+
+SCHEMA = "place bigint, label string, value string, error string"
+#: What a reader may raise for a page: anything else is a fault of the reader.
+PAGE_ERRORS = (ValueError, TypeError, KeyError, IndexError, RecursionError, OverflowError)
+SURROGATES = re.compile("[\ud800-\udfff]")
+
+
+def whole_text(x: str) -> str:
+    """Text that Arrow and Spark take: a surrogate without its partner becomes the replacement character."""
+    return SURROGATES.sub("�", x)
+
+
+def reader(pairs: Reader):
+    """The table function of a reader, to be registered with `spark.udtf.register` or used by `read`."""
+
+    class Rows:
+        def eval(self, content: str):
+            try:
+                found = [(i, whole_text(a), whole_text(b), None) for i, (a, b) in enumerate(pairs(content or ""))]
+            except PAGE_ERRORS as e:
+                found = [(None, None, None, type(e).__name__)]
+            yield from found
+
+    return F.udtf(Rows, returnType=SCHEMA, useArrow=True)
+
+
+def read(pages: DataFrame, pairs: Reader, name: str) -> DataFrame:
+    """pages (content, ...) with place, label, value of what the reader finds, or its error; without content. The reader is registered by `name`."""
+    spark = pages.sparkSession
+    spark.udtf.register(name, reader(pairs))
+    kept = ", ".join(f"p.`{k}`" for k in pages.columns if k != "content")
+    return spark.sql(f"SELECT {kept}, x.* FROM {{pages}} p, LATERAL {name}(p.content) x", pages=pages)
+
+
+def pairs_of(found: DataFrame) -> DataFrame:
+    return found.where("error IS NULL").drop("error")
+
+
+def failures(found: DataFrame) -> DataFrame:
+    """(error, pages): how many pages a reader couldn't read."""
+    return found.where("error IS NOT NULL").groupBy("error").agg(F.count("*").alias("pages"))
+
+
+UNSEEN = re.compile("(?i)<(script|style)\\b")
+CLOSERS = {x: re.compile(rf"(?i)</{x}\s*>") for x in ("script", "style")} | {"comment": re.compile("-->")}
+TAG = re.compile(r"(?i)<(/?)(t[dhr]|d[td])\b")
+ENDS = re.compile(r"</..\s*>")
+CELL, TERM, TEXT = "cell", "term", "text"
+KINDS = {"td": CELL, "th": CELL, "dt": TERM, "dd": TEXT}
+
+
+def pieces(page: str):
+    """(text, tag) through the page: text before a tag, and the tag; the last tag is empty. Comments, scripts and styles are left out.
+
+    Each search goes on from where the page has been read to; one that finds nothing isn't made again, so time grows
+    with the page whatever is unclosed in it.
+    """
+    at, missing = 0, set()
+
+    def after(what: str, search) -> int:
+        """Where the next `what` ends, or -1."""
+        found = -1 if what in missing else search()
+        if found < 0:
+            missing.add(what)
+        return found
+
+    def closer(name: str, begin: int) -> int:
+        m = CLOSERS[name].search(page, begin)
+        return m.end() if m else -1
+
+    while True:
+        begin = page.find("<", at)
+        if begin < 0:
+            yield page[at:], ""
+            return
+        end, tag = -1, ""
+        if page.startswith("<!--", begin):
+            end = after("comment", lambda: closer("comment", begin + 4))
+        elif m := UNSEEN.match(page, begin):
+            end = after(m[1].lower(), lambda: closer(m[1].lower(), begin))
+        if end < 0:
+            end = page.find(">", begin) + 1
+            if not end:
+                yield page[at:], ""
+                return
+            tag = page[begin:end]
+        yield page[at:begin], tag
+        at = end
+
+
+def cells(page: str) -> list[tuple[str, str]]:
+    """Label/value pairs: table rows of two cells with text, and terms with the first definition after them.
+
+    A cell ends at its own kind's end tag; one in which another cell begins first is none. Cells that end between the
+    same two borders of rows are a row, if the second border is a row's end.
+    """
+    found: list[tuple[str, str]] = []
+    row: list[str] = []
+    kind, text, term = None, [], None
+    for before, tag in pieces(page):
+        if kind:
+            text.append(before)
+        m = TAG.match(tag)
+        if not m:
+            continue
+        name, closes = m[2].lower(), m[1] == "/"
+        if name == "tr":
+            if closes and len(row) == 2 and all(row):
+                found.append((row[0], row[1]))
+            row = []
+        elif not closes:
+            kind, text = KINDS[name], []
+        elif kind == KINDS[name] and ENDS.fullmatch(tag):
+            words = " ".join(unescape("".join(text)).split())
+            if kind == CELL:
+                row.append(words)
+            elif kind == TEXT and term and words:
+                found.append((term, words))
+            if kind != CELL:
+                term = words if kind == TERM else None
+            kind = None
+    return found
+
+
+def objects(block: str | None) -> list[str] | None:
+    """The objects of a JSON text, each as JSON: those in lists, at any depth, and those in the list @graph of an object.
+
+    Lists count from their end, and an object stands before its graph. Each value has a path of the places it was found
+    at, and ascending paths are that order. None for a text that isn't JSON, or is nested too deeply to be read.
+    """
+    try:
+        level, found = [((), json.loads(block or ""))], []
+        while level:
+            found += [(path, x) for path, x in level if isinstance(x, dict)]
+            lists = [(path, x.get("@graph") if isinstance(x, dict) else x) for path, x in level]
+            level = [((*path, -i), y) for path, x in lists if isinstance(x, list) for i, y in enumerate(x)]
+        found.sort(key=lambda x: x[0])
+        return [whole_text(json.dumps(x, ensure_ascii=False)) for _, x in found]
+    except (ValueError, RecursionError):
+        return None

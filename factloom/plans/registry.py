@@ -59,6 +59,11 @@ def jsonld_graph(spark, sf_dir):
     return rows.select(F.col("raw_artifact_id").alias("page"), F.col("raw_attribute").alias("name"), F.col("raw_value").alias("value"), F.col("detected_ids")["mpn"].alias("mpn"))
 
 
+@registered("SELECT CAST(p_partkey AS VARCHAR) AS raw_artifact_id, 2 AS blocks, 1 AS failed FROM part")
+def jsonld_failures(spark, sf_dir):
+    return extract.jsonld_failures(graph_pages(table(spark, sf_dir, "part")))
+
+
 @registered("""
 WITH p AS (SELECT *, CAST(p_partkey AS VARCHAR) AS page FROM part)
 SELECT page, 'weight' AS name, CAST(p_size * 100 AS VARCHAR) AS value, 'g' AS unit, page AS gtin, 'S' || page AS sku FROM p
