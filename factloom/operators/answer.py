@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from factloom.functions.text import normalized_label
 from factloom.operators.query import value_text
-from factloom.operators.retrieval import search
+from factloom.operators.search import search
 
 WORDS = 8
 TOP = 3

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -11,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from factloom.functions.text import entity_id
-from factloom.functions.vectors import cosine_distance, embedded, tokens
+from factloom.functions.vectors import cosine_distance, tokens
 from factloom.operators.query import value_text
 from factloom.sources.store import written
 
@@ -159,35 +158,6 @@ def nearest_join(rows: DataFrame, questions: DataFrame, key: str = "chunk_id", q
     return ranked.select(F.col("question").alias(question), F.col("key").alias(key), "distance", "rank")
 
 
-#: (rows, key column, text column) -> (key, bucket, weight), of unit norm.
-Embedder = Callable[[DataFrame, str, str], DataFrame]
-
-
-def search(chunk_rows: DataFrame, questions: DataFrame, limit: int = 5, embed: Embedder = embedded) -> DataFrame:
-    """The `limit` nearest chunks of each question (question_id, text, brand or null): (question_id, chunk_id, distance, rank).
-
-    Vectors stay sparse: shared buckets are joined and their products summed. Eligible chunks that share no bucket with
-    a question have distance 1, so they only fill up places, by chunk_id; a bucket is read by the questions that have it.
-    """
-    q = embed(questions, "question_id", "text").select("question_id", "bucket", F.col("weight").alias("w"))
-    c = embed(chunk_rows.where(~F.coalesce("stale", F.lit(False))), "chunk_id", "body")
-    dots = q.join(c, "bucket").groupBy("question_id", "chunk_id").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    meta = chunk_rows.select("chunk_id", F.col("brand").alias("_brand"))
-    rows = dots.join(meta, "chunk_id").join(questions.select("question_id", "brand"), "question_id").where(F.col("brand").isNull() | (F.col("brand") == F.col("_brand")))
-    # places left over: the first chunks of the brand, or of all
-    spare_all = eligible(chunk_rows).select("chunk_id", F.col("brand").alias("_brand"))
-    per_brand = Window.partitionBy("_brand").orderBy("chunk_id")
-    first = spare_all.withColumn("_n", F.row_number().over(per_brand)).where(F.col("_n") <= limit).select("chunk_id", "_brand")
-    filled = questions.join(first, F.col("brand") == F.col("_brand")).select("question_id", "chunk_id")
-    general = spare_all.orderBy("chunk_id").limit(limit).select(F.collect_list("chunk_id").alias("ids"))
-    ids = (general.first() or [[]])[0]  # `limit` ids
-    filled = filled.unionByName(questions.where("brand IS NULL").select("question_id", F.explode(F.array(*map(F.lit, ids)).cast("array<string>")).alias("chunk_id")))
-    every = rows.select("question_id", "chunk_id", (1 - F.col("dot")).alias("distance")).unionByName(filled.select("question_id", "chunk_id", F.lit(1.0).alias("distance")))
-    every = every.groupBy("question_id", "chunk_id").agg(F.min("distance").alias("distance"))
-    best = Window.partitionBy("question_id").orderBy("distance", "chunk_id")
-    return every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
-
-
 def bm25(chunk_rows: DataFrame, questions: DataFrame, k1: float = 1.2, b: float = 0.75, limit: int = 5) -> DataFrame:
     """Keyword search by BM25: (question_id, chunk_id, score, rank). An extension.
 

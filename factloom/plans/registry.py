@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from factloom.functions import text, units, urls, vectors
-from factloom.operators import answer, crawl, extract, facts, normalize, ontology, quality, query, resolve, retrieval, review
+from factloom.operators import answer, crawl, extract, facts, normalize, ontology, quality, query, resolve, retrieval, review, search
 from factloom.plans.samples import event_observations, graph_pages, jsonld_pages, part_facts, part_products, shop_pages, spec_pages, table
 from factloom.sources import store
 
@@ -435,6 +435,31 @@ def keyword_search(spark, sf_dir):
     return retrieval.bm25(_chunks(spark, sf_dir), asked).select("question_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+def _vector(name, key, text, rows):
+    """SQL of the hashed vectors of a table's text."""
+    return f"""{name}n AS (SELECT {key} AS k, CAST(('0x' || substr(sha1(t), 1, 8)) AS BIGINT) % 1024 AS bucket, count(*) AS n FROM (SELECT {key}, unnest(regexp_extract_all(lower({text}), '[a-z0-9]+')) AS t FROM {rows}) GROUP BY ALL),
+{name} AS (SELECT k, bucket, n / sqrt(CAST(sum(n * n) OVER (PARTITION BY k) AS DOUBLE)) AS w FROM {name}n)"""
+
+
+@registered(
+    CHUNK
+    + f""",
+ch AS (SELECT 'chk_' || substr(sha256(product_id || chr(1) || 'fact'), 1, 26) AS chunk_id, brand, body FROM c),
+q AS (SELECT p_partkey AS question_id, 'Which ' || p_type || ' has a net weight of ' || p_size || '00 g?' AS text, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS brand FROM part),
+{_vector("cv", "chunk_id", "body", "ch")},
+{_vector("qv", "question_id", "text", "q")},
+dots AS (SELECT qv.k AS question_id, cv.k AS chunk_id, sum(qv.w * cv.w) AS dot FROM qv JOIN cv USING (bucket) GROUP BY ALL),
+r AS (SELECT q.question_id, ch.chunk_id, round(1 - coalesce(dot, 0), 9) AS distance FROM q JOIN ch ON q.brand IS NULL OR q.brand = ch.brand LEFT JOIN dots ON dots.question_id = q.question_id AND dots.chunk_id = ch.chunk_id)
+SELECT question_id, chunk_id, round(distance, 6) AS distance, CAST(row_number() OVER (PARTITION BY question_id ORDER BY distance, chunk_id) AS INT) AS rank FROM r QUALIFY rank <= 5"""
+)
+def chunk_search(spark, sf_dir):
+    """The five nearest chunks of a question about each part, half of them within a brand."""
+    n = F.col("p_partkey")
+    text_ = F.format_string("Which %s has a net weight of %d00 g?", "p_type", "p_size")
+    asked = table(spark, sf_dir, "part").select(n.alias("question_id"), text_.alias("text"), F.when(n % 2 == 0, F.col("p_brand")).alias("brand"))
+    return search.search(_chunks(spark, sf_dir), asked).select("question_id", "chunk_id", F.round("distance", 6).alias("distance"), "rank")
+
+
 SCORED = """
 WITH o AS (SELECT event_id, 'v' || (user_id % 3) AS vendor, event_type AS category, user_id AS case_id, CASE WHEN event_id % 10 = 0 THEN 'missing' WHEN event_id % 10 < 3 THEN 'wrong' ELSE 'correct' END AS status, CASE WHEN event_id % 10 > 0 THEN event_id % 3 + 1 END AS tier FROM events)
 """

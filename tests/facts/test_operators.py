@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import answer, extract, facts, normalize, ontology, quality, query, resolve, retrieval, review
+from factloom.operators import answer, extract, facts, normalize, ontology, quality, query, resolve, retrieval, review, search
 from factloom.plans import ingest
 from factloom.sources import store
 from factloom.streaming import ingest as stream
@@ -308,7 +308,7 @@ def test_chunks(chunked):
 def test_search(spark, chunked):
     asked = spark.createDataFrame([(1, "IP54 rating", None), (2, "IP54 rating", "Nord"), (3, "кружка", "Sud"), (4, "кружка", "Nobody")], "question_id int, text string, brand string")
     got = {}
-    for r in retrieval.search(chunked, asked, 2).join(chunked.select("chunk_id", "product_id"), "chunk_id").orderBy("question_id", "rank").collect():
+    for r in search.search(chunked, asked, 2).join(chunked.select("chunk_id", "product_id"), "chunk_id").orderBy("question_id", "rank").collect():
         got.setdefault(r.question_id, []).append(r.product_id)
     assert got[1][0] == "b" and got[2][0] == "a" and got[3] == ["b"] and 4 not in got and len(got[1]) == 2
     best = retrieval.bm25(chunked, asked.where("question_id = 1")).where("rank = 1").join(chunked, "chunk_id").first()
