@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from factloom.functions.text import entity_id
 from factloom.functions.vectors import cosine_distance, tokens
 from factloom.operators.query import value_text
+from factloom.sources import buckets
 from factloom.sources.store import written
 
 
@@ -42,6 +43,11 @@ def replace_chunks(stored: DataFrame, new: DataFrame) -> DataFrame:
     return stored.join(new.select("product_id", "kind").distinct(), ["product_id", "kind"], "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def store_chunks(new: DataFrame, path: str, batch: int) -> None:
+    """Replace the chunks of (product_id, kind) in `new` in the table at `path`; only the buckets of those keys are rewritten."""
+    buckets.replace(new, path, ["product_id", "kind"], batch)
+
+
 def eligible(rows: DataFrame, brand: str | None = None, category: str | None = None) -> DataFrame:
     rows = rows.where(~F.coalesce("stale", F.lit(False)))
     if brand is not None:

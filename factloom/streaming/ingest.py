@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
 from factloom.operators.facts import FLAGS, OBSERVED, decide, step
 from factloom.schemas import RAW_ARTIFACT
+from factloom.sources import buckets
 
 STATE = "row string"
 
@@ -20,9 +21,32 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(RAW_ARTIFACT).parquet(path)
 
 
-def once(artifacts: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Each artifact id once within the delay."""
-    return artifacts.withWatermark("fetched_at", delay).dropDuplicatesWithinWatermark(["raw_artifact_id"])
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _First(StatefulProcessor):
+    """Lets the first row of a key through: of those that come together the earliest fetch, then the least url."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if not self.seen.exists():
+            self.seen.update((True,))
+            yield min(rows, key=lambda r: (r.fetched_at is None, r.fetched_at, r.url or ""))
+
+    def close(self) -> None:
+        pass
+
+
+def once(artifacts: DataFrame) -> DataFrame:
+    """Each artifact id once, however late a repeat or a first page comes: nothing is dropped by time.
+
+    What has been seen is one value a raw_artifact_id in the state store, on disk (RocksDB, set here for the session), so
+    it grows with the number of distinct artifacts and is kept over restarts by the query's checkpoint.
+    """
+    artifacts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return artifacts.groupBy("raw_artifact_id").transformWithState(statefulProcessor=_First(), outputStructType=artifacts.schema, outputMode="append", timeMode="none")
 
 
 def versions(observations: DataFrame, decide_=decide) -> DataFrame:
@@ -57,26 +81,23 @@ def versions(observations: DataFrame, decide_=decide) -> DataFrame:
 
 
 def upsert(changes: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Write a stream of changes to a fact log at `path`; `fact_log` reads it. Trigger options as for `writeStream.trigger`.
+    """Keep a fact log at `path` by a stream of changes; `fact_log` reads it. Trigger options as for `writeStream.trigger`.
 
-    Each micro-batch overwrites a folder of its own, so one that runs again after a failure leaves the same rows. No
-    batch reads or rewrites what the others wrote.
+    A micro-batch replaces the rows of its fact_ids in the buckets that they are in (`sources.buckets`).
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+        buckets.replace(last_changes(batch), path, ["fact_id"], number)
 
     return changes.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def fact_log(spark: SparkSession, path: str) -> DataFrame:
-    """The fact log that `upsert` wrote: each fact_id in its last state."""
-    return last_changes(spark.read.parquet(path).drop("batch"))
+def fact_log(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The fact log that `upsert` keeps: each fact_id in its last state. schema: that of `last_changes`."""
+    return buckets.table(spark, path, schema)
 
 
 def last_changes(changes: DataFrame) -> DataFrame:
     """The fact log from its changes."""
-    from pyspark.sql import functions as F
-
     rest = [c for c in changes.columns if c not in ("fact_id", "change")]
     return changes.groupBy("fact_id").agg(F.max_by(F.struct(*rest), "change").alias("x")).select("fact_id", "x.*")
