@@ -42,7 +42,7 @@ ROUNDS = 2
 MOST_BYTES = 32 << 20
 #: More than rounding can add to an angle or a product of unit vectors.
 SLACK = 1e-6
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 NODE = "factloom_node"
 HOME, WHOLE, VISIT, EDGE = range(4)
 
