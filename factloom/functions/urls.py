@@ -38,6 +38,11 @@ def canonical_url(url: Column) -> Column:
     return F.concat(F.lower(origin), F.when(path == "", "/").otherwise(path), F.when(text != "", F.concat(F.lit("?"), text)).otherwise(""))
 
 
+def deduped(pages: DataFrame, key: str, url: str = "url") -> DataFrame:
+    """(canonical_url, key, n): the least key of the pages of each canonical URL, and how many there are."""
+    return pages.groupBy(canonical_url(F.col(url)).alias("canonical_url")).agg(F.min(key).alias(key), F.count("*").alias("n"))
+
+
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1))
 

@@ -6,19 +6,21 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from factloom.functions.text import normalized_label
 from factloom.operators.query import value_text
+from factloom.operators.resolve import resolve
 from factloom.operators.search import search
 
-WORDS = 8
 TOP = 3
 
 
 def asked_attributes(questions: DataFrame, labels: DataFrame) -> DataFrame:
     """(question_id, attribute_key) for questions that name a label: the longest one, of equally long ones the first attribute's.
 
-    Runs of up to WORDS words of the question are joined with the labels by equality, so no question meets every label.
+    Runs of as many words of the question as the longest label has are joined with the labels by equality, so no question
+    meets every label.
     """
+    most = labels.agg(F.max(F.size(F.split("label", " ")))).first()[0] or 1
     words = F.split(normalized_label(F.col("text")), " ")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(WORDS)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("_w", i, n), " "))))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("_w", i, n), " "))))
     phrases = questions.select("question_id", words.alias("_w")).select("question_id", F.explode(F.array_distinct(runs)).alias("label"))
     best = F.max_by("attribute_key", F.struct(F.length("label"), -F.col("ordinal"))).alias("attribute_key")
     return phrases.join(labels, "label").groupBy("question_id").agg(best)
@@ -39,12 +41,24 @@ NO_ATTRIBUTE = "Could not tell which attribute is being asked about. Please name
 NO_PRODUCT = "Could not resolve the product. Provide product_id, GTIN, MPN, or brand + model."
 
 
-def answer(questions: DataFrame, labels: DataFrame, facts: DataFrame, chunk_rows: DataFrame | None = None) -> DataFrame:
-    """questions (question_id, text, product_id resolved or null, brand or null) -> found, route, answer and citation.
+def about(questions: DataFrame, products: DataFrame) -> DataFrame:
+    """questions with product_id: their own, or else the product that their gtin, mpn and brand, or brand and model name."""
+    names = [k for k in ("gtin", "mpn", "brand", "model") if k not in questions.columns]
+    rows = questions.withColumns({k: F.lit(None).cast("string") for k in names})
+    own = F.when(F.col("product_id") != "", F.col("product_id")) if "product_id" in questions.columns else F.lit(None).cast("string")
+    found = resolve(rows.withColumn("_own", own).drop("product_id"), products)
+    return found.withColumn("product_id", F.coalesce("_own", "product_id")).drop("_own")
 
+
+def answer(questions: DataFrame, labels: DataFrame, facts: DataFrame, chunk_rows: DataFrame | None = None, products: DataFrame | None = None) -> DataFrame:
+    """questions (question_id, text, product_id or null, brand or null) -> found, route, answer and citation.
+
+    With products, a question without a product_id is about the product that its gtin, mpn, brand and model resolve to.
     An exact fact comes first; then, if there are chunks, the best one; then an honest refusal. Only questions without
     an exact fact are searched for.
     """
+    if products is not None:
+        questions = about(questions, products)
     f = facts.select("product_id", "attribute_key", "value_num", "value_text", "canonical_unit", "original_value", "disputed", "source_url", "source_span", "fetched_at")
     rows = questions.join(asked_attributes(questions, labels), "question_id", "left").join(f, ["product_id", "attribute_key"], "left")
     exact = F.col("fetched_at").isNotNull()

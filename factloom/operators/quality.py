@@ -26,17 +26,13 @@ def outcomes(expected: DataFrame, facts: DataFrame) -> DataFrame:
 
 def scorecard(rows: DataFrame) -> DataFrame:
     """Counts and ratios over all cases, by vendor, by category and by both, in one pass. A null in vendor or category stands for all."""
-    name = rows.sparkSession
-    rows.createOrReplaceTempView("factloom_outcomes")
-    return name.sql(
-        """
-        SELECT vendor, category, CAST(grouping(vendor) * 2 + grouping(category) AS INT) AS level,
-               count(DISTINCT case_id) AS n_cases, count(*) AS n_expected, count_if(status = 'correct') AS n_correct, count_if(status = 'wrong') AS n_wrong, count_if(status = 'missing') AS n_missing,
-               round(coalesce(try_divide(count_if(status = 'correct'), count_if(status <> 'missing')), 0), 4) AS accuracy,
-               round(coalesce(try_divide(count_if(status <> 'missing'), count(*)), 0), 4) AS coverage
-        FROM factloom_outcomes GROUP BY GROUPING SETS ((), (vendor), (category), (vendor, category))
-        """
-    )
+    sets = [["vendor", "category"], ["vendor"], ["category"], []]
+    counted = {f"n_{x}": F.count_if(F.col("status") == x) for x in ("correct", "wrong", "missing")}
+    found = counted["n_correct"] + counted["n_wrong"]
+    return rows.groupingSets(sets, "vendor", "category").agg(
+        F.grouping_id().cast("int").alias("level"), F.count_distinct("case_id").alias("n_cases"), F.count("*").alias("n_expected"), *(v.alias(k) for k, v in counted.items()),
+        F.round(ratio(counted["n_correct"], found), 4).alias("accuracy"), F.round(ratio(found, F.count("*")), 4).alias("coverage"),
+    )
 
 
 def tier_counts(rows: DataFrame, *by: str) -> DataFrame:
@@ -53,9 +49,16 @@ def answer_accuracy(pairs: DataFrame, got: str, want: str) -> DataFrame:
 
 
 def distribution(rows: DataFrame, label: str) -> DataFrame:
-    """(label, n, share) of each value; one row a value, so the total is a window over few rows."""
+    """(label, n, share) of each value."""
     counts = rows.groupBy(F.col(label).cast("string").alias("label")).agg(F.count("*").alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))
+    return counts.withColumn("share", F.col("n") / rows.agg(F.count("*")).scalar())
+
+
+def coverage_drops(pages: DataFrame, domain: str, at: str, share: float = 0.5) -> DataFrame:
+    """(domain, day, n, before): days with less than `share` of the domain's pages of the last day before that had any."""
+    days = pages.groupBy(F.col(domain).alias("domain"), F.to_date(at).alias("day")).agg(F.count("*").alias("n"))
+    before = F.lag("n").over(Window.partitionBy("domain").orderBy("day"))  # a row a day
+    return days.withColumn("before", before).where(F.col("n") < share * F.col("before"))
 
 
 def ingest_counts(normalized: DataFrame) -> DataFrame:

@@ -40,14 +40,11 @@ def resolve(items: DataFrame, resolutions: DataFrame) -> DataFrame:
     """items with open ones resolved by resolutions (item_id, status, resolved_by, resolution, resolved_at); the first for an item counts."""
     first = Window.partitionBy("item_id").orderBy("resolved_at", "resolved_by", "resolution")
     once = resolutions.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("item_id", F.struct("status", "resolved_by", "resolution", "resolved_at").alias("_r"))
-    rows = items.drop("resolved_by", "resolution", "resolved_at").join(once, "item_id", "left")
+    rows = items.join(once, "item_id", "left")
     now = (F.col("status") == "open") & F.col("_r").isNotNull()
-    kept = [c for c in ("resolved_by", "resolution", "resolved_at") if c in items.columns]
-    if kept:
-        rows = rows.join(items.select("item_id", F.struct(*kept).alias("_old")), "item_id", "left")
     for c in ("resolved_by", "resolution", "resolved_at"):
-        rows = rows.withColumn(c, F.when(now, F.col(f"_r.{c}")).otherwise(F.col(f"_old.{c}") if c in kept else F.lit(None)))
-    return rows.withColumn("status", F.when(now, F.col("_r.status")).otherwise(F.col("status"))).drop("_r", "_old")
+        rows = rows.withColumn(c, F.when(now, F.col(f"_r.{c}")).otherwise(F.col(c) if c in items.columns else F.lit(None)))
+    return rows.withColumn("status", F.when(now, F.col("_r.status")).otherwise(F.col("status"))).drop("_r")
 
 
 def learned(items: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from factloom.functions import text, units, urls, vectors
 from factloom.operators import answer, crawl, extract, facts, normalize, ontology, quality, query, resolve, retrieval, review, search
+from factloom.plans import benchmark
 from factloom.plans.samples import event_observations, graph_pages, jsonld_pages, part_facts, part_products, shop_pages, spec_pages, table
 from factloom.sources import store
 
@@ -252,10 +253,49 @@ def _refs(part):
     )
 
 
-@registered()
+def _replayed(refs: str) -> str:
+    """SQL that replays references (seq, product_id, gtin, mpn, brand, model) one by one: each key's product is kept by the key's number."""
+    return f"""
+WITH RECURSIVE refs AS (SELECT row_number() OVER (ORDER BY seq) AS i, * FROM ({refs})),
+keyed AS (SELECT i, 1 AS rung, 'g' || gtin AS k FROM refs WHERE gtin <> '' UNION ALL SELECT i, 2, 'm' || mpn || chr(1) || brand FROM refs WHERE mpn <> '' AND brand IS NOT NULL
+          UNION ALL SELECT i, 3, 'b' || brand || chr(1) || lower(model) FROM refs WHERE brand IS NOT NULL AND model IS NOT NULL),
+ranked AS (SELECT i, rung, dense_rank() OVER (ORDER BY k) AS k FROM keyed),
+own AS (SELECT refs.i, list(k ORDER BY rung) FILTER (WHERE k IS NOT NULL) AS ks, any_value(product_id) AS given FROM refs LEFT JOIN ranked USING (i) GROUP BY refs.i),
+run AS (
+  SELECT CAST(0 AS BIGINT) AS i, list_transform(range((SELECT coalesce(max(k), 0) FROM ranked)), lambda x: CAST(NULL AS BIGINT)) AS t, CAST(NULL AS BIGINT) AS maker
+  UNION ALL
+  SELECT i, CASE WHEN found IS NULL THEN list_transform(t, lambda v, j: coalesce(v, CASE WHEN list_contains(ks, j) THEN i END)) ELSE t END, coalesce(found, i)
+  FROM (SELECT own.i, run.t, coalesce(own.ks, []) AS ks, CASE WHEN given IS NULL THEN list_filter(list_transform(coalesce(own.ks, []), lambda k: run.t[k]), lambda x: x IS NOT NULL)[1] END AS found FROM run JOIN own ON own.i = run.i + 1))
+SELECT refs.seq, coalesce(m.product_id, 'prd_' || substr(sha256(CAST(m.seq AS VARCHAR)), 1, 26)) AS resolved FROM run JOIN refs USING (i) JOIN refs m ON m.i = run.maker"""
+
+
+REF = """SELECT p_partkey AS seq, CAST(NULL AS VARCHAR) AS product_id, CASE WHEN p_partkey % 4 = 0 THEN 'G' || (p_partkey % 700) END AS gtin, CASE WHEN p_partkey % 4 < 2 THEN 'M' || (p_partkey % 400) END AS mpn,
+  CASE WHEN p_partkey % 11 > 0 THEN p_brand END AS brand, upper(p_name) AS model FROM part"""
+
+
+def _seq_refs(spark, sf_dir):
+    refs = _refs(table(spark, sf_dir, "part")).withColumn("seq", F.col("ref")).withColumn("product_id", F.lit(None).cast("string"))
+    return refs.select("seq", "product_id", "gtin", "mpn", "brand", "model", F.concat(F.lit("https://shop.example/p/"), F.col("ref").cast("string")).alias("source_url"))
+
+
+@registered(_replayed(REF))
 def entity_create(spark, sf_dir):
-    refs = _refs(table(spark, sf_dir, "part")).select(F.col("ref").alias("seq"), F.lit(None).cast("string").alias("product_id"), "gtin", "mpn", "brand", "model", F.concat(F.lit("https://shop.example/p/"), F.col("ref").cast("string")).alias("source_url"))
-    return resolve.resolve_or_create(refs).select("seq", "resolved")
+    return resolve.resolve_or_create(_seq_refs(spark, sf_dir)).select("seq", "resolved")
+
+
+@registered(
+    _replayed(
+        REF
+        + """ WHERE p_partkey % 3 > 0 UNION ALL SELECT -p_partkey, 'prd_' || lpad(CAST(p_partkey AS VARCHAR), 12, '0'), CASE WHEN p_partkey % 3 = 0 THEN 'G' || (p_partkey % 500) END,
+  CASE WHEN p_partkey % 3 <> 1 THEN 'M' || (p_partkey % 300) END, p_brand, p_name FROM part WHERE p_partkey % 7 = 0"""
+    )
+)
+def entity_create_stored(spark, sf_dir):
+    """References after the products that exist already, which come first in the order of seq."""
+    part = table(spark, sf_dir, "part")
+    key = F.substring("product_id", 5, 12).cast("long")
+    stored = part_products(part.where("p_partkey % 7 = 0")).select((-key).alias("seq"), "product_id", "gtin", "mpn", "brand", "model", F.lit(None).cast("string").alias("source_url"))
+    return resolve.resolve_or_create(_seq_refs(spark, sf_dir).where("seq % 3 > 0").unionByName(stored)).select("seq", "resolved")
 
 
 @registered(r"""
@@ -281,7 +321,7 @@ def url_canonical(spark, sf_dir):
 
 @registered(CANONICAL + "SELECT canonical_url, min(page_id) AS page_id, count(*) AS n FROM u GROUP BY 1")
 def url_dedupe(spark, sf_dir):
-    return url_canonical(spark, sf_dir).groupBy("canonical_url").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n"))
+    return urls.deduped(table(spark, sf_dir, "pages"), "page_id")
 
 
 @registered("""
@@ -293,7 +333,7 @@ def rate_limit(spark, sf_dir):
 
 @registered("SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1")
 def raw_dedupe(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    return store.by_content(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @registered("""
@@ -409,12 +449,6 @@ def route_distribution(spark, sf_dir):
     return answer.route_counts(answer.answer(_questions(spark, sf_dir), _labels(spark), _facts(spark, sf_dir)))
 
 
-@registered()
-def answer_hybrid(spark, sf_dir):
-    asked = _questions(spark, sf_dir).withColumn("brand", F.concat(F.lit("Brand#"), (F.col("question_id") % 5 + 11).cast("string")))
-    return answer.answer(asked, _labels(spark), _facts(spark, sf_dir), _chunks(spark, sf_dir)).select("question_id", "found", "route", "answer")
-
-
 @registered(
     CHUNK
     + """,
@@ -460,6 +494,47 @@ def chunk_search(spark, sf_dir):
     return search.search(_chunks(spark, sf_dir), asked).select("question_id", "chunk_id", F.round("distance", 6).alias("distance"), "rank")
 
 
+ASKED = "['What is the net weight of it?', 'Which MATERIAL, please', 'battery life?', 'is it good']"
+
+
+@registered(
+    CHUNK
+    + f""",
+ch AS (SELECT p_partkey, 'chk_' || substr(sha256(product_id || chr(1) || 'fact'), 1, 26) AS chunk_id, brand, body FROM c),
+dq AS (SELECT a * 10 + b AS k, a, 'Brand#' || b AS brand, {ASKED}[a + 1] AS text FROM range(4) AS x(a), range(11, 16) AS y(b)),
+{_vector("cv", "chunk_id", "body", "ch")},
+{_vector("qv", "k", "text", "dq")},
+dots AS (SELECT qv.k, cv.k AS chunk_id, sum(qv.w * cv.w) AS dot FROM qv JOIN cv USING (bucket) GROUP BY ALL),
+near AS (SELECT a, dq.brand, arg_min(body, (round(1 - coalesce(dot, 0), 9), ch.chunk_id)) AS body FROM dq JOIN ch ON ch.brand = dq.brand LEFT JOIN dots ON dots.k = dq.k AND dots.chunk_id = ch.chunk_id GROUP BY a, dq.brand),"""
+    + ROUTE.replace("WITH q AS", " q AS")
+    + """, x AS (SELECT r.*, 'Brand#' || (question_id % 5 + 11) AS brand FROM r)
+SELECT question_id, TRUE AS found, CASE WHEN route = 'exact_lookup' THEN route ELSE 'hybrid' END AS route, CASE
+  WHEN route = 'exact_lookup' THEN CASE WHEN x.a = 0 THEN 'net weight: ' || printf('%.1f', p_size * 100.0::DOUBLE) || ' g (as reported: ' || p_size * 100 || ' g)' ELSE 'material: ' || p_type END || CASE WHEN disputed THEN ' (sources disagree; see citation).' ELSE '.' END || cite
+  ELSE 'Based on the product''s stored data:' || chr(10) || body END AS answer FROM x LEFT JOIN near ON near.a = x.a AND near.brand = x.brand"""
+)
+def answer_hybrid(spark, sf_dir):
+    asked = _questions(spark, sf_dir).withColumn("brand", F.concat(F.lit("Brand#"), (F.col("question_id") % 5 + 11).cast("string")))
+    return answer.answer(asked, _labels(spark), _facts(spark, sf_dir), _chunks(spark, sf_dir)).select("question_id", "found", "route", "answer")
+
+
+@registered(LADDER.split("r AS (")[0] + """
+by_g AS (SELECT gtin, min(product_id) AS i FROM p WHERE gtin IS NOT NULL GROUP BY 1), by_m AS (SELECT mpn, brand, min(product_id) AS i FROM p WHERE mpn IS NOT NULL GROUP BY 1, 2), by_b AS (SELECT brand, model, min(product_id) AS i FROM p GROUP BY 1, 2),
+q AS (SELECT p_partkey AS question_id, p_partkey % 4 AS a, p_partkey // 4 % 5 AS way, p_brand, p_name FROM part),
+n AS (SELECT q.*, CASE way WHEN 0 THEN 'prd_' || lpad(CAST(question_id AS VARCHAR), 12, '0') WHEN 1 THEN by_g.i WHEN 2 THEN by_m.i WHEN 3 THEN by_b.i END AS product_id
+      FROM q LEFT JOIN by_g ON by_g.gtin = 'G' || (question_id % 500) LEFT JOIN by_m ON by_m.mpn = 'M' || (question_id % 300) AND by_m.brand = p_brand LEFT JOIN by_b ON by_b.brand = p_brand AND by_b.model = lower(p_name)),
+o AS (SELECT n.*, CAST(substr(product_id, 5) AS BIGINT) AS k FROM n)
+SELECT question_id, product_id, CASE WHEN k IS NOT NULL AND (a = 0 OR a = 1 AND k % 7 <> 0) THEN 'exact_lookup' WHEN a = 3 THEN 'ambiguous' ELSE 'refused' END AS route FROM o""")
+def answer_by_keys(spark, sf_dir):
+    """Questions that name their product by its id, gtin, mpn and brand, brand and model, or not at all."""
+    n, way = F.col("question_id"), F.floor(F.col("question_id") / 4) % 5
+    asked = _questions(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("question_id"), "p_brand", "p_name"), "question_id")
+    asked = asked.select(
+        "question_id", "text", F.when(way == 0, F.concat(F.lit("prd_"), F.lpad(n.cast("string"), 12, "0"))).alias("product_id"), F.when(way == 1, F.concat(F.lit("G"), (n % 500).cast("string"))).alias("gtin"),
+        F.when(way == 2, F.concat(F.lit("M"), (n % 300).cast("string"))).alias("mpn"), F.when(way.isin(2, 3), F.col("p_brand")).alias("brand"), F.when(way == 3, F.upper("p_name")).alias("model"),
+    )
+    return answer.answer(asked, _labels(spark), _facts(spark, sf_dir), products=part_products(table(spark, sf_dir, "part"))).select("question_id", "product_id", "route")
+
+
 SCORED = """
 WITH o AS (SELECT event_id, 'v' || (user_id % 3) AS vendor, event_type AS category, user_id AS case_id, CASE WHEN event_id % 10 = 0 THEN 'missing' WHEN event_id % 10 < 3 THEN 'wrong' ELSE 'correct' END AS status, CASE WHEN event_id % 10 > 0 THEN event_id % 3 + 1 END AS tier FROM events)
 """
@@ -497,9 +572,7 @@ def tier_mix(spark, sf_dir):
 WITH d AS (SELECT event_type AS domain, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2)
 SELECT domain, CAST(day AS VARCHAR) AS day, n FROM (SELECT *, lag(n) OVER (PARTITION BY domain ORDER BY day) AS before FROM d) WHERE n < 0.95 * before""")
 def coverage_drop(spark, sf_dir):
-    days = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("domain"), F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
-    before = F.lag("n").over(Window.partitionBy("domain").orderBy("day"))
-    return days.withColumn("before", before).where("n < 0.95 * before").select("domain", F.col("day").cast("string").alias("day"), "n")
+    return quality.coverage_drops(table(spark, sf_dir, "events"), "event_type", "ts", 0.95).select("domain", F.col("day").cast("string").alias("day"), "n")
 
 
 @registered(r"""
@@ -545,3 +618,111 @@ def ingest_counts(spark, sf_dir):
 @registered("SELECT 31 AS n_attributes, 18 AS n_quantities")
 def ontology_scan(spark, sf_dir):
     return ontology.attributes(spark).agg(F.count("*").cast("int").alias("n_attributes"), F.count_if(F.col("data_type") == "quantity").cast("int").alias("n_quantities"))
+
+
+WEIGHTS = """
+WITH w AS (SELECT CAST(p_partkey AS VARCHAR) AS page, p_partkey % 4 AS kind, CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN 'heavy' WHEN 2 THEN p_size || '000' ELSE 'x' END AS value, p_size FROM part)
+"""
+
+
+def _weights(spark, sf_dir):
+    """Pages of one row: a weight that can be read, one that can't, one too large, or a label that nobody knows."""
+    kind, size = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    value = F.when(kind == 0, F.concat(size, F.lit(" kg"))).when(kind == 1, "heavy").when(kind == 2, F.concat(size, F.lit("000 kg"))).otherwise("x")
+    label = F.when(kind < 3, "Weight").otherwise("Unheard of")
+    pages = spec_pages(table(spark, sf_dir, "part").select("*", label.alias("_label"), value.alias("_value")), F.concat(F.lit("<table><tr><th>"), "_label", F.lit("</th><td>"), "_value", F.lit("</td></tr></table>")))
+    return _normal(spark, extract.spec_tables(pages))
+
+
+@registered(WEIGHTS + """
+SELECT page, ['ok', 'unparseable', 'out_of_constraints', 'unmapped'][kind + 1] AS reason, CASE WHEN kind < 3 THEN 'net_weight' END AS attribute_key, CASE WHEN kind = 0 THEN p_size * 1000.0::DOUBLE END AS value_num, CASE WHEN kind = 0 THEN 'g' END AS unit FROM w""")
+def normalize_reasons(spark, sf_dir):
+    rows = _weights(spark, sf_dir)
+    return rows.select(F.col("raw_artifact_id").alias("page"), "reason", "attribute_key", "value_num", F.col("canonical_unit").alias("unit"))
+
+
+@registered(WEIGHTS + """
+SELECT CASE WHEN kind = 3 THEN 'attribute_mapping' ELSE 'value_anomaly' END AS queue, CASE WHEN kind = 3 THEN 'Unheard of' ELSE 'Weight:' || value END AS dedup, count(*) AS n FROM w WHERE kind > 0 GROUP BY ALL""")
+def failures_to_queues(spark, sf_dir):
+    """Where the failures of real normalisation go, and how many of each share an item."""
+    items = normalize.review_items(_weights(spark, sf_dir), F.timestamp_seconds(F.lit(0)))
+    return items.groupBy("queue", "dedup").agg(F.count("*").alias("n"))
+
+
+@registered("""
+SELECT CAST(p_partkey AS VARCHAR) AS page, 'unmapped' AS before, CASE WHEN p_size % 7 < 4 THEN 'ok' ELSE 'unmapped' END AS after_review, CASE WHEN p_size % 7 < 4 THEN 'material' END AS attribute_key FROM part""")
+def review_learning(spark, sf_dir):
+    """Unknown labels are queued, some are resolved and some dismissed, and the same pages are normalised again."""
+    part = table(spark, sf_dir, "part").withColumn("_label", F.concat(F.lit("Label "), (F.col("p_size") % 7).cast("string")))
+    found = extract.spec_tables(spec_pages(part, F.concat(F.lit("<table><tr><th>"), "_label", F.lit("</th><td>"), "p_type", F.lit("</td></tr></table>"))))
+    first = _normal(spark, found)
+    items = review.enqueue(None, normalize.review_items(first, F.timestamp_seconds(F.lit(0))), ["raw_artifact_id", "tier_pos", "place"])
+    known = F.get_json_object("payload", "$.raw_attribute") < "Label 4"
+    decided = items.select("item_id", F.when(known, "resolved").otherwise("dismissed").alias("status"), F.lit("someone").alias("resolved_by"), F.lit('{"attribute_key": "material"}').alias("resolution"), F.timestamp_seconds(F.lit(1)).alias("resolved_at"))
+    learned = review.learned(review.resolve(items, decided))
+    onto = ontology.ontology(spark)
+    again = normalize.normalized(found, onto, ontology.with_learned(ontology.labels(onto), learned))
+    before = first.select(F.col("raw_artifact_id").alias("page"), F.col("reason").alias("before"))
+    return again.select(F.col("raw_artifact_id").alias("page"), F.col("reason").alias("after_review"), "attribute_key").join(before, "page").select("page", "before", "after_review", "attribute_key")
+
+
+@registered("""
+WITH e AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'attribute_mapping' ELSE 'value_anomaly' END AS queue,
+                  CASE WHEN event_id % 4 = 0 THEN event_type ELSE event_type || ':' || CAST(floor(value) AS BIGINT) END AS dedup FROM events WHERE event_id % 4 < 3),
+i AS (SELECT queue, dedup, min(event_id) AS place FROM e GROUP BY queue, dedup)
+SELECT queue, dedup, place FROM i WHERE place % 3 > 0""")
+def hitl_enqueue_stored(spark, sf_dir):
+    """The same failures again, when of the stored items a third is still open: only what isn't open is queued."""
+    items = _items(spark, sf_dir).drop("item_id")
+    stored = items.withColumn("status", F.when(F.col("place") % 3 == 0, "open").otherwise("resolved"))
+    return review.enqueue(stored, items.drop("status"), ["place"]).select("queue", "dedup", "place")
+
+
+BENCHMARK = """
+WITH o AS (SELECT CAST(p_partkey AS VARCHAR) AS case_id, p_brand AS vendor, 'c' || (p_size % 3) AS category, k AS attribute_key,
+  CASE WHEN k = 'battery_life' THEN 'missing' WHEN k = 'net_weight' AND p_partkey % 5 = 0 OR k = 'material' AND p_partkey % 9 = 0 THEN 'wrong' ELSE 'correct' END AS status, CASE WHEN k <> 'battery_life' THEN 3 END AS tier
+  FROM part, (VALUES ('net_weight'), ('material'), ('battery_life')) AS v(k))
+"""
+
+
+def _benchmark(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    n, text_ = F.col("p_partkey"), F.lit(None).cast("string")
+    weight = (F.col("p_size") * 1000 + F.when(n % 5 == 0, 1).otherwise(0)).cast("double")
+    wants = F.array(
+        F.struct(F.lit("net_weight").alias("attribute_key"), weight.alias("want_num"), text_.alias("want_text")),
+        F.struct(F.lit("material").alias("attribute_key"), F.lit(None).cast("double").alias("want_num"), F.when(n % 9 == 0, "another").otherwise(F.col("p_name")).alias("want_text")),
+        F.struct(F.lit("battery_life").alias("attribute_key"), F.lit(1.0).alias("want_num"), text_.alias("want_text")),
+    )
+    expected = part.select(n.cast("string").alias("case_id"), F.col("p_brand").alias("vendor"), F.concat(F.lit("c"), (F.col("p_size") % 3).cast("string")).alias("category"), F.explode(wants).alias("w")).select("case_id", "vendor", "category", "w.*")
+    return benchmark.evaluate(spec_pages(part), expected)
+
+
+@registered(BENCHMARK + "SELECT case_id, attribute_key, status, tier FROM o")
+def benchmark_outcomes(spark, sf_dir):
+    return _benchmark(spark, sf_dir).outcomes.select("case_id", "attribute_key", "status", F.col("tier").cast("int").alias("tier"))
+
+
+@registered(BENCHMARK + """
+SELECT vendor, category, count(DISTINCT case_id) AS n_cases, count(*) AS n_expected, count(*) FILTER (WHERE status = 'correct') AS n_correct, round(count(*) FILTER (WHERE status = 'correct') / CAST(count(*) FILTER (WHERE status <> 'missing') AS DOUBLE), 4) AS accuracy,
+  round(count(*) FILTER (WHERE status <> 'missing') / CAST(count(*) AS DOUBLE), 4) AS coverage FROM o GROUP BY GROUPING SETS ((), (vendor), (category), (vendor, category))""")
+def benchmark_card(spark, sf_dir):
+    return _benchmark(spark, sf_dir).card.select("vendor", "category", "n_cases", "n_expected", "n_correct", "accuracy", "coverage")
+
+
+@registered(BENCHMARK + "SELECT tier, count(*) AS n FROM o WHERE tier IS NOT NULL GROUP BY tier")
+def benchmark_tiers(spark, sf_dir):
+    return _benchmark(spark, sf_dir).tiers.select(F.col("tier").cast("int").alias("tier"), "n")
+
+
+@registered(CHUNK + "SELECT product_id, CASE WHEN p_partkey % 3 = 0 THEN body ELSE 'old' END AS body FROM c UNION ALL SELECT product_id, 'second' FROM c WHERE p_partkey % 3 = 0")
+def chunk_replace(spark, sf_dir):
+    """A third of the products gets two new chunks in place of its old one."""
+    new = _chunks(spark, sf_dir)
+    some = new.where(F.substring("product_id", 5, 12).cast("long") % 3 == 0)
+    return retrieval.replace_chunks(new.withColumn("body", F.lit("old")), some.unionByName(some.withColumn("body", F.lit("second")))).select("product_id", "body")
+
+
+@registered(f"SELECT product_id, brand, model, array_to_string(category_path, '/') AS category FROM (SELECT {PID} AS product_id, p_brand AS brand, p_name AS model, string_split(p_type, ' ') AS category_path FROM part WHERE p_partkey = 21)")
+def product_by_id(spark, sf_dir):
+    return resolve.product(part_products(table(spark, sf_dir, "part")), "prd_000000000021").select("product_id", "brand", "model", F.array_join("category_path", "/").alias("category"))

@@ -18,8 +18,8 @@ def _page(rows: DataFrame, content, kind: str) -> DataFrame:
     )
 
 
-def spec_pages(part: DataFrame) -> DataFrame:
-    html = F.format_string(
+def spec_pages(part: DataFrame, content=None) -> DataFrame:
+    html = content if content is not None else F.format_string(
         "<html><body><table><tr><th>Weight</th><td>%d kg</td></tr><tr><th> Material </th><td>%s</td></tr><tr><td>a</td><td>b</td><td>c</td></tr></table>"
         "<dl><dt>Colour</dt><dd>%s</dd><dt>Cores</dt><dd>%d</dd><dt>Unheard of</dt><dd>x</dd></dl></body></html>",
         "p_size", "p_name", "p_brand", "p_size",

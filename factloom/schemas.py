@@ -1,14 +1,6 @@
-"""Schemas of the tables that pass between stages, as DDL."""
+"""The schema of raw artifacts, as DDL: what streams and stores read without looking at their files."""
 
-PROVENANCE = "struct<source_type: string, source_url: string, extraction_tier: int, extraction_method: string, source_span: string, raw_artifact_id: string, fetched_at: timestamp>"
-EVIDENCE = "struct<type: string, selector: string, json_path: string, page: int, bbox: array<double>>"
-RAW_ARTIFACT = "raw_artifact_id string, url string, canonical_url string, content string, content_type string, fetched_at timestamp, detected_engine string, render_mode string, http_status int, content_hash string, proxy_region string, robots_allowed boolean"
-#: `place` orders the candidates of a page; `tier_pos` orders the tiers.
-CANDIDATE = f"raw_artifact_id string, raw_attribute string, raw_value string, raw_unit string, confidence double, detected_ids map<string, string>, provenance {PROVENANCE}, evidence {EVIDENCE}, tier_pos int, place bigint"
-FACT = f"product_id string, attribute_key string, ontology_version int, data_type string, value_num double, value_text string, canonical_unit string, original_value string, confidence double, provenance {PROVENANCE}, valid_from timestamp, seq bigint"
-PRODUCT = "product_id string, brand string, model string, category_path array<string>, gtin string, mpn string, canonical_title string, source_urls array<string>, created_at timestamp, updated_at timestamp"
-CHUNK = "chunk_id string, product_id string, kind string, body string, fact_ids array<string>, attribute_keys array<string>, brand string, category_path array<string>, source_url string, fetched_at timestamp, stale boolean"
-REVIEW_ITEM = "item_id string, queue string, payload string, dedup string, priority int, status string, created_at timestamp, resolved_at timestamp, resolved_by string, resolution string"
-MAPPING = "raw_attribute string, language string, category_path array<string>, attribute_key string, confirmed_by string, confirmed_at timestamp"
-#: What a model returns for a page, before grounding.
-EXTRACTED = "raw_artifact_id string, attribute string, value string, unit string, source_span string, confidence double, place bigint"
+RAW_ARTIFACT = (
+    "raw_artifact_id string, url string, canonical_url string, content string, content_type string, fetched_at timestamp, detected_engine string, "
+    "render_mode string, http_status int, content_hash string, proxy_region string, robots_allowed boolean"
+)

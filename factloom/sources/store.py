@@ -61,6 +61,11 @@ def new_artifacts(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
     return rows if stored is None else rows.join(stored.select("raw_artifact_id"), "raw_artifact_id", "left_anti")
 
 
+def by_content(rows: DataFrame, key: str, content: str = "content") -> DataFrame:
+    """(content_hash, key, n): the least key of the rows of each content, and how many there are."""
+    return rows.groupBy(F.sha2(content, 256).alias("content_hash")).agg(F.min(key).alias(key), F.count("*").alias("n"))
+
+
 def put(batch: DataFrame, path: str, stored: DataFrame | None = None) -> None:
     new_artifacts(batch, stored).write.mode("append").parquet(path)
 
