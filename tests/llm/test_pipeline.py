@@ -13,14 +13,14 @@ def test_stages(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    assert [k for k, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_near_dedup", "benchmark_decontamination", "pii", "byte_bpe"]
+    assert [k for k, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "benchmark_decontamination", "pii", "byte_bpe"]
     kept, at = {}, docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
         at = stage(spark, at, str(tmp_path))
         assert at.columns == docs.columns
         kept[name] = {r.doc_id: r.text for r in at.collect()}
     assert set(kept["language_id"]) == {1, 2, 5, 6, 7, 8}
-    assert set(kept["simhash_near_dedup"]) == {1, 5, 6, 7, 8}
+    assert set(kept["near_dedup"]) == {1, 5, 6, 7, 8}
     assert set(kept["benchmark_decontamination"]) == {1, 5, 6, 8} and item not in kept["benchmark_decontamination"][8]
     assert kept["pii"][5].startswith("mail <EMAIL> about") and kept["pii"][6] == dict(rows)[6]
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
