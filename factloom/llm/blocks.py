@@ -1,9 +1,11 @@
 """Blocks of documents: ranges of doc_id of about equal text, for operators whose tasks hold a stretch of text at once.
 
 The fine ranges are row quantiles of doc_id, RANGES at most, so what the driver holds is bounded. Neighbouring ranges
-of little text are one block; a range of more text than a block is divided into as many steps of doc_id as it needs, so
-blocks grow in number with the text and not in size, whatever the number of ranges. A block is larger than asked where
-one document is, or where doc_ids inside a fine range (one RANGES-th of the rows) are spread unevenly.
+of little text are one block; a range of more text than a block is divided into as many blocks as it needs, at its own
+row quantiles (CUTS at most for a range), and beyond those at equal steps of doc_id between them. So blocks grow in
+number with the text and not in size, whatever the number of ranges and however doc_ids are clumped. A block is larger
+than asked where one document is, where one doc_id (or null, or ids that are one double) has many rows, or where texts
+of a range are of very unequal length.
 
 Every row counts ROW characters besides its text. Rows of one doc_id are in one block; a null doc_id is larger than any
 other. An empty table is one block without rows. Columns of any name are kept; BLOCK is the only one added.
@@ -20,28 +22,41 @@ from factloom.llm import common as c
 
 CHARS = 3_000_000
 RANGES = 1 << 14
+CUTS = 64
 ROW = 32
 LAST = (1 << 63) - 1
 BLOCK = "factloom_block"
-AT, RANGE, BASE, STEPS, LOW, WIDE = (f"{BLOCK}_{x}" for x in ("at", "range", "base", "steps", "low", "wide"))
+AT, RANGE, BASE, EDGES, INNER, CUT = (f"{BLOCK}_{x}" for x in ("at", "range", "base", "edges", "inner", "cut"))
+#: A double above all doc_ids.
+NULLS = 9.3e18
 
 
 def planned(ranges: list[tuple[float, float, float, int]], chars: int) -> list[tuple[float, int, int, float, float]]:
-    """(range, least id, greatest id, characters) in order -> (range, first block, blocks, least id, width in ids)."""
+    """(range, least id, greatest id, characters) in order -> (range, first block, blocks, least id, greatest id)."""
     out, block, filled = [], -1, 0
     for name, low, high, size in ranges:
         if size > chars:
             steps = -(-size // chars)
-            out.append((name, block + 1, int(steps), low, high - low + 1.0))
+            out.append((name, block + 1, int(steps), low, high))
             block, filled = block + int(steps), chars
         else:
             if block < 0 or filled + size > chars:
                 block, filled = block + 1, 0
             filled += size
-            out.append((name, block, 1, low, high - low + 1.0))
+            out.append((name, block, 1, low, high))
     return out
 
 
+def edges(steps: int, low: float, high: float, quantiles: list[float]) -> tuple[list[float], int]:
+    """Where the sub-ranges of a range of `steps` blocks begin and the last one ends, and how many equal steps each of them has.
+
+    quantiles: CUTS - 1 of them. All sub-ranges together have `steps` steps or somewhat fewer.
+    """
+    parts = min(steps, CUTS)
+    cuts = [quantiles[round(i * CUTS / parts) - 1] for i in range(1, parts)]
+    return [low, *sorted(cuts), high + 1.0], max(1, steps // parts)
+
+
 def blocks(docs: DataFrame, chars: int = CHARS, ranges: int = RANGES) -> tuple[DataFrame, int]:
     """docs with a column BLOCK, ascending with doc_id, and the number of characters."""
     size = F.coalesce(F.length("text"), F.lit(0)) + ROW
@@ -50,7 +65,7 @@ def blocks(docs: DataFrame, chars: int = CHARS, ranges: int = RANGES) -> tuple[D
     parts = max(1, min(ranges, n, 4 * -(-total // chars)))
     if parts == 1 and total <= chars:
         return docs.withColumn(BLOCK, F.lit(0)), total
-    keyed = docs.withColumn(AT, F.coalesce(F.col("doc_id").cast("double"), F.lit(9e18)))
+    keyed = docs.withColumn(AT, F.coalesce(F.col("doc_id").cast("double"), F.lit(NULLS)))
     cuts = keyed.approxQuantile(AT, [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
     if cuts:
         splits = [-float("inf"), *sorted({*cuts}), float("inf")]
@@ -59,10 +74,22 @@ def blocks(docs: DataFrame, chars: int = CHARS, ranges: int = RANGES) -> tuple[D
         keyed = keyed.withColumn(RANGE, F.lit(0.0))
     measured = keyed.groupBy(RANGE).agg(F.min(AT), F.max(AT), F.sum(size)).collect()  # RANGES rows at most
     plan = planned(sorted(map(tuple, measured)), chars)
-    schema = f"{RANGE} double, {BASE} int, {STEPS} int, {LOW} double, {WIDE} double"
-    keyed = keyed.join(F.broadcast(docs.sparkSession.createDataFrame(plan, schema)), RANGE)
-    step = F.least(F.floor((F.col(AT) - F.col(LOW)) / F.col(WIDE) * F.col(STEPS)).cast("int"), F.col(STEPS) - 1)
-    return keyed.withColumn(BLOCK, F.col(BASE) + step).drop(AT, RANGE, BASE, STEPS, LOW, WIDE), total
+    many = [name for name, _, steps, low, high in plan if steps > 1 and low < high]
+    found = {}
+    if many:
+        inside = keyed.join(F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in many], f"{RANGE} double")), RANGE, "left_semi")
+        quantiles = F.percentile_approx(AT, [i / CUTS for i in range(1, CUTS)], 50 * CUTS)
+        found = dict(map(tuple, inside.groupBy(RANGE).agg(quantiles).collect()))  # CUTS numbers a range
+    rows = [(name, base, *edges(steps if name in found else 1, low, high, found.get(name, []))) for name, base, steps, low, high in plan]
+    schema = f"{RANGE} double, {BASE} int, {EDGES} array<double>, {INNER} int"
+    keyed = keyed.join(F.broadcast(docs.sparkSession.createDataFrame(rows, schema)), RANGE)
+    # the last edge at or below the id: quantiles that are equal leave blocks empty
+    below = F.when(F.size(EDGES) > 2, F.size(F.filter(EDGES, lambda x: x <= F.col(AT))) - 1).otherwise(0)
+    keyed = keyed.withColumn(CUT, below.cast("int"))
+    low, high = F.get(EDGES, F.col(CUT)), F.get(EDGES, F.col(CUT) + 1)
+    step = F.least(F.floor((F.col(AT) - low) / (high - low) * F.col(INNER)).cast("int"), F.col(INNER) - 1)
+    step = F.when(F.col(INNER) > 1, step).otherwise(0)
+    return keyed.withColumn(BLOCK, F.col(BASE) + F.col(CUT) * F.col(INNER) + step).drop(AT, RANGE, BASE, EDGES, INNER, CUT), total
 
 
 def packed(ascending: np.ndarray) -> bytes:
@@ -83,15 +110,18 @@ def unpacked(payload: bytes) -> np.ndarray:
 
 def shards(ascending: np.ndarray, bits: int, width: int = 64) -> np.ndarray:
     """Where each of the 2 ** bits ranges of values of `width` bits begins, and the end."""
-    edges = np.arange(1 << bits, dtype=c.U64) << c.U64(width - bits) if bits else np.zeros(1, c.U64)
-    return np.append(np.searchsorted(ascending, edges), len(ascending))
-
-
-def dealt(name: int, values: list, cut: np.ndarray, bits: int, **more: list) -> pa.Table:
-    """A row for each shard that gets something: its number, the block's name, and what the columns hold for it."""
-    full = [k for k in range(1 << bits) if cut[k] < cut[k + 1]]
-    columns = {"shard": pa.array(full, pa.int32()), "block": pa.array([name] * len(full), pa.int32())}
-    columns["payload"] = pa.array([values(cut[k], cut[k + 1]) for k in full], pa.binary())
-    for key, of in more.items():
-        columns[key] = pa.array([of(cut[k], cut[k + 1]) for k in full], pa.binary())
-    return pa.table(columns)
+    begins = np.arange(1 << bits, dtype=c.U64) << c.U64(width - bits) if bits else np.zeros(1, c.U64)
+    return np.append(np.searchsorted(ascending, begins), len(ascending))
+
+
+def present(ascending: np.ndarray, bits: int, width: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """The shards, by their upper `bits`, that some values of `width` bits are in; where each begins, and the end."""
+    names = (ascending >> c.U64(width - bits) if bits else np.zeros(len(ascending), c.U64)).astype(np.int64)
+    begins = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(names) else np.zeros(0, np.int64)
+    return names[begins], np.append(begins, len(ascending))
+
+
+def dealt(name: int, values, names: np.ndarray, begins: np.ndarray) -> pa.Table:
+    """A row for each shard that gets something: its number, the block's name, and what the shard gets."""
+    payload = [values(a, b) for a, b in zip(begins.tolist(), begins[1:].tolist())]
+    return pa.table({"shard": pa.array(names, pa.int32()), "block": pa.array([name] * len(names), pa.int32()), "payload": pa.array(payload, pa.binary())})

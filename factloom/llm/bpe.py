@@ -6,8 +6,10 @@ neighbours, and a heap that gives the pair of lowest rank, leftmost first.
 
 A worker remembers the ids of pre-tokens it has met, in a table that is emptied when it holds MEMO entries. The
 vocabulary is of fixed size, and so is its broadcast. Null text is empty text: no ids. Any code point is encoded, since
-all 256 bytes are in the vocabulary. Repeated rows are encoded each for itself; further columns are dropped by
-`digests` and kept by `encode` (a clashing `ids` column is replaced).
+all 256 bytes are in the vocabulary. A very long text is encoded whole, pre-token by pre-token; a very long pre-token is
+merged by its heap, in time that grows with its length and the logarithm of it. Repeated rows are encoded each for
+itself. An empty table gives no rows. Further columns are dropped by `digests` and kept by `encode` (a clashing `ids`
+column is replaced).
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ A turn is `### role:`, a line break, the text, `</turn>` and a line break. In ro
 in a role) are written as a backslash and a letter, so neither can contain a control string, and reading back is exact.
 The loss mask lists the spans of assistant texts in the formatted string, in code points.
 
-A message whose parent isn't there is a root. Messages in a cycle lead to no root and form no path. Null role or text is
+A message whose parent isn't there is a root. Messages in a cycle lead to no root and form no path. Of several rows of one
+message (tree, node) the first counts: by parent (null first), greatest score, role, text. Null role or text is
 empty. Turns with equal numbers stand by role and text. A null conversation is a conversation of its own. A very long
 text is one turn like any other, and one conversation is one string. An empty table gives no rows. Only the columns named
 are read, so others, whatever their names, don't matter.
@@ -29,8 +30,19 @@ from factloom.llm import common as c
 TURN = "</turn>\n"
 
 
+def single(messages: DataFrame) -> DataFrame:
+    """One row of each message."""
+    named = [k for k in ("role", "text") if k in messages.columns]
+    first = Window.partitionBy("tree", "node").orderBy("parent", F.desc("score"), *named)
+    return messages.select("tree", "node", "parent", "score", *named, F.row_number().over(first).alias("factloom_n")).where("factloom_n = 1").drop("factloom_n")
+
+
 def paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     """messages (tree, node, parent, score) -> (tree, rank, node, place): the `keep` best root-to-leaf paths of each tree."""
+    return _paths(single(messages), keep)
+
+
+def _paths(messages: DataFrame, keep: int) -> DataFrame:
     known = messages.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there")).distinct()
     start = messages.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.col("score").cast("double").alias("total"), F.lit(1).cast("long").alias("hops"))
     start = c.written(start, "replies")
@@ -71,7 +83,11 @@ def escaped(x, codes=CODES):
 
 def formatted(messages: DataFrame, keep: int = 1) -> DataFrame:
     """messages (tree, node, parent, score, role, text) -> (tree, rank, n_turns, formatted, loss_spans), one row a path."""
-    rows = paths(messages, keep).join(messages.select("tree", "node", "role", "text"), ["tree", "node"])
+    return _formatted(single(messages), keep)
+
+
+def _formatted(messages: DataFrame, keep: int = 1) -> DataFrame:
+    rows = _paths(messages, keep).join(messages.select("tree", "node", "role", "text"), ["tree", "node"])
     head = F.concat(F.lit("### "), escaped(F.col("role"), CODES | COLON), F.lit(":\n"))
     rows = rows.select("tree", "rank", "place", F.coalesce("role", F.lit("")).alias("role"), head.alias("head"), escaped(F.col("text")).alias("body"))
     ends = F.sum(F.length("head") + F.length("body") + len(TURN)).over(Window.partitionBy("tree", "rank").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
@@ -107,7 +123,7 @@ def report(conversations: DataFrame) -> DataFrame:
     """Digests of all conversations and one that holds control strings, read back from the formatted strings."""
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     probe = conversations.sparkSession.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], rows.schema)
-    done = formatted(from_turns(rows.unionByName(probe)))
+    done = _formatted(from_turns(rows.unionByName(probe)))  # numbered, so each message is one row
 
     def run(batches):
         for batch in batches:

@@ -5,8 +5,8 @@ over it also starts in a document with a smaller doc_id.
 
 1. Documents are dealt into blocks, which are ranges of doc_id. A block sends the hashes of its distinct windows, sorted
    and delta-coded, to the shards of the hash space.
-2. A shard confirms the windows that several blocks have, and asks the least of these blocks for the passages: which
-   windows, and for whom.
+2. A shard confirms the windows that several blocks have, and for each block but the least of them asks the next lower
+   one for the passage. So a window that all blocks have is asked of each of them once, and no block serves many.
 3. The asked block writes these passages, runs of consecutive windows, as words, from its document with the least doc_id.
 4. A block compiles automata from the passages it is sent, and from those that recur inside it: anchors of half a window,
    such that each window holds one, dealt by their hashes, PATTERNS to an automaton. It streams all its documents through
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from factloom.llm import common as c
-from factloom.llm.blocks import BLOCK, CHARS, LAST, blocks, dealt, packed, shards, unpacked
+from factloom.llm.blocks import BLOCK, CHARS, LAST, blocks, dealt, packed, present, unpacked
 
 SIZE = 13
 SHARD_CHARS = 12_000_000
@@ -219,8 +219,8 @@ def _confirm(rows: pa.Table) -> pa.Table:
     starts = np.append(0, np.cumsum([len(x) for x in sent]))
     by = np.argsort(every, kind="stable")
     new = np.append(True, every[by[1:]] != every[by[:-1]])
-    source = by[np.flatnonzero(new)][np.cumsum(new) - 1]  # the least block's entry of the same hash
-    source, target = source[~new], by[~new]
+    again = np.flatnonzero(~new)
+    source, target = by[again - 1], by[again]  # the entry of the same hash in the next lower block that has it
     order = np.argsort(source, kind="stable")
     source, target = source[order], names[np.searchsorted(starts, target[order], "right") - 1].astype("<i4")
     cut = np.searchsorted(source, starts)
@@ -246,8 +246,9 @@ def _passages(rows: pa.Table, asked: pa.Table, size: int, bits: int, width: int)
         at, hashes = words.windows(size, width)
         own_ranks = ranks[words.text_of(at)]
         distinct, back, low, _ = _least(hashes, own_ranks)
-        cut = shards(distinct, bits, width)
-        place = np.concatenate([cut[s] + np.frombuffer(x, "<u4") for s, x in zip(asked.column("shard").to_pylist(), asked.column("at").to_pylist())])
+        known, begin = present(distinct, bits, width)
+        begin = begin[np.searchsorted(known, asked.column("shard").to_numpy())].tolist()
+        place = np.concatenate([at_ + np.frombuffer(x, "<u4") for at_, x in zip(begin, asked.column("at").to_pylist())])
         target = np.concatenate([np.frombuffer(x, "<i4") for x in asked.column("targets").to_pylist()])
         first = np.flatnonzero(own_ranks == low[back])  # windows in the least document that has them
         first = first[np.argsort(back[first], kind="stable")]
@@ -311,7 +312,7 @@ def _removed(docs: DataFrame, emit, schema: str | T.StructType, size: int, width
 
     def send(key, rows):
         hashes = c.distinct(Words(rows.column("text")).windows(size, width)[1])
-        return dealt(key[0].as_py(), lambda a, b: packed(hashes[a:b]), shards(hashes, bits, width), bits)
+        return dealt(key[0].as_py(), lambda a, b: packed(hashes[a:b]), *present(hashes, bits, width))
 
     def write(rows, asked):
         return _passages(rows, asked, size, bits, width)

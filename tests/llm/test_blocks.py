@@ -1,12 +1,13 @@
 """Blocks are bounded by text, whatever the number of ranges that the driver may hold."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from factloom.llm import common as c
-from factloom.llm.blocks import BLOCK, ROW, blocks, packed, planned, shards, unpacked
-from factloom.llm.substring import Words, covered, reported, word_ids
+from factloom.llm.blocks import BLOCK, CUTS, ROW, blocks, edges, packed, planned, present, shards, unpacked
+from factloom.llm.substring import Words, _confirm, covered, reported, word_ids
 
 
 @pytest.mark.parametrize("ranges", [3, 16384])
@@ -25,10 +26,45 @@ def test_blocks_are_bounded_by_text(spark, ranges):
     assert blocks(docs.limit(0))[0].count() == 0
 
 
+@pytest.mark.parametrize("ranges", [2, 16, 16384])
+def test_blocks_of_clumped_ids(spark, ranges):
+    """Ids in seven clumps of very different width, with some nulls and large ids: no block is much larger than asked."""
+    clumps = [(0, 1), (10_000, 1), (1 << 40, 3), ((1 << 40) + 5000, 1), (1 << 50, 1000), ((1 << 52) - 10, 1), (-50_000, 7)]
+    rows = [(base + step * i, "x" * (50 + i % 100)) for base, step in clumps for i in range(400)] + [(None, "y" * 30)] * 14 + [((1 << 63) - 1, "z" * 40)] * 3
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got, total = blocks(docs, chars=10_000, ranges=ranges)
+    found = got.groupBy(BLOCK).agg(F.sum(F.length("text") + ROW).alias("n"), F.count("*").alias("rows"), F.min(F.col("doc_id").isNull()).alias("nulls")).collect()
+    assert sum(r.n for r in found) == total and max(r.n for r in found) <= 40_000 and len(found) >= total / 40_000
+    assert max((r[BLOCK] for r in found), default=0) == next(r[BLOCK] for r in got.where("doc_id IS NULL").select(BLOCK).collect())
+    order = [r[0] for r in got.where("doc_id IS NOT NULL").groupBy(BLOCK).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).orderBy(BLOCK).selectExpr("struct(a, b)").collect()]
+    assert all(x.b < y.a for x, y in zip(order, order[1:]))
+
+
 def test_ranges_are_joined_or_divided():
+    assert edges(3, 0.0, 9.0, [float(x) for x in range(1, CUTS)]) == ([0.0, 21.0, 43.0, 10.0], 1)
+    assert edges(1, 0.0, 9.0, []) == ([0.0, 10.0], 1) and edges(200, 0.0, 9.0, [1.0] * (CUTS - 1))[1] == 3
     assert [x[1:3] for x in planned([(0.0, 0, 9, 10), (1.0, 10, 19, 80), (2.0, 20, 29, 950), (3.0, 30, 39, 20)], 100)] == [(0, 1), (0, 1), (1, 10), (11, 1)]
 
 
+def test_only_shards_that_occur():
+    values = np.sort(np.random.default_rng(2).integers(0, 1 << 40, 300, dtype=np.int64).astype(np.uint64))
+    names, begins = present(values, 6, 40)
+    cut = shards(values, 6, 40)
+    assert names.tolist() == np.flatnonzero(np.diff(cut)).tolist() and begins[:-1].tolist() == cut[:-1][names].tolist() and begins[-1] == 300
+    assert [x.tolist() for x in present(values[:0], 6, 40)] == [[], [0]] and present(values, 0, 40)[1].tolist() == [0, 300]
+
+
+def test_a_line_of_all_documents_is_asked_of_each_block_once():
+    """A thousand blocks with one window in common: each but the first gets it from the one before, so none serves many."""
+    hashes = np.array([5, 70], np.uint64)
+    sent = [(k, packed(hashes if k % 10 == 0 else hashes[:1])) for k in range(1000)]
+    rows = pa.table({"shard": pa.array([0] * 1000, pa.int32()), "block": pa.array([k for k, _ in sent][::-1], pa.int32()), "payload": pa.array([x for _, x in sent][::-1], pa.binary())})
+    asked = _confirm(rows).to_pylist()
+    of = {r["block"]: (np.frombuffer(r["at"], "<u4").tolist(), np.frombuffer(r["targets"], "<i4").tolist()) for r in asked}
+    assert len(of) == 999 and all(len(t) <= 2 for _, t in of.values())
+    assert of[0] == ([0, 1], [1, 10]) and of[3] == ([0], [4]) and of[980] == ([0, 1], [981, 990])
+
+
 def test_lists_of_hashes():
     random = np.random.default_rng(1)
     for most in (1 << 20, 1 << 45, 1 << 63):
