@@ -14,10 +14,12 @@ from factloom.schemas import RAW_ARTIFACT
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: a Parquet table in the folder that `spark.checkpoint.dir` names; a local one only where that is unset."""
+    """Cut the lineage: a Parquet table in the folder that `spark.checkpoint.dir` names; a local one only where that is unset and all runs in one JVM."""
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="factloom-")
         spark.sparkContext.setCheckpointDir(at)
     path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
