@@ -44,6 +44,16 @@ def ratio(hits: Column, total: Column) -> Column:
     return F.coalesce(F.try_divide(hits, total), F.lit(0.0))
 
 
+def auto_map_rate(normalized: DataFrame) -> DataFrame:
+    """The share of candidates whose attribute was known."""
+    return normalized.agg(ratio(F.count_if(F.col("reason") != "unmapped"), F.count("*")).alias("auto_map_rate"))
+
+
+def grounding_rate(extracted: DataFrame, grounded: Column) -> DataFrame:
+    """The share of extracted facts for which `grounded` holds."""
+    return extracted.agg(ratio(F.count_if(F.coalesce(grounded, F.lit(False))), F.count("*")).alias("grounding_rate"))
+
+
 def answer_accuracy(pairs: DataFrame, got: str, want: str) -> DataFrame:
     return pairs.agg(ratio(F.count_if(F.col(got).eqNullSafe(F.col(want))), F.count("*")).alias("accuracy"))
 

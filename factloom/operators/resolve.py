@@ -101,6 +101,11 @@ def product(products: DataFrame, product_id: str) -> DataFrame:
     return products.where(F.col("product_id") == product_id)
 
 
+def product_rows(products: DataFrame) -> DataFrame:
+    """What the interface shows of a product: all but when it was made and changed."""
+    return products.drop("created_at", "updated_at")
+
+
 def with_sources(products: DataFrame, resolved: DataFrame) -> DataFrame:
     """products with the source URLs of resolved references added to `source_urls`; nothing else is filled in."""
     found = resolved.where("source_url <> ''").groupBy(F.col("resolved").alias("product_id")).agg(F.collect_set("source_url").alias("_new"))

@@ -726,3 +726,58 @@ def chunk_replace(spark, sf_dir):
 @registered(f"SELECT product_id, brand, model, array_to_string(category_path, '/') AS category FROM (SELECT {PID} AS product_id, p_brand AS brand, p_name AS model, string_split(p_type, ' ') AS category_path FROM part WHERE p_partkey = 21)")
 def product_by_id(spark, sf_dir):
     return resolve.product(part_products(table(spark, sf_dir, "part")), "prd_000000000021").select("product_id", "brand", "model", F.array_join("category_path", "/").alias("category"))
+
+
+def _brand_model(page, keys):
+    """A model that reads the colour, and makes up a material that isn't on the page."""
+    brand = page.partition("<dt>Colour</dt><dd>")[2].partition("</dd>")[0]
+    sure = 0.99 if brand.endswith(("1", "3", "5")) else 0.5
+    return [{"attribute": "color", "value": brand, "source_span": f"Colour</dt><dd>{brand}", "confidence": sure}, {"attribute": "material", "value": "gold", "source_span": "made of gold"}, {"attribute": "color", "value": "red", "source_span": "Colour"}]
+
+
+@registered("""
+SELECT CAST(p_partkey AS VARCHAR) AS page, 'color' AS attribute, p_brand AS value, CASE WHEN substr(p_brand, -1) IN ('1', '3', '5') THEN 0.85 ELSE 0.5 END::DOUBLE AS confidence, 4 AS tier FROM part""")
+def model_facts(spark, sf_dir):
+    """Facts by an injected model: what isn't on the page, or not in its span, is left out, and confidence is capped."""
+    rows = extract.by_model(spec_pages(table(spark, sf_dir, "part")), _brand_model, ["color", "material"])
+    return rows.select(F.col("raw_artifact_id").alias("page"), F.col("raw_attribute").alias("attribute"), F.col("raw_value").alias("value"), "confidence", F.col("provenance.extraction_tier").cast("int").alias("tier"))
+
+
+@registered("SELECT round(count(*) FILTER (WHERE p_partkey % 4 < 3) / CAST(count(*) AS DOUBLE), 6) AS auto_map_rate FROM part")
+def auto_map_rate(spark, sf_dir):
+    return quality.auto_map_rate(_weights(spark, sf_dir)).select(F.round("auto_map_rate", 6).alias("auto_map_rate"))
+
+
+@registered("""
+SELECT CAST(p_partkey AS VARCHAR) AS page, CASE WHEN p_partkey % 2 = 0 THEN 'OWN' ELSE CAST(p_partkey AS VARCHAR) END AS gtin, CASE WHEN p_partkey % 3 = 0 THEN 'M1' END AS mpn FROM part""")
+def enriched_refs(spark, sf_dir):
+    """References filled from the ids that shop pages name; a value of their own comes first."""
+    part = table(spark, sf_dir, "part")
+    n = F.col("p_partkey")
+    refs = part.select(n.cast("string").alias("raw_artifact_id"), F.when(n % 2 == 0, "OWN").when(n % 5 == 0, "").alias("gtin"), F.when(n % 3 == 0, "M1").alias("mpn"))
+    return normalize.enriched(refs, extract.shop_json(shop_pages(part))).select(F.col("raw_artifact_id").alias("page"), "gtin", "mpn")
+
+
+@registered(f"""
+SELECT {PID} AS product_id, 'net_weight' AS attribute_key, p_size * 100.0::DOUBLE AS value_num, 'g' AS canonical_unit, p_size * 100 || ' g' AS original_value, p_partkey % 5 = 0 AS disputed, 0.9::DOUBLE AS confidence, 'json_ld' AS source_type,
+  'https://shop.example/p/' || p_partkey AS source_url FROM part""")
+def fact_rows(spark, sf_dir):
+    """What the interface shows of facts, from their nested provenance."""
+    rows = _facts(spark, sf_dir).where("attribute_key = 'net_weight'")
+    nested = rows.withColumn("provenance", F.struct(F.lit("json_ld").alias("source_type"), "source_url", "source_span", "fetched_at"))
+    return facts.fact_rows(nested).select("product_id", "attribute_key", "value_num", "canonical_unit", "original_value", "disputed", "confidence", "source_type", "source_url")
+
+
+@registered("""
+SELECT event_type AS raw_attribute, 'a' || max(user_id % 17) AS attribute_key FROM (SELECT event_type, user_id, rank() OVER (PARTITION BY event_type ORDER BY ts DESC) AS n FROM events WHERE event_type = 'click') WHERE n = 1 GROUP BY 1""")
+def mapping_lookup(spark, sf_dir):
+    """One label's mapping among those that the latest confirmations give."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("raw_attribute"), F.lit("en").alias("language"), F.array(F.lit("x")).alias("category_path"), F.concat(F.lit("a"), (F.col("user_id") % 17).cast("string")).alias("attribute_key"), F.col("ts").alias("confirmed_at"))
+    return ontology.mapping(ontology.learn_mappings(rows), "click", "en", ["x"]).select("raw_attribute", "attribute_key")
+
+
+@registered("SELECT doc_id FROM documents WHERE sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0)")
+def artifacts_existing(spark, sf_dir):
+    """Which documents' artifacts are stored already, when every third is."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.sha2("text", 256).alias("raw_artifact_id"), "doc_id")
+    return store.existing(docs, docs.where("doc_id % 3 = 0")).select("doc_id")
