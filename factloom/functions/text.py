@@ -46,7 +46,9 @@ def float_text(x: Column) -> Column:
     digits = F.regexp_replace(F.regexp_extract(short, r"^-?([0-9.]+)E-4$", 1), r"\.0$|\.", "")
     small = F.concat(F.when(x < 0, "-").otherwise(""), F.lit("0.000"), digits)
     whole = (F.abs(x) >= 1e7) & (F.abs(x) < 1e16) & (x == F.floor(x))
-    return F.when(x.isNull(), None).when(whole, positional).when(short.rlike("E-4$"), small).when((F.abs(x) >= 1e7) & (F.abs(x) < 1e16), F.regexp_replace(plain, r"\.$", ".0")).otherwise(F.lower(short))
+    return F.when(x.isNull(), None).when(whole, positional).when(short.rlike("E-4$"), small).when(
+        (F.abs(x) >= 1e7) & (F.abs(x) < 1e16), F.regexp_replace(plain, r"\.$", ".0"),
+    ).otherwise(F.lower(short))
 
 
 def json_text(x: Column) -> Column:

@@ -32,7 +32,10 @@ def canonical_url(url: Column) -> Column:
     query = F.regexp_extract(bare, r"(?s)^[^?]*\?(.*)$", 1)
     origin = F.regexp_extract(head, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)", 1)
     path = F.substr(head, F.length(origin) + 1)
-    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("k"), F.when(p.contains("="), _decoded(F.regexp_replace(p, "(?s)^[^=]*=", ""))).otherwise("").alias("v")))
+    pairs = F.transform(
+        F.filter(F.split(query, "&"), lambda p: p != ""),
+        lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("k"), F.when(p.contains("="), _decoded(F.regexp_replace(p, "(?s)^[^=]*=", ""))).otherwise("").alias("v")),
+    )
     kept = F.array_sort(F.filter(pairs, lambda p: ~is_tracking(p.k)))
     text = F.array_join(F.transform(kept, lambda p: F.concat(_encoded(p.k), F.lit("="), _encoded(p.v))), "&")
     return F.concat(F.lower(origin), F.when(path == "", "/").otherwise(path), F.when(text != "", F.concat(F.lit("?"), text)).otherwise(""))

@@ -20,7 +20,10 @@ def asked_attributes(questions: DataFrame, labels: DataFrame) -> DataFrame:
     """
     most = labels.agg(F.max(F.size(F.split("label", " ")))).first()[0] or 1
     words = F.split(normalized_label(F.col("text")), " ")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("_w", i, n), " "))))
+    runs = F.flatten(F.transform(
+        F.sequence(F.lit(1), F.lit(most)),
+        lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("_w", i, n), " ")),
+    ))
     phrases = questions.select("question_id", words.alias("_w")).select("question_id", F.explode(F.array_distinct(runs)).alias("label"))
     best = F.max_by("attribute_key", F.struct(F.length("label"), -F.col("ordinal"))).alias("attribute_key")
     return phrases.join(labels, "label").groupBy("question_id").agg(best)
@@ -65,7 +68,10 @@ def answer(questions: DataFrame, labels: DataFrame, facts: DataFrame, chunk_rows
     if chunk_rows is not None:
         open_ = rows.where(~exact).select("question_id", "text", "brand")
         hits = search(chunk_rows, open_, TOP).where("rank = 1").select("question_id", "chunk_id")
-        best = hits.join(chunk_rows.select("chunk_id", F.col("product_id").alias("c_product"), F.col("body").alias("c_body"), F.col("source_url").alias("c_url"), F.col("fetched_at").alias("c_at")), "chunk_id").drop("chunk_id")
+        best = hits.join(
+            chunk_rows.select("chunk_id", F.col("product_id").alias("c_product"), F.col("body").alias("c_body"), F.col("source_url").alias("c_url"), F.col("fetched_at").alias("c_at")),
+            "chunk_id",
+        ).drop("chunk_id")
         rows = rows.join(best, "question_id", "left")
     else:
         rows = rows.select("*", *(F.lit(None).cast(t).alias(n) for n, t in (("c_product", "string"), ("c_body", "string"), ("c_url", "string"), ("c_at", "timestamp"))))
@@ -75,8 +81,16 @@ def answer(questions: DataFrame, labels: DataFrame, facts: DataFrame, chunk_rows
         F.when(exact, fact_answer()).when(near, F.concat(F.lit("Based on the product's stored data:\n"), "c_body")).when(F.col("attribute_key").isNull(), NO_ATTRIBUTE)
         .when(F.col("product_id").isNull(), NO_PRODUCT).otherwise(F.concat(F.lit("No data for '"), "attribute_key", F.lit("' on this product.")))
     )
-    cited = F.when(exact, F.struct("source_url", "source_span", "fetched_at")).when(near, F.struct(F.coalesce("c_url", F.lit("")).alias("source_url"), F.col("c_body").alias("source_span"), F.col("c_at").alias("fetched_at")))
-    return rows.select("question_id", (exact | near).alias("found"), route.alias("route"), said.alias("answer"), F.when(~exact & near, F.col("c_product")).otherwise(F.col("product_id")).alias("product_id"), "attribute_key", F.when(exact, F.col("value_num")).alias("value_num"), F.when(exact, F.col("value_text")).alias("value_text"), F.when(exact, F.col("canonical_unit")).alias("canonical_unit"), F.coalesce(F.when(exact, F.col("disputed")), F.lit(False)).alias("disputed"), cited.alias("citation"))
+    cited = F.when(exact, F.struct("source_url", "source_span", "fetched_at")).when(
+        near, F.struct(F.coalesce("c_url", F.lit("")).alias("source_url"), F.col("c_body").alias("source_span"), F.col("c_at").alias("fetched_at")),
+    )
+    return rows.select(
+        "question_id", (exact | near).alias("found"), route.alias("route"), said.alias("answer"),
+        F.when(~exact & near, F.col("c_product")).otherwise(F.col("product_id")).alias("product_id"), "attribute_key",
+        F.when(exact, F.col("value_num")).alias("value_num"), F.when(exact, F.col("value_text")).alias("value_text"),
+        F.when(exact, F.col("canonical_unit")).alias("canonical_unit"), F.coalesce(F.when(exact, F.col("disputed")), F.lit(False)).alias("disputed"),
+        cited.alias("citation"),
+    )
 
 
 def route_counts(answers: DataFrame) -> DataFrame:

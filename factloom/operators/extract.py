@@ -151,7 +151,10 @@ def jsonld(artifacts: DataFrame, tier_pos: int = 0) -> DataFrame:
     products = nodes.where(is_product)
     gtin = F.coalesce(*(n.member(k).scalar() for k in GTINS))
     brand = F.coalesce(F.when(n.member("brand").is_object(), n.member("brand").member("name").string()), n.member("brand").string())
-    ids = F.map_filter(F.create_map(F.lit("sku"), n.member("sku").scalar(), F.lit("mpn"), n.member("mpn").scalar(), F.lit("gtin"), gtin, F.lit("brand"), brand), lambda k, v: v.isNotNull())
+    ids = F.map_filter(
+        F.create_map(F.lit("sku"), n.member("sku").scalar(), F.lit("mpn"), n.member("mpn").scalar(), F.lit("gtin"), gtin, F.lit("brand"), brand), lambda k,
+        v: v.isNotNull(),
+    )
     facts = [_fact(F.lit(k), _filled(n.member(k).string()), F.lit(None), F.lit(f"$.{k}")) for k in SCALARS]
     facts += [_fact(F.lit(k), *_measure(n.member(k)), F.lit(f"$.{k}")) for k in QUANTITIES]
     offers = n.member("offers")
@@ -216,7 +219,9 @@ def spec_tables(artifacts: DataFrame, tier_pos: int = 2) -> DataFrame:
     value, unit = split_quantity(F.col("value"), MEASURED)
     return pairs.select(
         "raw_artifact_id", F.col("label").alias("raw_attribute"), value.alias("raw_value"), unit.alias("raw_unit"), F.lit(CONFIDENCE["dom"]).alias("confidence"), F.create_map().cast("map<string,string>").alias("detected_ids"),
-        _provenance(3, "dom", "spec_tables_v1", F.concat("label", F.lit(": "), "value")).alias("provenance"), _evidence("html", selector=F.lit("table/dl")).alias("evidence"), F.lit(tier_pos).alias("tier_pos"), "place",
+        _provenance(
+            3, "dom", "spec_tables_v1", F.concat("label", F.lit(": "), "value"),
+        ).alias("provenance"), _evidence("html", selector=F.lit("table/dl")).alias("evidence"), F.lit(tier_pos).alias("tier_pos"), "place",
     )
 
 
@@ -232,7 +237,10 @@ def by_model(artifacts: DataFrame, model: Model, keys: list[str], tier_pos: int
             rows = []
             for r in frame.itertuples(index=False):
                 for i, x in enumerate(model(r.content or "", keys)):
-                    rows.append((r.raw_artifact_id, r.source_url, r.fetched_at, r.content, i, x["attribute"], x["value"], x.get("unit"), x.get("source_span") or "", float(x.get("confidence", 0.7))))
+                    rows.append((
+                        r.raw_artifact_id, r.source_url, r.fetched_at, r.content, i, x["attribute"], x["value"], x.get("unit"), x.get("source_span") or "",
+                        float(x.get("confidence", 0.7)),
+                    ))
             yield pd.DataFrame(rows, columns=["raw_artifact_id", "source_url", "fetched_at", "content", "place", "attribute", "value", "unit", "source_span", "model_confidence"])
 
     schema = "raw_artifact_id string, source_url string, fetched_at timestamp, content string, place bigint, attribute string, value string, unit string, source_span string, model_confidence double"

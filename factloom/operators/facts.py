@@ -100,7 +100,9 @@ def as_of(all_versions: DataFrame, at: Column) -> DataFrame:
     return spans.where((F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at)))
 
 
-def as_of_join(questions: DataFrame, all_versions: DataFrame, keys: list[str], at: str = "at", since: str = "valid_from", order: str = "seq", until: str | None = None) -> DataFrame:
+def as_of_join(
+    questions: DataFrame, all_versions: DataFrame, keys: list[str], at: str = "at", since: str = "valid_from", order: str = "seq", until: str | None = None,
+) -> DataFrame:
     """questions with `version`: the last of all_versions that had begun at each question's own time, as a struct.
 
     Of versions that begin at once the last by `order` counts. Null if none had begun, or if that one had ended (`until`)

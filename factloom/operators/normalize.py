@@ -53,7 +53,10 @@ def review_items(failed: DataFrame, created_at: Column) -> DataFrame:
     queue = F.element_at(F.create_map(*(F.lit(x) for pair in REVIEW.items() for x in pair)), reason)
     dedup = F.when(reason == "unmapped", F.col("raw_attribute")).otherwise(F.concat_ws(":", "raw_attribute", "raw_value"))
     rows = failed.where(reason != "ok").withColumn("queue", queue).withColumn("dedup", dedup)
-    payload = F.to_json(F.struct("raw_attribute", "raw_value", "raw_unit", "reason", F.col("provenance.source_url").alias("source_url"), F.col("provenance.source_span").alias("source_span")))
+    payload = F.to_json(F.struct(
+        "raw_attribute", "raw_value", "raw_unit", "reason", F.col("provenance.source_url").alias("source_url"),
+        F.col("provenance.source_span").alias("source_span"),
+    ))
     return rows.select("queue", payload.alias("payload"), "dedup", F.lit(100).alias("priority"), created_at.alias("created_at"), "tier_pos", "place", "raw_artifact_id")
 
 

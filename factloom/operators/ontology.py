@@ -65,7 +65,10 @@ def _rows() -> list[tuple]:
         key, category, unit, allowed, bounds, en, uk, labels = (x.strip() for x in line.split("|"))
         low, high = (float(x) for x in bounds.split()) if bounds != "-" else (None, None)
         names = [x.strip() for x in labels.split(";") if x.strip()]
-        out.append((key, i, CATEGORIES[category], en, uk, "text" if unit == "-" else "quantity", None if unit == "-" else unit, [] if allowed == "-" else allowed.split(), low, high, VERSION, [key.replace("_", " "), *names]))
+        out.append((
+            key, i, CATEGORIES[category], en, uk, "text" if unit == "-" else "quantity", None if unit == "-" else unit,
+            [] if allowed == "-" else allowed.split(), low, high, VERSION, [key.replace("_", " "), *names],
+        ))
     return out
 
 
@@ -76,7 +79,9 @@ def ontology(spark: SparkSession) -> DataFrame:
 
 def attributes(spark: SparkSession) -> DataFrame:
     """What the attribute listing shows: no bounds, no labels."""
-    return ontology(spark).select("attribute_key", "category_path", "name_en", "name_uk", "data_type", "canonical_unit", "allowed_units", "ontology_version").orderBy("attribute_key")
+    return ontology(spark).select(
+        "attribute_key", "category_path", "name_en", "name_uk", "data_type", "canonical_unit", "allowed_units", "ontology_version",
+    ).orderBy("attribute_key")
 
 
 def labels(onto: DataFrame) -> DataFrame:

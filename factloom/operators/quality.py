@@ -73,7 +73,10 @@ def coverage_drops(pages: DataFrame, domain: str, at: str, share: float = 0.5) -
 
 def ingest_counts(normalized: DataFrame) -> DataFrame:
     """Candidates, facts, unmapped and failed ones of each page."""
-    return normalized.groupBy("raw_artifact_id").agg(F.count("*").alias("candidates"), F.count_if(F.col("reason") == "ok").alias("facts_written"), F.count_if(F.col("reason") == "unmapped").alias("facts_unmapped"), F.count_if(F.col("reason") != "ok").alias("failed"))
+    return normalized.groupBy("raw_artifact_id").agg(
+        F.count("*").alias("candidates"), F.count_if(F.col("reason") == "ok").alias("facts_written"),
+        F.count_if(F.col("reason") == "unmapped").alias("facts_unmapped"), F.count_if(F.col("reason") != "ok").alias("failed"),
+    )
 
 
 def text_report(card: DataFrame) -> str:

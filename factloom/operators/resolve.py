@@ -34,7 +34,10 @@ def resolve(refs: DataFrame, products: DataFrame) -> DataFrame:
 def _keys() -> Column:
     gtin, mpn = _filled("gtin"), _filled("mpn")
     return F.filter(
-        F.array(F.concat_ws("\u0001", F.lit("g"), gtin), F.when(mpn.isNotNull() & F.col("brand").isNotNull(), F.concat_ws("\u0001", F.lit("m"), mpn, "brand")), F.when(F.col("brand").isNotNull() & F.col("model").isNotNull(), F.concat_ws("\u0001", F.lit("b"), "brand", F.lower("model")))),
+        F.array(
+            F.concat_ws("\u0001", F.lit("g"), gtin), F.when(mpn.isNotNull() & F.col("brand").isNotNull(), F.concat_ws("\u0001", F.lit("m"), mpn, "brand")),
+            F.when(F.col("brand").isNotNull() & F.col("model").isNotNull(), F.concat_ws("\u0001", F.lit("b"), "brand", F.lower("model"))),
+        ),
         lambda k: k.isNotNull() & (k != "g"),
     )
 

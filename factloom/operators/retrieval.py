@@ -27,9 +27,14 @@ def chunks(products: DataFrame, facts: DataFrame) -> DataFrame:
     lines = facts.select("product_id", "attribute_key", line.alias("line"), "source_url", "fetched_at")
     order = Window.partitionBy("product_id").orderBy(F.desc("fetched_at"), "attribute_key")
     first = lines.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("product_id", F.struct("source_url", "fetched_at").alias("latest"))
-    body = lines.groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("attribute_key", "line"))).alias("l"), F.sort_array(F.collect_set("attribute_key")).alias("attribute_keys"))
+    body = lines.groupBy("product_id").agg(
+        F.array_sort(F.collect_list(F.struct("attribute_key", "line"))).alias("l"), F.sort_array(F.collect_set("attribute_key")).alias("attribute_keys"),
+    )
     rows = products.join(body, "product_id").join(first, "product_id")
-    head = F.concat(F.lit("[Brand: "), F.coalesce("brand", F.lit("None")), F.lit("] [Model: "), F.coalesce("model", F.lit("None")), F.lit("] [Category: "), F.array_join("category_path", "/"), F.lit("]"))
+    head = F.concat(
+        F.lit("[Brand: "), F.coalesce("brand", F.lit("None")), F.lit("] [Model: "), F.coalesce("model", F.lit("None")), F.lit("] [Category: "),
+        F.array_join("category_path", "/"), F.lit("]"),
+    )
     tail = F.concat(F.lit("Source: "), "latest.source_url", F.lit(", as of "), F.date_format("latest.fetched_at", "yyyy-MM-dd"), F.lit("."))
     text = F.concat_ws("\n", head, F.array_join(F.transform("l", lambda x: x.line), "\n"), tail)
     return rows.select(
@@ -131,7 +136,10 @@ def nearest_join(rows: DataFrame, questions: DataFrame, key: str = "chunk_id", q
     if blocks > 1:
         asked = written(asked, "asked")
     own = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(vector).alias("embedding"))
-    fields = [T.StructField("question", questions.schema[question].dataType), T.StructField("asked", T.StringType()), T.StructField("key", rows.schema[key].dataType), T.StructField("distance", T.DoubleType())]
+    fields = [
+        T.StructField("question", questions.schema[question].dataType), T.StructField("asked", T.StringType()), T.StructField("key", rows.schema[key].dataType),
+        T.StructField("distance", T.DoubleType()),
+    ]
     schema = T.StructType(fields)
 
     def searched(block: int) -> DataFrame:
@@ -153,7 +161,10 @@ def nearest_join(rows: DataFrame, questions: DataFrame, key: str = "chunk_id", q
             for i, x in enumerate(best):
                 at = x.question + i * 1024
                 told = pa.array(np.where(np.isinf(x.distance), np.nan, x.distance), from_pandas=True)
-                yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in at], asked_type), pa.array([f"{block} {k}" for k in at], pa.string()), pa.array(x.key.tolist(), kind), told], ["question", "asked", "key", "distance"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([names[k] for k in at], asked_type), pa.array([f"{block} {k}" for k in at], pa.string()), pa.array(x.key.tolist(), kind), told],
+                    ["question", "asked", "key", "distance"],
+                )
 
         asked_type = some.schema.field("question").type
         return own.mapInArrow(run, schema)

@@ -21,7 +21,10 @@ def canonical(pages: DataFrame, learned: DataFrame | None = None) -> DataFrame:
     """The facts of pages, of which raw_artifact_id names the case: case_id, attribute_key, values, tier and place."""
     onto = ontology.ontology(pages.sparkSession)
     rows = normalize.normalized(extract.extract(pages), onto, ontology.with_learned(ontology.labels(onto), learned)).where("reason = 'ok'")
-    return rows.select(F.col("raw_artifact_id").alias("case_id"), "attribute_key", "value_num", "value_text", F.col("provenance.extraction_tier").alias("tier"), "tier_pos", "place")
+    return rows.select(
+        F.col("raw_artifact_id").alias("case_id"), "attribute_key", "value_num", "value_text", F.col("provenance.extraction_tier").alias("tier"), "tier_pos",
+        "place",
+    )
 
 
 def evaluate(pages: DataFrame, expected: DataFrame) -> Evaluated:

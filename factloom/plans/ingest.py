@@ -41,7 +41,9 @@ def ingest(artifacts: DataFrame, refs: DataFrame, valid_from: Column, learned: D
     named = resolve.resolve_or_create(normalize.enriched(refs, found))
     onto = ontology.ontology(spark)
     rows = normalize.normalized(found, onto, ontology.with_learned(ontology.labels(onto), learned))
-    rows = rows.join(named.select("raw_artifact_id", F.col("resolved").alias("product_id")), "raw_artifact_id").join(artifacts.select("raw_artifact_id", "page_seq"), "raw_artifact_id")
+    rows = rows.join(
+        named.select("raw_artifact_id", F.col("resolved").alias("product_id")), "raw_artifact_id",
+    ).join(artifacts.select("raw_artifact_id", "page_seq"), "raw_artifact_id")
     obs = observed(rows, valid_from)
     items = review.enqueue(None, normalize.review_items(rows, valid_from), ["raw_artifact_id", "tier_pos", "place"])
     queued = items.groupBy("raw_artifact_id").agg(F.count("*").alias("hitl_enqueued"))

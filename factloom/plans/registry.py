@@ -48,7 +48,11 @@ UNION ALL SELECT page, 'price', printf('%.2f', p_retailprice), 'USD', '$.offers.
 UNION ALL SELECT page, 'Cores', CAST(p_size AS VARCHAR), NULL, '$.additionalProperty[0]', mpn, p_brand, '{"Cores": "' || p_size || '"}' FROM p""")
 def jsonld_extract(spark, sf_dir):
     rows = extract.jsonld(jsonld_pages(table(spark, sf_dir, "part")))
-    return rows.select(F.col("raw_artifact_id").alias("page"), F.col("raw_attribute").alias("name"), F.col("raw_value").alias("value"), F.col("raw_unit").alias("unit"), F.col("evidence.json_path").alias("path"), F.col("detected_ids")["mpn"].alias("mpn"), F.col("detected_ids")["brand"].alias("brand"), F.col("provenance.source_span").alias("span"))
+    return rows.select(
+        F.col("raw_artifact_id").alias("page"), F.col("raw_attribute").alias("name"), F.col("raw_value").alias("value"), F.col("raw_unit").alias("unit"),
+        F.col("evidence.json_path").alias("path"), F.col("detected_ids")["mpn"].alias("mpn"), F.col("detected_ids")["brand"].alias("brand"),
+        F.col("provenance.source_span").alias("span"),
+    )
 
 
 @registered("""
@@ -72,7 +76,10 @@ UNION ALL SELECT page, 'price', printf('%.2f', p_retailprice), NULL, page, 'S' |
 UNION ALL SELECT page, 'Material', p_type, NULL, page, 'S' || page FROM p""")
 def cms_extract(spark, sf_dir):
     rows = extract.shop_json(shop_pages(table(spark, sf_dir, "part")))
-    return rows.select(F.col("raw_artifact_id").alias("page"), F.col("raw_attribute").alias("name"), F.col("raw_value").alias("value"), F.col("raw_unit").alias("unit"), F.col("detected_ids")["gtin"].alias("gtin"), F.col("detected_ids")["sku"].alias("sku"))
+    return rows.select(
+        F.col("raw_artifact_id").alias("page"), F.col("raw_attribute").alias("name"), F.col("raw_value").alias("value"), F.col("raw_unit").alias("unit"),
+        F.col("detected_ids")["gtin"].alias("gtin"), F.col("detected_ids")["sku"].alias("sku"),
+    )
 
 
 @registered("""
@@ -100,7 +107,9 @@ def _items(spark, sf_dir):
     reason = F.element_at(F.array(*(F.lit(x) for x in ("unmapped", "unparseable", "out_of_constraints", "ok"))), (F.col("event_id") % 4 + 1).cast("int"))
     rows = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("raw_attribute"), F.floor("value").cast("long").cast("string").alias("raw_value"), F.lit(None).cast("string").alias("raw_unit"), reason.alias("reason"),
-        F.struct(F.col("user_id").cast("string").alias("source_url"), F.lit("").alias("source_span")).alias("provenance"), F.lit(0).alias("tier_pos"), F.col("event_id").alias("place"), F.col("event_id").cast("string").alias("raw_artifact_id"), F.col("ts"),
+        F.struct(
+            F.col("user_id").cast("string").alias("source_url"), F.lit("").alias("source_span"),
+        ).alias("provenance"), F.lit(0).alias("tier_pos"), F.col("event_id").alias("place"), F.col("event_id").cast("string").alias("raw_artifact_id"), F.col("ts"),
     )
     return review.enqueue(None, normalize.review_items(rows, F.col("ts")), ["place"])
 
@@ -132,7 +141,10 @@ def hitl_open_topk(spark, sf_dir):
 @registered("""
 SELECT label, arg_max(k, (ts, k)) AS attribute_key FROM (SELECT lower(event_type) AS label, 'a' || (user_id % 17) AS k, ts FROM events) GROUP BY label""")
 def learned_mapping(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("raw_attribute"), F.lit("en").alias("language"), F.array().cast("array<string>").alias("category_path"), F.concat(F.lit("a"), (F.col("user_id") % 17).cast("string")).alias("attribute_key"), F.col("ts").alias("confirmed_at"))
+    rows = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("raw_attribute"), F.lit("en").alias("language"), F.array().cast("array<string>").alias("category_path"),
+        F.concat(F.lit("a"), (F.col("user_id") % 17).cast("string")).alias("attribute_key"), F.col("ts").alias("confirmed_at"),
+    )
     onto = ontology.ontology(spark)
     known = ontology.with_learned(ontology.labels(onto), ontology.learn_mappings(rows))
     return known.where(F.col("attribute_key").rlike("^a[0-9]+$"))
@@ -218,7 +230,10 @@ def filter_products(spark, sf_dir):
 @registered(f"SELECT {PID} AS product_id FROM part WHERE p_type <> (SELECT min(p_type) FROM part) AND p_partkey % 7 <> 0 AND p_size * 100 >= 700 AND p_size * 100 <> 900")
 def filter_negated(spark, sf_dir):
     kind = table(spark, sf_dir, "part").agg(F.min("p_type")).first()[0]
-    return query.filter_products(_facts(spark, sf_dir), [query.Constraint("material", "ne", kind), query.Constraint("net_weight", "gte", 700), query.Constraint("net_weight", "ne", "900.0")], None)
+    return query.filter_products(
+        _facts(spark, sf_dir),
+        [query.Constraint("material", "ne", kind), query.Constraint("net_weight", "gte", 700), query.Constraint("net_weight", "ne", "900.0")], None,
+    )
 
 
 @registered("SELECT '' AS product_id WHERE FALSE")
@@ -294,7 +309,9 @@ def entity_create_stored(spark, sf_dir):
     """References after the products that exist already, which come first in the order of seq."""
     part = table(spark, sf_dir, "part")
     key = F.substring("product_id", 5, 12).cast("long")
-    stored = part_products(part.where("p_partkey % 7 = 0")).select((-key).alias("seq"), "product_id", "gtin", "mpn", "brand", "model", F.lit(None).cast("string").alias("source_url"))
+    stored = part_products(part.where("p_partkey % 7 = 0")).select(
+        (-key).alias("seq"), "product_id", "gtin", "mpn", "brand", "model", F.lit(None).cast("string").alias("source_url"),
+    )
     return resolve.resolve_or_create(_seq_refs(spark, sf_dir).where("seq % 3 > 0").unionByName(stored)).select("seq", "resolved")
 
 
@@ -348,7 +365,10 @@ def raw_new(spark, sf_dir):
 
 @registered(CANONICAL + "SELECT canonical_url, page_id FROM (SELECT canonical_url, page_id, row_number() OVER (PARTITION BY canonical_url ORDER BY page_id % 7 DESC, lpad(CAST(page_id AS VARCHAR), 12, '0') DESC) AS n FROM u) WHERE n = 1")
 def latest_artifact(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("canonical_url"), F.timestamp_seconds(F.col("page_id") % 7).alias("fetched_at"), F.lpad(F.col("page_id").cast("string"), 12, "0").alias("raw_artifact_id"))
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", urls.canonical_url(F.col("url")).alias("canonical_url"), F.timestamp_seconds(F.col("page_id") % 7).alias("fetched_at"),
+        F.lpad(F.col("page_id").cast("string"), 12, "0").alias("raw_artifact_id"),
+    )
     return store.latest(pages).select("canonical_url", "page_id")
 
 
@@ -529,7 +549,9 @@ def answer_by_keys(spark, sf_dir):
     n, way = F.col("question_id"), F.floor(F.col("question_id") / 4) % 5
     asked = _questions(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("question_id"), "p_brand", "p_name"), "question_id")
     asked = asked.select(
-        "question_id", "text", F.when(way == 0, F.concat(F.lit("prd_"), F.lpad(n.cast("string"), 12, "0"))).alias("product_id"), F.when(way == 1, F.concat(F.lit("G"), (n % 500).cast("string"))).alias("gtin"),
+        "question_id", "text", F.when(
+            way == 0, F.concat(F.lit("prd_"), F.lpad(n.cast("string"), 12, "0")),
+        ).alias("product_id"), F.when(way == 1, F.concat(F.lit("G"), (n % 500).cast("string"))).alias("gtin"),
         F.when(way == 2, F.concat(F.lit("M"), (n % 300).cast("string"))).alias("mpn"), F.when(way.isin(2, 3), F.col("p_brand")).alias("brand"), F.when(way == 3, F.upper("p_name")).alias("model"),
     )
     return answer.answer(asked, _labels(spark), _facts(spark, sf_dir), products=part_products(table(spark, sf_dir, "part"))).select("question_id", "product_id", "route")
@@ -559,7 +581,9 @@ def scorecard(spark, sf_dir):
 @registered("SELECT round(count(*) FILTER (WHERE event_id % 10 = 0 AND event_id % 5 = 0 OR event_id % 10 > 3 AND event_id % 5 > 3) / CAST(count(*) AS DOUBLE), 6) AS accuracy FROM events WHERE TRUE")
 def accuracy(spark, sf_dir):
     n = F.col("event_id")
-    rows = table(spark, sf_dir, "events").select(F.when(n % 10 == 0, "a").when(n % 10 > 3, "b").otherwise("c").alias("got"), F.when(n % 5 == 0, "a").when(n % 5 > 3, "b").otherwise("d").alias("want"))
+    rows = table(spark, sf_dir, "events").select(
+        F.when(n % 10 == 0, "a").when(n % 10 > 3, "b").otherwise("c").alias("got"), F.when(n % 5 == 0, "a").when(n % 5 > 3, "b").otherwise("d").alias("want"),
+    )
     return quality.answer_accuracy(rows, "got", "want").select(F.round("accuracy", 6).alias("accuracy"))
 
 
@@ -630,7 +654,10 @@ def _weights(spark, sf_dir):
     kind, size = F.col("p_partkey") % 4, F.col("p_size").cast("string")
     value = F.when(kind == 0, F.concat(size, F.lit(" kg"))).when(kind == 1, "heavy").when(kind == 2, F.concat(size, F.lit("000 kg"))).otherwise("x")
     label = F.when(kind < 3, "Weight").otherwise("Unheard of")
-    pages = spec_pages(table(spark, sf_dir, "part").select("*", label.alias("_label"), value.alias("_value")), F.concat(F.lit("<table><tr><th>"), "_label", F.lit("</th><td>"), "_value", F.lit("</td></tr></table>")))
+    pages = spec_pages(
+        table(spark, sf_dir, "part").select("*", label.alias("_label"), value.alias("_value")),
+        F.concat(F.lit("<table><tr><th>"), "_label", F.lit("</th><td>"), "_value", F.lit("</td></tr></table>")),
+    )
     return _normal(spark, extract.spec_tables(pages))
 
 
@@ -658,12 +685,17 @@ def review_learning(spark, sf_dir):
     first = _normal(spark, found)
     items = review.enqueue(None, normalize.review_items(first, F.timestamp_seconds(F.lit(0))), ["raw_artifact_id", "tier_pos", "place"])
     known = F.get_json_object("payload", "$.raw_attribute") < "Label 4"
-    decided = items.select("item_id", F.when(known, "resolved").otherwise("dismissed").alias("status"), F.lit("someone").alias("resolved_by"), F.lit('{"attribute_key": "material"}').alias("resolution"), F.timestamp_seconds(F.lit(1)).alias("resolved_at"))
+    decided = items.select(
+        "item_id", F.when(known, "resolved").otherwise("dismissed").alias("status"), F.lit("someone").alias("resolved_by"),
+        F.lit('{"attribute_key": "material"}').alias("resolution"), F.timestamp_seconds(F.lit(1)).alias("resolved_at"),
+    )
     learned = review.learned(review.resolve(items, decided))
     onto = ontology.ontology(spark)
     again = normalize.normalized(found, onto, ontology.with_learned(ontology.labels(onto), learned))
     before = first.select(F.col("raw_artifact_id").alias("page"), F.col("reason").alias("before"))
-    return again.select(F.col("raw_artifact_id").alias("page"), F.col("reason").alias("after_review"), "attribute_key").join(before, "page").select("page", "before", "after_review", "attribute_key")
+    return again.select(
+        F.col("raw_artifact_id").alias("page"), F.col("reason").alias("after_review"), "attribute_key",
+    ).join(before, "page").select("page", "before", "after_review", "attribute_key")
 
 
 @registered("""
@@ -691,10 +723,16 @@ def _benchmark(spark, sf_dir):
     weight = (F.col("p_size") * 1000 + F.when(n % 5 == 0, 1).otherwise(0)).cast("double")
     wants = F.array(
         F.struct(F.lit("net_weight").alias("attribute_key"), weight.alias("want_num"), text_.alias("want_text")),
-        F.struct(F.lit("material").alias("attribute_key"), F.lit(None).cast("double").alias("want_num"), F.when(n % 9 == 0, "another").otherwise(F.col("p_name")).alias("want_text")),
+        F.struct(
+            F.lit("material").alias("attribute_key"), F.lit(None).cast("double").alias("want_num"),
+            F.when(n % 9 == 0, "another").otherwise(F.col("p_name")).alias("want_text"),
+        ),
         F.struct(F.lit("battery_life").alias("attribute_key"), F.lit(1.0).alias("want_num"), text_.alias("want_text")),
     )
-    expected = part.select(n.cast("string").alias("case_id"), F.col("p_brand").alias("vendor"), F.concat(F.lit("c"), (F.col("p_size") % 3).cast("string")).alias("category"), F.explode(wants).alias("w")).select("case_id", "vendor", "category", "w.*")
+    expected = part.select(
+        n.cast("string").alias("case_id"), F.col("p_brand").alias("vendor"), F.concat(F.lit("c"), (F.col("p_size") % 3).cast("string")).alias("category"),
+        F.explode(wants).alias("w"),
+    ).select("case_id", "vendor", "category", "w.*")
     return benchmark.evaluate(spec_pages(part), expected)
 
 
@@ -725,14 +763,19 @@ def chunk_replace(spark, sf_dir):
 
 @registered(f"SELECT product_id, brand, model, array_to_string(category_path, '/') AS category FROM (SELECT {PID} AS product_id, p_brand AS brand, p_name AS model, string_split(p_type, ' ') AS category_path FROM part WHERE p_partkey = 21)")
 def product_by_id(spark, sf_dir):
-    return resolve.product(part_products(table(spark, sf_dir, "part")), "prd_000000000021").select("product_id", "brand", "model", F.array_join("category_path", "/").alias("category"))
+    return resolve.product(part_products(table(spark, sf_dir, "part")), "prd_000000000021").select(
+        "product_id", "brand", "model", F.array_join("category_path", "/").alias("category"),
+    )
 
 
 def _brand_model(page, keys):
     """A model that reads the colour, and makes up a material that isn't on the page."""
     brand = page.partition("<dt>Colour</dt><dd>")[2].partition("</dd>")[0]
     sure = 0.99 if brand.endswith(("1", "3", "5")) else 0.5
-    return [{"attribute": "color", "value": brand, "source_span": f"Colour</dt><dd>{brand}", "confidence": sure}, {"attribute": "material", "value": "gold", "source_span": "made of gold"}, {"attribute": "color", "value": "red", "source_span": "Colour"}]
+    return [
+        {"attribute": "color", "value": brand, "source_span": f"Colour</dt><dd>{brand}", "confidence": sure},
+        {"attribute": "material", "value": "gold", "source_span": "made of gold"}, {"attribute": "color", "value": "red", "source_span": "Colour"},
+    ]
 
 
 @registered("""
@@ -740,7 +783,10 @@ SELECT CAST(p_partkey AS VARCHAR) AS page, 'color' AS attribute, p_brand AS valu
 def model_facts(spark, sf_dir):
     """Facts by an injected model: what isn't on the page, or not in its span, is left out, and confidence is capped."""
     rows = extract.by_model(spec_pages(table(spark, sf_dir, "part")), _brand_model, ["color", "material"])
-    return rows.select(F.col("raw_artifact_id").alias("page"), F.col("raw_attribute").alias("attribute"), F.col("raw_value").alias("value"), "confidence", F.col("provenance.extraction_tier").cast("int").alias("tier"))
+    return rows.select(
+        F.col("raw_artifact_id").alias("page"), F.col("raw_attribute").alias("attribute"), F.col("raw_value").alias("value"), "confidence",
+        F.col("provenance.extraction_tier").cast("int").alias("tier"),
+    )
 
 
 @registered("SELECT round(count(*) FILTER (WHERE p_partkey % 4 < 3) / CAST(count(*) AS DOUBLE), 6) AS auto_map_rate FROM part")
@@ -772,7 +818,10 @@ def fact_rows(spark, sf_dir):
 SELECT event_type AS raw_attribute, 'a' || max(user_id % 17) AS attribute_key FROM (SELECT event_type, user_id, rank() OVER (PARTITION BY event_type ORDER BY ts DESC) AS n FROM events WHERE event_type = 'click') WHERE n = 1 GROUP BY 1""")
 def mapping_lookup(spark, sf_dir):
     """One label's mapping among those that the latest confirmations give."""
-    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("raw_attribute"), F.lit("en").alias("language"), F.array(F.lit("x")).alias("category_path"), F.concat(F.lit("a"), (F.col("user_id") % 17).cast("string")).alias("attribute_key"), F.col("ts").alias("confirmed_at"))
+    rows = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("raw_attribute"), F.lit("en").alias("language"), F.array(F.lit("x")).alias("category_path"),
+        F.concat(F.lit("a"), (F.col("user_id") % 17).cast("string")).alias("attribute_key"), F.col("ts").alias("confirmed_at"),
+    )
     return ontology.mapping(ontology.learn_mappings(rows), "click", "en", ["x"]).select("raw_attribute", "attribute_key")
 
 

@@ -13,7 +13,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _page(rows: DataFrame, content, kind: str) -> DataFrame:
     return rows.select(
-        F.col("p_partkey").cast("string").alias("raw_artifact_id"), F.concat(F.lit("https://shop.example/p/"), F.col("p_partkey").cast("string")).alias("url"), F.lit(None).cast("string").alias("canonical_url"),
+        F.col("p_partkey").cast("string").alias("raw_artifact_id"), F.concat(
+            F.lit("https://shop.example/p/"), F.col("p_partkey").cast("string"),
+        ).alias("url"), F.lit(None).cast("string").alias("canonical_url"),
         content.alias("content"), F.lit(kind).alias("content_type"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("fetched_at"), F.col("p_partkey").alias("page_seq"),
     )
 
@@ -60,8 +62,14 @@ def part_facts(part: DataFrame) -> DataFrame:
     base = part.select(key.alias("product_id"), "p_partkey", "p_size", "p_type", "p_brand")
     none_text, none_num = F.lit(None).cast("string"), F.lit(None).cast("double")
     both = F.array(
-        F.struct(F.lit("net_weight").alias("attribute_key"), (F.col("p_size") * 100).cast("double").alias("value_num"), none_text.alias("value_text"), F.lit("g").alias("canonical_unit"), F.concat((F.col("p_size") * 100).cast("string"), F.lit(" g")).alias("original_value")),
-        F.struct(F.lit("material").alias("attribute_key"), none_num.alias("value_num"), F.col("p_type").alias("value_text"), none_text.alias("canonical_unit"), F.col("p_type").alias("original_value")),
+        F.struct(
+            F.lit("net_weight").alias("attribute_key"), (F.col("p_size") * 100).cast("double").alias("value_num"), none_text.alias("value_text"),
+            F.lit("g").alias("canonical_unit"), F.concat((F.col("p_size") * 100).cast("string"), F.lit(" g")).alias("original_value"),
+        ),
+        F.struct(
+            F.lit("material").alias("attribute_key"), none_num.alias("value_num"), F.col("p_type").alias("value_text"), none_text.alias("canonical_unit"),
+            F.col("p_type").alias("original_value"),
+        ),
     )
     rows = base.select("product_id", "p_partkey", "p_brand", F.explode(both).alias("f")).select("product_id", "p_partkey", "p_brand", "f.*")
     url = F.concat(F.lit("https://shop.example/p/"), F.col("p_partkey").cast("string"))
@@ -75,7 +83,9 @@ def part_products(part: DataFrame) -> DataFrame:
     key = F.concat(F.lit("prd_"), F.lpad(F.col("p_partkey").cast("string"), 12, "0"))
     return part.select(
         key.alias("product_id"), F.col("p_brand").alias("brand"), F.col("p_name").alias("model"), F.split("p_type", " ").alias("category_path"),
-        F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("G"), (F.col("p_partkey") % 500).cast("string"))).alias("gtin"), F.when(F.col("p_partkey") % 3 != 1, F.concat(F.lit("M"), (F.col("p_partkey") % 300).cast("string"))).alias("mpn"),
+        F.when(
+            F.col("p_partkey") % 3 == 0, F.concat(F.lit("G"), (F.col("p_partkey") % 500).cast("string")),
+        ).alias("gtin"), F.when(F.col("p_partkey") % 3 != 1, F.concat(F.lit("M"), (F.col("p_partkey") % 300).cast("string"))).alias("mpn"),
     )
 
 

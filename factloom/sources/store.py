@@ -90,7 +90,10 @@ def cases(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """Benchmark cases under root/vendor/category/slug: (artifacts with case_id, expected values). source.html comes before source.json."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     parts = F.split("path", "/")
-    rows = files.select(F.element_at(parts, -4).alias("vendor"), F.element_at(parts, -3).alias("category"), F.element_at(parts, -2).alias("slug"), F.element_at(parts, -1).alias("file"), F.col("content").cast("string").alias("content"))
+    rows = files.select(
+        F.element_at(parts, -4).alias("vendor"), F.element_at(parts, -3).alias("category"), F.element_at(parts, -2).alias("slug"),
+        F.element_at(parts, -1).alias("file"), F.col("content").cast("string").alias("content"),
+    )
     rows = rows.withColumn("case_id", F.concat_ws("/", "vendor", "category", "slug"))
     expected = rows.where("file = 'expected.json'")
     values = F.from_json(F.get_json_object("content", "$.expected"), "map<string,variant>")
@@ -101,7 +104,11 @@ def cases(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     sources = rows.where("file IN ('source.html', 'source.json')").groupBy("case_id").agg(F.min_by(F.struct("file", "content"), "file").alias("s"))
     meta = expected.select("case_id", F.get_json_object("content", "$.content_type").alias("told"), F.get_json_object("content", "$.product.source_url").alias("url"))
     kind = F.coalesce("told", F.when(F.col("s.file") == "source.json", "application/json").otherwise("text/html"))
-    pages = sources.join(meta, "case_id").select("case_id", F.col("case_id").alias("raw_artifact_id"), F.coalesce("url", F.concat(F.lit("https://benchmark.local/"), "case_id")).alias("url"), F.lit(None).cast("string").alias("canonical_url"), F.col("s.content").alias("content"), kind.alias("content_type"), F.timestamp_seconds(F.lit(0)).alias("fetched_at"))
+    pages = sources.join(meta, "case_id").select(
+        "case_id", F.col("case_id").alias("raw_artifact_id"), F.coalesce("url", F.concat(F.lit("https://benchmark.local/"), "case_id")).alias("url"),
+        F.lit(None).cast("string").alias("canonical_url"), F.col("s.content").alias("content"), kind.alias("content_type"),
+        F.timestamp_seconds(F.lit(0)).alias("fetched_at"),
+    )
     return pages, want
 
 
