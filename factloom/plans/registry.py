@@ -624,13 +624,13 @@ def crawl_schedule(spark, sf_dir):
 
 @registered("""
 WITH q AS (SELECT event_id AS question_id, user_id, event_type, ts + to_days(CAST(event_id % 7 - 3 AS INTEGER)) AS at FROM events)
-SELECT question_id, arg_max(e.event_id, (e.ts, e.event_id)) AS event_id FROM q LEFT JOIN events e ON e.user_id = q.user_id AND e.event_type = q.event_type AND e.ts <= q.at GROUP BY question_id""")
+SELECT question_id, coalesce(arg_max(e.event_id, (e.ts, e.event_id)), -1) AS event_id FROM q LEFT JOIN events e ON e.user_id = q.user_id AND e.event_type = q.event_type AND e.ts <= q.at GROUP BY question_id""")
 def facts_as_of_join(spark, sf_dir):
     """For each event, which of its user and type was the last some days earlier or later."""
     events = table(spark, sf_dir, "events")
     asked = events.select(F.col("event_id").alias("question_id"), "user_id", "event_type", (F.col("ts") + F.make_dt_interval((F.col("event_id") % 7 - 3).cast("int"))).alias("at"))
     found = facts.as_of_join(asked, events.select("event_id", "user_id", "event_type", "ts"), ["user_id", "event_type"], since="ts", order="event_id")
-    return found.select("question_id", "version.event_id")
+    return found.select("question_id", F.coalesce("version.event_id", F.lit(-1)).alias("event_id"))
 
 
 @registered("SELECT CAST(p_partkey AS VARCHAR) AS page, 5 AS candidates, 4 AS facts_written, 1 AS facts_unmapped, 1 AS failed FROM part")
@@ -736,9 +736,9 @@ def _benchmark(spark, sf_dir):
     return benchmark.evaluate(spec_pages(part), expected)
 
 
-@registered(BENCHMARK + "SELECT case_id, attribute_key, status, tier FROM o")
+@registered(BENCHMARK + "SELECT case_id, attribute_key, status, coalesce(tier, 0) AS tier FROM o")
 def benchmark_outcomes(spark, sf_dir):
-    return _benchmark(spark, sf_dir).outcomes.select("case_id", "attribute_key", "status", F.col("tier").cast("int").alias("tier"))
+    return _benchmark(spark, sf_dir).outcomes.select("case_id", "attribute_key", "status", F.coalesce(F.col("tier").cast("int"), F.lit(0)).alias("tier"))
 
 
 @registered(BENCHMARK + """
