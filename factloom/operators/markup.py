@@ -38,7 +38,7 @@ def reader(pairs: Reader):
                 found = [(None, None, None, type(e).__name__)]
             yield from found
 
-    return F.udtf(Rows, returnType=SCHEMA, useArrow=True)
+    return F.udtf(Rows, returnType=SCHEMA, useArrow=False)  # a row at a time: results of a page are few, a table for each costs more
 
 
 def read(pages: DataFrame, pairs: Reader, name: str) -> DataFrame:
