@@ -16,7 +16,8 @@ def asked_attributes(questions: DataFrame, labels: DataFrame) -> DataFrame:
     """(question_id, attribute_key) for questions that name a label: the longest one, of equally long ones the first attribute's.
 
     Runs of as many words of the question as the longest label has are joined with the labels by equality, so no question
-    meets every label.
+    meets every label. The labels are broadcast, as they are few; of the questions, which look small before their words
+    are taken apart, nothing is.
     """
     most = labels.agg(F.max(F.size(F.split("label", " ")))).first()[0] or 1
     words = F.split(normalized_label(F.col("text")), " ")
@@ -26,7 +27,7 @@ def asked_attributes(questions: DataFrame, labels: DataFrame) -> DataFrame:
     ))
     phrases = questions.select("question_id", words.alias("_w")).select("question_id", F.explode(F.array_distinct(runs)).alias("label"))
     best = F.max_by("attribute_key", F.struct(F.length("label"), -F.col("ordinal"))).alias("attribute_key")
-    return phrases.join(labels, "label").groupBy("question_id").agg(best)
+    return phrases.join(F.broadcast(labels), "label").groupBy("question_id").agg(best)
 
 
 def fact_answer() -> Column:
@@ -58,12 +59,15 @@ def answer(questions: DataFrame, labels: DataFrame, facts: DataFrame, chunk_rows
 
     With products, a question without a product_id is about the product that its gtin, mpn, brand and model resolve to.
     An exact fact comes first; then, if there are chunks, the best one; then an honest refusal. Only questions without
-    an exact fact are searched for.
+    an exact fact are searched for. Questions and facts meet in sorted joins, since either side may be large whatever its
+    estimated size; questions without a product are dealt by their own id.
     """
     if products is not None:
         questions = about(questions, products)
     f = facts.select("product_id", "attribute_key", "value_num", "value_text", "canonical_unit", "original_value", "disputed", "source_url", "source_span", "fetched_at")
-    rows = questions.join(asked_attributes(questions, labels), "question_id", "left").join(f, ["product_id", "attribute_key"], "left")
+    rows = questions.join(asked_attributes(questions, labels).hint("merge"), "question_id", "left")
+    rows = rows.withColumn("_dealt", F.coalesce("product_id", F.col("question_id").cast("string")))
+    rows = rows.join(f.withColumn("_dealt", F.col("product_id")).hint("merge"), ["_dealt", "product_id", "attribute_key"], "left").drop("_dealt")
     exact = F.col("fetched_at").isNotNull()
     if chunk_rows is not None:
         open_ = rows.where(~exact).select("question_id", "text", "brand")
