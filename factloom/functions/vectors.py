@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SIZE = 1024
 
@@ -22,10 +22,14 @@ def hashed_counts(df: DataFrame, key: str, text: str, size: int = SIZE) -> DataF
 
 
 def embedded(df: DataFrame, key: str, text: str, size: int = SIZE) -> DataFrame:
-    """(key, bucket, weight): counts over their Euclidean norm. A text without ASCII tokens has no rows: a zero vector."""
-    counts = hashed_counts(df, key, text, size)
-    norms = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    return counts.join(norms, key).select(key, "bucket", (F.col("n") / F.col("norm")).alias("weight"))
+    """(key, bucket, weight): counts over their Euclidean norm. A text without ASCII tokens has no rows: a zero vector.
+
+    Texts are dealt by key before they are taken apart, so nothing is shuffled after it. A null key has no vector.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = hashed_counts(df.select(key, text).where(F.col(key).isNotNull()).repartition(parts, key), key, text, size)
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))
+    return counts.select(key, "bucket", (F.col("n") / norm).alias("weight"))
 
 
 def _dot(a: Column, b: Column) -> Column:

@@ -25,12 +25,12 @@ def chunks(products: DataFrame, facts: DataFrame) -> DataFrame:
     unit = F.when(F.col("canonical_unit") != "", F.concat(F.lit(" "), "canonical_unit")).otherwise("")
     line = F.concat(F.replace("attribute_key", F.lit("_"), F.lit(" ")), F.lit(": "), value_text(), unit, F.lit("."))
     lines = facts.select("product_id", "attribute_key", line.alias("line"), "source_url", "fetched_at")
-    order = Window.partitionBy("product_id").orderBy(F.desc("fetched_at"), "attribute_key")
-    first = lines.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("product_id", F.struct("source_url", "fetched_at").alias("latest"))
+    order = F.struct(F.col("fetched_at").isNull(), -F.unix_micros("fetched_at"), "attribute_key")
     body = lines.groupBy("product_id").agg(
         F.array_sort(F.collect_list(F.struct("attribute_key", "line"))).alias("l"), F.sort_array(F.collect_set("attribute_key")).alias("attribute_keys"),
+        F.min_by(F.struct("source_url", "fetched_at"), order).alias("latest"),
     )
-    rows = products.join(body, "product_id").join(first, "product_id")
+    rows = products.join(body.hint("merge"), "product_id")  # facts may be many more than their estimated size says
     head = F.concat(
         F.lit("[Brand: "), F.coalesce("brand", F.lit("None")), F.lit("] [Model: "), F.coalesce("model", F.lit("None")), F.lit("] [Category: "),
         F.array_join("category_path", "/"), F.lit("]"),

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import answer, ontology
+from factloom.operators import answer, ontology, retrieval
 from factloom.plans import samples
 
 
@@ -40,3 +40,11 @@ def test_facts_and_answers_are_not_broadcast(spark, part, questions):
     rows = answer.answer(questions, ontology.labels(ontology.ontology(spark)), samples.part_facts(part))
     assert physical(rows).count("BroadcastExchange") == 1  # the labels
     assert {r.question_id: r.route for r in rows.collect()} == {i: "refused" if i % 2 else "exact_lookup" for i in range(1, 41)}
+
+
+def test_chunks_join_once_without_broadcast(part):
+    rows = retrieval.chunks(samples.part_products(part).select("product_id", "brand", "model", "category_path"), samples.part_facts(part))
+    assert "BroadcastExchange" not in physical(rows) and optimized(rows).count("Join Inner") == 1
+    late = samples.part_facts(part.limit(1)).withColumn("fetched_at", F.when(F.col("attribute_key") == "net_weight", F.col("fetched_at"))).withColumn("source_url", F.col("attribute_key"))
+    (row,) = retrieval.chunks(samples.part_products(part).select("product_id", "brand", "model", "category_path"), late).collect()
+    assert row.source_url == "net_weight"  # a fact without a time isn't the latest
