@@ -33,10 +33,9 @@ def _get(node: Column, path: str) -> Column:
     return F.get_json_object(node, path)
 
 
-def _kind(node: Column) -> Column:
-    """object, array, string, number, boolean or null, by the first character of JSON text."""
-    first = F.substring(F.ltrim(node), 1, 1)
-    return F.when(first == "{", "object").when(first == "[", "array").when(first == '"', "string").when(first.rlike("[-0-9]"), "number").when(first.rlike("[tf]"), "boolean")
+def _opens(node: Column, sign: str) -> Column:
+    """Does JSON text open an object ({) or an array ([)?"""
+    return F.startswith(F.ltrim(node), F.lit(sign))
 
 
 class Node(NamedTuple):
@@ -72,7 +71,7 @@ def _is_number(kind: Column) -> Column:
 
 
 def _list(node: Column) -> Column:
-    return F.coalesce(F.when(_kind(node) == "array", F.from_json(node, STRINGS)), F.array().cast(STRINGS))
+    return F.coalesce(F.when(_opens(node, "["), F.from_json(node, STRINGS)), F.array().cast(STRINGS))
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -97,13 +96,26 @@ def _evidence(kind: str, selector: Column | None = None, path: Column | None = N
 
 
 def _pages(artifacts: DataFrame) -> DataFrame:
-    return artifacts.select("raw_artifact_id", source_url(F.col("canonical_url"), F.col("url")).alias("source_url"), "content", "fetched_at")
+    """The columns that readers need, dealt by page: a table in one small file would be one task, and reading costs far more than the shuffle."""
+    parts = int(artifacts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = artifacts.select("raw_artifact_id", source_url(F.col("canonical_url"), F.col("url")).alias("source_url"), "content", "fetched_at")
+    return rows.repartition(parts, "raw_artifact_id")
 
 
 def _fact(name: Column, value: Column, unit: Column, path: Column) -> Column:
     return F.struct(name.alias("name"), value.alias("value"), unit.cast("string").alias("unit"), path.alias("path"))
 
 
+def _facts(rows: DataFrame, every: Column) -> DataFrame:
+    """rows with fact_at and fact, for each of `every` with a name and a value.
+
+    The outer explode is what keeps Spark from evaluating all facts once more in a filter on their number. Callers don't
+    filter either, but leave `every` null: a filter would go below the shuffle of the pages and parse them there.
+    """
+    some = F.filter(every, lambda x: x["name"].isNotNull() & x["value"].isNotNull())
+    return rows.select("*", F.posexplode_outer(some).alias("fact_at", "fact")).where("fact_at IS NOT NULL")
+
+
 def _candidates(rows: DataFrame, tier: int, tier_pos: int, kind: str, method: str) -> DataFrame:
     """rows: page columns, ids, fact, place."""
     f = F.col("fact")
@@ -148,7 +160,6 @@ def jsonld(artifacts: DataFrame, tier_pos: int = 0) -> DataFrame:
     n = Node(F.col("node"), F.col("parsed"))
     kind = n.member("@type")
     is_product = F.when(kind.kind().startswith("ARRAY"), F.array_contains(_list(kind.text), "Product")).otherwise(kind.text == "Product")
-    products = nodes.where(is_product)
     gtin = F.coalesce(*(n.member(k).scalar() for k in GTINS))
     brand = F.coalesce(F.when(n.member("brand").is_object(), n.member("brand").member("name").string()), n.member("brand").string())
     ids = F.map_filter(
@@ -159,7 +170,7 @@ def jsonld(artifacts: DataFrame, tier_pos: int = 0) -> DataFrame:
     facts += [_fact(F.lit(k), *_measure(n.member(k)), F.lit(f"$.{k}")) for k in QUANTITIES]
     offers = n.member("offers")
     first = Node(F.get(_list(offers.text), 0), F.try_variant_get(offers.parsed, "$[0]", "variant"))
-    listed = _kind(offers.text) == "array"
+    listed = _opens(offers.text, "[")
     offer = Node(F.when(listed, first.text).otherwise(offers.text), F.when(listed, first.parsed).otherwise(offers.parsed))
     facts.append(_fact(F.lit("price"), offer.member("price").scalar(), offer.member("priceCurrency").string(), F.lit("$.offers.price")))
 
@@ -168,20 +179,20 @@ def jsonld(artifacts: DataFrame, tier_pos: int = 0) -> DataFrame:
         return _fact(_filled(x.member("name").string()), x.member("value").scalar(), _unit_of(x), F.concat(F.lit("$.additionalProperty["), i.cast("string"), F.lit("]")))
 
     every = F.concat(F.array(*facts), F.transform(_with_parsed(_list(n.member("additionalProperty").text)), extra))
-    rows = products.select("*", ids.alias("ids"), F.posexplode(F.filter(every, lambda x: x["name"].isNotNull() & x["value"].isNotNull())).alias("fact_at", "fact"))
+    rows = _facts(nodes.select("*", ids.alias("ids")), F.when(is_product, every))
     place = (F.col("block_at") * 1_000_000 + F.col("node_at")).cast("long") * 1_000_000 + F.col("fact_at")
     return _candidates(rows.withColumn("place", place), 1, tier_pos, "json_ld", "jsonld_v1")
 
 
 def shop_json(artifacts: DataFrame, tier_pos: int = 1) -> DataFrame:
     """Facts of a shop's product JSON: the first variant's weight and price, and the options that have one value."""
-    pages = _pages(artifacts).withColumn("page_json", F.try_parse_json("content")).where(F.col("page_json").isNotNull() & (_kind(F.col("content")) == "object"))
+    pages = _pages(artifacts).withColumn("page_json", F.when(_opens(F.col("content"), "{"), F.try_parse_json("content")))
     page = Node(F.col("content"), F.col("page_json"))
     has_variants = F.col("content").contains('"variants"') & page.member("variants").parsed.isNotNull()
     product = F.when(page.member("product").is_object(), page.member("product").text).when(has_variants, F.col("content"))
-    rows = pages.withColumn("node", product).where("node IS NOT NULL").withColumn("parsed", F.try_parse_json("node"))
+    rows = pages.withColumn("node", product).withColumn("parsed", F.try_parse_json("node"))
     variant = F.get(_list(_get(F.col("node"), "$.variants")), 0)
-    rows = rows.withColumn("variant", F.when(_kind(variant) == "object", variant).otherwise("{}")).withColumn("variant_json", F.try_parse_json("variant"))
+    rows = rows.withColumn("variant", F.when(_opens(variant, "{"), variant).otherwise("{}")).withColumn("variant_json", F.try_parse_json("variant"))
     n, v = Node(F.col("node"), F.col("parsed")), Node(F.col("variant"), F.col("variant_json"))
     ids = F.create_map(F.lit("brand"), _filled(n.member("vendor").string()), F.lit("sku"), _filled(v.member("sku").scalar()), F.lit("gtin"), _filled(v.member("barcode").scalar()))
     ids = F.map_filter(ids, lambda k, x: x.isNotNull())
@@ -199,7 +210,7 @@ def shop_json(artifacts: DataFrame, tier_pos: int = 1) -> DataFrame:
         return _fact(x.member("name").string(), _filled(one), F.lit(None), F.concat(F.lit("$.product.options["), i.cast("string"), F.lit("]")))
 
     every = F.concat(F.array(weight, price), F.transform(_with_parsed(_list(n.member("options").text)), option))
-    rows = rows.select("*", ids.alias("ids"), F.posexplode(F.filter(every, lambda x: x["name"].isNotNull() & x["value"].isNotNull())).alias("fact_at", "fact"))
+    rows = _facts(rows.select("*", ids.alias("ids")), every)
     return _candidates(rows.withColumn("place", F.col("fact_at").cast("long")), 2, tier_pos, "cms_adapter", "shop_json_v1")
 
 

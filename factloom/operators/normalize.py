@@ -62,9 +62,11 @@ def review_items(failed: DataFrame, created_at: Column) -> DataFrame:
 
 def enriched(refs: DataFrame, candidates: DataFrame) -> DataFrame:
     """Product references (raw_artifact_id, gtin, mpn, ...) filled from the ids that pages name; the caller's values and earlier candidates come first."""
-    ids = candidates.select("raw_artifact_id", F.struct("tier_pos", "place").alias("at"), F.explode("detected_ids").alias("id", "value")).where("id IN ('gtin', 'mpn')")
-    first = ids.groupBy("raw_artifact_id").agg(*(F.min_by(F.when(F.col("id") == k, F.col("value")), F.when(F.col("id") == k, F.col("at"))).alias(f"found_{k}") for k in ("gtin", "mpn")))
-    rows = refs.join(first, "raw_artifact_id", "left")
+    at = F.struct("tier_pos", "place")
+    first = candidates.groupBy("raw_artifact_id").agg(
+        *(F.min_by(F.col("detected_ids")[k], F.when(F.map_contains_key("detected_ids", k), at)).alias(f"found_{k}") for k in ("gtin", "mpn")),
+    )
+    rows = refs.join(first.hint("merge"), "raw_artifact_id", "left")  # as many rows as pages, whatever their estimated size
     for k in ("gtin", "mpn"):
         rows = rows.withColumn(k, F.coalesce(F.when(F.col(k) != "", F.col(k)), F.col(f"found_{k}")))
     return rows.drop("found_gtin", "found_mpn")

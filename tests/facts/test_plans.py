@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import answer, ontology, retrieval
+from factloom.operators import answer, extract, normalize, ontology, retrieval
 from factloom.plans import samples
 
 
@@ -48,3 +48,19 @@ def test_chunks_join_once_without_broadcast(part):
     late = samples.part_facts(part.limit(1)).withColumn("fetched_at", F.when(F.col("attribute_key") == "net_weight", F.col("fetched_at"))).withColumn("source_url", F.col("attribute_key"))
     (row,) = retrieval.chunks(samples.part_products(part).select("product_id", "brand", "model", "category_path"), late).collect()
     assert row.source_url == "net_weight"  # a fact without a time isn't the latest
+
+
+@pytest.mark.parametrize("kind", ["shop", "jsonld", "spec"])
+def test_pages_are_dealt_before_they_are_read(spark, part, kind):
+    rows = {
+        "shop": lambda: extract.shop_json(samples.shop_pages(part)), "jsonld": lambda: extract.jsonld(samples.jsonld_pages(part)), "spec": lambda: extract.spec_tables(samples.spec_pages(part)),
+    }[kind]()
+    assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert "parse" not in optimized(rows).split("RepartitionByExpression")[1].lower()
+
+
+def test_ids_of_a_page_are_read_once(part):
+    refs = part.select(F.col("p_partkey").cast("string").alias("raw_artifact_id"), F.lit("").alias("gtin"), F.lit(None).cast("string").alias("mpn"))
+    rows = normalize.enriched(refs, extract.shop_json(samples.shop_pages(part)))
+    assert "BroadcastExchange" not in physical(rows) and optimized(rows).lower().count("parsejson") <= 4
+    assert all(r.gtin == r.raw_artifact_id and r.mpn is None for r in rows.collect())
