@@ -2,8 +2,9 @@
 
 1. language ID: documents go whose language can't be told (no text, no letter), or that score well below what the training
    texts of that language and length do; where those are too few to tell, only below LEAST_SCORE.
-2. near-dedup: documents whose five-word shingles are alike by 0.8 (Jaccard) are linked; of each group of linked documents
-   the one with the least doc_id stays.
+2. near-dedup: documents are linked whose SimHash fingerprints differ in two bits or fewer, found by the pigeonring index of
+   op8, and further those whose five-word shingles are alike by 0.8 (Jaccard), most of which differ in more bits; of each
+   group of linked documents the one with the least doc_id stays.
 3. benchmark decontamination: benchmark spans are cut; documents that are mostly benchmark go.
 4. PII: found spans are replaced by their kinds.
 5. byte-level BPE: token ids of the text that is left, checked by decoding: doc_id, n_tokens, ids_sha256, decoded_sha256, ids.
@@ -28,7 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return nearcopies.keep_one(docs)
+    return nearcopies.keep_one(docs, fingerprints=True)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

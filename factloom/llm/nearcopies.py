@@ -1,10 +1,13 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard similarity of LEAST or more, and what they reach.
 
+`keep_one` with fingerprints also takes all links of SimHash fingerprints, found by the pigeonring index of
+`simhash.links`; groups are components of both kinds of links together, so neither loses one to the other's order.
+
 Words are split at ASCII white space, A-Z lower-cased; a text of fewer words than SHINGLE is one shingle; texts without
 words (null, empty) are copies of each other. Texts with equal sets are one node.
 
 Candidates: BANDS keys a node, each of ROWS min-hashes. A pair at 0.8 has no key in common with a probability of
-(1 - 0.8 ** 5) ** 32 = 3e-6. A 64-bit SimHash isn't the index here: at 0.8 fingerprints differ in about 10 bits, and no
+(1 - 0.8 ** 5) ** 32 = 3e-6. A 64-bit SimHash alone doesn't find them: at 0.8 fingerprints differ in about 10 bits, and no
 ring of segments tells such pairs from the others at scale. All candidates pass an exact check of the two sets, in two steps:
 
 1. Each bucket (nodes with a key in common) has its members checked against the least of them, if their sizes allow a
@@ -27,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from factloom.llm import common as c
+from factloom.llm import common as c, simhash
 from factloom.llm.graph import components
 
 SHINGLE = 5
@@ -37,8 +40,10 @@ BANDS, ROWS = 32, 5
 HUB = 1000
 PART, PART_BYTES = 256, 4 << 20
 BITS = 1 << 27
+#: Bytes of text that are shingled at once: each takes some forty in between.
+PIECE = 1 << 18
 LAST = (1 << 63) - 1
-NODE, KEY, SIZE, KEYS = "factloom_node", "factloom_key", "factloom_size", "factloom_keys"
+NODE, KEY, SIZE, KEYS, FP = "factloom_node", "factloom_key", "factloom_size", "factloom_keys", "factloom_fp"
 FACTORS = np.random.default_rng(42).integers(0, 1 << 63, (BANDS, ROWS, 2), dtype=np.int64).astype(c.U64) | c.U64(1)
 
 
@@ -83,19 +88,20 @@ def bands(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _signed(docs: DataFrame) -> DataFrame:
-    """docs with NODE, SIZE (distinct shingles), KEYS (none for an empty set) and KEY (the doc_id or LAST), written."""
+def _signed(docs: DataFrame, fingerprints: bool = False) -> DataFrame:
+    """docs with NODE, SIZE (distinct shingles), KEYS (none for an empty set), FP (null without fingerprints) and KEY (the doc_id or LAST), written."""
 
     def run(batches):
-        for piece in c.pieces(batches):
+        for piece in c.pieces(batches, most=PIECE):
             hashes, offsets = shingles(piece.column("text"))
             keys = bands(hashes, offsets)
             at = np.append(0, np.cumsum(np.diff(offsets) > 0)) * BANDS
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(nodes(hashes, offsets)), pa.array(np.diff(offsets)), lists], [*piece.schema.names, NODE, SIZE, KEYS])
+            fp = pa.array(simhash.fingerprints(piece.column("text").to_pylist()).view(np.int64)) if fingerprints else pa.nulls(len(piece), pa.int64())
+            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(nodes(hashes, offsets)), pa.array(np.diff(offsets)), lists, fp], [*piece.schema.names, NODE, SIZE, KEYS, FP])
 
     zero = F.lit(0).cast("long")
-    rows = docs.mapInArrow(run, docs.select("*", zero.alias(NODE), zero.alias(SIZE), F.array().cast("array<bigint>").alias(KEYS)).schema)
+    rows = docs.mapInArrow(run, docs.select("*", zero.alias(NODE), zero.alias(SIZE), F.array().cast("array<bigint>").alias(KEYS), F.lit(None).cast("long").alias(FP)).schema)
     return c.written(rows.withColumn(KEY, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))), "signed")
 
 
@@ -163,7 +169,7 @@ def _sets(signed: DataFrame, needed: DataFrame) -> DataFrame:
         for batch in batches:
             at = batch.column("at").to_numpy()
             some = (bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-            for piece in c.pieces([batch.filter(pa.array(some.astype(bool)))]):
+            for piece in c.pieces([batch.filter(pa.array(some.astype(bool)))], most=PIECE):
                 hashes, offsets = shingles(piece.column("text"))
                 yield pa.RecordBatch.from_arrays([piece.column("node"), pa.array([hashes[a:b].tobytes() for a, b in zip(offsets, offsets[1:])], pa.binary())], ["node", "shingles"])
 
@@ -176,6 +182,15 @@ def _sizes_allow(a, b):
     return F.least(a, b) * q >= F.greatest(a, b) * p
 
 
+def _fingerprint_links(signed: DataFrame) -> DataFrame:
+    """(a, b): nodes with one fingerprint, linked to the least of them, and the least nodes of fingerprints that link."""
+    own = c.written(signed.where(F.col(FP).isNotNull()).select(F.col(FP).alias("fp"), F.col(NODE).alias("node")).distinct(), "fingerprints")
+    least = c.written(own.groupBy("fp").agg(F.min("node").alias("a")), "distinct")
+    same = c.looked_up(own, least, "fp").where("a <> node").select("a", F.col("node").alias("b"))
+    near = simhash.links(least.select("fp")).withColumnsRenamed({"a": "fp", "b": "other"}).join(least, "fp")
+    return same.unionByName(near.select("a", F.col("other").alias("fp")).join(least.withColumnRenamed("a", "b"), "fp").select("a", "b"))
+
+
 def labelled(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The nodes of `_signed` documents (node, least doc_id), and the labels of those that are linked (node, label)."""
     every = signed.groupBy(F.col(NODE).alias("node")).agg(F.min(F.col("doc_id").cast("long")).alias("least"), F.first(SIZE).alias("size"), F.first(KEYS).alias("keys"))
@@ -194,7 +209,7 @@ def labelled(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     rest = c.looked_up(pairs, hubs, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), "b", F.col("b").alias("node"))
     rows = first.unionByName(rest).join(sets, "node").select("a", "part", "b", "shingles")
     rows = rows.repartition(c.spread(signed.sparkSession), "a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
-    links = c.written(rows.mapInArrow(_check, "a bigint, b bigint"), "links")
+    links = c.written(rows.mapInArrow(_check, "a bigint, b bigint").unionByName(_fingerprint_links(signed)), "links")
     labels = components(links)
 
     members = members.where("n > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -209,13 +224,16 @@ def labelled(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return every.select("node", "least"), labels
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """Of each group of linked documents the row with the least doc_id (nulls last; then the least node, then text); all columns stay."""
-    signed = _signed(docs)
+def keep_one(docs: DataFrame, fingerprints: bool = False) -> DataFrame:
+    """Of each group of linked documents the row with the least doc_id (nulls last; then the least node, then text); all columns stay.
+
+    fingerprints: documents whose SimHash fingerprints link, as `simhash` says, are linked as well.
+    """
+    signed = _signed(docs, fingerprints)
     every, labels = labelled(signed)
     first = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("doc_id"), F.col("node"))).alias("x")
     keep = every.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(first)
     keep = keep.select(F.coalesce("x.doc_id", F.lit(LAST)).alias(KEY), F.col("x.node").alias(NODE))
     first = F.row_number().over(Window.partitionBy(KEY, NODE).orderBy("text"))
-    rows = signed.drop(SIZE, KEYS).join(keep, [KEY, NODE], "left_semi")
+    rows = signed.drop(SIZE, KEYS, FP).join(keep, [KEY, NODE], "left_semi")
     return rows.withColumn(NODE + "_n", first).where(F.col(NODE + "_n") == 1).select(docs.columns)

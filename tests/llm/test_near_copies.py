@@ -54,3 +54,19 @@ def test_stage_drops_a_near_copy(spark, tmp_path):
     other = words[:20] + ["changed"] + words[21:70] + ["another"] + words[71:]  # 8 bits of a SimHash of three words
     docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 0) for i, w in ((1, words), (2, other), (3, words[:60]))], SCHEMA)
     assert {r.doc_id for r in corpus_pipeline.STAGES[1][1](spark, docs, str(tmp_path)).collect()} == {1, 3}
+
+
+def test_stage_links_fingerprints_too(spark, tmp_path):
+    """Texts that five-word sets tell apart but fingerprints of three words don't, and a third that only such a set links to one of them."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from factloom.llm import simhash
+
+    line = " ".join(f"w{i}" for i in range(40))
+    twice = " ".join([line] * 60)
+    mixed = twice + " " + " ".join(f"x{i}" for i in range(12))  # few of its shingles, but a quarter of its distinct ones
+    near = mixed + " more"
+    a, b = simhash.fingerprints([twice, mixed]).tolist()
+    assert (a ^ b).bit_count() <= 2
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in ((1, twice), (2, mixed), (3, near), (4, "another text"))], SCHEMA)
+    assert {r.doc_id for r in nearcopies.keep_one(docs).collect()} == {1, 2, 4}
+    assert {r.doc_id for r in corpus_pipeline.STAGES[1][1](spark, docs, str(tmp_path)).collect()} == {1, 4}
