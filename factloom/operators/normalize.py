@@ -21,12 +21,13 @@ def normalized(candidates: DataFrame, onto: DataFrame, dictionary: DataFrame) ->
     """Candidates with attribute_key, data_type, value_num or value_text, canonical_unit, original_value and `reason`.
 
     reason: ok, unmapped, unparseable or out_of_constraints. The label dictionary and the ontology are joined by
-    equality; both are small, and Spark broadcasts them by their size.
+    equality. The ontology and its own labels are broadcast, so candidates stay where their page was read; a dictionary
+    with learned labels, of which there may be any number, is broadcast only if Spark finds it small.
     """
     rows = candidates.withColumn("_label", normalized_label(F.col("raw_attribute")))
     keys = dictionary.select(F.col("label").alias("_label"), "attribute_key")
     known = onto.select("attribute_key", "data_type", "canonical_unit", "min_value", "max_value", "ontology_version")
-    rows = rows.join(keys, "_label", "left").join(known, "attribute_key", "left")
+    rows = rows.join(keys, "_label", "left").join(F.broadcast(known), "attribute_key", "left")
     measured = (F.col("data_type") == "quantity") & F.col("canonical_unit").isNotNull()
     rows = rows.withColumn("_value", F.when(measured, quantity(F.col("raw_value"), F.col("raw_unit"), F.col("canonical_unit"))))
     reason = (

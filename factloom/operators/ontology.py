@@ -85,10 +85,10 @@ def attributes(spark: SparkSession) -> DataFrame:
 
 
 def labels(onto: DataFrame) -> DataFrame:
-    """(label, attribute_key, ordinal), a row for each normalised label; of a label's attributes the last wins."""
+    """(label, attribute_key, ordinal), a row for each normalised label, to be broadcast; of a label's attributes the last wins."""
     every = onto.select("attribute_key", "ordinal", F.explode(F.concat(F.array(F.col("attribute_key")), "synonyms", F.array("name_en", "name_uk"))).alias("label"))
     every = every.select(normalized_label(F.col("label")).alias("label"), "attribute_key", "ordinal").where("label <> ''")
-    return every.groupBy("label").agg(F.max_by("attribute_key", "ordinal").alias("attribute_key"), F.max("ordinal").alias("ordinal"))
+    return F.broadcast(every.groupBy("label").agg(F.max_by("attribute_key", "ordinal").alias("attribute_key"), F.max("ordinal").alias("ordinal")))
 
 
 def with_learned(labels_df: DataFrame, learned: DataFrame | None) -> DataFrame:

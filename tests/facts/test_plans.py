@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import answer, extract, normalize, ontology, retrieval
+from factloom.operators import answer, extract, normalize, ontology, quality, retrieval
 from factloom.plans import samples
 
 
@@ -64,3 +64,19 @@ def test_ids_of_a_page_are_read_once(part):
     rows = normalize.enriched(refs, extract.shop_json(samples.shop_pages(part)))
     assert "BroadcastExchange" not in physical(rows) and optimized(rows).lower().count("parsejson") <= 4
     assert all(r.gtin == r.raw_artifact_id and r.mpn is None for r in rows.collect())
+
+
+def test_candidates_stay_where_their_page_was_read(spark, part):
+    onto = ontology.ontology(spark)
+    found = extract.spec_tables(samples.spec_pages(part))
+    rows = quality.ingest_counts(normalize.normalized(found, onto, ontology.with_learned(ontology.labels(onto), None)))
+    assert physical(rows).count("BroadcastHashJoin") == 2 and "hashpartitioning(_label" not in physical(rows)
+    assert {tuple(r)[1:] for r in rows.collect()} == {(5, 4, 1, 1)}
+
+
+def test_outcomes_are_not_broadcast(spark, part):
+    expected = part.select(F.col("p_partkey").cast("string").alias("case_id"), F.lit("v").alias("vendor"), F.lit("c").alias("category"), F.lit("cores").alias("attribute_key"), F.col("p_size").cast("double").alias("want_num"), F.lit(None).cast("string").alias("want_text"))
+    facts = expected.select("case_id", "attribute_key", F.col("want_num").alias("value_num"), F.col("want_text").alias("value_text"), F.lit(3).alias("tier"), F.lit(0).alias("tier_pos"), F.lit(0).alias("place"))
+    rows = quality.outcomes(expected, facts)
+    assert "BroadcastExchange" not in physical(rows)
+    assert {r.status for r in rows.collect()} == {"correct"}
