@@ -43,14 +43,17 @@ def _keys() -> Column:
 
 
 def _components(refs: DataFrame) -> DataFrame:
-    """(seq, component): references that share keys, directly or over others, by least labels on a bipartite graph of references and keys."""
+    """(seq, component): references that share keys, directly or over others, by least labels on a bipartite graph of references and keys.
+
+    Tables of labels are written in few bytes a row and look small enough to broadcast long after they aren't: joins are sorted ones.
+    """
     edges = written(refs.select("seq", F.explode(_keys()).alias("key")), "keys")
     labels = written(refs.select("seq", F.col("seq").alias("component")), "labels")
     while True:
-        by_key = edges.join(labels, "seq").groupBy("key").agg(F.min("component").alias("least"))
-        near = edges.join(by_key, "key").groupBy("seq").agg(F.min("least").alias("least"))
+        by_key = edges.join(labels.hint("merge"), "seq").groupBy("key").agg(F.min("component").alias("least"))
+        near = edges.join(by_key.hint("merge"), "key").groupBy("seq").agg(F.min("least").alias("least"))
         up = labels.select(F.col("seq").alias("least"), F.col("component").alias("up"))
-        new = labels.join(near, "seq", "left").withColumn("least", F.least("component", F.coalesce("least", "component"))).join(up, "least", "left")
+        new = labels.join(near.hint("merge"), "seq", "left").withColumn("least", F.least("component", F.coalesce("least", "component"))).join(up.hint("merge"), "least", "left")
         new = written(new.select("seq", F.col("component").alias("old"), F.least("least", F.coalesce("up", "least")).alias("component")), "labels")
         changed = new.where("old <> component").limit(1).count()
         labels = new.select("seq", "component")
@@ -66,7 +69,7 @@ def resolve_or_create(refs: DataFrame) -> DataFrame:
     component is sorted and streamed, with tables of its keys as the only state. A component isn't one product: the
     ladder takes the first match.
     """
-    rows = refs.join(_components(refs), "seq").withColumn("_id", F.coalesce("product_id", entity_id("prd", F.col("seq"))))
+    rows = refs.join(_components(refs).hint("merge"), "seq").withColumn("_id", F.coalesce("product_id", entity_id("prd", F.col("seq"))))
     columns = refs.columns
     schema = refs.select("*", F.lit("").alias("resolved")).schema
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import answer, extract, normalize, ontology, quality, retrieval
+from factloom.operators import answer, extract, normalize, ontology, quality, resolve, retrieval
 from factloom.plans import samples
 
 
@@ -80,3 +80,10 @@ def test_outcomes_are_not_broadcast(spark, part):
     rows = quality.outcomes(expected, facts)
     assert "BroadcastExchange" not in physical(rows)
     assert {r.status for r in rows.collect()} == {"correct"}
+
+
+def test_references_are_not_broadcast(part):
+    refs = samples.part_products(part).select(F.monotonically_increasing_id().alias("seq"), F.lit(None).cast("string").alias("product_id"), "gtin", "mpn", "brand", "model")
+    rows = resolve.resolve_or_create(refs)
+    assert "BroadcastExchange" not in physical(rows)
+    assert rows.select("resolved").distinct().count() == 40  # no two share a key
