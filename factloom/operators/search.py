@@ -7,6 +7,9 @@ lists. Once that is below the last place of the best ones so far, no other chunk
 done; the others read on, GROW times as far. Words that all chunks share make long lists, of which only heads are read.
 
 Lists are numbered by a scan (`operators.scan`), since one word may be in all chunks. Equal questions are asked once.
+Chunks are taken by what questions can see of them, the weights of the buckets that are asked for: those of one scope that
+look alike are as near to any question, so only the first of them is listed, and its place is shared out afterwards. Lists
+grow with the variety of the chunks, not with their number.
 """
 
 from __future__ import annotations
@@ -34,12 +37,27 @@ def scope(brand: Column) -> Column:
     return F.when(brand.isNull(), "").otherwise(F.concat(F.lit("="), brand))
 
 
-def postings(vectors: DataFrame, chunks: DataFrame, asked: DataFrame, head: int = HEAD, grow: int = GROW) -> DataFrame:
+def alike(vectors: DataFrame, chunks: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
+    """(scope, first, chunk_id, seen): the first `limit` chunks of each scope and seen, by chunk_id; `first` is the first of them.
+
+    vectors: chunk_id, bucket, weight; chunks: chunk_id, scopes; asked: scope, bucket. seen: (bucket, weight) of the
+    buckets that are asked for, ascending; chunks without any of them aren't among the rows.
+    """
+    own = vectors.join(asked.select("bucket").distinct(), "bucket", "left_semi")
+    seen = own.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("bucket", "weight"))).alias("seen"))
+    rows = chunks.join(seen.hint("merge"), "chunk_id").select("chunk_id", "seen", F.explode("scopes").alias("scope"))  # as many rows as chunks
+    rows = rows.join(asked.select("scope").distinct(), "scope", "left_semi")
+    same = Window.partitionBy("scope", "seen").orderBy("chunk_id")
+    rows = rows.withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= limit)  # cut before the shuffle too
+    return rows.select("scope", F.min("chunk_id").over(Window.partitionBy("scope", "seen")).alias("first"), "chunk_id", "seen")
+
+
+def postings(listed: DataFrame, asked: DataFrame, head: int = HEAD, grow: int = GROW) -> DataFrame:
     """(scope, bucket, level, chunk_id, weight) of the lists that are asked for (scope, bucket): the brand counts before any product does.
 
-    vectors: chunk_id, bucket, weight; chunks: chunk_id, scopes. level: 0 for the head, 1 for the next stretch, and so on.
+    listed: scope, chunk_id, bucket, weight. level: 0 for the head, 1 for the next stretch, and so on.
     """
-    every = vectors.join(chunks, "chunk_id").select(F.explode("scopes").alias("scope"), "bucket", "chunk_id", "weight")
+    every = listed.select("scope", "bucket", "chunk_id", "weight")
     rows = every.join(asked.select("scope", "bucket").distinct(), ["scope", "bucket"], "left_semi")
     rows = numbered(rows.withColumn("down", -F.col("weight")), ["scope", "bucket"], ["down", "chunk_id"], "n").drop("down")
     level = F.when(F.col("n") <= head, 0).otherwise(F.ceil(F.log(F.col("n") / head) / F.log(F.lit(float(grow))) - 1e-12)).cast("int")
@@ -106,10 +124,18 @@ def search(chunk_rows: DataFrame, questions: DataFrame, limit: int = 5, embed: E
     each = written(named.groupBy("question", "scope").agg(F.first("text").alias("text")), "questions")
     asked = written(embed(each, "question", "text").select("question", "bucket", F.col("weight").alias("w")).join(each.select("question", "scope"), "question"), "asked")
     fresh = chunk_rows.where(~F.coalesce("stale", F.lit(False)))
-    chunks = written(fresh.select("chunk_id", F.when(F.col("brand").isNull(), F.array(F.lit(""))).otherwise(F.array(F.lit(""), scope(F.col("brand")))).alias("scopes")), "chunks")
-    vectors = written(embed(fresh, "chunk_id", "body").select("chunk_id", "bucket", "weight"), "vectors")
-    lists = written(postings(vectors, chunks, asked, head), "lists")
+    scopes = F.when(F.col("brand").isNull(), F.array(F.lit(""))).otherwise(F.array(F.lit(""), scope(F.col("brand"))))
+    chunks = written(fresh.select("chunk_id", "body", scopes.alias("scopes")), "chunks")
+    groups = written(alike(embed(chunks, "chunk_id", "body"), chunks.select("chunk_id", "scopes"), asked, limit), "alike")
+    listed = groups.where(F.col("first") == F.col("chunk_id")).select("scope", "chunk_id", F.explode("seen").alias("x")).select("scope", "chunk_id", "x.*")
+    lists = written(postings(listed, asked, head), "lists")
+    # one vector a chunk, whichever of its scopes it is listed in
+    vectors = written(listed.groupBy("chunk_id", "bucket").agg(F.first("weight").alias("weight")), "vectors")
     near = found(lists, asked, vectors, limit, told)
+    # the `limit` nearest chunks are among the first ones of the `limit` nearest groups
+    members = groups.select("scope", "first", F.col("chunk_id").alias("member"))
+    near = near.join(each.select("question", "scope"), "question").withColumnRenamed("chunk_id", "first").join(members, ["scope", "first"])
+    near = near.select("question", F.col("member").alias("chunk_id"), "distance")
     # places left over: the first chunks of the scope
     scopes = chunks.select("chunk_id", F.explode("scopes").alias("scope")).join(each.select("scope").distinct(), "scope", "left_semi")
     first = scopes.withColumn("_n", F.row_number().over(Window.partitionBy("scope").orderBy("chunk_id"))).where(F.col("_n") <= limit).select("scope", "chunk_id")

@@ -68,6 +68,17 @@ def test_a_template_word_doesnt_join_all(spark):
     assert got.count() == 15 and sum(told) < 0.1 * 3 * 3000
 
 
+def test_chunks_that_look_alike_are_one_product(spark):
+    """Chunks that differ only in words that nobody asks for are compared with a question once, and still take places one by one."""
+    chunks = [(f"c{i * 7919 % 800:03}", "A" if i % 2 else None, f"net weight {i % 4} source u{i}", False) for i in range(800)]
+    asked = [(1, "net weight 1", None), (2, "net weight 3", "A"), (3, "weight 2", "A")]
+    told = []
+    got = search.search(*asked_of(spark, chunks, asked), limit=5, told=told)
+    want, _ = all_pairs(spark, chunks, asked, 5)
+    assert {(r.question_id, r.chunk_id, round(r.distance, 9), r.rank) for r in got.collect()} == want
+    assert 0 < sum(told) < 100
+
+
 def test_nothing(spark):
     chunks, asked = asked_of(spark, [("c", "A", "x", False)], [(1, "x", None)])
     assert search.search(chunks.limit(0), asked).count() == 0 and search.search(chunks, asked.limit(0)).count() == 0
