@@ -23,6 +23,7 @@ MOST_CHARS = 120
 SCALARS = ["color", "material", "size", "pattern"]
 QUANTITIES = ["weight", "height", "width", "depth"]
 GTINS = ["gtin13", "gtin8", "gtin12", "gtin14", "gtin"]
+MEMBERS = ["@type", "sku", "mpn", *GTINS, "brand", *SCALARS, *QUANTITIES, "offers", "additionalProperty"]
 
 BLOCK = r"""(?is)<script\b[^<>]*?\btype\s*=\s*["']application/ld\+json["'][^<>]*>(.*?)</script"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -39,13 +40,17 @@ def _opens(node: Column, sign: str) -> Column:
 
 
 class Node(NamedTuple):
-    """A JSON value as text, and parsed: kinds are read from VARIANT, where strings, numbers and booleans differ."""
+    """A JSON value as text, and parsed: kinds are read from VARIANT, where strings, numbers and booleans differ.
+
+    read: texts of members by key that are columns already, so that the text isn't parsed once for each.
+    """
 
     text: Column
     parsed: Column
+    read: dict[str, Column] = {}
 
     def member(self, key: str) -> Node:
-        return Node(_get(self.text, f"$['{key}']"), F.try_variant_get(self.parsed, f"$['{key}']", "variant"))
+        return Node(self.read[key] if key in self.read else _get(self.text, f"$['{key}']"), F.try_variant_get(self.parsed, f"$['{key}']", "variant"))
 
     def kind(self) -> Column:
         return F.schema_of_variant(self.parsed)
@@ -157,7 +162,9 @@ def jsonld(artifacts: DataFrame, tier_pos: int = 0) -> DataFrame:
     """Facts of schema.org products in JSON-LD blocks. Blocks that can't be read give none; lists and @graph are opened as deep as JSON can be read."""
     blocks = jsonld_blocks(artifacts)
     nodes = blocks.select("*", F.posexplode(_opened("block")).alias("node_at", "node")).drop("block").withColumn("parsed", F.try_parse_json("node"))
-    n = Node(F.col("node"), F.col("parsed"))
+    texts = [f"text_{i}" for i in range(len(MEMBERS))]
+    nodes = nodes.select("*", F.json_tuple("node", *MEMBERS).alias(*texts))  # all members in one parse
+    n = Node(F.col("node"), F.col("parsed"), dict(zip(MEMBERS, map(F.col, texts), strict=True)))
     kind = n.member("@type")
     is_product = F.when(kind.kind().startswith("ARRAY"), F.array_contains(_list(kind.text), "Product")).otherwise(kind.text == "Product")
     gtin = F.coalesce(*(n.member(k).scalar() for k in GTINS))

@@ -59,6 +59,14 @@ def test_pages_are_dealt_before_they_are_read(spark, part, kind):
     assert "parse" not in optimized(rows).split("RepartitionByExpression")[1].lower()
 
 
+def test_members_of_a_node_are_read_in_one_parse(part):
+    """JSON-LD members come from one parse of their node, not one each: 19 members of a node were 19 parses."""
+    rows = extract.jsonld(samples.jsonld_pages(part))
+    assert optimized(rows).count("get_json_object(node") == 0 and optimized(rows).count("json_tuple(node") == 1
+    found = {(r.raw_attribute, r.raw_value, r.raw_unit) for r in rows.where("raw_artifact_id = '7'").collect()}
+    assert found == {("material", "SMALL TIN", None), ("weight", "7", "kg"), ("price", "1.00", "USD"), ("Cores", "7", None)}
+
+
 def test_ids_of_a_page_are_read_once(part):
     refs = part.select(F.col("p_partkey").cast("string").alias("raw_artifact_id"), F.lit("").alias("gtin"), F.lit(None).cast("string").alias("mpn"))
     rows = normalize.enriched(refs, extract.shop_json(samples.shop_pages(part)))
