@@ -26,8 +26,8 @@ GTINS = ["gtin13", "gtin8", "gtin12", "gtin14", "gtin"]
 MEMBERS = ["@type", "sku", "mpn", *GTINS, "brand", *SCALARS, *QUANTITIES, "offers", "additionalProperty"]
 
 BLOCK = r"""(?is)<script\b[^<>]*?\btype\s*=\s*["']application/ld\+json["'][^<>]*>(.*?)</script"""
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STRINGS = "array<string>"
+NUMBER_KIND = "^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)"
 
 
 def _get(node: Column, path: str) -> Column:
@@ -42,37 +42,57 @@ def _opens(node: Column, sign: str) -> Column:
 class Node(NamedTuple):
     """A JSON value as text, and parsed: kinds are read from VARIANT, where strings, numbers and booleans differ.
 
-    read: texts of members by key that are columns already, so that the text isn't parsed once for each.
+    read: members by key whose texts and kinds are columns already, so that they aren't read again at each use; known: such a kind.
     """
 
     text: Column
     parsed: Column
-    read: dict[str, Column] = {}
+    read: dict[str, Node] = {}
+    known: Column | None = None
 
     def member(self, key: str) -> Node:
-        return Node(self.read[key] if key in self.read else _get(self.text, f"$['{key}']"), F.try_variant_get(self.parsed, f"$['{key}']", "variant"))
+        return self.read[key] if key in self.read else Node(_get(self.text, f"$['{key}']"), _member(self.parsed, key))
 
     def kind(self) -> Column:
-        return F.schema_of_variant(self.parsed)
+        return F.schema_of_variant(self.parsed) if self.known is None else self.known
 
     def string(self) -> Column:
         return F.when(self.kind() == "STRING", self.text)
 
     def scalar(self) -> Column:
         """A string or number as text; booleans and others null."""
-        return F.when((self.kind() == "STRING") | _is_number(self.kind()), self.text)
+        return F.when(self.kind().rlike(f"^STRING$|{NUMBER_KIND}"), self.text)
 
     def is_object(self) -> Column:
         return self.kind().startswith("OBJECT")
 
 
+def _member(parsed: Column, key: str) -> Column:
+    return F.try_variant_get(parsed, f"$['{key}']", "variant")
+
+
+def _with_members(rows: DataFrame, node: str, keys: list[str], escapes: bool = False) -> tuple[DataFrame, Node]:
+    """rows with the object of column `node` (never null) read: its members' texts in one parse, and the kinds of those that are there.
+
+    escapes: the text may hold escaped surrogates. One without its partner makes all members null, so such texts are read member by member.
+    """
+    text, kind = ([f"{what}_{node}_{i}" for i in range(len(keys))] for what in ("text", "kind"))
+    parsed = F.col(f"{node}_json")
+    rows = rows.select("*", F.json_tuple(node, *keys).alias(*text)).withColumn(f"{node}_json", F.try_parse_json(node))
+    if escapes:
+        rows = rows.withColumns({t: F.when(F.col(node).rlike(r"(?i)\\ud[89a-f]"), _get(F.col(node), f"$['{k}']")).otherwise(F.col(t)) for k, t in zip(keys, text, strict=True)})
+    rows = rows.select("*", *(F.when(F.col(t).isNotNull(), F.schema_of_variant(_member(parsed, k))).alias(a) for k, t, a in zip(keys, text, kind, strict=True)))
+    members = {k: Node(F.col(t), _member(parsed, k), known=F.col(a)) for k, t, a in zip(keys, text, kind, strict=True)}
+    return rows, Node(F.col(node), parsed, members)
+
+
 def _with_parsed(values: Column) -> Column:
     """Texts as structs of text and parsed, so that lambdas parse each only once."""
     return F.transform(values, lambda x: F.struct(x.alias("text"), F.try_parse_json(x).alias("parsed")))
 
 
 def _is_number(kind: Column) -> Column:
-    return kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)")
+    return kind.rlike(NUMBER_KIND)
 
 
 def _list(node: Column) -> Column:
@@ -82,7 +102,7 @@ def _list(node: Column) -> Column:
 @F.pandas_udf(ArrayType(StringType()))
 def _opened(blocks: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for series in blocks:
-        yield series.map(markup.objects)
+        yield series.map(markup.products)
 
 
 def _provenance(tier: int, kind: str, method: str, span: Column) -> Column:
@@ -131,7 +151,12 @@ def _candidates(rows: DataFrame, tier: int, tier_pos: int, kind: str, method: st
 
 
 def _filled(x: Column) -> Column:
-    return F.when(strip(x) != "", x)
+    return F.when(x.rlike(r"(?U)\S"), x)
+
+
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), where f uses x more than once and lambdas would evaluate it each time."""
+    return F.get(F.transform(F.array(x), f), 0)
 
 
 def _unit_of(node: Node) -> Column:
@@ -147,8 +172,7 @@ def _measure(node: Node) -> tuple[Column, Column]:
 
 def jsonld_blocks(artifacts: DataFrame) -> DataFrame:
     """The JSON-LD blocks of pages: page columns, block_at, block. What follows the last end of a script holds none, so each search finds its end."""
-    last = F.substring_index(F.translate("content", UPPER, LOWER), "</script", -1)
-    closed = F.substr("content", F.lit(1), F.length("content") - F.length(last))
+    closed = F.regexp_extract("content", "(?is)^.*</script", 0)
     return _pages(artifacts).select("*", F.posexplode(F.regexp_extract_all(closed, F.lit(BLOCK), F.lit(1))).alias("block_at", "block")).drop("content")
 
 
@@ -161,10 +185,11 @@ def jsonld_failures(artifacts: DataFrame) -> DataFrame:
 def jsonld(artifacts: DataFrame, tier_pos: int = 0) -> DataFrame:
     """Facts of schema.org products in JSON-LD blocks. Blocks that can't be read give none; lists and @graph are opened as deep as JSON can be read."""
     blocks = jsonld_blocks(artifacts)
-    nodes = blocks.select("*", F.posexplode(_opened("block")).alias("node_at", "node")).drop("block").withColumn("parsed", F.try_parse_json("node"))
-    texts = [f"text_{i}" for i in range(len(MEMBERS))]
-    nodes = nodes.select("*", F.json_tuple("node", *MEMBERS).alias(*texts))  # all members in one parse
-    n = Node(F.col("node"), F.col("parsed"), dict(zip(MEMBERS, map(F.col, texts), strict=True)))
+    nodes = blocks.select("*", F.posexplode(_opened("block")).alias("node_at", "node")).drop("block").where("node IS NOT NULL")
+    nodes, n = _with_members(nodes, "node", MEMBERS)
+    offers = n.member("offers")
+    listed = _opens(offers.text, "[")
+    nodes = nodes.withColumn("offer", F.when(listed, F.get(_list(offers.text), 0)).otherwise(offers.text))
     kind = n.member("@type")
     is_product = F.when(kind.kind().startswith("ARRAY"), F.array_contains(_list(kind.text), "Product")).otherwise(kind.text == "Product")
     gtin = F.coalesce(*(n.member(k).scalar() for k in GTINS))
@@ -175,15 +200,12 @@ def jsonld(artifacts: DataFrame, tier_pos: int = 0) -> DataFrame:
     )
     facts = [_fact(F.lit(k), _filled(n.member(k).string()), F.lit(None), F.lit(f"$.{k}")) for k in SCALARS]
     facts += [_fact(F.lit(k), *_measure(n.member(k)), F.lit(f"$.{k}")) for k in QUANTITIES]
-    offers = n.member("offers")
-    first = Node(F.get(_list(offers.text), 0), F.try_variant_get(offers.parsed, "$[0]", "variant"))
-    listed = _opens(offers.text, "[")
-    offer = Node(F.when(listed, first.text).otherwise(offers.text), F.when(listed, first.parsed).otherwise(offers.parsed))
+    offer = Node(F.col("offer"), F.when(listed, F.try_variant_get(offers.parsed, "$[0]", "variant")).otherwise(offers.parsed))
     facts.append(_fact(F.lit("price"), offer.member("price").scalar(), offer.member("priceCurrency").string(), F.lit("$.offers.price")))
 
     def extra(x, i):
         x = Node(x["text"], x["parsed"])
-        return _fact(_filled(x.member("name").string()), x.member("value").scalar(), _unit_of(x), F.concat(F.lit("$.additionalProperty["), i.cast("string"), F.lit("]")))
+        return _fact(_once(x.member("name").string(), _filled), x.member("value").scalar(), _unit_of(x), F.concat(F.lit("$.additionalProperty["), i.cast("string"), F.lit("]")))
 
     every = F.concat(F.array(*facts), F.transform(_with_parsed(_list(n.member("additionalProperty").text)), extra))
     rows = _facts(nodes.select("*", ids.alias("ids")), F.when(is_product, every))

@@ -55,6 +55,19 @@ def test_objects():
     assert markup.objects('{"color":"\\ud800"}') == ['{"color": "�"}']
 
 
+def test_products():
+    """Other objects hold a place, and aren't written out; a product is written without its graph, whose objects stand on their own."""
+    block = '[{"@type":"Thing","@graph":[{"@type":["Thing","Product"],"a":1,"@graph":[{"@type":"Product","b":NaN}]}]},{"@type":["x"]},7]'
+    assert markup.products(block) == [None, None, '{"@type": ["Thing", "Product"], "a": 1}', '{"@type": "Product", "b": NaN}']
+    assert markup.products("[]") == [] and markup.products("{") is None and markup.products(None) is None and markup.products("[" * 200_000 + "]" * 200_000) is None
+
+
+def test_a_product_beside_a_number_that_json_lacks(spark):
+    """NaN in a product's graph made the product itself unreadable."""
+    page = '<script type="application/ld+json">{"@type":"Product","color":"red","@graph":[{"@type":"Product","color":"blue","weight":NaN}]}</script>'
+    assert [(r.raw_value, r.place) for r in extract.jsonld(pages(spark, page)).collect()] == [("red", 0)]
+
+
 def test_pages_that_ended_jobs(spark):
     block = '<script type="application/ld+json">%s</script>'
     good = '{"@type":"Product","color":"red"}'

@@ -67,6 +67,14 @@ def test_members_of_a_node_are_read_in_one_parse(part):
     assert found == {("material", "SMALL TIN", None), ("weight", "7", "kg"), ("price", "1.00", "USD"), ("Cores", "7", None)}
 
 
+def test_kinds_of_a_node_are_read_once(part):
+    """The kind of a JSON-LD member was read again at each of its uses (80 times), and objects of other types were written, parsed and split as well."""
+    rows = extract.jsonld(samples.graph_pages(part))
+    assert optimized(rows).lower().count("schemaofvariant(") <= len(extract.MEMBERS) + 5
+    found = {(r.raw_artifact_id, r.raw_attribute, r.raw_value, r.detected_ids["mpn"]) for r in rows.collect()}
+    assert found == {(str(i), *x) for i in range(1, 41) for x in (("color", "Brand#11", f"M{i}"), ("material", "SMALL TIN", f"N{i}"))}
+
+
 def test_ids_of_a_page_are_read_once(part):
     refs = part.select(F.col("p_partkey").cast("string").alias("raw_artifact_id"), F.lit("").alias("gtin"), F.lit(None).cast("string").alias("mpn"))
     rows = normalize.enriched(refs, extract.shop_json(samples.shop_pages(part)))
