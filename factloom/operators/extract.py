@@ -23,6 +23,7 @@ MOST_CHARS = 120
 SCALARS = ["color", "material", "size", "pattern"]
 QUANTITIES = ["weight", "height", "width", "depth"]
 GTINS = ["gtin13", "gtin8", "gtin12", "gtin14", "gtin"]
+VARIANT = ["sku", "barcode", "price", "grams", "weight", "weight_unit"]
 MEMBERS = ["@type", "sku", "mpn", *GTINS, "brand", *SCALARS, *QUANTITIES, "offers", "additionalProperty"]
 
 BLOCK = r"""(?is)<script\b[^<>]*?\btype\s*=\s*["']application/ld\+json["'][^<>]*>(.*?)</script"""
@@ -217,12 +218,12 @@ def shop_json(artifacts: DataFrame, tier_pos: int = 1) -> DataFrame:
     """Facts of a shop's product JSON: the first variant's weight and price, and the options that have one value."""
     pages = _pages(artifacts).withColumn("page_json", F.when(_opens(F.col("content"), "{"), F.try_parse_json("content")))
     page = Node(F.col("content"), F.col("page_json"))
+    is_product = F.try_variant_get("page_json", "$['product']", "struct<variants variant>").isNotNull()  # an object; its schema isn't made
     has_variants = F.col("content").contains('"variants"') & page.member("variants").parsed.isNotNull()
-    product = F.when(page.member("product").is_object(), page.member("product").text).when(has_variants, F.col("content"))
-    rows = pages.withColumn("node", product).withColumn("parsed", F.try_parse_json("node"))
-    variant = F.get(_list(_get(F.col("node"), "$.variants")), 0)
-    rows = rows.withColumn("variant", F.when(_opens(variant, "{"), variant).otherwise("{}")).withColumn("variant_json", F.try_parse_json("variant"))
-    n, v = Node(F.col("node"), F.col("parsed")), Node(F.col("variant"), F.col("variant_json"))
+    rows = pages.withColumn("node", F.coalesce(F.when(is_product, page.member("product").text).when(has_variants, F.col("content")), F.lit("{}"))).drop("content", "page_json")
+    rows, n = _with_members(rows, "node", ["vendor", "variants", "options"], escapes=True)
+    rows = rows.withColumn("first", F.get(_list(n.member("variants").text), 0))
+    rows, v = _with_members(rows.withColumn("variant", F.when(_opens(F.col("first"), "{"), F.col("first")).otherwise("{}")), "variant", VARIANT, escapes=True)
     ids = F.create_map(F.lit("brand"), _filled(n.member("vendor").string()), F.lit("sku"), _filled(v.member("sku").scalar()), F.lit("gtin"), _filled(v.member("barcode").scalar()))
     ids = F.map_filter(ids, lambda k, x: x.isNotNull())
     grams = F.when(_is_number(v.member("grams").kind()) & (v.member("grams").text.try_cast("double") > 0), v.member("grams").text)
@@ -233,10 +234,10 @@ def shop_json(artifacts: DataFrame, tier_pos: int = 1) -> DataFrame:
 
     def option(x, i):
         x = Node(x["text"], x["parsed"])
-        values = _list(x.member("values").text)
+        values = _once(x.member("values").text, _list)
         is_text = F.schema_of_variant(F.try_variant_get(x.parsed, "$.values[0]", "variant")) == "STRING"
-        one = F.when((F.size(values) == 1) & is_text, F.get(values, 0))
-        return _fact(x.member("name").string(), _filled(one), F.lit(None), F.concat(F.lit("$.product.options["), i.cast("string"), F.lit("]")))
+        one = _once(values, lambda y: F.when((F.size(y) == 1) & is_text, F.get(y, 0)))
+        return _fact(x.member("name").string(), _once(one, _filled), F.lit(None), F.concat(F.lit("$.product.options["), i.cast("string"), F.lit("]")))
 
     every = F.concat(F.array(weight, price), F.transform(_with_parsed(_list(n.member("options").text)), option))
     rows = _facts(rows.select("*", ids.alias("ids")), every)

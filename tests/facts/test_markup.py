@@ -68,6 +68,16 @@ def test_a_product_beside_a_number_that_json_lacks(spark):
     assert [(r.raw_value, r.place) for r in extract.jsonld(pages(spark, page)).collect()] == [("red", 0)]
 
 
+def test_shop_pages_read_one_after_another(spark):
+    """Values of a page don't stand in for those that the next lacks; a surrogate without its partner makes only its own member null."""
+    good = '{"product":{"vendor":"V","variants":[{"sku":"a","price":"9.90"}],"options":[{"name":"M","values":["S"]}]}}'
+    odd = ["[]", '{"product":[]}', None, '{"product":{"variants":7}}', '{"variants":[{"price":1.50}]}', '{"product":{"vendor":"\\ud800","variants":[{"sku":"\\uD800","price":3}]}}', '{"product":{"variants":[{"price":1}]}']
+    rows = pages(spark, *(x for y in odd for x in (good, y)))
+    found = sorted((int(r.raw_artifact_id), r.raw_attribute, r.raw_value, r.detected_ids) for r in extract.shop_json(rows).collect())
+    assert [x for x in found if x[0] % 2] == [(9, "price", "1.5", {}), (11, "price", "3", {})]
+    assert [x[1:] for x in found if not x[0] % 2] == [(a, v, {"brand": "V", "sku": "a"}) for _ in odd for a, v in (("M", "S"), ("price", "9.90"))]
+
+
 def test_pages_that_ended_jobs(spark):
     block = '<script type="application/ld+json">%s</script>'
     good = '{"@type":"Product","color":"red"}'

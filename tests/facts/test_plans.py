@@ -75,6 +75,15 @@ def test_kinds_of_a_node_are_read_once(part):
     assert found == {(str(i), *x) for i in range(1, 41) for x in (("color", "Brand#11", f"M{i}"), ("material", "SMALL TIN", f"N{i}"))}
 
 
+def test_members_of_a_shop_page_are_read_once(part):
+    """A variant's members and a product's were parsed out at each use: 30 parses in the plan, 21 kinds."""
+    rows = extract.shop_json(samples.shop_pages(part))
+    assert optimized(rows).count("json_tuple(") == 2 and optimized(rows).count("get_json_object(") <= 12
+    assert optimized(rows).lower().count("schemaofvariant(") <= 9
+    found = {(r.raw_attribute, r.raw_value, r.raw_unit, r.detected_ids["sku"]) for r in rows.where("raw_artifact_id = '7'").collect()}
+    assert found == {("weight", "700", "g", "S7"), ("price", "1.00", None, "S7"), ("Material", "SMALL TIN", None, "S7")}
+
+
 def test_ids_of_a_page_are_read_once(part):
     refs = part.select(F.col("p_partkey").cast("string").alias("raw_artifact_id"), F.lit("").alias("gtin"), F.lit(None).cast("string").alias("mpn"))
     rows = normalize.enriched(refs, extract.shop_json(samples.shop_pages(part)))
