@@ -175,19 +175,50 @@ def nearest_join(rows: DataFrame, questions: DataFrame, key: str = "chunk_id", q
     return ranked.select(F.col("question").alias(question), F.col("key").alias(key), "distance", "rank")
 
 
-def bm25(chunk_rows: DataFrame, questions: DataFrame, k1: float = 1.2, b: float = 0.75, limit: int = 5) -> DataFrame:
+#: Terms of all questions that are broadcast at most; more meet the words of chunks in a sorted join.
+TERMS = 1 << 17
+
+
+def seen_words(chunk_rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """(chunk_id, rows, size, seen) of each chunk: its rows, its words, and (term, tf) of those words that are among `terms` (term), ascending.
+
+    Chunks are dealt by chunk_id before they are taken apart; words that nobody asks for are only counted.
+    """
+    parts = int(chunk_rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = chunk_rows.select("chunk_id", "body").repartition(parts, "chunk_id")
+    words = texts.select("chunk_id", F.posexplode_outer(tokens(F.col("body"))).alias("at", "word"))
+    first = F.coalesce("at", F.lit(0)) == 0  # one a row of chunks, with words or without
+    tf = words.join(terms, words["word"] == terms["term"], "left").groupBy("chunk_id", "term").agg(F.count("word").alias("tf"), F.count_if(first).alias("rows"))
+    seen = F.array_sort(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf"))))
+    return tf.groupBy("chunk_id").agg(F.sum("rows").alias("rows"), F.sum("tf").alias("size"), seen.alias("seen"))
+
+
+def bm25(chunk_rows: DataFrame, questions: DataFrame, k1: float = 1.2, b: float = 0.75, limit: int = 5, broadcast_terms: int = TERMS) -> DataFrame:
     """Keyword search by BM25: (question_id, chunk_id, score, rank). An extension.
 
     Scores are rounded to nine places before they rank, so that equal ones tie in whatever order their parts were summed.
+    Chunks of one size that have the asked words equally often score alike in any question, so a question gets one score
+    for all of them, and of each such group only the first `limit` by chunk_id can take a place. The `limit` best chunks
+    are among the `limit` best groups.
     """
-    words = chunk_rows.select("chunk_id", F.explode(tokens(F.col("body"))).alias("term"))
-    tf = words.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
-    sizes = words.groupBy("chunk_id").agg(F.count("*").alias("size"))
-    n, mean = chunk_rows.count(), sizes.agg(F.avg("size")).first()[0] or 1.0
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    asked = questions.select("question_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    asked = written(questions.select("question_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")), "asked")
+    terms = asked.select("term").distinct()
+    terms = F.broadcast(terms) if terms.count() <= broadcast_terms else terms.hint("merge")
+    own = written(seen_words(chunk_rows, terms), "seen")
+    n, mean = own.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.avg(F.when(F.col("size") > 0, F.col("size")))).first()
+    mean = mean or 1.0
+    found = own.where(F.size("seen") > 0)
+    df = found.select(F.explode("seen.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    same = Window.partitionBy("size", "seen").orderBy("chunk_id")
+    some = found.where(F.col("chunk_id").isNotNull()).withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= limit)  # cut before the shuffle too
+    groups = some.groupBy("size", "seen").agg(F.array_sort(F.collect_list("chunk_id")).alias("members"))
+    groups = written(groups.select(F.col("members")[0].alias("first"), "size", "seen", "members"), "groups")
+    tf = groups.select("first", "size", F.explode("seen").alias("x")).select("first", "size", "x.*")
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / mean))
-    scores = asked.join(df, "term").join(tf, "term").join(sizes, "chunk_id").groupBy("question_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"))
-    best = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
-    return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    scores = asked.join(df.hint("merge"), "term").join(tf.hint("merge"), "term").groupBy("question_id", "first").agg(F.round(F.sum(part), 9).alias("score"))
+    order = Window.partitionBy("question_id").orderBy(F.desc("score"), "first")
+    best = scores.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit)
+    rows = best.join(groups.select("first", F.explode("members").alias("chunk_id")).hint("merge"), "first").select("question_id", "chunk_id", "score")
+    order = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
